@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DICTIONARY_BYTES = 32 << 10
-SAMPLE_DOCS = 400  # a language, the bound on what training reads into a dictionary
+SAMPLE_DOCS = 100  # a language, on average: the bound on what goes into dictionaries
 SAMPLE_CHARS = 4000  # of each sampled document
 MAX_LANGUAGES = 512
 LEVEL = 6
@@ -30,63 +30,28 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def training_rows(docs: DataFrame) -> DataFrame:
     """Rows of which text and lang may be learned from."""
-    return docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1 and text is not null and lang is not null and length(text) > 0")
+    return docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1 and text is not null and lang is not null")
 
 
 def learn(docs: DataFrame) -> list[tuple[str, int, bytes]]:
-    """(language, training documents, dictionary) for each language.
+    """(language, training documents, dictionary) for each language, most documents first.
 
-    The dictionaries are made of at most SAMPLE_DOCS documents a language, the first SAMPLE_CHARS
-    characters of each, chosen by a hash of the text: a bounded sample, whatever the input's size.
-    The top documents are kept by a partial aggregation (a bounded heap in each task), not by a sort.
+    The dictionaries are made of a bounded sample: of each language's n training documents those whose
+    hash falls below SAMPLE_DOCS / n of its range (SAMPLE_DOCS of them on average, all if there are
+    fewer), their first SAMPLE_CHARS characters. All documents are counted and may be chosen.
     """
-    rows = training_rows(docs).select("lang", F.col("text"), F.xxhash64("text").alias("h"))
-
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, dict[int, str]] = {}
-        count: dict[str, int] = {}
-
-        def cut(own: dict[int, str]) -> dict[int, str]:
-            return {h: own[h] for h in sorted(own)[:SAMPLE_DOCS]}
-
-        for batch in batches:
-            for lang, text, h, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = best.setdefault(lang, {})
-                count[lang] = count.get(lang, 0) + n
-                if text is not None:
-                    own[h] = text
-                    if len(own) >= 4 * SAMPLE_DOCS:
-                        best[lang] = cut(own)
-        out = []
-        for lang, own in best.items():
-            out.append((lang, None, None, count[lang]))
-            out += [(lang, text, h, 0) for h, text in cut(own).items()]
-        names = ["lang", "text", "h", "n"]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names)
-
-    schema = "lang string, text string, h long, n long"
-    part = rows.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "h", F.lit(1).cast("long").alias("n")).mapInArrow(top, schema)
-    # Tasks' own samples meet in one task for each of 8 hash slices and then in one; each keeps at most SAMPLE_DOCS a language.
-    part = part.repartition(8, F.pmod("h", F.lit(8))).mapInArrow(top, schema).coalesce(1).mapInArrow(top, schema)
-    found: dict[str, list] = {}
-    for row in part.toLocalIterator():
-        own = found.setdefault(row.lang, [0, []])
-        own[0] += row.n
-        if row.text is not None:
-            own[1].append((row.h, row.text))
-    languages = sorted(found, key=lambda k: (-found[k][0], k))[:MAX_LANGUAGES]
-    out = []
-    for lang in languages:
-        n, texts = found[lang]
-        content, size = [], 0
-        for _, text in sorted(texts):
-            content.append(text.lower().encode())
-            size += len(content[-1]) + 1
-            if size >= DICTIONARY_BYTES:
-                break
-        out.append((lang, n, b"\n".join(content)[:DICTIONARY_BYTES]))
-    return out
+    rows = training_rows(docs)
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_DOCS / n))])
+    h = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    chosen = rows.where((F.pmod(h, F.lit(1 << 30)) / float(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    texts: dict[str, list] = {}
+    for r in chosen.select("lang", h.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect():
+        texts.setdefault(r.lang, []).append((r.h, r.text.lower()))
+    content = {lang: "\n".join(t for _, t in sorted(own)).encode()[:DICTIONARY_BYTES] for lang, own in texts.items()}
+    return [(lang, n, content[lang]) for lang, n in counts.items() if lang in content]
 
 
 class Model:
