@@ -7,14 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_documents
 from .language_id import identify
+from .quality_rules import REPORT_SQL, quality_report
+from .simhash import near_duplicates
 from .tables import read_table
 from .token_counts import count_tokens
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -23,5 +33,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_byte_bpe, op9_token_counts, op10_language_id)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_byte_bpe, op8_simhash, op9_token_counts, op10_language_id)}
+ORACLE: dict[str, str] = {"op5_quality_rules": REPORT_SQL}
