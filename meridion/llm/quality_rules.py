@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import packed, unpacked
+
 SPACE = r"[ \t-\r]"
 SYMBOLS = r"[#*$%&|<>]"
 BOILERPLATE = (
@@ -93,7 +95,8 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows that are kept, with the failing lines cut from their texts and the same columns."""
-    return judge(docs).where("_q.kept").select(*[F.col("_q.clean_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    good = judge(packed(docs)).where("_q.kept")
+    return unpacked(good.select("doc_id", F.col("_q.clean_text").alias("text"), "_rest"), docs)
 
 
 def _duck(s: str) -> str:

@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_documents
+from .decontaminate import contamination
 from .language_id import identify
+from .pii import pseudonym_report
 from .quality_rules import REPORT_SQL, quality_report
 from .simhash import near_duplicates
 from .tables import read_table
 from .token_counts import count_tokens
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonym_report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read_table(spark, sf_dir, "documents"))
 
@@ -21,6 +27,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -33,5 +43,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_byte_bpe, op8_simhash, op9_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op3_pii, op5_quality_rules, op6_byte_bpe, op7_decontamination, op8_simhash, op9_token_counts, op10_language_id)}
 ORACLE: dict[str, str] = {"op5_quality_rules": REPORT_SQL}

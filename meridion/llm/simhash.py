@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .tables import durable
+from .tables import columns_of, durable
 
 SEED = 42
 WORDS = 3
@@ -195,7 +195,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id are reduced to one of them.
     """
     keep = durable(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    out = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(columns_of(docs))
     if keep.where("n > 1").limit(1).count():
-        out = out.union(docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        out = out.union(docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(columns_of(docs)).dropDuplicates(["doc_id"]))
     return out

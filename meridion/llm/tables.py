@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meridion.plans.session import ship_package
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,3 +37,19 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one struct, so that their names can't clash with an operator's own."""
+    rest = [col for c, col in zip(docs.columns, columns_of(docs), strict=True) if c not in ("doc_id", "text")]
+    return docs.select(F.col("doc_id"), F.col("text"), (F.struct(*rest) if rest else F.lit(0)).alias("_rest"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, in their order, from a table made of ``packed(docs)``."""
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in docs.columns])

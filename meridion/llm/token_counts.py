@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .words import chunks
 
 TABLE_WORDS = 1 << 16
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 4000  # the first ones found: they only choose which words the table holds
+SAMPLE_CHARS = 4000
 CACHE_WORDS = 1 << 19
 LIMIT = 2048
 _LONGEST = 64  # bytes of a word kept in a table or cache
@@ -42,25 +43,17 @@ def encode_lengths(path: str, words: list[bytes]) -> list[int]:
     return [len(x.ids) for x in found]
 
 
-def frequent_lengths(path: str, table_words: int):
-    """mapInArrow function: words of its rows, most frequent first, as (hash, length) rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for chunk in chunks(batch.column(0)):
-                raw = chunk.data.tobytes()
-                seen.update(w for w in raw.split() if len(w) <= _LONGEST)
-                if len(seen) > 8 * table_words:
-                    seen = Counter(dict(seen.most_common(2 * table_words)))
-        words = [w for w, _ in seen.most_common(table_words)]
-        if words:
-            text = b" ".join(words)
-            (chunk,) = chunks(pa.array([text.decode()], pa.large_string()), len(text) + 1)
-            lengths = encode_lengths(path, words)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk.hashes().view(np.int64)), pa.array(lengths, pa.int32())], ["h", "n"])
-
-    return run
+def frequent_lengths(path: str, texts: list[str], table_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and lengths of the most frequent words of ``texts``."""
+    seen: Counter = Counter()
+    for text in texts:
+        seen.update(w for w in text.encode().split() if len(w) <= _LONGEST)
+    words = [w for w, _ in seen.most_common(table_words)]
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+    line = b" ".join(words)
+    (chunk,) = chunks(pa.array([line.decode()], pa.large_string()), len(line) + 1)
+    return chunk.hashes(), np.array(encode_lengths(path, words), np.uint16)
 
 
 class LengthTable:
@@ -68,7 +61,7 @@ class LengthTable:
 
     def __init__(self, keys: np.ndarray, lengths: np.ndarray):
         keys, at = np.unique(keys, return_index=True)
-        lengths = lengths[at]
+        keys, lengths = keys[lengths[at] > 0], lengths[at][lengths[at] > 0]
         self.bits = max(4, int(2 * len(keys)).bit_length())
         self.keys, self.lengths = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint16)
         slot, left, self.probes = self._slot(keys), np.arange(len(keys)), 0
@@ -115,9 +108,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, table_words: in
     Null and empty texts have 0 bytes and tokens; repeated rows are counted once each, empty tables
     give no rows and other columns are ignored. ``path`` is the tokenizer's file on every executor.
     """
-    sample = docs.select("text").where("text is not null").limit(SAMPLE_DOCS)
-    rows = sample.mapInArrow(frequent_lengths(path, table_words), "h long, n int").where("n > 0 and n < 65536").toArrow()
-    table = LengthTable(rows["h"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.uint16))
+    sample = docs.where("text is not null").select(F.substring("text", 1, SAMPLE_CHARS)).take(SAMPLE_DOCS)
+    table = LengthTable(*frequent_lengths(path, [r[0] for r in sample], table_words))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
