@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_documents
 from .decontaminate import contamination
+from .html_extract import extract
 from .language_id import identify
 from .pii import pseudonym_report
 from .quality_rules import REPORT_SQL, quality_report
@@ -19,6 +20,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonym_report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read_table(spark, sf_dir, "documents"))
 
@@ -43,5 +48,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op5_quality_rules, op6_byte_bpe, op7_decontamination, op8_simhash, op9_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op3_pii, op4_html_extraction, op5_quality_rules, op6_byte_bpe, op7_decontamination, op8_simhash, op9_token_counts, op10_language_id)}
 ORACLE: dict[str, str] = {"op5_quality_rules": REPORT_SQL}
