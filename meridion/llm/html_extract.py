@@ -117,7 +117,7 @@ class Page:
                 self._auto_close(stack, tag)
             words, named = _named(m[3]) if m[3] else ("", False)
             parent = stack[-1]
-            skip = parent.skip or tag in SKIPPED or named or (tag == "header" and not any(x.tag == "article" for x in stack))
+            skip = parent.skip or tag in SKIPPED or named or ((tag == "header" or "header" in words.split()) and not any(x.tag == "article" for x in stack))
             if tag in ("article", "main") and not named and not any(x.tag in SKIPPED for x in stack):
                 skip = False  # a container that is named after its sidebar, say, still holds the article
             node = Node(tag, parent, words, skip)

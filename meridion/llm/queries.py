@@ -12,10 +12,15 @@ from .language_id import identify
 from .pii import pseudonym_report
 from .quality_rules import REPORT_SQL, quality_report
 from .simhash import near_duplicates
+from .substring_dedup import deduplicate
 from .tables import read_table
 from .token_counts import count_tokens
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate(read_table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonym_report(read_table(spark, sf_dir, "documents"))
 
@@ -48,5 +53,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op4_html_extraction, op5_quality_rules, op6_byte_bpe, op7_decontamination, op8_simhash, op9_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_pii, op4_html_extraction, op5_quality_rules, op6_byte_bpe, op7_decontamination, op8_simhash, op9_token_counts, op10_language_id)}
 ORACLE: dict[str, str] = {"op5_quality_rules": REPORT_SQL}
