@@ -9,6 +9,7 @@ from .byte_bpe import encode_documents
 from .decontaminate import contamination
 from .html_extract import extract
 from .language_id import identify
+from .lm_scoring import score
 from .pii import pseudonym_report
 from .quality_rules import REPORT_SQL, quality_report
 from .simhash import near_duplicates
@@ -21,6 +22,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(read_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(read_table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonym_report(read_table(spark, sf_dir, "documents"))
 
@@ -53,5 +58,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_pii, op4_html_extraction, op5_quality_rules, op6_byte_bpe, op7_decontamination, op8_simhash, op9_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_pii, op4_html_extraction, op5_quality_rules, op6_byte_bpe, op7_decontamination, op8_simhash, op9_token_counts, op10_language_id)}
 ORACLE: dict[str, str] = {"op5_quality_rules": REPORT_SQL}
