@@ -95,7 +95,9 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows that are kept, with the failing lines cut from their texts and the same columns."""
-    good = judge(packed(docs)).where("_q.kept")
+    # A filter is not pushed through a projection that numbers rows; pushed down, it would write out all steps again and again.
+    numbered = judge(packed(docs)).withColumn("_mark", F.monotonically_increasing_id())
+    good = numbered.where(F.col("_q.kept") & (F.col("_mark") >= 0))
     return unpacked(good.select("doc_id", F.col("_q.clean_text").alias("text"), "_rest"), docs)
 
 
