@@ -225,16 +225,16 @@ def prefix_plan(docs: DataFrame, groups: int) -> tuple[np.ndarray, np.ndarray]:
     return first, split
 
 
-def removable(docs: DataFrame, width: int = WIDTH, portion: int = PORTION) -> DataFrame:
+def removable(read: DataFrame, dealt: DataFrame, width: int = WIDTH, portion: int = PORTION) -> DataFrame:
     """(doc_id, keys): the windows of each document that also start in a document with a smaller doc_id.
 
-    ``docs`` must be (doc_id, text), dealt by doc_id, so that its shuffle can be used again.
+    ``read`` is (doc_id, text) as it is read, ``dealt`` the same rows dealt by doc_id, whose shuffle can be used again.
     """
-    partitions = shuffle_width(docs.sparkSession)
-    known = docs.where("doc_id is not null")
+    partitions = shuffle_width(read.sparkSession)
+    known = read.where("doc_id is not null")
     first, split = prefix_plan(known, 4 * partitions)
     anchors = repeated_anchors(known, width, portion)
-    marked = docs.join(anchors.hint("shuffle_hash"), "doc_id", "left").where("keys is not null").select("doc_id", "text", "keys")
+    marked = dealt.join(anchors.hint("shuffle_hash"), "doc_id", "left").where("keys is not null").select("doc_id", "text", "keys")
 
     def send(keys: np.ndarray, ids: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = np.argsort(keys, kind="stable")
@@ -316,8 +316,9 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, with_text: bool = False) ->
     other; rows that share a doc_id don't count against each other; texts of fewer words stay.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(shuffle_width(spark), "doc_id")
-    found = slim.join(removable(slim, width).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "keys")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = read.repartition(shuffle_width(spark), "doc_id")
+    found = dealt.join(removable(read, dealt, width).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
