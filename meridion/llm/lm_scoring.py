@@ -152,8 +152,14 @@ class LogBilinear:
         """Scores of targets after each first and second context word, biases, and log normalisers of all pairs."""
         one, two = (self.r @ c @ self.r.T for c in self.c)
         top1, top2 = one.max(axis=1), (two + self.b).max(axis=1)
-        z = np.exp(one - top1[:, None]) @ np.exp(two + self.b - top2[:, None]).T
-        return one, two, self.b, np.log(np.maximum(z, 1e-37)) + top1[:, None] + top2[None, :]
+        left, right = one - top1[:, None], two + self.b
+        right -= top2[:, None]
+        z = np.exp(left, out=left) @ np.exp(right, out=right).T
+        del left, right
+        np.log(np.maximum(z, 1e-37, out=z), out=z)
+        z += top1[:, None]
+        z += top2[None, :]
+        return one, two, self.b, z
 
 
 class Trainer:

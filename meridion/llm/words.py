@@ -80,7 +80,7 @@ class Chunk:
         return mix(out[at]), at
 
 
-def chunks(column: pa.Array, budget: int = 4 << 20) -> Iterator[Chunk]:
+def chunks(column: pa.Array, budget: int = (1 << 20) - 2) -> Iterator[Chunk]:
     """Split a string column into chunks of about ``budget`` bytes, one row at least; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
