@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import shuffle_width
-from .words import U64, Chunk, chunks
+from .words import U64, Chunk, chunks, mix
 
 WIDTH = 13
 ANCHOR = 6
@@ -63,47 +63,72 @@ def _sorted_pairs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys, docs, start, np.diff(np.append(start, len(keys)))
 
 
+SETTLED = -(1 << 62)  # stands for documents that have their answer already
+
+
 def _pack(keys: np.ndarray, docs: np.ndarray) -> bytes:
-    base = int(docs.min())
-    offset = (docs - base).view(U64)
-    offset = offset.astype(np.uint32) if int(docs.max()) - base < 1 << 32 else offset
+    """Keys, and documents as distances from the least, in 4 bytes where they fit; 0 is SETTLED."""
+    real = docs != SETTLED
+    base = int(docs[real].min()) if real.any() else 0
+    far = int(docs[real].max()) - base + 1 >= 1 << 32 if real.any() else False
+    offset = np.where(real, docs - base + 1, 0).astype(U64 if far else np.uint32)
     return np.array([base, offset.itemsize], np.int64).tobytes() + keys.tobytes() + offset.tobytes()
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     base, size = np.frombuffer(blob, np.int64, 2).tolist()
     n = (len(blob) - 16) // (8 + size)
-    offset = np.frombuffer(blob, np.uint32 if size == 4 else U64, n, 16 + 8 * n)
-    return np.frombuffer(blob, U64, n, 16), offset.astype(np.int64) + base
+    offset = np.frombuffer(blob, np.uint32 if size == 4 else U64, n, 16 + 8 * n).astype(np.int64)
+    return np.frombuffer(blob, U64, n, 16), np.where(offset == 0, SETTLED, offset - 1 + base)
+
+
+SENT = "bucket int, leaves binary, home int, answers binary"
+LOCAL = 8  # documents of one key that a portion sends on; of more, it settles all but one itself
+
 
+def homes(width: int) -> int:
+    """A prime of at least twice the number of partitions: documents and answers meet by doc_id modulo it."""
+    n = 2 * width + 1
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
-SENT = "bucket int, leaves binary, doc_id long, keys array<long>"
+
+def _blobs(keys: np.ndarray, docs: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Pairs packed by target: the targets and one blob for each."""
+    order = np.argsort(target, kind="stable")
+    keys, docs, target = keys[order], docs[order], target[order]
+    cut = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.zeros(0, np.int64)
+    ends = np.append(cut[1:], len(target))
+    return target[cut], [_pack(keys[a:b], docs[a:b]) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
 
 
 def _leaves(keys: np.ndarray, docs: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    """Packed leaves, one row a bucket."""
-    order = np.argsort(bucket, kind="stable")
-    keys, docs, bucket = keys[order], docs[order], bucket[order]
-    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(bucket)).astype(np.int64)
-    blobs = [_pack(keys[a:b], docs[a:b]) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
+    to, blobs = _blobs(keys, docs, bucket)
     n = len(blobs)
-    return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], ["bucket", "leaves", "doc_id", "keys"])
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["bucket", "leaves", "home", "answers"])
+
 
+def _answers(keys: np.ndarray, docs: np.ndarray, n_homes: int) -> pa.RecordBatch:
+    to, blobs = _blobs(keys, docs, docs % n_homes)
+    n = len(blobs)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "leaves", "home", "answers"])
 
-def _lists(docs: np.ndarray, keys: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Keys by document: the documents and their lists."""
-    order = np.argsort(docs, kind="stable")
-    docs, keys = docs[order], keys[order]
-    cut = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
-    offsets = np.append(cut, len(docs)).astype(np.int32)
-    return pa.array(docs[cut], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
 
+def _send(keys: np.ndarray, docs: np.ndarray, least_only: bool, n_homes: int) -> tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]:
+    """The pairs of a portion to send as leaves, and answers to those that it settles itself.
 
-def _answers(docs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    ids, lists = _lists(docs, keys)
-    n = len(ids)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), ids, lists], ["bucket", "leaves", "doc_id", "keys"])
+    A key of few documents is sent with all of them. Of one with more, the least goes on and the others are
+    answered: they share it with another document (which is smaller).
+    """
+    keys, docs, start, count = _sorted_pairs(keys, docs)
+    many = np.repeat(count > LOCAL, count)
+    head = np.zeros(len(keys), bool)
+    head[start] = True
+    settled = many & (~head if least_only else True)
+    out = [_answers(keys[settled], docs[settled], n_homes)] if settled.any() else []
+    sent = ~many | head
+    return keys[sent], docs[sent], out
 
 
 class Portion:
@@ -125,31 +150,49 @@ class Portion:
 
 
 def _settle(sent: DataFrame, width: int, judge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(doc_id, keys) lists: answers given in the map tasks and those that groups of leaves give.
+    """(home, answers): those given by portions and those that groups of leaves give.
 
-    ``judge`` gets a group's sorted leaves (key, document) and says which of them are answered.
+    ``judge`` gets a group's leaves (key, document) in the order of keys and says which of them are answered.
     """
+    n_homes = homes(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, out = [], []
+        parts = []
         for batch in batches:
             leaves = batch.column(1)
             parts += [_unpack(x) for x in leaves.drop_null().to_pylist()]
-            own = batch.filter(leaves.is_null()).select(["doc_id", "keys"])
+            own = batch.filter(leaves.is_null()).select(["home", "answers"])
             if len(own):
                 yield own
         if parts:
             keys, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
             order = np.argsort(keys, kind="stable")
             keys, docs = keys[order], docs[order]
             good = judge(keys, docs)
-            ids, lists = _lists(docs[good], keys[good])
-            out = [pa.RecordBatch.from_arrays([ids, lists], ["doc_id", "keys"])]
-        yield from out
+            yield _answers(keys[good], docs[good], n_homes).select(["home", "answers"])
+
+    # Leaves meet by bucket; answers, which have none, are spread.
+    dealt = sent.repartition(width, F.coalesce(F.col("bucket"), -1 - F.col("home")))
+    return dealt.mapInArrow(run, "home int, answers binary").repartition(width, "home")
+
+
+def _answered(answers: pa.Table) -> np.ndarray:
+    """Sorted numbers of the answered pairs of one home."""
+    parts = [_unpack(x) for x in answers["answers"].to_pylist()]
+    return np.unique(np.concatenate([_pair(k, d) for k, d in parts])) if parts else np.zeros(0, U64)
+
 
-    # Leaves meet by bucket; answers, which have none, go on to any task.
-    dealt = sent.repartition(width, F.coalesce(F.col("bucket").cast("long"), F.col("doc_id")))
-    return dealt.mapInArrow(run, "doc_id long, keys array<long>").groupBy("doc_id").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+def _pair(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """One number for a key and its document; equal numbers of different pairs would be a hash collision."""
+    return keys ^ mix(docs.astype(np.int64).view(U64) + U64(0x9E3779B97F4A7C15))
+
+
+def _member(numbers: np.ndarray, among: np.ndarray) -> np.ndarray:
+    if not len(among):
+        return np.zeros(len(numbers), bool)
+    at = np.minimum(np.searchsorted(among, numbers), len(among) - 1)
+    return among[at] == numbers
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,15 +205,16 @@ def repeated_anchors(docs: DataFrame, width: int, portion: int = PORTION) -> Dat
     """(doc_id, keys): the minimisers of each document that another document has too."""
     partitions = shuffle_width(docs.sparkSession)
     bits = (8 * partitions - 1).bit_length()
-    settled = -(1 << 62)  # stands for documents that have their answer already
+    n_homes = homes(partitions)
 
     def send(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, ids, start, count = _sorted_pairs(keys, ids)
-        several = np.repeat(count > 1, count)
-        if several.any():
-            yield _answers(ids[several], keys[several])
-        one = keys[start]
-        yield _leaves(one, np.where(count > 1, settled, ids[start]), (one >> U64(64 - bits)).astype(np.int32))
+        keys, ids, out = _send(keys, ids, False, n_homes)
+        yield from out
+        # Each key that the portion has settled goes on once, for others to learn of it.
+        if out:
+            done = np.concatenate([_unpack(x)[0] for x in out[0].column(3).to_pylist()])
+            ids = np.where(np.isin(keys, done), SETTLED, ids)
+        yield _leaves(keys, ids, (keys >> U64(64 - bits)).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered = Portion(send, portion)
@@ -186,9 +230,8 @@ def repeated_anchors(docs: DataFrame, width: int, portion: int = PORTION) -> Dat
 
     def judge(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
         start, of = _runs(keys)
-        different = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
-        lone = np.maximum.reduceat(ids, start) == settled
-        return (different & ~lone)[of] & (ids != settled)
+        several = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
+        return several[of] & (ids != SETTLED)
 
     return _settle(docs.mapInArrow(run, SENT), partitions, judge)
 
@@ -234,78 +277,52 @@ def removable(read: DataFrame, dealt: DataFrame, width: int = WIDTH, portion: in
     known = read.where("doc_id is not null")
     first, split = prefix_plan(known, 4 * partitions)
     anchors = repeated_anchors(known, width, portion)
-    marked = dealt.join(anchors.hint("shuffle_hash"), "doc_id", "left").where("keys is not null").select("doc_id", "text", "keys")
-
-    def send(keys: np.ndarray, ids: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = np.argsort(keys, kind="stable")
-        start, _ = _runs(keys[at])
-        word = words[at][start]
-        keys, ids, start, count = _sorted_pairs(keys, ids)
-        later = np.ones(len(keys), bool)
-        later[start] = False
-        if later.any():
-            yield _answers(ids[later], keys[later])
-        leaf = keys[start]
-        own = (word >> U64(52)).astype(np.int64)
-        yield _leaves(leaf, ids[start], (first[own] + (leaf % split[own].astype(U64)).astype(np.int64)).astype(np.int32))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = Portion(send, portion)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(2)
-            values = lists.values.to_numpy(zero_copy_only=False).view(U64)
-            ends = lists.offsets.to_numpy()
-            for chunk in chunks(batch.column(1)):
+    n_homes = homes(partitions)
+
+    def group(texts, answers):
+        among = _answered(answers)
+        parts = []
+        if len(among):
+            ids = texts["doc_id"].to_numpy()
+            for chunk in chunks(texts["text"]):
                 key, least, word, at = _windows(chunk, width)
-                row = np.searchsorted(chunk.words, at, "right") - 1
-                good = _in_own_list(least, row + chunk.first, values, ends)
-                yield from gathered.add(key[good], ids[chunk.first + row[good]], word[good])
-        yield from gathered.flush()
+                own = ids[chunk.first + np.searchsorted(chunk.words, at, "right") - 1]
+                good = _member(_pair(least, own), among)
+                parts.append((key[good], own[good], word[good]))
+        out = []
+        if parts:
+            keys, ids, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(keys, kind="stable")
+            sorted_keys, sorted_words = keys[order], words[order]
+            keys, ids, out = _send(keys, ids, True, n_homes)
+            own = (sorted_words[np.searchsorted(sorted_keys, keys)] >> U64(52)).astype(np.int64)
+            bucket = first[own] + (keys % split[own].astype(U64)).astype(np.int64)
+            out.append(_leaves(keys, ids, bucket.astype(np.int32)))
+        empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.int32(), pa.binary())], ["bucket", "leaves", "home", "answers"])
+        return pa.Table.from_batches([*out, empty])
 
     def judge(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
         start, of = _runs(keys)
         return ids > np.minimum.reduceat(ids, start)[of]
 
-    return _settle(marked.mapInArrow(run, SENT), partitions, judge)
-
-
-def _in_own_list(values: np.ndarray, rows: np.ndarray, listed: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Whether each value is in its row's list; row i's list is listed[ends[i]:ends[i + 1]]."""
-    if not len(values):
-        return np.zeros(0, bool)
-    a, b = int(rows.min()), int(rows.max()) + 1
-    own = listed[ends[a] : ends[b]]
-    own_row = np.repeat(np.arange(a, b), np.diff(ends[a : b + 1]))
-    # A key and its row make one number: equal numbers of different pairs would need a hash collision.
-    salt = U64(0x9E3779B97F4A7C15)
-    own = np.unique(own ^ own_row.astype(U64) * salt)
-    want = values ^ rows.astype(U64) * salt
-    if not len(own):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(own, want), len(own) - 1)
-    return own[at] == want
+    anchors = repeated_anchors(known, width, portion)
+    sent = dealt.groupBy("home").cogroup(anchors.groupBy("home")).applyInArrow(group, SENT)
+    return _settle(sent, partitions, judge)
 
 
-def _kept(chunk: Chunk, rows: np.ndarray, lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _kept(chunk: Chunk, ids: np.ndarray, among: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each word whether it stays, and for each row its number of maximal repeats."""
-    keep = np.ones(len(chunk.starts) + 1, np.int64)
-    spans = np.zeros(len(chunk), np.int64)
-    ends = lists.offsets.to_numpy()
-    if ends[rows[-1] + 1] > ends[rows[0]]:
-        key, at = chunk.windows(chunk.hashes(), width)
-        row = np.searchsorted(chunk.words, at, "right") - 1
-        values = lists.values.to_numpy(zero_copy_only=False).view(U64)
-        gone = _in_own_list(key, row + chunk.first, values, ends)
-        cover = np.zeros(len(chunk.starts) + 1, np.int64)
-        np.add.at(cover, at[gone], 1)
-        np.add.at(cover, at[gone] + width, -1)
-        keep = (np.cumsum(cover) == 0).astype(np.int64)
-        new = np.ones(int(gone.sum()), bool)
-        where, of = at[gone], row[gone]
-        new[1:] = (where[1:] > where[:-1] + width) | (of[1:] != of[:-1])
-        spans = np.bincount(of[new], minlength=len(chunk))
-    return keep[:-1].astype(bool), spans
+    if not len(among):
+        return np.ones(len(chunk.starts), bool), np.zeros(len(chunk), np.int64)
+    key, at = chunk.windows(chunk.hashes(), width)
+    row = np.searchsorted(chunk.words, at, "right") - 1
+    gone = _member(_pair(key, ids[chunk.first + row]), among)
+    where, of = at[gone], row[gone]
+    cover = np.zeros(len(chunk.starts) + 1, np.int64)
+    cover[: len(cover)] += np.bincount(where, minlength=len(cover)) - np.bincount(where + width, minlength=len(cover))
+    new = np.ones(len(where), bool)
+    new[1:] = (where[1:] > where[:-1] + width) | (of[1:] != of[:-1])
+    return np.cumsum(cover)[:-1] == 0, np.bincount(of[new], minlength=len(chunk))
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
@@ -315,39 +332,38 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, with_text: bool = False) ->
     Null texts have no words (the hash of nothing); rows without a doc_id lose nothing and count for no
     other; rows that share a doc_id don't count against each other; texts of fewer words stay.
     """
-    spark = docs.sparkSession
+    partitions = shuffle_width(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = read.repartition(shuffle_width(spark), "doc_id")
-    found = dealt.join(removable(read, dealt, width).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "keys")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            if lists.null_count or lists.offset:
-                lists = pa.array(lists.to_pylist(), lists.type) if lists.offset else lists
-            out = []
-            for chunk in chunks(batch.column(1)):
-                rows = np.arange(chunk.first, chunk.first + len(chunk))
-                keep, spans = _kept(chunk, rows, lists, width)
-                raw = chunk.data.tobytes()
-                starts, ends, stays = chunk.starts.tolist(), chunk.ends.tolist(), keep.tolist()
-                whole = np.add.reduceat(np.append(~keep, False).astype(np.int64), chunk.words[:-1]) if len(chunk) else np.zeros(0)
-                cuts = chunk.words.tolist()
-                for k in range(len(chunk)):
-                    a, b = cuts[k], cuts[k + 1]
-                    if a == b:
-                        text, lost = b"", 0
-                    elif not whole[k]:
-                        text, lost = b" ".join(raw[starts[a] : ends[b - 1]].split()), 0
-                    else:
-                        words = [raw[starts[i] : ends[i]] for i in range(a, b) if stays[i]]
-                        text, lost = b" ".join(words), b - a - len(words)
-                    out.append((b - a, lost, hashlib.sha256(text).hexdigest(), int(spans[k]), text.decode() if with_text else None))
-            columns = zip(*out, strict=True) if out else ([],) * 5
-            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
-            columns = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_spans", "kept_text"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names) if with_text else pa.RecordBatch.from_arrays([batch.column(0), *columns[:-1]], names[:-1])
+    home = F.coalesce(F.pmod("doc_id", F.lit(homes(partitions))), F.lit(0)).cast("int")
+    dealt = read.withColumn("home", home).repartition(partitions, "home")
+
+    def group(texts, answers):
+        among = _answered(answers)
+        no_id = texts["doc_id"].is_null().to_numpy()
+        ids = texts["doc_id"].fill_null(0).to_numpy()
+        out = []
+        for chunk in chunks(texts["text"]):
+            keep, spans = _kept(chunk, ids, among, width)
+            own = no_id[chunk.first : chunk.first + len(chunk)]
+            if own.any():
+                keep, spans = keep | np.repeat(own, np.diff(chunk.words)), np.where(own, 0, spans)
+            raw = chunk.data.tobytes()
+            starts, ends, stays = chunk.starts.tolist(), chunk.ends.tolist(), keep.tolist()
+            lost = np.diff(np.concatenate([[0], np.cumsum(~keep)])[chunk.words]).tolist()
+            cuts = chunk.words.tolist()
+            for k in range(len(chunk)):
+                a, b = cuts[k], cuts[k + 1]
+                if lost[k]:
+                    text = b" ".join([raw[starts[i] : ends[i]] for i in range(a, b) if stays[i]])
+                else:
+                    text = b" ".join(raw[starts[a] : ends[b - 1]].split()) if a < b else b""
+                out.append((b - a, lost[k], hashlib.sha256(text).hexdigest(), int(spans[k]), text.decode() if with_text else None))
+        columns = zip(*out, strict=True) if out else ([],) * 5
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+        columns = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_spans", "kept_text"][: 5 + with_text]
+        return pa.table([texts["doc_id"].combine_chunks(), *columns][: len(names)], names=names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long" + ", kept_text string" * with_text
-    return found.mapInArrow(run, schema)
+    answers = removable(read, dealt, width)
+    return dealt.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(group, schema)
