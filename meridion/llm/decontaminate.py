@@ -80,7 +80,9 @@ class Templates:
 
         wide = data[starts] >= 0xC0  # the first letter has two bytes or more
         capital = raised(0) | (wide & raised(1))
-        shout = np.where(wide, raised(2) | raised(3), raised(1)) & (ends - starts > 1 + wide)
+        alone = ends - starts <= 1 + wide  # a single letter names nothing
+        second = data[np.minimum(starts + 1, ends - 1)] >= 0xC0  # the second letter has two bytes or more
+        shout = alone | np.where(wide, raised(2) | raised(3), raised(1) | (second & raised(2)))
         first = np.zeros(n, bool)  # of a sentence or line: its capital says nothing
         first[1:] = np.isin(data[chunk.ends[:-1] - 1], np.frombuffer(b".!?:", np.uint8))
         first[chunk.words[:-1][chunk.words[:-1] < n]] = True
@@ -189,7 +191,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADC
     in a shuffled join on their hashes. Both ways give the same rows.
     """
     index = benchmark_windows(benchmark)
-    slim = docs.select(F.col("doc_id").cast("long"), "text")
+    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     if index.count() * (32 + 8 * WINDOW) <= broadcast_bytes:
         shared = docs.sparkSession.sparkContext.broadcast(Index(index.toArrow()))
 
@@ -241,7 +243,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADC
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each (doc_id, item_id) with n_matched, n_windows, coverage, contaminated.
 
-    Null texts have no windows; documents and items of fewer than WINDOW words have none and never match.
+    Rows without a doc_id are not judged. Null texts have no windows; documents and items of fewer than WINDOW words have none and never match.
     Rows of repeated doc_ids count as one document each and the best coverage of them stays.
     """
     best = matches(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_windows").alias("n_windows"))
@@ -249,6 +251,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; same columns."""
+    """The documents that hold no benchmark item, and rows without a doc_id; same columns."""
     bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(columns_of(docs))

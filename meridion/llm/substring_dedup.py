@@ -96,9 +96,11 @@ def homes(width: int) -> int:
 
 def _blobs(keys: np.ndarray, docs: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Pairs packed by target: the targets and one blob for each."""
+    if not len(target):
+        return target, []
     order = np.argsort(target, kind="stable")
     keys, docs, target = keys[order], docs[order], target[order]
-    cut = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
     ends = np.append(cut[1:], len(target))
     return target[cut], [_pack(keys[a:b], docs[a:b]) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
 
