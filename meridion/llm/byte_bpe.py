@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = np.int64(1 << 40)
-CACHE_PIECES = 1 << 20  # once full it stays as it is; other pieces are encoded batch by batch
+CACHE_PIECES = 1 << 18  # once full it stays as it is; other pieces are encoded batch by batch
 CACHE_BYTES = 64  # longer pieces are encoded each time
 MATRIX_CELLS = 1 << 19
 _codecs: dict = {}
