@@ -195,7 +195,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id are reduced to one of them.
     """
     keep = durable(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(columns_of(docs))
+
+    def chosen(condition: str) -> DataFrame:
+        # The hint keeps the plan the same at every size: what is kept grows with the input and is never broadcast.
+        return docs.join(keep.where(condition).select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(columns_of(docs))
+
+    out = chosen("n = 1")
     if keep.where("n > 1").limit(1).count():
-        out = out.union(docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(columns_of(docs)).dropDuplicates(["doc_id"]))
+        out = out.union(chosen("n > 1").dropDuplicates(["doc_id"]))
     return out
