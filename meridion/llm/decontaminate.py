@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import columns_of
+from .tables import columns_of, packed, unpacked
 from .words import U64, Chunk, chunks
 
 WINDOW = 8
@@ -184,39 +184,53 @@ def _score(found: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> dict[in
 MATCH = "doc_id long, item_id long, n_matched long, n_windows long"
 
 
+def _found(index: Index, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """(row, [(item, matched windows, all its windows)]) of the rows that share a window with an item."""
+    sizes = dict(zip(index.item.tolist(), index.n.tolist(), strict=True))
+    for chunk in chunks(texts):
+        t = Templates(chunk)
+        keys, at = t.windows(chunk)
+        hit, place = index.hits(keys)
+        row = np.searchsorted(chunk.words, at[hit], "right") - 1
+        by_row: dict[int, list] = {}
+        core = t.core.view(np.int64)
+        for r, h, p in zip(row.tolist(), at[hit].tolist(), place.tolist(), strict=True):
+            for k in range(index.first[p], index.last[p]):
+                by_row.setdefault(r, []).append((int(index.item[k]), int(index.pos[k]), h, index.slots[k], core[h : h + WINDOW]))
+        for r, found in by_row.items():
+            yield chunk.first + r, [(item, len(pos), sizes[item]) for item, pos in _score(found).items()]
+
+
+def _small(index: DataFrame, broadcast_bytes: int):
+    """The benchmark's windows as a broadcast, or None if their counted size is too large."""
+    if index.count() * (32 + 8 * WINDOW) > broadcast_bytes:
+        return None
+    return index.sparkSession.sparkContext.broadcast(Index(index.toArrow()))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_windows) of each document and item with a consistent window in common.
+    """(doc_id, item_id, n_matched, n_windows) of each row and item with a consistent window in common.
 
     The benchmark's windows are broadcast if their counted size allows it; else windows of both sides meet
     in a shuffled join on their hashes. Both ways give the same rows.
     """
     index = benchmark_windows(benchmark)
     slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    if index.count() * (32 + 8 * WINDOW) <= broadcast_bytes:
-        shared = docs.sparkSession.sparkContext.broadcast(Index(index.toArrow()))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                ids, out = batch.column(0).to_pylist(), []
-                for chunk in chunks(batch.column(1)):
-                    t = Templates(chunk)
-                    keys, at = t.windows(chunk)
-                    hit, place = index.hits(keys)
-                    row = np.searchsorted(chunk.words, at[hit], "right") - 1
-                    by_row: dict[int, list] = {}
-                    core = t.core.view(np.int64)
-                    for r, h, p in zip(row.tolist(), at[hit].tolist(), place.tolist(), strict=True):
-                        for k in range(index.first[p], index.last[p]):
-                            by_row.setdefault(r, []).append((int(index.item[k]), int(index.pos[k]), h, index.slots[k], core[h : h + WINDOW]))
-                    sizes = dict(zip(index.item.tolist(), index.n.tolist(), strict=True)) if by_row else {}
-                    for r, found in by_row.items():
-                        out += [(ids[chunk.first + r], item, len(pos), sizes[item]) for item, pos in _score(found).items()]
-                columns = zip(*out, strict=True) if out else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_matched", "n_windows"])
-
-        return slim.mapInArrow(run, MATCH)
+    shared = _small(index, broadcast_bytes)
+    if shared is None:
+        return _joined(slim, index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            out = [(ids[r], *m) for r, own in _found(shared.value, batch.column(1)) for m in own]
+            columns = zip(*out, strict=True) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_matched", "n_windows"])
+
+    return slim.mapInArrow(run, MATCH)
 
+
+def _joined(slim: DataFrame, index: DataFrame) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -250,7 +264,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).withColumn("contaminated", F.col("coverage") >= COVERED)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, and rows without a doc_id; same columns."""
-    bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(columns_of(docs))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows that hold no benchmark item; same columns.
+
+    Each row is judged by its own text, rows without a doc_id too. With a broadcast benchmark texts are
+    judged where they are read, without a shuffle.
+    """
+    index = benchmark_windows(benchmark)
+    shared = _small(index, broadcast_bytes)
+    if shared is None:
+        key = F.xxhash64("text")
+        texts = docs.where("text is not null").select(key.alias("doc_id"), "text").dropDuplicates(["doc_id"])
+        bad = _joined(texts, index).where(F.col("n_matched") >= COVERED * F.col("n_windows")).select(F.col("doc_id").alias("_key")).distinct()
+        return docs.withColumn("_key", key).join(bad.hint("shuffle_hash"), "_key", "left_anti").select(columns_of(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            for r, own in _found(shared.value, batch.column(batch.schema.names.index("text"))):
+                keep[r] = not any(n >= COVERED * size for _, n, size in own)
+            yield batch.filter(pa.array(keep))
+
+    slim = packed(docs)
+    return unpacked(slim.mapInArrow(run, slim.schema), docs)

@@ -1,4 +1,4 @@
-from meridion.llm.decontaminate import WINDOW, contamination, drop_contaminated, matches
+from meridion.llm.decontaminate import contamination, drop_contaminated, matches
 
 from .fixtures import SCHEMA, documents, prose
 
@@ -41,4 +41,6 @@ def test_stage(spark):
     assert out.columns == docs.columns and out.count() == docs.count() - 1
     assert drop_contaminated(docs.limit(0), items).count() == 0
     assert drop_contaminated(docs, items.limit(0)).count() == docs.count()
-    assert WINDOW == 8
+    for size in (0, 1 << 30):
+        kept = drop_contaminated(docs, items, size).collect()
+        assert sorted(map(str, kept)) == sorted(map(str, out.collect()))
