@@ -3,7 +3,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from meridion.llm.quality_rules import REPORT_SQL, line_fails, quality_filter, quality_report
+from meridion.llm.quality_rules import REPORT_SQL, line_facts, line_fails, quality_filter, quality_report
 
 from .fixtures import SCHEMA, documents, prose, words_of
 
@@ -43,7 +43,7 @@ def test_oracle_agrees(spark):
 def test_lines(spark, line, fails):
     from pyspark.sql import functions as F
 
-    assert spark.createDataFrame([(line,)], "l string").select(line_fails(F.col("l"))).first()[0] is fails
+    assert spark.createDataFrame([(line,)], "l string").select(line_facts(F.col("l")).alias("f")).select(line_fails(F.col("f"))).first()[0] is fails
 
 
 def test_filter_cuts_lines_and_keeps_columns(spark):
