@@ -87,8 +87,12 @@ LOCAL = 8  # documents of one key that a portion sends on; of more, it settles a
 
 
 def homes(width: int) -> int:
-    """A prime of at least twice the number of partitions: documents and answers meet by doc_id modulo it."""
-    n = 2 * width + 1
+    """A prime of half as many again as partitions, at least: documents and answers meet by doc_id modulo it.
+
+    Portions send a row to each home and to each bucket, of which there are as many as partitions, so rows
+    grow with the square of the partitions at most, however often a key repeats.
+    """
+    n = 3 * width // 2 + 1
     while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
         n += 1
     return n
@@ -175,7 +179,7 @@ def _settle(sent: DataFrame, width: int, judge: Callable[[np.ndarray, np.ndarray
             yield _answers(keys[good], docs[good], n_homes).select(["home", "answers"])
 
     # Leaves meet by bucket; answers, which have none, are spread.
-    dealt = sent.repartition(width, F.coalesce(F.col("bucket"), -1 - F.col("home")))
+    dealt = sent.repartitionById(width, F.pmod(F.coalesce("bucket", "home"), F.lit(width)).cast("int"))
     return dealt.mapInArrow(run, "home int, answers binary").repartition(width, "home")
 
 
@@ -206,7 +210,6 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_anchors(docs: DataFrame, width: int, portion: int = PORTION) -> DataFrame:
     """(doc_id, keys): the minimisers of each document that another document has too."""
     partitions = shuffle_width(docs.sparkSession)
-    bits = (8 * partitions - 1).bit_length()
     n_homes = homes(partitions)
 
     def send(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -216,7 +219,7 @@ def repeated_anchors(docs: DataFrame, width: int, portion: int = PORTION) -> Dat
         if out:
             done = np.concatenate([_unpack(x)[0] for x in out[0].column(3).to_pylist()])
             ids = np.where(np.isin(keys, done), SETTLED, ids)
-        yield _leaves(keys, ids, (keys >> U64(64 - bits)).astype(np.int32))
+        yield _leaves(keys, ids, (keys % U64(partitions)).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered = Portion(send, portion)
@@ -277,7 +280,7 @@ def removable(read: DataFrame, dealt: DataFrame, width: int = WIDTH, portion: in
     """
     partitions = shuffle_width(read.sparkSession)
     known = read.where("doc_id is not null")
-    first, split = prefix_plan(known, 4 * partitions)
+    first, split = prefix_plan(known, partitions)
     anchors = repeated_anchors(known, width, portion)
     n_homes = homes(partitions)
 
