@@ -7,6 +7,8 @@ in their own order, so no shuffle is needed and results don't depend on partitio
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ _WEIGHTS = (0.05061426814518813, 0.11119051722668724, 0.15685332293894363, 0.181
 GAUSS = [(t, w) for t, w in zip(_NODES, _WEIGHTS, strict=True)] + [(1 - t, w) for t, w in zip(_NODES, _WEIGHTS, strict=True)]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is mentioned: the optimizer doesn't write out lambda variables."""
+    return F.transform(F.array(value), body)[0]
+
+
 def make_point(lon, lat) -> Column:
     return point(lon if isinstance(lon, Column) else lit(lon), lat if isinstance(lat, Column) else lit(lat))
 
@@ -30,8 +37,12 @@ def rectangle(west: Column, south: Column, east: Column, north: Column) -> Colum
 
 def edges(points: Column, closing: Column | None = None) -> Column:
     """ARRAY<STRUCT<a, b>>: each point and the next, the last with the closing point (the first by default)."""
-    end = closing if closing is not None else points[0]
-    return F.zip_with(points, F.concat(F.slice(points, F.lit(2), F.size(points) - 1), F.array(end)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def pairs(p: Column) -> Column:
+        end = closing if closing is not None else p[0]
+        return F.zip_with(p, F.concat(F.slice(p, F.lit(2), F.size(p) - 1), F.array(end)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    return let(points, pairs)
 
 
 def without_repeated_end(points: Column) -> Column:
@@ -54,24 +65,29 @@ def unwrapped(points: Column) -> Column:
 def canonical_ring(points: Column, side: Column | str = "unspecified") -> Column:
     """STRUCT<value RING, error> of raw points."""
     side = F.lit(side) if isinstance(side, str) else side
-    raw = without_repeated_end(points)
-    bad = F.get(F.filter(points, lambda p: ~finite(p["lon"]) | ~finite(p["lat"]) | (F.abs(p["lat"]) > lit(PI / 2))), F.lit(0))
-    steps = F.transform(edges(raw), lambda e: e["b"]["lon"] - e["a"]["lon"])
-    path = unwrapped(raw)
-    closing = F.element_at(path, -1)["lon"] + principal(raw[0]["lon"] - F.element_at(raw, -1)["lon"])
-    turns = (closing - path[0]["lon"]) / lit(TWO_PI)
-    winding = F.rint(turns)
-    error = (
-        F.when(F.size(points) < 3, "too_few_vertices").when(bad.isNotNull(), F.when(finite(bad["lon"]) & finite(bad["lat"]), "latitude_out_of_range").otherwise("non_finite_coordinate"))
-        .when(F.size(raw) < 3, "too_few_vertices").when(F.exists(steps, lambda d: half_turn(principal(d))), "ambiguous_half_turn")
-        .when(F.abs(turns - winding) > lit(WINDING_TOLERANCE), "numerical_domain_error").otherwise("none")
-    )
-    ring = F.struct(path.alias("vertices"), closing.alias("closing_lon"), winding.cast("int").alias("winding"), side.alias("interior_side"))
-    return F.struct(F.when(error == "none", ring).alias("value"), error.alias("error"))
+
+    def built(points: Column, raw: Column, path: Column) -> Column:
+        bad = F.get(F.filter(points, lambda p: ~finite(p["lon"]) | ~finite(p["lat"]) | (F.abs(p["lat"]) > lit(PI / 2))), F.lit(0))
+        closing = F.element_at(path, -1)["lon"] + principal(raw[0]["lon"] - F.element_at(raw, -1)["lon"])
+        half = F.exists(edges(raw), lambda e: half_turn(principal(e["b"]["lon"] - e["a"]["lon"])))
+
+        def ring(closing: Column) -> Column:
+            turns = (closing - path[0]["lon"]) / lit(TWO_PI)
+            error = (
+                F.when(bad.isNotNull(), F.when(finite(bad["lon"]) & finite(bad["lat"]), "latitude_out_of_range").otherwise("non_finite_coordinate")).when(F.size(raw) < 3, "too_few_vertices")
+                .when(half, "ambiguous_half_turn").when(F.abs(turns - F.rint(turns)) > lit(WINDING_TOLERANCE), "numerical_domain_error").otherwise("none")
+            )
+            value = F.struct(path.alias("vertices"), closing.alias("closing_lon"), F.rint(turns).cast("int").alias("winding"), side.alias("interior_side"))
+            return let(error, lambda e: F.struct(F.when(e == "none", value).alias("value"), e.alias("error")))
+
+        return let(closing, ring)
+
+    whole = let(points, lambda p: let(without_repeated_end(p), lambda raw: let(unwrapped(raw), lambda path: built(p, raw, path))))
+    return F.when(F.size(points) < 3, F.struct(F.lit(None).alias("value"), F.lit("too_few_vertices").alias("error"))).otherwise(whole)
 
 
 def ring_edges(ring: Column) -> Column:
-    return edges(ring["vertices"], point(ring["closing_lon"], ring["vertices"][0]["lat"]))
+    return let(ring, lambda r: edges(r["vertices"], point(r["closing_lon"], r["vertices"][0]["lat"])))
 
 
 def _kahan(values: Column) -> Column:
@@ -88,13 +104,16 @@ def _kahan(values: Column) -> Column:
 
 def planar_area(points: Column) -> Column:
     """Signed area of ARRAY<STRUCT<x, y>>: a compensated fan about the first point; 0 below three, NaN if one is not finite."""
-    first = points[0]
-    fan = F.zip_with(
-        F.slice(points, F.lit(2), F.greatest(F.size(points) - 2, F.lit(0))), F.slice(points, F.lit(3), F.greatest(F.size(points) - 2, F.lit(0))),
-        lambda p, q: (p["x"] - first["x"]) * (q["y"] - first["y"]) - (q["x"] - first["x"]) * (p["y"] - first["y"]),
-    )
-    broken = F.exists(points, lambda p: ~finite(p["x"]) | ~finite(p["y"]))
-    return F.when(F.size(points) < 3, lit(0)).when(broken, lit("nan")).otherwise(_kahan(fan) / lit(2))
+
+    def area(p: Column) -> Column:
+        first, n = p[0], F.greatest(F.size(p) - 2, F.lit(0))
+        fan = F.zip_with(
+            F.slice(p, F.lit(2), n), F.slice(p, F.lit(3), n), lambda a, b: (a["x"] - first["x"]) * (b["y"] - first["y"]) - (b["x"] - first["x"]) * (a["y"] - first["y"])
+        )
+        broken = F.exists(p, lambda a: ~finite(a["x"]) | ~finite(a["y"]))
+        return F.when(F.size(p) < 3, lit(0)).when(broken, lit("nan")).otherwise(_kahan(fan) / lit(2))
+
+    return let(points, area)
 
 
 def ring_area(ring: Column) -> Column:
@@ -113,26 +132,34 @@ def ring_area(ring: Column) -> Column:
         flat = authalic_q(a["lat"])
         return (b["lon"] - a["lon"]) * F.when(a["lat"] == b["lat"], flat).otherwise(q)
 
-    turn = F.filter(ring_edges(ring), lambda e: e["a"]["lon"] != e["b"]["lon"])
-    half = -_kahan(F.transform(turn, term)) / lit(2)
     surface = lit(TWO_PI * Q_POLE)
-    branch = (half + ring["winding"] * lit(PI * Q_POLE)) % surface
-    side = ring["interior_side"]
-    value = F.when(side == "unspecified", half).when((side == "left") & (branch < lit(0)), branch + surface).when((side == "right") & (branch > lit(0)), branch - surface).otherwise(branch)
-    bound = lit(64 * EPS) * (F.aggregate(F.transform(turn, lambda e: F.abs(e["b"]["lon"] - e["a"]["lon"])), lit(0), lambda s, x: s + x) + lit(1)) * lit(Q_POLE)
-    error = F.when((ring["winding"] != 0) & (side == "unspecified"), "longitude_winding_unsupported").otherwise("none")
-    area = F.struct((lit(SEMI_MAJOR**2) * value).alias("area"), (lit(SEMI_MAJOR**2) * bound).alias("bound"))
-    return F.struct(F.when(error == "none", area).alias("value"), error.alias("error"))
+
+    def finished(r: Column, turn: Column) -> Column:
+        side = r["interior_side"]
+        half = -_kahan(F.transform(turn, term)) / lit(2)
+
+        def sided(half: Column) -> Column:
+            branch = (half + r["winding"] * lit(PI * Q_POLE)) % surface
+            return F.when(side == "unspecified", half).when((side == "left") & (branch < lit(0)), branch + surface).when((side == "right") & (branch > lit(0)), branch - surface).otherwise(branch)
+
+        bound = lit(64 * EPS) * (F.aggregate(F.transform(turn, lambda e: F.abs(e["b"]["lon"] - e["a"]["lon"])), lit(0), lambda s, x: s + x) + lit(1)) * lit(Q_POLE)
+        area = F.struct((lit(SEMI_MAJOR**2) * let(half, sided)).alias("area"), (lit(SEMI_MAJOR**2) * bound).alias("bound"))
+        error = F.when((r["winding"] != 0) & (side == "unspecified"), "longitude_winding_unsupported").otherwise("none")
+        return F.struct(F.when(error == "none", area).alias("value"), error.alias("error"))
+
+    return let(ring, lambda r: let(F.filter(ring_edges(r), lambda e: e["a"]["lon"] != e["b"]["lon"]), lambda turn: finished(r, turn)))
 
 
 def branch_shift(points: Column, meridian: float = 0.0) -> Column:
     """STRUCT<turns, fits>: the whole turns that bring a ring's longitudes around the meridian, and whether they fit there."""
-    low = F.array_min(F.transform(points, lambda p: p["lon"]))
-    high = F.array_max(F.transform(points, lambda p: p["lon"]))
-    turns = F.round((lit(meridian) - (low + high) / lit(2)) / lit(TWO_PI))
     slack = lit(1024 * EPS * PI)
-    fits = (low + turns * lit(TWO_PI) >= lit(meridian - PI) - slack) & (high + turns * lit(TWO_PI) <= lit(meridian + PI) + slack)
-    return F.struct(turns.cast("int").alias("turns"), fits.alias("fits"))
+
+    def shift(low: Column, high: Column) -> Column:
+        turns = F.round((lit(meridian) - (low + high) / lit(2)) / lit(TWO_PI))
+        fits = (low + turns * lit(TWO_PI) >= lit(meridian - PI) - slack) & (high + turns * lit(TWO_PI) <= lit(meridian + PI) + slack)
+        return F.struct(turns.cast("int").alias("turns"), fits.alias("fits"))
+
+    return let(F.transform(points, lambda p: p["lon"]), lambda x: let(F.array_min(x), lambda low: let(F.array_max(x), lambda high: shift(low, high))))
 
 
 def strips(low: Column, high: Column, meridian: float = 0.0) -> Column:

@@ -18,7 +18,7 @@ from meridion.operators import ordered
 from meridion.operators.kernels.globe import PolygonOptions, VerifiedOptions
 from meridion.operators.kernels.projection import RingOptions
 from meridion.operators.kernels.sphere import camera
-from meridion.operators.projection import globe_curves, globe_fill, project_rings, ring_areas, split_rings
+from meridion.operators.projection import globe_curves, globe_fill, project_rings, ring_areas, split_rings, spread, world_summary
 from meridion.operators.rings import branch_shift, canonical_ring, edges, planar_area, rectangle, ring_area, ring_edges, strips
 from meridion.operators.scene import graticule, unfold_frames, unfold_guides
 from meridion.sources.snapshots import content_identities
@@ -349,7 +349,7 @@ _BANDS = f"{d(SEMI_MAJOR**2 / 2 * RADIANS)} * CAST(1 + s_suppkey % {{}} AS DOUBL
 
 @query(f"SELECT s_suppkey, 2 AS pieces, 2 AS crossings, {r_sql(_BANDS.format(20), 0)} AS west_km2, {r_sql(_BANDS.format(13), 0)} AS east_km2 FROM supplier")
 def seam_split_rect(spark, sf_dir):
-    s = split_rings(_crossing(table(spark, sf_dir, "supplier"), "s_suppkey"))
+    s = split_rings(spread(_crossing(table(spark, sf_dir, "supplier"), "s_suppkey"), "s_suppkey"))
     west = F.filter(F.arrays_zip("pieces", "areas"), lambda p: p["pieces"][0]["lon"] > 0)[0]["areas"]
     east = F.filter(F.arrays_zip("pieces", "areas"), lambda p: p["pieces"][0]["lon"] <= 0)[0]["areas"]
     return s.select("s_suppkey", F.size("pieces").alias("pieces"), "crossings", rounded(west / g.lit(1e6), 0).alias("west_km2"), rounded(east / g.lit(1e6), 0).alias("east_km2"))
@@ -363,14 +363,14 @@ def _concave(df: DataFrame, key: str) -> DataFrame:
 
 @query("SELECT s_suppkey, 3 AS n_pieces, 4 AS crossings, true AS within_budget, 'none' AS error FROM supplier")
 def verified_projection_sinusoidal(spark, sf_dir):
-    options = RingOptions("sinusoidal", relative_error=1e-7, geometric_tolerance=500.0, area_tolerance=1e7)
-    return project_rings(_concave(table(spark, sf_dir, "supplier"), "s_suppkey"), options).select("s_suppkey", "n_pieces", "crossings", "within_budget", "error")
+    options = RingOptions("sinusoidal", relative_error=1e-6, geometric_tolerance=500.0, area_tolerance=1e7)
+    return project_rings(spread(_concave(table(spark, sf_dir, "supplier"), "s_suppkey"), "s_suppkey"), options).select("s_suppkey", "n_pieces", "crossings", "within_budget", "error")
 
 
 @query("SELECT s_suppkey, 3 AS n_pieces, 4 AS crossings, true AS within_budget, 'none' AS error FROM supplier")
 def verified_projection_mollweide(spark, sf_dir):
-    options = RingOptions("mollweide", relative_error=1e-7, geometric_tolerance=500.0, area_tolerance=1e7)
-    return project_rings(_concave(table(spark, sf_dir, "supplier"), "s_suppkey"), options).select("s_suppkey", "n_pieces", "crossings", "within_budget", "error")
+    options = RingOptions("mollweide", relative_error=1e-6, geometric_tolerance=500.0, area_tolerance=1e7)
+    return project_rings(spread(_concave(table(spark, sf_dir, "supplier"), "s_suppkey"), "s_suppkey"), options).select("s_suppkey", "n_pieces", "crossings", "within_budget", "error")
 
 
 @query(f"""SELECT n_nationkey, 1 AS n_pieces, {r_sql(f'-{d(SEMI_MAJOR**2 * PI)} * ({d(Q_POLE)} - {q_sql(f'(CAST(60 + n_nationkey AS DOUBLE) * {d(RADIANS)})')}) / 1e6', 0)} AS area_km2, true AS within_budget, 'none' AS error FROM nation""")
@@ -504,8 +504,8 @@ def layer_reorder(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE p AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 1 THEN CAST(floor(p_partkey / 2) AS BIGINT) END AS parent FROM part),
-w(node, at, steps) AS (SELECT node, parent, 0 FROM p UNION ALL SELECT w.node, p.parent, w.steps + 1 FROM w JOIN p ON w.at = p.node)
-SELECT node, max(steps) AS ancestors, bool_or(at IS NULL) AS rooted, 'none' AS error FROM w GROUP BY 1""")
+w(node, up, steps) AS (SELECT node, parent, 0 FROM p UNION ALL SELECT w.node, p.parent, w.steps + 1 FROM w JOIN p ON w.up = p.node)
+SELECT node, max(steps) AS ancestors, bool_or(up IS NULL) AS rooted, 'none' AS error FROM w GROUP BY 1""")
 def style_ancestry(spark, sf_dir):
     t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("parent"))
     return ordered.ancestry(t, "node", "parent")
@@ -580,3 +580,15 @@ def cycle_assembly(spark, sf_dir):
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     step = least.select(F.col("c_custkey").alias("node"), F.coalesce(F.lead("c_custkey").over(w), F.first("c_custkey").over(whole)).alias("follow"))
     return ordered.cycle_roots(step, "node", "follow")
+
+
+@query("""SELECT primitive, n AS rings, 3 * n AS pieces, n AS split_rings, 4 * n AS crossings, 0 AS failed, true AS within_budget FROM (SELECT unnest(['mollweide', 'sinusoidal']) AS primitive), (SELECT count(*) AS n FROM nation)""")
+def world_summary_by_primitive(spark, sf_dir):
+    """The whole-world ledger: rings of every nation, projected both ways in one job, summed and held against the budget."""
+    parts = []
+    for name in ("mollweide", "sinusoidal"):
+        options = RingOptions(name, relative_error=1e-6, geometric_tolerance=500.0, area_tolerance=1e7)
+        rings = spread(_concave(table(spark, sf_dir, "nation"), "n_nationkey"), "n_nationkey")
+        parts.append(project_rings(rings, options).withColumn("primitive", F.lit(name)))
+    out = world_summary(parts[0].unionByName(parts[1]), "primitive")
+    return out.select("primitive", "rings", "pieces", "split_rings", "crossings", "failed", "within_budget")
