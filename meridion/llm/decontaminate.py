@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import columns_of, packed, unpacked
@@ -23,6 +23,7 @@ from .words import U64, Chunk, chunks
 WINDOW = 8
 MIN_FILLED = 4  # words of a window that are no placeholders
 COVERED = 0.5  # of an item's windows found in one document: contaminated
+LONG = 6  # so many windows, 13 words of an item in a row, are enough for any item
 BROADCAST_BYTES = 64 << 20
 # Units of measure, in lower case.
 UNITS = (
@@ -254,6 +255,10 @@ def _joined(slim: DataFrame, index: DataFrame) -> DataFrame:
     return joined.groupBy("doc_id", "item_id").applyInArrow(score, MATCH).where("n_matched > 0")
 
 
+def _contaminated() -> Column:
+    return F.col("n_matched") >= F.least(F.lit(float(LONG)), COVERED * F.col("n_windows"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each (doc_id, item_id) with n_matched, n_windows, coverage, contaminated.
 
@@ -261,7 +266,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows of repeated doc_ids count as one document each and the best coverage of them stays.
     """
     best = matches(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_windows").alias("n_windows"))
-    return best.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).withColumn("contaminated", F.col("coverage") >= COVERED)
+    return best.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).withColumn("contaminated", _contaminated())
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -275,14 +280,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: in
     if shared is None:
         key = F.xxhash64("text")
         texts = docs.where("text is not null").select(key.alias("doc_id"), "text").dropDuplicates(["doc_id"])
-        bad = _joined(texts, index).where(F.col("n_matched") >= COVERED * F.col("n_windows")).select(F.col("doc_id").alias("_key")).distinct()
+        bad = _joined(texts, index).where(_contaminated()).select(F.col("doc_id").alias("_key")).distinct()
         return docs.withColumn("_key", key).join(bad.hint("shuffle_hash"), "_key", "left_anti").select(columns_of(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(len(batch), bool)
             for r, own in _found(shared.value, batch.column(batch.schema.names.index("text"))):
-                keep[r] = not any(n >= COVERED * size for _, n, size in own)
+                keep[r] = not any(n >= min(LONG, COVERED * size) for _, n, size in own)
             yield batch.filter(pa.array(keep))
 
     slim = packed(docs)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import durable, shuffle_width
@@ -32,7 +32,7 @@ SEED = 20240229
 F32 = np.float32
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     return F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 1"), F.lit(False))
 
 
