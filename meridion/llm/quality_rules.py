@@ -21,6 +21,7 @@ BOILERPLATE = (
 NAVIGATION = r"([|»›•·>][^|»›•·>]*){2}"
 ENDING = r"[.!?:;,…。！？)\]}\"'”’»]" + SPACE + "*$"
 FEW_WORDS = 5  # a line with fewer and no ending is a heading or menu item
+BOILERPLATE_CHARS = 300  # a longer line is prose that mentions such words
 NAV_WORDS = 12  # a line with more is prose, whatever separators it has
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -31,23 +32,18 @@ def _blank(line: Column) -> Column:
     return ~line.rlike("[^ \\t-\\r]")
 
 
-def line_facts(line: Column) -> Column:
-    """STRUCT<line, words, chars, marked, shouted>: what the rules ask of a line, each thing computed once."""
-    words = F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), SPACE + "+")
-    return F.struct(line.alias("line"), words.alias("words"), F.array_join(words, "").alias("packed"))
-
-
-def line_fails(fact: Column) -> Column:
-    """True for the facts of a line, with a word in it, that a rule removes."""
-    line, packed, n_words = fact["line"], fact["packed"], F.size(fact["words"])
-    n_symbols = F.length(packed) - F.length(F.regexp_replace(packed, SYMBOLS + "+", ""))
-    n_shouts = F.length(packed) - F.length(F.regexp_replace(packed, "[!?]+", ""))
+def line_fails(line: Column) -> Column:
+    """True for a line, with a word in it, that a rule removes. What a rule counts is only counted where its marks occur."""
+    n_words = F.size(F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), SPACE + "+"))
+    chars = F.length(F.regexp_replace(line, SPACE + "+", ""))
+    n_symbols = F.length(line) - F.length(F.regexp_replace(line, SYMBOLS + "+", ""))
+    n_shouts = F.length(line) - F.length(F.regexp_replace(line, "[!?]+", ""))
     return (
-        ((n_words <= NAV_WORDS) & line.rlike(NAVIGATION))
-        | ((n_words < FEW_WORDS) & ~line.rlike(ENDING))
-        | (n_symbols * 10 > F.length(packed))
-        | (n_shouts * 2 > n_words + 4)
-        | line.rlike("(?i)" + BOILERPLATE)
+        (~line.rlike(ENDING) & (n_words < FEW_WORDS))
+        | (line.rlike(SYMBOLS) & (n_symbols * 10 > chars))
+        | (line.rlike("[!?].*[!?].*[!?]") & (n_shouts * 2 > n_words + 4))
+        | (line.rlike("[|»›•·>]") & (n_words <= NAV_WORDS) & line.rlike(NAVIGATION))
+        | ((F.length(line) <= BOILERPLATE_CHARS) & line.rlike("(?i)" + BOILERPLATE))
     )
 
 
@@ -72,7 +68,7 @@ def judge(docs: DataFrame) -> DataFrame:
     spread = F.expr("size(array_distinct(flatten(transform(_twice, x -> array(x & (_low - 1), (x & (_low - 1)) + 1, (x & (_low - 1)) + 2)))))")
     t = t.withColumn("_all", F.split("_t", "\n"))
     t = t.withColumn("_lines", F.filter("_all", lambda x: ~_blank(x)))
-    t = t.withColumn("_good", F.transform(F.filter(F.transform("_all", line_facts), lambda x: _blank(x["line"]) | ~line_fails(x)), lambda x: x["line"]))
+    t = t.withColumn("_good", F.filter("_all", lambda x: _blank(x) | ~line_fails(x)))
     t = t.withColumn("_clean", F.array_join("_good", "\n"))
     counts = {
         "n_words": F.col("_n"),
@@ -120,7 +116,7 @@ rep AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g)
 cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id),
 ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
 lw AS (SELECT doc_id, l, regexp_replace(l, '{_W}', '', 'g') AS p, len(list_filter(regexp_split_to_array(l, '{_W}'), lambda x: x <> '')) AS n FROM ln WHERE regexp_matches(l, '[^ \\t-\\r]')),
-lf AS (SELECT doc_id, l, p, (regexp_matches(l, '(?i){_duck(BOILERPLATE)}')
+lf AS (SELECT doc_id, l, p, ((length(l) <= {BOILERPLATE_CHARS} AND regexp_matches(l, '(?i){_duck(BOILERPLATE)}'))
     OR (n <= {NAV_WORDS} AND regexp_matches(l, '{_duck(NAVIGATION)}'))
     OR (n < {FEW_WORDS} AND NOT regexp_matches(l, '{_duck(ENDING)}'))
     OR (length(p) - length(regexp_replace(p, '{SYMBOLS}+', '', 'g'))) * 10 > length(p)
