@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import pieces
+
 NONE = np.int64(1 << 40)
 CACHE_PIECES = 1 << 18  # once full it stays as it is; other pieces are encoded batch by batch
 CACHE_BYTES = 64  # longer pieces are encoded each time
@@ -182,7 +184,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         name = bpe.text.__getitem__
-        for batch in batches:
+        for batch in pieces(batches):
             keys, texts, at = batch.column(0), batch.column(1), 0
             for part in _slices(texts.fill_null("").to_pylist()):
                 rows, kept = [], []
@@ -206,7 +208,7 @@ def decode_ids(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [None if ids is None else bpe.decode(ids).decode(errors="replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import columns_of, packed, unpacked
-from .words import U64, Chunk, chunks
+from .words import U64, Chunk, chunks, pieces
 
 WINDOW = 8
 MIN_FILLED = 4  # words of a window that are no placeholders
@@ -284,7 +284,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: in
         return docs.withColumn("_key", key).join(bad.hint("shuffle_hash"), "_key", "left_anti").select(columns_of(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             keep = np.ones(len(batch), bool)
             for r, own in _found(shared.value, batch.column(batch.schema.names.index("text"))):
                 keep[r] = not any(n >= min(LONG, COVERED * size) for _, n, size in own)

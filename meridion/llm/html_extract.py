@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import pieces
+
 MIN_CLASS = 3  # tokens of a class
 MIN_PAGES = 3  # pages of a host, else it has no template
 MAIN_SHARE = 0.7  # of a host's free text, held by its main slot
@@ -196,7 +198,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     """(host, token, is_text, depth, n, free, a, b) for each page and token: n its count there, a and b hashes of the page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows: list[tuple] = []
             for page_id, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page, host = Page(source or ""), host_of(url)
@@ -273,14 +275,14 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
         shared = pages.sparkSession.sparkContext.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 urls, sources = (batch.column(k).to_pylist() for k in (1, 2))
                 yield _extracted(batch, [Page(s or "").text(*shared.value.get(host_of(u), (None, frozenset()))) for u, s in zip(urls, sources, strict=True)])
 
         return slim.mapInArrow(run, schema)
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sources, mains, lists = (batch.column(k).to_pylist() for k in (2, 3, 4))
             yield _extracted(batch, [Page(s or "").text(m, frozenset(b or ())) for s, m, b in zip(sources, mains, lists, strict=True)])
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import pieces
+
 DICTIONARY_BYTES = 32 << 10
 SAMPLE_DOCS = 100  # a language, on average: the bound on what goes into dictionaries
 SAMPLE_CHARS = 4000  # of each sampled document
@@ -105,7 +107,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             answers = [model.predict(t) for t in batch.column(2).to_pylist()]
             columns = zip(*answers, strict=True) if answers else ([], [], [])
             columns = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True)]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
 
 from .tables import packed, unpacked
+from .words import pieces
 
 KEY = b"meridion-pseudonyms"  # a default for tests and checks; give your own
 ROUNDS = 8
@@ -326,7 +327,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _worker(key)
-        for batch in batches:
+        for batch in pieces(batches):
             where = batch.schema.names.index("text")
             new, counts = [], []
             for text in batch.column(where).to_pylist():

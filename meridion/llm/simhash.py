@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .tables import columns_of, durable
+from .words import pieces
 
 SEED = 42
 WORDS = 3
@@ -60,7 +61,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of each row, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 

@@ -80,6 +80,13 @@ class Chunk:
         return mix(out[at]), at
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few rows are held as Python objects at a time."""
+    for batch in batches:
+        for k in range(0, max(1, len(batch)), rows):
+            yield batch.slice(k, rows)
+
+
 def chunks(column: pa.Array, budget: int = (1 << 20) - 2) -> Iterator[Chunk]:
     """Split a string column into chunks of about ``budget`` bytes, one row at least; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
