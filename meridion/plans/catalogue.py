@@ -516,10 +516,6 @@ def sha256_identity(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
 
 
-_U64 = "from_hex(lpad(to_hex(CAST({} AS BIGINT)), 16, '0'))"
-_TXT = "concat(" + _U64.format("octet_length(encode({0}))") + ", encode({0}))"
-
-
 @query()
 def aggregate_identity(spark, sf_dir):
     """A content identity for each source: documents as resources, in the order of their names."""
