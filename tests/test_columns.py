@@ -68,3 +68,18 @@ def test_ordered(spark):
     forest = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("p", "q"), ("q", "p")], "n string, p string")
     assert {r.node: (r.ancestors if r.error == "none" else r.error) for r in ordered.ancestry(forest, "n", "p", 8).collect()} == {"a": 0, "b": 1, "c": 2, "p": "cycle", "q": "cycle"}
     assert [r.o for r in ordered.not_increasing(segments, "key", "s", "o").collect()] == []
+
+
+def test_sql_names(spark):
+    from meridion.functions.sql import register
+
+    register(spark)
+    rows = [(k, [tuple(math.radians(v) for v in p) for p in c]) for k, c in enumerate(CASES)]
+    spark.createDataFrame(rows, POINTS).createOrReplaceTempView("shapes")
+    pieces = spark.sql("SELECT id, p.piece, p.error FROM shapes, LATERAL seam_pieces(points, 'left', 0D) p").collect()
+    assert [(r.piece, r.error) for r in pieces if r.id == 1] == [(0, "none"), (1, "none")]
+    assert [r.error for r in pieces if r.id == 4] == ["too_few_vertices"]
+    areas = {r.id: r for r in spark.sql("SELECT id, a.* FROM shapes, LATERAL wgs84_ring_area(points, 'left') a").collect()}
+    assert areas[0].error == "none" and areas[0].area > 0 and areas[3].error == "ambiguous_half_turn"
+    flat = spark.sql("SELECT p.piece, p.error FROM shapes, LATERAL projected_pieces(points, 'left', 'sinusoidal', 0D) p WHERE id = 1").collect()
+    assert [(r.piece, r.error) for r in flat] == [(0, "none"), (1, "none")]
