@@ -240,7 +240,8 @@ def templates(pages: DataFrame) -> DataFrame:
         F.first("is_text").alias("is_text"), F.max("depth").alias("depth"), F.count("*").alias("support"), F.sum("n").alias("n"), F.sum("free").alias("free"),
         F.sum(F.col("a") * F.col("n")).alias("va"), F.sum(F.col("b") * F.col("n")).alias("vb"),
     )
-    frequent = vectors.join(sizes, "host").where(2 * F.col("support") >= F.col("pages"))
+    # Most text runs are on one page only; they go before rows meet by host.
+    frequent = vectors.where(2 * F.col("support") >= MIN_PAGES).join(sizes, "host").where(2 * F.col("support") >= F.col("pages"))
     classes = frequent.groupBy("host", "va", "vb").agg(F.count("*").alias("size"), F.collect_list(F.struct("token", "is_text", "depth", "support", "n", "free", "pages")).alias("x")).where(F.col("size") >= MIN_CLASS)
     tokens = classes.select("host", F.explode("x").alias("x")).select("host", "x.*")
     total = F.max("free").over(_by_host())
