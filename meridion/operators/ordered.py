@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meridion.functions.constants import SEAM_ANGLE, TWO_PI
 from meridion.functions.geodesy import lit, principal
+from meridion.plans.session import checkpointed
 
 
 def unwrap(df: DataFrame, key: str, order: str, lon: str, out: str = "unwrapped") -> DataFrame:
@@ -127,9 +128,9 @@ def cycle_roots(df: DataFrame, node: str, follow: str) -> DataFrame:
     """(node, root) of a permutation: each cycle's least node. Pointers double each round, so rounds are logarithmic in the longest cycle."""
     state = df.select(F.col(node).alias("node"), F.col(follow).alias("jump"), F.least(F.col(node), F.col(follow)).alias("root"))
     while True:
-        state = state.checkpoint()
+        state = checkpointed(state)
         other = state.select(F.col("node").alias("jump"), F.col("jump").alias("far"), F.col("root").alias("least"))
-        nxt = state.join(other, "jump").select("node", F.col("far").alias("jump"), F.least("root", "least").alias("root")).checkpoint()
+        nxt = checkpointed(state.join(other, "jump").select("node", F.col("far").alias("jump"), F.least("root", "least").alias("root")))
         if nxt.join(state.select("node", F.col("root").alias("old")), "node").where("root <> old").limit(1).count() == 0:
             return nxt.select("node", "root")
         state = nxt

@@ -1,4 +1,4 @@
-"""Making the package importable on executors."""
+"""What a session needs: the package on its executors, and a folder that all of them share."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +24,22 @@ def ship_package(spark: SparkSession) -> None:
             z.write(path, Path("meridion") / path.relative_to(root))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a private one only in a local session without the setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="meridion-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()``, in the shared folder if the session names no other."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
