@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import durable
+from .tables import discard, durable_at
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -31,11 +31,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round is two joins on a node against one row a node, so a node with very many edges is split by
     the skew join; each round's edges are written out, which cuts the lineage. Nulls and loops must be gone.
     """
-    edges = durable(edges.where("u != v").distinct(), "edges")
+    spark = edges.sparkSession
+    edges, path = durable_at(edges.where("u != v").distinct(), "edges")
     before = _fingerprint(edges)
     for _ in range(rounds):
-        edges = durable(_small_star(_large_star(edges)), "stars")
-        after = _fingerprint(edges)
+        edges, new = durable_at(_small_star(_large_star(edges)), "stars")
+        discard(spark, path)
+        path, after = new, _fingerprint(edges)
         if after == before:
             break
         before = after

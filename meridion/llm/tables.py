@@ -17,10 +17,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lost executors never recompute past this point."""
+    return durable_at(df, label)[0]
+
+
+def durable_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The same, and where it is, for ``discard`` once nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meridion-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``durable_at`` or a pipeline stage wrote, on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
