@@ -57,7 +57,7 @@ def map_rings(df: DataFrame, work: Callable[[Ring | None, str], dict], schema: s
                 for own, side in zip(points, sides, strict=True):
                     ring, error = canonicalise([p["lon"] for p in own], [p["lat"] for p in own], side or "unspecified") if own and None not in own else (None, "too_few_vertices")
                     out.append(work(ring, error))
-                columns = [pa.array([r.get(n) for r in out], t) for n, t in zip(names, types, strict=True)]
+                columns = [_nested([r.get(n) for r in out], t) if _is_nested(t) else pa.array([r.get(n) for r in out], t) for n, t in zip(names, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -66,14 +66,26 @@ def map_rings(df: DataFrame, work: Callable[[Ring | None, str], dict], schema: s
     return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
 
 
-def _xy(points: np.ndarray, names: tuple[str, str] = ("x", "y")) -> list[dict]:
-    return [dict(zip(names, p, strict=True)) for p in points.tolist()]
+def _is_nested(t: pa.DataType) -> bool:
+    return pa.types.is_list(t) and pa.types.is_list(t.value_type) and pa.types.is_struct(t.value_type.value_type)
+
+
+def _nested(rows: list[list[np.ndarray] | None], t: pa.DataType) -> pa.Array:
+    """Rows of lists of (n, 2) arrays as lists of lists of structs, without an object for each point."""
+    parts = [p for own in rows for p in own or ()]
+    xy = np.concatenate(parts) if parts else np.zeros((0, 2))
+    fields = list(t.value_type.value_type)
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k])) for k in range(2)], fields=fields)
+    inner = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    outer = np.concatenate([[0], np.cumsum([len(own or ()) for own in rows])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(inner), points, type=t.value_type)
+    return pa.ListArray.from_arrays(pa.array(outer), lists, type=t, mask=pa.array([own is None for own in rows]))
 
 
 def _projected(found: Projected) -> dict:
     real = lambda v: None if v != v else v
     return {
-        "pieces": [_xy(p) for p in found.pieces], "source_area": real(found.source_area), "planar_area": real(found.planar_area), "area_error": real(found.area_error),
+        "pieces": found.pieces, "source_area": real(found.source_area), "planar_area": real(found.planar_area), "area_error": real(found.area_error),
         "allowed_error": real(found.allowed_error), "rounds": found.rounds, "crossings": found.crossings, "partition_error": found.partition_error, "n_pieces": len(found.pieces),
         "n_vertices": found.vertices, "within_budget": found.error == "none" and found.area_error <= found.allowed_error, "error": found.error, "detail": found.detail, "failed_edge": found.failed_edge,
     }
@@ -118,7 +130,7 @@ def split_rings(df: DataFrame, meridian: float = 0.0, max_pieces: int = 4096) ->
         if ring is None:
             return {"error": error}
         s = split_at_seam(ring, meridian, max_pieces)
-        pieces = [_xy(np.stack([p.lon, p.lat], axis=-1), ("lon", "lat")) for p in s.pieces]
+        pieces = [np.stack([p.lon, p.lat], axis=-1) for p in s.pieces]
         return {"pieces": pieces, "areas": s.areas, "crossings": s.crossings, "partition_error": s.partition_error, "error": s.error}
 
     return map_rings(df, work, SPLIT)
@@ -132,7 +144,7 @@ def globe_curves(df: DataFrame, view: tuple[float, float], options: CurveOptions
         if ring is None:
             return {"error": error}
         c = visible_curve(ring, matrix, options)
-        return {"parts": [_xy(p) for p in c.parts], "crossings": c.crossings, "closed": c.closed, "n_vertices": c.vertices, "error": c.error}
+        return {"parts": c.parts, "crossings": c.crossings, "closed": c.closed, "n_vertices": c.vertices, "error": c.error}
 
     return map_rings(df, work, CURVE)
 
@@ -152,7 +164,7 @@ def globe_fill(df: DataFrame, view: tuple[float, float], options: VerifiedOption
             p, error, detail = v.polygon, v.error, v.detail
             extra = {"rounds": v.rounds, "significant": v.significant, "negligible": v.negligible, "change": None if v.change != v.change else v.change, "tolerance": v.tolerance, "arc_tolerance": v.arc_tolerance}
         return {
-            "rings": [_xy(r) for r in p.rings], "areas": p.areas, "area": p.area, "crossings": p.crossings, "n_vertices": p.vertices, "arc_segments": p.arc_segments, "coverage": p.coverage,
+            "rings": p.rings, "areas": p.areas, "area": p.area, "crossings": p.crossings, "n_vertices": p.vertices, "arc_segments": p.arc_segments, "coverage": p.coverage,
             "error": error, "detail": detail, **extra,
         }
 
