@@ -91,20 +91,19 @@ def _card(s: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(s: str, key: bytes, back: bool) -> str | None:
-    """The country code and the length stay; area codes and exchanges never start with 0 or 1 in the form with brackets."""
-    m = re.match(r"(\+?1[ .-]?)?\(?([2-9]\d\d)\)?[ .-]?(\d{3})[ .-]?(\d{4})$", s)
-    if m:
-        head = len(m[1] or "")
-        d = _only_digits(s[head:])
-        lead = 1 if d[3] not in "01" else 0
-        value = (int(d[:3]) - 200) * 10**7 + int(d[3:])
-        new = value
+    """The country code and the length stay. Ten digits after +1 keep whether area code and exchange start with 0 or 1."""
+    m = re.match(r"(\+1[ .-]?)(\(?\d[\d ().-]*\d)$", s) or re.match(r"(1[ .-])?(\(?[2-9]\d\d\)?[ .-]?\d{3}[ .-]?\d{4})$", s)
+    d = _only_digits(m[2]) if m else ""
+    if m and len(d) == 10:
+        low, lead = d[0] in "01", d[3] in "01"
+        first, size, tweak = (0, 2 * 10**9, b"phone10low") if low else (2 * 10**9, 8 * 10**9, b"phone10")
+        new = int(d) - first
         while True:
-            new = permute(new, 8 * 10**9, key, b"phone10", back)
-            out = f"{new // 10**7 + 200:03d}{new % 10**7:07d}"
-            if (out[3] not in "01") == lead:
+            new = permute(new, size, key, tweak, back)
+            out = f"{new + first:010d}"
+            if (out[3] in "01") == lead:
                 break
-        return s[:head] + _digits_as(s[head:], out)
+        return (m[1] or "") + _digits_as(m[2], out)
     m = re.match(r"(\+[2-9]\d{0,2})([ .-]?\(?\d[\d ().-]*\d)$", s)
     if not m:
         return None
@@ -240,7 +239,7 @@ KINDS: list[tuple[str, str, Callable[[str, bytes, bool], str | None]]] = [
     ("date", r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d/-])(?!\.\d)", _date),
     ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", _ipv4),
     ("ipv6", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}|:)(?:[:0-9A-Fa-f]*)(?![0-9A-Za-z:])", _ipv6),
-    ("phone", r"(?<![\d+A-Za-z])(?:\+\d{1,3}[ .-]?\(?\d[\d ().-]{4,16}\d|(?:1[ .-])?\([2-9]\d\d\) ?\d{3}[ .-]\d{4}|(?:1[ .-])?[2-9]\d\d([.-])\d{3}\3\d{4})(?![\d])", _phone),
+    ("phone", r"(?<![\d+A-Za-z])(?:\+\d{1,3}[ .-]?\(?\d[\d ().-]{4,16}\d|(?:1[ .-])?\([2-9]\d\d\)[ .-]?\d{3}[ .-]\d{4}|(?:1[ .-])?[2-9]\d\d(?:([.-])\d{3}\3| [2-9]\d\d )\d{4})(?![\d])", _phone),
     ("card", r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])", _card),
     ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])", _secret),
 ]

@@ -45,6 +45,23 @@ def test_neighbours():
     assert Pseudonyms(KEY, back=True).replace(new)[0] == "4316522678525456 4111111111111111 and +1 (743) 555-3824 233.233.171.252"
 
 
+@pytest.mark.parametrize("text", ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 132 155 1352", "+10175557713", "+1 74 35 55 38 24", "415 555 2671", "1 415 555 2671", "(415)-555-2671", "(415).555.2671", "(415)555-2671"])
+def test_phone_forms(text):
+    new, counts = Pseudonyms(KEY).replace(f"call {text}, or {text} now")
+    assert {NAMES[k]: n for k, n in enumerate(counts) if n} == {"phone": 2}
+    first, second = new.removeprefix("call ").removesuffix(" now").split(", or ")
+    assert first == second != text
+    assert [c.isdigit() for c in first] == [c.isdigit() for c in text]
+    assert Pseudonyms(KEY, back=True).replace(first)[0] == text
+
+
+def test_phones_with_low_area_codes_stay_distinct():
+    own = Pseudonyms(KEY)
+    texts = [f"+1 ({a:03d}) {b}55-{c:04d}" for a in range(0, 400, 7) for b in (0, 5) for c in (17, 9000)]
+    assert len({own.replace(t)[0] for t in texts}) == len(texts)
+    assert all(Pseudonyms(KEY, back=True).replace(own.replace(t)[0])[0] == t for t in texts)
+
+
 def test_distinct_values_stay_distinct():
     rng = random.Random(1)
     bodies = {f"4{rng.randrange(10**14):014d}" for _ in range(300)}
