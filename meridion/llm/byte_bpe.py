@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .words import pieces
 
-NONE = np.int64(1 << 40)
+NONE = np.int64(1 << 30)  # above every rank
+PLACE = 32  # bits of a position in a tree node; the rank is above them
 CACHE_PIECES = 1 << 18  # once full it stays as it is; other pieces are encoded batch by batch
 CACHE_BYTES = 64  # longer pieces are encoded each time
 MATRIX_CELLS = 1 << 19
@@ -66,10 +67,10 @@ class ByteBPE:
         ids[column >= length[:, None]] = -1
         after = np.broadcast_to(column + 1, (n, size)).copy()
         before = np.broadcast_to(column - 1, (n, size)).copy()
-        tree = np.full((n, 2 * size), NONE << 20, np.int64)  # a node holds rank << 20 | position
+        tree = np.full((n, 2 * size), NONE << PLACE, np.int64)  # a node holds rank << PLACE | position
         pair = self.pair_rank(np.maximum(ids[:, :-1], 0), np.maximum(ids[:, 1:], 0))
         pair[column[1:] >= length[:, None]] = NONE
-        tree[:, size : 2 * size - 1] = pair << 20 | column[:-1]
+        tree[:, size : 2 * size - 1] = pair << PLACE | column[:-1]
         level = size
         while level > 1:
             level //= 2
@@ -91,11 +92,11 @@ class ByteBPE:
         row = np.arange(n)
         while True:
             best = tree[row * (2 * size) + 1]
-            going = best >> 20 < NONE
+            going = best >> PLACE < NONE
             row, best = row[going], best[going]
             if not len(row):
                 break
-            rank, at = best >> 20, best & 0xFFFFF
+            rank, at = best >> PLACE, best & ((1 << PLACE) - 1)
             cell, leaf = row * size, row * (2 * size) + size
             gone = after[cell + at]
             follow = after[cell + gone]
@@ -110,10 +111,10 @@ class ByteBPE:
             prior = before[cell + at]
             has_prior = prior >= 0
             back = prior[has_prior]
-            update(leaf + gone, np.full(len(row), NONE << 20))
-            update(leaf + at, new << 20 | at)
+            update(leaf + gone, np.full(len(row), NONE << PLACE))
+            update(leaf + at, new << PLACE | at)
             if len(back):
-                update(leaf[has_prior] + back, self.pair_rank(ids[cell[has_prior] + back], rank[has_prior]) << 20 | back)
+                update(leaf[has_prior] + back, self.pair_rank(ids[cell[has_prior] + back], rank[has_prior]) << PLACE | back)
         ids = ids.reshape(n, size)
         flat = ids[ids >= 0].tolist()
         cut = np.concatenate([[0], np.cumsum((ids >= 0).sum(axis=1))]).tolist()

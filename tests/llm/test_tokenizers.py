@@ -31,6 +31,13 @@ def test_segment_tree_equals_library(library):
     assert [bpe.decode(ids).decode() for ids in found] == texts
 
 
+def test_pieces_of_over_a_mebibyte(library):
+    bpe = ByteBPE(RANKS, public_tokenizers.PATTERN)
+    text = "\U00010280" * (1 << 18) + "überallwordsandletters" * 3  # one run of letters; its merges are all past the first MiB
+    assert bpe.find(text) == [text] and len(text.encode()) > 1 << 20
+    assert list(bpe.encode_batch([text])) == [library.encode_ordinary(text)]
+
+
 def test_full_cache_changes_nothing(library, monkeypatch):
     monkeypatch.setattr("meridion.llm.byte_bpe.CACHE_PIECES", 3)
     bpe = ByteBPE(RANKS, public_tokenizers.PATTERN)
