@@ -2,12 +2,13 @@
 
 Tokens are tags with their path from the root and text runs with their path. A token's occurrence vector
 is how often each page of the host holds it; tokens with one vector form an equivalence class. Vectors
-are never built: two sums of keyed page hashes, weighted by the counts, stand for one, so classes are
-found by partial aggregation however many pages a host has. Classes with enough tokens and pages make
-the host's template: its tags give nested containers, of which the innermost one that is on each page
-once and holds most of the free text is the main slot; its text runs are boilerplate. A page then gives
-the text of the main slot (an <article> of its own has precedence) without the blocks whose elements
-name themselves menus, notices, adverts, forms or comments.
+are never built: two sums of content hashes, weighted by the counts, stand for one, so classes are
+found by partial aggregation however many pages a host has; pages of one content count once. Classes with
+enough tokens and pages make the host's template: its tags give nested containers, of which the innermost
+one that is on each page once and holds most of the free text is the main slot; its text runs are
+boilerplate. A page then gives the text of the main slot, of which <article> elements are a hint, without
+the template's text runs in blocks that name themselves there, and without the blocks whose elements name
+themselves menus, notices, adverts, forms or comments. The order of a class's tokens is not checked.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import durable
 from .words import pieces
 
 MIN_CLASS = 3  # tokens of a class
@@ -63,8 +65,8 @@ class Node:
         self.free = 0  # characters of text below that is neither skipped nor a link
 
 
-def _named(attributes: str) -> tuple[str, bool]:
-    """Words of class, id and role, and whether the element hides or names itself as no content."""
+def _named(attributes: str, chapter: bool = False) -> tuple[str, bool]:
+    """Words of class, id and role, and whether the element hides or names itself as no content; an article's chapter may be a discussion."""
     words, hidden = [], False
     for m in NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
@@ -73,7 +75,7 @@ def _named(attributes: str) -> tuple[str, bool]:
         elif name in ("class", "id", "role"):
             words += re.split(r"[^a-z0-9]+", value)
     words = [w for w in words if w and not w.isdigit()]
-    return " ".join(words), hidden or any(w in SKIP_WORDS for w in words)
+    return " ".join(words), hidden or any(w in SKIP_WORDS and not (chapter and w == "discussion") for w in words)
 
 
 class Page:
@@ -117,7 +119,7 @@ class Page:
             if tag in BLOCK:
                 block += 1
                 self._auto_close(stack, tag)
-            words, named = _named(m[3]) if m[3] else ("", False)
+            words, named = _named(m[3], tag == "section" and any(x.tag == "article" for x in stack)) if m[3] else ("", False)
             parent = stack[-1]
             skip = parent.skip or tag in SKIPPED or named or ((tag == "header" or "header" in words.split()) and not any(x.tag == "article" for x in stack))
             if tag in ("article", "main") and not named and not any(x.tag in SKIPPED for x in stack):
@@ -157,34 +159,58 @@ class Page:
                 up.free += size
                 up = up.parent
 
-    def container(self, main: int | None) -> Node:
-        """The largest article, else main element, else the template's main slot, else all."""
-        for tag in ("article", "main"):
-            own = [x for x in self.nodes if x.tag == tag and not x.skip]
-            if own:
-                return max(own, key=lambda x: x.free)
-        if main is not None:
-            own = [x for x in self.nodes if _hash(x.path) == main]
-            if own:
-                return max(own, key=lambda x: x.free)
-        return self.nodes[0]
+    def _outermost(self, tag: str, top: Node) -> list[Node]:
+        """Unskipped elements of a kind below ``top``, without those inside another of them."""
+        found: list[Node] = []
+        for node in self.nodes:
+            if node.tag == tag and not node.skip:
+                up = node.parent
+                while up is not None and up is not top and not (up.tag == tag and not up.skip):
+                    up = up.parent
+                if up is top:
+                    found.append(node)
+        return found
+
+    def containers(self, main: int | None) -> list[Node]:
+        """The template's main slot, else all articles, else the largest main element, else all.
+
+        Articles are a hint: one around the slot widens it to the page's articles, and ones that hold most of
+        a slot stand for it.
+        """
+        root = self.nodes[0]
+        articles = self._outermost("article", root)
+        own = [x for x in self.nodes if _hash(x.path) == main] if main is not None else []
+        if own:
+            slot = max(own, key=lambda x: x.free)
+            up: Node | None = slot
+            while up is not None:
+                if up in articles:
+                    return articles
+                up = up.parent
+            inner = self._outermost("article", slot)
+            return inner if inner and sum(x.free for x in inner) >= MAIN_SHARE * slot.free else [slot]
+        mains = [] if articles else [x for x in self.nodes if x.tag == "main" and not x.skip]
+        return articles or ([max(mains, key=lambda x: x.free)] if mains else [root])
 
     def text(self, main: int | None = None, boilerplate: frozenset[int] = frozenset()) -> str:
-        top = self.container(main)
-        inside: dict[int, bool] = {}
+        # None outside the containers, else whether a block there that names itself is around: the paragraphs of
+        # a main slot itself are never the template's. Without a slot all text may be.
+        inside: dict[int, bool | None] = {id(x): x.parent is None for x in self.containers(main)}
 
-        def below(node: Node | None) -> bool:
+        def below(node: Node | None) -> bool | None:
             if node is None:
-                return False
+                return None
             if id(node) not in inside:
-                inside[id(node)] = node is top or below(node.parent)
+                up = below(node.parent)
+                inside[id(node)] = up if up is None else up or bool(node.words and node.tag in BLOCK)
             return inside[id(node)]
 
-        drop = boilerplate if top.tag != "article" else frozenset()
+        own = [(node, block, text) for node, block, text in self.runs if not node.skip and below(node) is not None]
+        free = [x for x in own if not (boilerplate and below(x[0]) and x[2].strip() and _hash(x[0].path + "\0" + " ".join(x[2].split())) in boilerplate)]
         blocks: dict[int, list[str]] = {}
-        for node, block, text in self.runs:
-            if not node.skip and below(node) and not (drop and text.strip() and _hash(node.path + "\0" + " ".join(text.split())) in drop):
-                blocks.setdefault(block, []).append(text)
+        # A page of nothing but its template's text keeps that.
+        for _, block, text in free if any(x[2].strip() for x in free) else own:
+            blocks.setdefault(block, []).append(text)
         joined = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
         return "\n\n".join(x for x in joined if x)
 
@@ -195,17 +221,20 @@ def host_of(url: str | None) -> str:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, is_text, depth, n, free, a, b) for each page and token: n its count there, a and b hashes of the page."""
+    """(host, token, is_text, depth, n, free, a, b) for each page and token: n its count there, a and b hashes of the page's content.
+
+    The root is a token too, so that its vector counts a host's different contents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             rows: list[tuple] = []
-            for page_id, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page, host = Page(source or ""), host_of(url)
-                key = _hash(f"{page_id} {url}")
+                key = _hash(page.text())
                 a, b = key & 0x7FFFFFFF, key >> 32 & 0x7FFFFFFF
                 seen: dict[int, list] = {}
-                for node in page.nodes[1:]:
+                for node in page.nodes:
                     own = seen.setdefault(_hash(node.path), [False, node.depth, 0, 0])
                     own[2] += 1
                     own[3] += node.free
@@ -220,7 +249,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             if rows:
                 yield _token_batch(rows)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, is_text boolean, depth int, n long, free long, a long, b long")
+    return pages.select("url", "html").mapInArrow(run, "host string, token long, is_text boolean, depth int, n long, free long, a long, b long")
 
 
 def _token_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -229,19 +258,21 @@ def _token_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, boilerplate) of each host with enough pages.
+    """(host, main, boilerplate) of each host with enough pages of different content.
 
     A host's template tokens are on half of its pages at least, so there are at most twice as many as
     tokens on its mean page, and the array is bounded by a page's size.
     """
-    url = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
-    sizes = pages.groupBy(url.alias("host")).agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    vectors = page_tokens(pages).groupBy("host", "token").agg(
+    # Copies of a content are one page, or their paragraphs would pass for the template's.
+    once = page_tokens(pages).groupBy("host", "token", "a", "b").agg(F.first("is_text").alias("is_text"), F.max("depth").alias("depth"), F.max("n").alias("n"), F.max("free").alias("free"))
+    vectors = once.groupBy("host", "token").agg(
         F.first("is_text").alias("is_text"), F.max("depth").alias("depth"), F.count("*").alias("support"), F.sum("n").alias("n"), F.sum("free").alias("free"),
         F.sum(F.col("a") * F.col("n")).alias("va"), F.sum(F.col("b") * F.col("n")).alias("vb"),
     )
     # Most text runs are on one page only; they go before rows meet by host.
-    frequent = vectors.where(2 * F.col("support") >= MIN_PAGES).join(sizes, "host").where(2 * F.col("support") >= F.col("pages"))
+    vectors = durable(vectors.where(F.col("support") >= MIN_PAGES), "tokens")
+    sizes = vectors.where(F.col("token") == F.lit(_hash("/"))).select("host", F.col("support").alias("pages"))
+    frequent = vectors.join(sizes, "host").where(2 * F.col("support") >= F.col("pages"))
     classes = frequent.groupBy("host", "va", "vb").agg(F.count("*").alias("size"), F.collect_list(F.struct("token", "is_text", "depth", "support", "n", "free", "pages")).alias("x")).where(F.col("size") >= MIN_CLASS)
     tokens = classes.select("host", F.explode("x").alias("x")).select("host", "x.*")
     total = F.max("free").over(_by_host())

@@ -32,3 +32,21 @@ def test_templates(spark, size):
     assert texts[7] == "" and texts[8] == "alone"
     assert all(n == len(t) for _, t, n in got)
     assert extract(df.limit(0), size).count() == 0
+
+
+@pytest.mark.parametrize("size", [0, 1 << 30])
+def test_template_decides_on_pages_with_articles(spark, size):
+    body = '<body><div class="page"><article><h1>Head %d</h1><p>Text number %d goes on for a while.</p><div class="legalese"><p>Sold</p><p>as</p><p>seen</p></div></article></div></body>'
+    slot = '<body><div class="story"><p>Story number %d is told at some length, much longer than what is beside it.</p></div><div class="x"><article><p>More %d</p></article></div></body>'
+    rows = [(k, f"http://a.org/{k}", body % (k, k)) for k in range(5)] + [(10 + k, f"http://b.org/{k}", slot % (k, k)) for k in range(5)]
+    copy = "<body><div class='s'><p>Copied words</p><p>of one page</p><p>stay whole</p></div><p class='f'>Foot</p></body>"
+    rows += [(20 + k, f"http://c.org/{k}", copy) for k in range(4)] + [(30, "http://c.org/x", "<body><div class='s'><p>Other words</p></div><p class='f'>Foot</p></body>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in extract(df, size).collect()}
+    assert texts[3] == "Head 3\n\nText number 3 goes on for a while."
+    assert texts[13] == "Story number 3 is told at some length, much longer than what is beside it."
+    assert texts[21].startswith("Copied words\n\nof one page\n\nstay whole")
+
+
+def test_all_articles_and_their_chapters():
+    assert Page("<article><p>a</p><section class=discussion><p>b</p></section></article><article><p>c<article>d</article></article>").text() == "a\n\nb\n\nc\n\nd"
