@@ -1,35 +1,37 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 Fingerprints are 64 majority bits of the XXH64 values of 3-word shingles. Equal fingerprints are merged
-first. The trie is laid out ten times, with another two of five bit blocks on top: fingerprints that
-differ in at most three bits agree in two blocks at least, so every link lies below one common node of
-some layout. That node is the partitioning key. Below it the trie is joined with itself: pairs of nodes
-are walked together, differing bits add up, and a pair is dropped once they exceed the budget. Links
-between parts that are connected already are not listed; each node gives a spanning forest only.
+first. The trie is laid out four times, with another of four 16-bit blocks on top: fingerprints that
+differ in at most three bits agree in one block at least, so every link lies below one common node of
+some layout, and that node is the partitioning key. Below it the trie, with its one-child chains cut
+short, is joined with itself: pairs of nodes are walked together, the differing bits of their common
+depth add up, and a pair is dropped once they exceed the budget. The walk takes all nodes of a task at
+once, a block of pairs a step, and goes on with the last block first, so that few pairs are held. A node
+with very many fingerprints is laid out again below its block, as its links still have only three bits
+to differ in. Links are reduced to a spanning forest before they leave the task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .graph import components
-from .tables import columns_of, durable
+from .tables import durable, packed, unpacked
 from .words import pieces
 
 SEED = 42
 WORDS = 3
 BUDGET = 3
-HOT_NODE = 8192  # a trie node with more fingerprints is split by further blocks
-_EDGES = (0, 13, 26, 39, 52, 64)
-BLOCKS = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(_EDGES, _EDGES[1:], strict=False)]
-TOPS = [BLOCKS[i] | BLOCKS[j] for i, j in combinations(range(5), 2)]
-LEAF_PAIRS = 1 << 16
+HOT_NODE = 1 << 16  # a node of the layouts with more fingerprints is laid out again below its block
+PAIRS = 1 << 17  # node pairs that are walked in one step
+ROOTS = 1 << 18  # fingerprints whose roots are walked together, at least
 
 
 def _signed(x: int) -> int:
@@ -57,15 +59,16 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row, fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, fp) of each row, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [key, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col("doc_id").cast("long") if key == "doc_id" else F.col(key), "text")
+    return slim.mapInArrow(run, StructType([slim.schema[0], StructField("fp", LongType())]))
 
 
 class Forest:
@@ -91,86 +94,149 @@ class Forest:
             self.label = to[self.label]
 
 
-def trie_self_join(values: np.ndarray, budget: int = BUDGET) -> np.ndarray:
-    """Component labels of sorted distinct 64-bit values linked at ``budget`` or fewer differing bits."""
-    forest = Forest(len(values))
-    stack = [(0, len(values), 0, len(values), 64, 0)]
+@dataclass
+class Walk:
+    """What a walk met: pairs of different nodes, those of them dropped over budget, the deepest bit at which a pair was split, links."""
+
+    pairs: int = 0
+    dropped: int = 0
+    deepest: int = 0
+    links: int = 0
+    kept: list = field(default_factory=list)
+
+
+def _common(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """How many leading bits the sorted values first..last-1 share: the depth at which the node splits, 64 for one value."""
+    x = values[first] ^ values[last - 1]
+    for k in (1, 2, 4, 8, 16, 32):
+        x = x | (x >> np.uint64(k))
+    return 64 - np.bitwise_count(x).astype(np.int64)
+
+
+def _halves(values: np.ndarray, first: np.ndarray, last: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Where the nodes' second children begin: the least value whose bit at the node's depth is set."""
+    shift = (63 - depth).astype(np.uint64)
+    border = (values[last - 1] >> shift) << shift
+    lo, hi = first.copy(), last.copy()
+    while (open_ := lo < hi).any():
+        middle = (lo + hi) // 2
+        less = open_ & (values[np.minimum(middle, len(values) - 1)] < border)
+        lo, hi = np.where(less, middle + 1, lo), np.where(open_ & ~less, middle, hi)
+    return lo
+
+
+def trie_join(values: np.ndarray, starts: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, Walk]:
+    """Component labels of values linked at ``budget`` or fewer differing bits below the same root, and what the walk met.
+
+    ``values`` are 64-bit numbers, distinct and in order below each root; root k holds those from starts[k] to the next start.
+    """
+    walk, forest = Walk(), Forest(len(values))
+    ends = np.append(starts[1:], len(values))
+    big = ends - starts > 1
+    # A pair of nodes is two intervals of values; one interval twice stands for a node met with itself.
+    stack = [np.stack([starts[big], ends[big]] * 2)] if big.any() else []
     while stack:
-        a, b, c, d, bit, spent = stack.pop()
-        if spent > budget:
+        block = stack.pop()
+        if block.shape[1] > PAIRS:
+            stack.append(block[:, PAIRS:])
+            block = block[:, :PAIRS]
+        a, b, c, d = block
+        same = a == c
+        left, right = _common(values, a, b), _common(values, c, d)
+        depth = np.minimum(left, right)
+        # The bits above the common depth are fixed on both sides; those that differ are spent.
+        differing = (values[a] ^ values[c]) & ~np.where(depth == 64, np.uint64(0), ~np.uint64(0) >> np.minimum(depth, 63).astype(np.uint64))
+        going = np.bitwise_count(differing) <= budget
+        walk.pairs += int((~same).sum())
+        walk.dropped += int((~going).sum())
+        link = going & (depth == 64) & ~same
+        if link.any():
+            walk.links += int(link.sum())
+            forest.join(a[link], c[link])
+        going &= depth < 64
+        if not going.any():
             continue
-        label = forest.label
-        if (b - a) * (d - c) > LEAF_PAIRS and bit > 0:
-            first = label[a]
-            if (label[a:b] == first).all() and (label[c:d] == first).all():
-                continue  # all connected already
-            one = np.uint64(1) << np.uint64(bit - 1)
-            # The values of a node share all bits from ``bit`` up, so the next bit splits it at one place.
-            m = a + int(np.count_nonzero((values[a:b] & one) == 0))
-            n = c + int(np.count_nonzero((values[c:d] & one) == 0))
-            if a == c and b == d:
-                pairs = [((a, m, m, b), 1), ((m, b, m, b), 0), ((a, m, a, m), 0)]
-            else:
-                pairs = [((a, m, n, d), 1), ((m, b, c, n), 1), ((m, b, n, d), 0), ((a, m, c, n), 0)]
-            stack += [(*p, bit - 1, spent + cost) for p, cost in pairs if p[0] < p[1] and p[2] < p[3]]
-        else:
-            for r in range(a, b, max(1, LEAF_PAIRS // (d - c))):
-                rows = values[r : min(b, r + max(1, LEAF_PAIRS // (d - c)))]
-                i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ values[None, c:d]) <= budget)
-                forest.join(i + r, j + c)
-    return forest.label
-
-
-def _runs(keys: list[np.ndarray], fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (u, v) of runs of equal keys."""
-    new = np.ones(len(fp) + 1, bool)
-    if len(fp):
-        new[1:-1] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    cuts = np.flatnonzero(new)
-    sizes = np.diff(cuts)
-    pair = cuts[:-1][sizes == 2]
-    near = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= BUDGET]
-    us, vs = [fp[near]], [fp[near + 1]]
-    for a, n in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        own = np.sort(fp[a : a + n])
-        label = trie_self_join(own)
-        far = label != np.arange(n)
-        us.append(own[label[far]])
-        vs.append(own[far])
-    return np.concatenate(us), np.concatenate(vs)
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (u, v) that connect all distinct fingerprints within the budget, a spanning forest for each trie node."""
-    tops = F.array(*[F.struct(F.lit(k).alias("top"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(TOPS)])
-    laid = distinct.select("fp", F.explode(tops).alias("x")).select("fp", "x.top", "x.key")
-    hot = laid.groupBy("top", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_NODE).select("top", "key", F.lit(True).alias("hot"))
-    # Below a hot node at most three of the other 38 bits differ, so one of four blocks of them is equal.
-    parts = []
-    for m in TOPS:
-        rest = [b for b in range(64) if not m >> b & 1]
-        parts.append([_signed(sum(1 << b for b in rest[k::4])) for k in range(4)])
-    masks = F.array(*[F.array(*[F.lit(x) for x in p]) for p in parts])
-    sub = F.when(F.col("hot"), F.transform(masks[F.col("top")], lambda m: F.col("fp").bitwiseAND(m))).otherwise(F.array(F.lit(0).cast("long")))
-    keyed = laid.join(hot, ["top", "key"], "left").select("fp", "top", "key", F.posexplode(sub).alias("part", "sub"))
-    keyed = keyed.repartition("top", "key", "part", "sub").sortWithinPartitions("top", "key", "part", "sub", "fp")
+        a, b, c, d, same, left, right, depth = (x[going] for x in (a, b, c, d, same, left, right, depth))
+        walk.deepest = max(walk.deepest, int(depth.max()))
+        m, n = b.copy(), d.copy()  # a side that splits deeper is left whole
+        x, y = left == depth, right == depth
+        m[x] = _halves(values, a[x], b[x], depth[x])
+        n[y] = _halves(values, c[y], d[y], depth[y])
+        children = [(a, m, c, n, ~same | (m - a > 1)), (m, b, n, d, x & y & (~same | (b - m > 1))), (a, m, n, d, y), (m, b, c, n, x & ~same)]
+        stack += [np.stack([p[ok], q[ok], r[ok], s[ok]]) for p, q, r, s, ok in children if ok.any()]
+    return forest.label, walk
+
+
+def _links(keys: list[np.ndarray], fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) below each run of equal keys; all is in the order of keys and fingerprints."""
+    if not len(fp):
+        return fp, fp
+    new = np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+    label, _ = trie_join(fp, np.flatnonzero(new))
+    far = np.flatnonzero(label != np.arange(len(fp)))
+    return fp[label[far]], fp[far]
+
+
+def layouts(distinct: DataFrame, hot_node: int = HOT_NODE) -> DataFrame:
+    """(fp, path, key): the nodes below which each fingerprint is joined; path numbers a node's blocks, key is the bits in them.
+
+    A path has two bits for each block from the top, after a one. Nodes of more than ``hot_node`` fingerprints
+    are laid out again with the bits that are left, until none is hot or no bits are left.
+    """
+
+    spark = distinct.sparkSession
+
+    used, found = {1: 0}, []
+    rows = distinct.select("fp", F.lit(1).alias("path"), F.lit(0).cast("long").alias("key"))
+    while True:
+        blocks, deeper = {}, {}
+        for path, mask in used.items():
+            left = [b for b in range(63, -1, -1) if not mask >> b & 1]
+            size = -(-len(left) // (BUDGET + 1))
+            blocks[path] = [sum(1 << b for b in left[k * size : (k + 1) * size]) for k in range(BUDGET + 1)]
+            deeper |= {4 * path + k: mask | m for k, m in enumerate(blocks[path])}
+        # Four rows for each hot path, few as paths are.
+        masks = spark.createDataFrame([(p, 4 * p + k, _signed(m)) for p, own in blocks.items() for k, m in enumerate(own)], "path int, child int, mask long")
+        laid = rows.join(F.broadcast(masks), "path").select("fp", F.col("child").alias("path"), F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+        sizes = laid.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot_node)
+        hot = [r.path for r in sizes.select("path").distinct().collect() if deeper[r.path] + 1 < 1 << 64]
+        if not hot:
+            found.append(laid)
+            break
+        hot_keys = sizes.where(F.col("path").isin(hot)).select("path", "key", F.lit(True).alias("hot"))
+        marked = durable(laid.join(hot_keys, ["path", "key"], "left").select("fp", "path", "key", F.coalesce("hot", F.lit(False)).alias("hot")), "layout")
+        found.append(marked.where("not hot").drop("hot"))
+        rows, used = marked.where("hot").drop("hot"), {p: deeper[p] for p in hot}
+    out = found[0]
+    for part in found[1:]:
+        out = out.union(part)
+    return out
+
+
+def links(distinct: DataFrame, hot_node: int = HOT_NODE) -> DataFrame:
+    """Links (u, v) that connect all distinct fingerprints within the budget, a spanning forest for each step of a task."""
+    keyed = layouts(distinct, hot_node).repartition("path", "key").sortWithinPartitions("path", "key", F.col("fp") < 0, "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("top", "key", "part", "sub", "fp")
-        rest = None
+        rest: list[np.ndarray] | None = None
+
+        def joined(own: list[np.ndarray]) -> pa.RecordBatch:
+            u, v = _links(own[:-1], own[-1].view(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
         for batch in batches:
-            own = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-            if rest is not None:
-                own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
-            # The last run may go on in the next batch.
-            last = np.logical_or.reduce([k != k[-1:] for k in own[:-1]])
-            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-            rest = [x[cut:] for x in own]
-            u, v = _runs([x[:cut] for x in own[:-1]], own[-1][:cut].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-        if rest is not None:
-            u, v = _runs(rest[:-1], rest[-1].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            own = [batch.column(n).to_numpy() for n in ("path", "key", "fp")]
+            rest = own if rest is None else [np.concatenate(x) for x in zip(rest, own, strict=True)]
+            if len(rest[0]) < ROOTS:
+                continue
+            # The last root may go on in the next batch.
+            other = np.flatnonzero((rest[0] != rest[0][-1]) | (rest[1] != rest[1][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield joined([x[:cut] for x in rest])
+                rest = [x[cut:] for x in rest]
+        if rest is not None and len(rest[0]):
+            yield joined(rest)
 
     return keyed.mapInArrow(run, "u long, v long").distinct()
 
@@ -191,17 +257,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least doc_id; rows without a doc_id can't be told apart and go.
+    """One row of each component, the one with the least doc_id (rows without one come last) and of those any one.
 
-    Rows that repeat a doc_id are reduced to one of them.
+    Rows are told apart by doc_id and two hashes of the text, together 96 bits, so rows that share a doc_id but not
+    their text are judged one by one; rows equal in both are copies of each other, of which one stays.
     """
-    keep = durable(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    # "_row" can't clash: the other columns are packed into one.
+    own = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
+    slim = packed(docs)
+    named = slim.select("doc_id", "text", own.alias("_row"))
+    fps = durable(fingerprints(named, "_row"), "fingerprints")
+    distinct = durable(fps.groupBy("fp").agg(F.min("_row").alias("least")), "distinct")
+    roots = components(links(distinct.select("fp")))
+    least = distinct.join(roots, distinct.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("_row"))
+    # What is kept grows with the input; the hints keep it from being broadcast at any size.
+    keep = durable(least.select("_row").join(fps.groupBy("_row").agg(F.count("*").alias("n")).hint("shuffle_hash"), "_row"), "kept")
 
     def chosen(condition: str) -> DataFrame:
-        # The hint keeps the plan the same at every size: what is kept grows with the input and is never broadcast.
-        return docs.join(keep.where(condition).select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(columns_of(docs))
+        return slim.withColumn("_row", own).join(keep.where(condition).select("_row").hint("shuffle_hash"), "_row", "left_semi")
 
     out = chosen("n = 1")
     if keep.where("n > 1").limit(1).count():
-        out = out.union(chosen("n > 1").dropDuplicates(["doc_id"]))
-    return out
+        out = out.union(chosen("n > 1").dropDuplicates(["_row"]))
+    return unpacked(out, docs)

@@ -2,9 +2,10 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from meridion.llm.graph import components
-from meridion.llm.simhash import BUDGET, fingerprint, keep_one, links, near_duplicates, trie_self_join
+from meridion.llm.simhash import BUDGET, fingerprint, fingerprints, keep_one, layouts, links, near_duplicates, trie_join
 
 from .fixtures import SCHEMA, documents, lowered, words_of
 
@@ -37,29 +38,56 @@ def test_fingerprint():
     assert [fingerprint(t) for _, t, *_ in documents()] == [brute_fingerprint(t) for _, t, *_ in documents()]
 
 
+def near_values(seed, bases, flips, most):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, bases, dtype=np.uint64) << np.uint64(1)
+    return np.unique(np.array([b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(0, most), replace=False))) for b in base for _ in range(flips)], np.uint64))
+
+
 def test_trie_join_of_dense_and_sparse_values(monkeypatch):
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
-    flips = [b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 7), replace=False))) for b in base for _ in range(60)]
-    values = np.unique(np.array(flips, np.uint64))
+    values = near_values(1, 6, 60, 7)
     truth = brute_components(values.tolist())
-    for leaf in (1, 16, 1 << 16):
-        monkeypatch.setattr("meridion.llm.simhash.LEAF_PAIRS", leaf)
-        label = trie_self_join(values)
-        assert Counter(Counter(label.tolist()).values()) == Counter(Counter(truth).values())
-        assert len({*zip(label.tolist(), truth)}) == len(set(truth))
-
-
-def test_links_connect_all(spark, monkeypatch):
-    monkeypatch.setattr("meridion.llm.simhash.HOT_NODE", 3)
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
-    values = np.unique(np.array([b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False))) for b in base for _ in range(40)], np.uint64))
+    for pairs in (3, 50, 1 << 17):
+        monkeypatch.setattr("meridion.llm.simhash.PAIRS", pairs)
+        label, walk = trie_join(values, np.array([0]))
+        assert len({*zip(label.tolist(), truth)}) == len(set(truth)) == len(set(label.tolist()))
+        assert walk.links >= len(values) - len(set(truth)) and walk.dropped and walk.deepest > 8
+
+
+def test_trie_join_below_many_roots():
+    parts = [near_values(seed, 2, 12, 6) for seed in range(20)] + [np.zeros(1, np.uint64), np.array([0, ~np.uint64(0)], np.uint64)]
+    starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
+    label, _ = trie_join(np.concatenate(parts), starts)
+    for a, part in zip(starts.tolist(), parts):
+        truth = brute_components(part.tolist())
+        assert len({*zip(label[a : a + len(part)].tolist(), truth)}) == len(set(truth)) == len(set(label[a : a + len(part)].tolist()))
+
+
+def test_links_connect_all(spark):
+    values = near_values(2, 3, 40, 5)
     df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    root = {r.node: r.root for r in components(links(df)).collect()}
-    got = [root.get(int(v), int(v)) for v in values.view(np.int64)]
     truth = brute_components(values.tolist())
-    assert len({*zip(got, truth)}) == len(set(truth)) == len(set(got))
+    for hot in (30, 1 << 16):
+        root = {r.node: r.root for r in components(links(df, hot)).collect()}
+        got = [root.get(int(v), int(v)) for v in values.view(np.int64)]
+        assert len({*zip(got, truth)}) == len(set(truth)) == len(set(got))
+
+
+def test_default_settings_walk_the_trie(spark):
+    """With the operator's own settings every link comes from pairs of nodes that were walked below the layouts' tops."""
+    rows = fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).select("fp").distinct()
+    near = [int(r.fp) ^ flip for r in rows.limit(40).collect() for flip in (1, 0b1011, 1 << 40 | 1 << 17)]
+    laid = layouts(rows.union(spark.createDataFrame([(x,) for x in near], "fp long")).distinct()).orderBy("path", "key", F.col("fp") < 0, "fp").toPandas()
+    new = np.append(True, (laid.path.values[1:] != laid.path.values[:-1]) | (laid.key.values[1:] != laid.key.values[:-1]))
+    values = laid.fp.values.view(np.uint64)
+    label, walk = trie_join(values, np.flatnonzero(new))
+    distinct = np.unique(values).tolist()
+    truth = brute_components(distinct)
+    at = {v: k for k, v in enumerate(distinct)}
+    linked = [(at[a], at[b]) for a, b in zip(values[label].tolist(), values.tolist()) if a != b]
+    assert linked and all(truth[a] == truth[b] for a, b in linked)
+    assert len({k for pair in linked for k in pair}) == sum(n for n in Counter(truth).values() if n > 1)
+    assert walk.pairs > walk.links >= len(distinct) - len(set(truth)) and walk.dropped > 0 and walk.deepest >= 16
 
 
 def test_near_duplicates(spark):
@@ -75,13 +103,26 @@ def test_near_duplicates(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def kept_by_brute_force(rows):
+    """Indices of rows that may stay: in each component those with the least (no doc_id, doc_id), of which one does."""
+    parts = brute_components([brute_fingerprint(t) for _, t, *_ in rows])
+    least = {}
+    for k, (p, (d, *_)) in enumerate(zip(parts, rows)):
+        least.setdefault(p, []).append(((d is None, d or 0), k))
+    return [[k for rank, k in own if rank == min(own)[0]] for own in least.values()]
+
+
 def test_keep_one(spark):
-    df = spark.createDataFrame(documents(), SCHEMA).withColumnRenamed("lang", "component_id").withColumnRenamed("source", "fp.x")
+    rows = documents() + [(7, "an unlike text " + str(k), None, None, None) for k in range(3)] + [(None, f"text {k} of no number", "en", "s", 1) for k in range(2)]
+    rows += [(5, rows[3][1], "x", "copy of another row under an id that is used", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "component_id").withColumnRenamed("source", "fp.x")
     out = keep_one(df)
     assert out.columns == df.columns
-    ids = [r.doc_id for r in out.collect()]
-    expected = {r.component_id for r in near_duplicates(df).collect() if r.component_id is not None}
-    assert sorted(ids) == sorted(expected)
+    left = Counter(tuple(r)[:2] for r in out.collect())
+    for own in kept_by_brute_force(rows):
+        assert sum(left[x] for x in {rows[k][:2] for k in own}) == 1
+    assert sum(left.values()) == len(kept_by_brute_force(rows))
+    assert keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_components_of_long_chains(spark):
