@@ -4,7 +4,8 @@ Each pre-token has a segment tree whose leaves hold the rank of the pair that st
 position (NONE where no live pair starts) and whose inner nodes hold the leftmost minimum of their
 two children. A merge takes the root, kills the right part and updates the leaves of the live
 neighbours, each in a logarithmic number of nodes. The trees of many pre-tokens of like size are the
-rows of one matrix, so that one numpy step advances all of them.
+rows of one matrix, so that one numpy step advances all of them. A long pre-token has a tree of its own,
+in which one step makes all merges of the least rank, from the left, up to one that brings a lesser rank.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ PLACE = 32  # bits of a position in a tree node; the rank is above them
 CACHE_PIECES = 1 << 18  # once full it stays as it is; other pieces are encoded batch by batch
 CACHE_BYTES = 64  # longer pieces are encoded each time
 MATRIX_CELLS = 1 << 19
+LONG_PIECE = 2048  # bytes from which a pre-token has a tree of its own
 _codecs: dict = {}
 
 
@@ -120,6 +122,52 @@ class ByteBPE:
         cut = np.concatenate([[0], np.cumsum((ids >= 0).sum(axis=1))]).tolist()
         return [tuple(flat[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
 
+    def merge_long(self, data: bytes) -> tuple[int, ...]:
+        """Ids of one piece of two bytes or more."""
+        n = len(data)
+        size = 1 << (n - 1).bit_length()
+        ids = self.byte_id[np.frombuffer(data, np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        tree = np.full(2 * size, NONE, np.int64)  # leaves hold ranks; the leftmost least one is found from the root
+        tree[size : size + n - 1] = self.pair_rank(ids[:-1], ids[1:])
+        level = size
+        while level > 1:
+            level //= 2
+            tree[level : 2 * level] = np.minimum(tree[2 * level : 4 * level : 2], tree[2 * level + 1 : 4 * level : 2])
+        while (rank := int(tree[1])) < NONE:
+            node = np.ones(1, np.int64)
+            while node[0] < size:
+                node = (2 * node[:, None] + np.arange(2)).ravel()
+                node = node[tree[node] == rank]
+            at = node - size
+            # Of pairs that share a token the left one comes first, so every other one of a run of them.
+            new_run = np.append(True, after[at[:-1]] != at[1:])
+            order = np.arange(len(at))
+            at = at[(order - np.maximum.accumulate(np.where(new_run, order, 0))) % 2 == 0]
+            gone = after[at]
+            follow, prior = after[gone], before[at]
+            merged_before = np.append(False, prior[1:] == at[:-1])
+            has_next, has_prior = follow < n, prior >= 0
+            right, left = np.full(len(at), NONE), np.full(len(at), NONE)
+            right[has_next] = self.pair_rank(rank, ids[follow[has_next]])
+            left[has_prior] = self.pair_rank(np.where(merged_before, rank, ids[prior])[has_prior], rank)
+            lesser = np.flatnonzero((right < rank) | (left < rank))
+            if len(lesser):  # what it brings is merged before what is further right
+                k = int(lesser[0]) + 1
+                at, gone, follow, prior, has_next, has_prior, left = (x[:k] for x in (at, gone, follow, prior, has_next, has_prior, left))
+            ids[at], ids[gone], after[at] = rank, -1, follow
+            before[follow[has_next]] = at[has_next]
+            right = np.full(len(at), NONE)
+            right[has_next] = self.pair_rank(rank, ids[follow[has_next]])
+            tree[size + prior[has_prior]] = left[has_prior]
+            tree[size + at], tree[size + gone] = right, NONE
+            node = np.unique(np.concatenate([prior[has_prior], at, gone])) + size
+            while node[0] > 1:
+                node = node >> 1
+                node = node[np.append(True, node[1:] != node[:-1])]
+                tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+        return tuple(ids[ids >= 0].tolist())
+
     def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
         out, groups = {}, {}
         for piece in pieces:
@@ -127,6 +175,8 @@ class ByteBPE:
             whole = self.rank.get(data)
             if whole is not None:
                 out[piece] = (whole,)
+            elif len(data) >= LONG_PIECE:
+                out[piece] = self.merge_long(data)
             else:
                 groups.setdefault(max(2, 1 << (len(data) - 1).bit_length()), []).append((piece, data))
         for size, members in groups.items():
@@ -179,7 +229,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, and the ids themselves if asked for.
 
     Null counts as the empty text: no ids, hashes of no bytes. Rows stay one to one, repeated doc_ids
-    too; an empty table gives no rows; other columns are ignored.
+    too; an empty table gives no rows; other columns are ignored. Texts and pre-tokens may be of any length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import random
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -31,11 +33,28 @@ def test_segment_tree_equals_library(library):
     assert [bpe.decode(ids).decode() for ids in found] == texts
 
 
-def test_pieces_of_over_a_mebibyte(library):
+def test_trees_of_long_pieces(library, monkeypatch):
+    """Each kind of tree gives the library's ids for pieces of all lengths, whichever kind is used."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(2, 400))) for alphabet in ("ab", "abc ", "etaoinshr", "üöäß", " ", "=-", "\U00010280\u4e2d") for _ in range(40)]
+    truth = [library.encode_ordinary(t) for t in texts]
+    for least in (2, 64, 1 << 30):
+        monkeypatch.setattr("meridion.llm.byte_bpe.LONG_PIECE", least)
+        assert list(ByteBPE(RANKS, public_tokenizers.PATTERN).encode_batch(texts)) == truth
+
+
+@pytest.mark.parametrize("size", [(1 << 20) - 1, 1 << 20, (1 << 20) + 1, 3 << 20])
+def test_pieces_of_over_a_mebibyte(library, size):
     bpe = ByteBPE(RANKS, public_tokenizers.PATTERN)
-    text = "\U00010280" * (1 << 18) + "überallwordsandletters" * 3  # one run of letters; its merges are all past the first MiB
-    assert bpe.find(text) == [text] and len(text.encode()) > 1 << 20
-    assert list(bpe.encode_batch([text])) == [library.encode_ordinary(text)]
+    rng = random.Random(size)
+    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(size))
+    texts = [letters, " " * size, "\U00010280" * (size // 4) + "überallwordsandletters" * 3]
+    began = time.time()
+    found = list(bpe.encode_batch(texts))
+    assert time.time() - began < 120
+    for text, ids in zip(texts, found):
+        # The library's own pattern engine overflows on such pieces, so they are handed to it one by one.
+        assert ids == [i for piece in bpe.find(text) for i in library._encode_single_piece(piece.encode())] and bpe.decode(ids).decode() == text
 
 
 def test_full_cache_changes_nothing(library, monkeypatch):
