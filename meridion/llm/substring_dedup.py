@@ -1,22 +1,26 @@
 """Substring dedup with prefix-partitioned suffix trees over words.
 
-The suffixes of all documents, cut at ``width`` words, are dealt to groups by variable-length prefixes:
-one word where that prefix's suffixes fit a group, all ``width`` words where they don't. A group is one
-subtree; it is held as its leaves in the order of their (hashed) paths, where an internal node is a run
-of leaves that share a prefix, and a node of depth ``width`` is a run of equal keys. Such a node says
-that its words repeat; its least doc_id keeps them, all its other documents lose them. Nodes below have
-fewer leaves and add nothing. Neighbouring windows that are lost join to the maximal repeats.
-
-Two things keep the trees small. Windows can only repeat if their minimiser does (the least hash of the
-shorter word runs inside), so minimisers are counted first and suffixes of others never leave their task.
-And a task sends one leaf for each different key, with its least doc_id, so that what repeats in a third
-of all documents sends as many leaves as there are tasks' portions. Keys are 64-bit hashes of the words.
+The suffixes of all documents, cut at ``width`` words, are dealt to groups by prefixes of 1, 2, 4, 8 or
+``width`` words: the shortest prefix that not too many suffixes begin with, by counts of all of them. A
+group is one subtree. It is held as a suffix array: its suffixes in the order of their words, which are
+compared themselves, and the number of words that neighbours have in common. An internal node is an
+interval of it; one of depth ``width`` says that its words repeat. The least doc_id there keeps them, all
+its other documents lose them.
+
+Two things keep the subtrees small. A suffix can only repeat if its minimiser does (the least hash of the
+shorter word runs inside), so minimisers are looked up first and suffixes of others never leave their
+task. And a task sorts the suffixes of each of its documents' homes first and sends on those of the least
+doc_id of each node only, so that what repeats in a third of all documents sends one suffix a home.
+
+Documents are spread over homes by row, whatever their doc_ids, of which there are as many as keep a home
+at HOME words on average. Words are told apart by 64-bit hashes inside one home, by themselves across homes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,119 +32,205 @@ from .words import U64, Chunk, chunks, mix
 
 WIDTH = 13
 ANCHOR = 6
-PORTION = 1 << 21  # keys that a task gathers before it sends them
-BINS = 4096  # of first words, for the plan of groups
+PORTION = 1 << 21  # minimisers that a task gathers before it sends them
+HOME = 1 << 20  # words of a home, on average
+GROUP = 1 << 21  # suffixes of a group, at most where prefixes can be longer
+MOST_BINS = 1 << 20  # of the prefixes of one length, so that the plan has at most 20 MB
+STEP = U64(0xC2B2AE3D27D4EB4F)
 
 
-def _windows(chunk: Chunk, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: its key, its minimiser, its first word's hash and its first word's index."""
-    words = chunk.hashes()
-    key, at = chunk.windows(words, width)
+def homes(width: int, n_words: int = 0) -> int:
+    """A prime of half as many again as partitions, at least, and of so many that a home has HOME words."""
+    n = max(3 * width // 2, n_words // HOME) + 1
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def _starts(chunk: Chunk, width: int) -> np.ndarray:
+    """Each window's first word."""
+    n = max(0, len(chunk.starts) - width + 1)
+    left = np.repeat(chunk.words[1:], np.diff(chunk.words))  # the end of each word's row
+    return np.flatnonzero(np.arange(n) + width <= left[:n])
+
+
+def _minimisers(chunk: Chunk, words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each window's first word and its minimiser."""
+    n, at = max(0, len(words) - width + 1), _starts(chunk, width)
     short = min(ANCHOR, width)
     grams = np.zeros(max(0, len(words) - short + 1), U64)
-    step = U64(0xC2B2AE3D27D4EB4F)
     for k in range(short):
-        grams = grams * step + words[k : k + len(grams)]
+        grams = grams * STEP + words[k : k + len(grams)]
     grams ^= grams >> U64(29)
     grams *= U64(0x94D049BB133111EB)
     grams ^= grams >> U64(32)
-    least = grams[: max(0, len(words) - width + 1)].copy()
+    least = grams[:n].copy()
     for k in range(1, width - short + 1):
         np.minimum(least, grams[k : k + len(least)], out=least)
-    return key, least[at], words[at], at
+    return at, least[at]
 
 
-def _sorted_pairs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, doc) pairs in order, where each key starts, and how many pairs it has."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    keys, docs = keys[new], docs[new]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    start = np.flatnonzero(first)
-    return keys, docs, start, np.diff(np.append(start, len(keys)))
+def depths(width: int) -> list[int]:
+    return [d for d in (1, 2, 4, 8) if d < width] + [width]
 
 
-SETTLED = -(1 << 62)  # stands for documents that have their answer already
+def _prefixes(words: np.ndarray, at: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """For each of ``depths`` the hash of so many words from each place."""
+    out = np.zeros(len(at), U64)
+    for k in range(width):
+        out = out * STEP + words[at + k]
+        if k + 1 in depths(width):
+            yield mix(out)
 
 
-def _pack(keys: np.ndarray, docs: np.ndarray) -> bytes:
-    """Keys, and documents as distances from the least, in 4 bytes where they fit; 0 is SETTLED."""
-    real = docs != SETTLED
-    base = int(docs[real].min()) if real.any() else 0
-    far = int(docs[real].max()) - base + 1 >= 1 << 32 if real.any() else False
-    offset = np.where(real, docs - base + 1, 0).astype(U64 if far else np.uint32)
-    return np.array([base, offset.itemsize], np.int64).tobytes() + keys.tobytes() + offset.tobytes()
+@dataclass
+class Plan:
+    """The group of each bin of prefix hashes, a row for each depth; -1 where a longer prefix decides."""
 
+    groups: np.ndarray
+    n_words: int
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    base, size = np.frombuffer(blob, np.int64, 2).tolist()
-    n = (len(blob) - 16) // (8 + size)
-    offset = np.frombuffer(blob, np.uint32 if size == 4 else U64, n, 16 + 8 * n).astype(np.int64)
-    return np.frombuffer(blob, U64, n, 16), np.where(offset == 0, SETTLED, offset - 1 + base)
+    def group_of(self, words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        out, bits = np.full(len(at), -1, np.int32), U64(65 - self.groups.shape[1].bit_length())
+        for own, key in zip(self.groups, _prefixes(words, at, width), strict=True):
+            out = np.where(out < 0, own[(key >> bits).astype(np.int64)], out)
+        return out
 
 
+def prefix_plan(docs: DataFrame, width: int, groups: int) -> Plan:
+    """Deals bins of prefixes to ``groups`` groups or more, from counts of all suffixes by all depths' prefixes.
+
+    A bin's count is an upper bound of the suffixes it gets, as shorter prefixes take some. A prefix of all
+    ``width`` words can't be split; what repeats so often is sent once a home.
+    """
+
+    def counted(bins: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(depths(width)), bins), np.int64)
+            n_words, shift = 0, U64(65 - bins.bit_length())
+            for batch in batches:
+                for chunk in chunks(batch.column(0)):
+                    words = chunk.hashes()
+                    n_words += len(words)
+                    for own, key in zip(total, _prefixes(words, _starts(chunk, width), width), strict=True):
+                        own += np.bincount((key >> shift).astype(np.int64), minlength=bins)
+            depth, some = np.nonzero(total)
+            rows = [np.append(depth, -1), np.append(some, 0), np.append(total[depth, some], n_words)]
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int32(), pa.int64()), strict=True)], ["depth", "bin", "n"])
+
+        return run
+
+    # Bins grow with the input; its size in bytes says how many are needed without another pass over the texts.
+    rough = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / 6).first()[0]
+    bins = min(MOST_BINS, 1 << max(12, int(4 * max(groups, rough / GROUP)).bit_length()))
+    rows = docs.select("text").mapInArrow(counted(bins), "depth int, bin int, n long").groupBy("depth", "bin").agg(F.sum("n").alias("n")).toArrow()
+    depth, at, n = (rows[c].to_numpy() for c in ("depth", "bin", "n"))
+    count, n_words = np.zeros((len(depths(width)), bins), np.int64), int(n[depth < 0].sum())
+    count[depth[depth >= 0], at[depth >= 0]] = n[depth >= 0]
+    size = max(1, min(GROUP, -(-n_words // groups)), n_words // (MOST_BINS // 4))
+    plan, group, room, share = np.full(count.shape, -1, np.int32), 0, float(size), 1.0
+    for k, own in enumerate(count):
+        cold = (own <= size) | (k == len(count) - 1)
+        for b in np.flatnonzero(cold).tolist():
+            if own[b] * share > room and room < size:
+                group, room = group + 1, float(size)
+            plan[k, b] = group
+            room -= own[b] * share
+        # The part of all suffixes that needs a longer prefix, for the expected size of what longer prefixes get.
+        share = float(own[~cold].sum()) / max(1, n_words)
+    return Plan(plan, n_words)
+
+
+# Minimisers --------------------------------------------------------------------------------------------------
+
 SENT = "bucket int, leaves binary, home int, answers binary"
-LOCAL = 8  # documents of one key that a portion sends on; of more, it settles all but one itself
+ANSWERS = "home int, answers binary"
+LOCAL = 8  # rows of one minimiser that a portion sends on; of more, it settles all itself
+SETTLED = -(1 << 62)  # stands for rows that have their answer already
 
 
-def homes(width: int) -> int:
-    """A prime of half as many again as partitions, at least: documents and answers meet by doc_id modulo it.
+def _indexed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values and each one's place among them, in two bytes where they fit."""
+    table, place = np.unique(values, return_inverse=True)
+    return table, place.astype(np.uint16 if len(table) < 1 << 16 else np.uint32)
+
+
+def _pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays or bytes one after another, compressed, with their types and sizes in front."""
+    import zstandard
+
+    parts = [np.frombuffer(a, np.uint8) if isinstance(a, bytes) else np.ascontiguousarray(a) for a in arrays]
+    head = [len(parts)] + [x for p in parts for x in (ord(p.dtype.str[1]), p.dtype.itemsize, p.size)]
+    return zstandard.compress(np.array(head, np.int64).tobytes() + b"".join(p.tobytes() for p in parts), 1)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    data = zstandard.decompress(blob)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    head = np.frombuffer(data, np.int64, 3 * n, 8).reshape(n, 3).tolist()
+    out, at = [], 8 + 24 * n
+    for kind, size, count in head:
+        out.append(np.frombuffer(data, np.dtype(f"{chr(kind)}{size}"), count, at))
+        at += size * count
+    return out
+
+
+def _pairs_packed(keys: np.ndarray, rows: np.ndarray) -> bytes:
+    return _pack(keys, *_indexed(rows))
+
+
+def _pairs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [_unpack(x) for x in blobs]
+    if not parts:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1][p[2]] for p in parts])
+
+
+def _cells_packed(rows: np.ndarray, at: np.ndarray) -> bytes:
+    """Rows and places in them, in order; steps from one place to the next compress best."""
+    order = np.lexsort((at, rows))
+    table, place = _indexed(rows[order])
+    return _pack(table, np.diff(place.astype(np.int64), prepend=0).astype(np.uint32), np.diff(at[order], prepend=0).astype(np.int32))
 
-    Portions send a row to each home and to each bucket, of which there are as many as partitions, so rows
-    grow with the square of the partitions at most, however often a key repeats.
-    """
-    n = 3 * width // 2 + 1
-    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
 
+def _cells(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [_unpack(x) for x in blobs]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([t[np.cumsum(p, dtype=np.int64)] for t, p, _ in parts]), np.concatenate([np.cumsum(a, dtype=np.int64) for _, _, a in parts])
 
-def _blobs(keys: np.ndarray, docs: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Pairs packed by target: the targets and one blob for each."""
+
+def _dealt(target: np.ndarray, packed: Callable[[np.ndarray], bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The targets, and for each one what ``packed`` makes of the indices that go there."""
     if not len(target):
         return target, []
     order = np.argsort(target, kind="stable")
-    keys, docs, target = keys[order], docs[order], target[order]
-    cut = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+    cut = np.flatnonzero(np.append(True, target[order][1:] != target[order][:-1]))
     ends = np.append(cut[1:], len(target))
-    return target[cut], [_pack(keys[a:b], docs[a:b]) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
+    return target[order][cut], [packed(order[a:b]) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
 
 
-def _leaves(keys: np.ndarray, docs: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    to, blobs = _blobs(keys, docs, bucket)
+def _leaves(bucket: np.ndarray, packed: Callable[[np.ndarray], bytes]) -> pa.RecordBatch:
+    to, blobs = _dealt(bucket, packed)
     n = len(blobs)
     return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["bucket", "leaves", "home", "answers"])
 
 
-def _answers(keys: np.ndarray, docs: np.ndarray, n_homes: int) -> pa.RecordBatch:
-    to, blobs = _blobs(keys, docs, docs % n_homes)
+def _answers(rows: np.ndarray, n_homes: int, packed: Callable[[np.ndarray], bytes], whole: bool = True) -> pa.RecordBatch:
+    to, blobs = _dealt(rows % n_homes, packed)
     n = len(blobs)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "leaves", "home", "answers"])
-
-
-def _send(keys: np.ndarray, docs: np.ndarray, least_only: bool, n_homes: int) -> tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]:
-    """The pairs of a portion to send as leaves, and answers to those that it settles itself.
-
-    A key of few documents is sent with all of them. Of one with more, the least goes on and the others are
-    answered: they share it with another document (which is smaller).
-    """
-    keys, docs, start, count = _sorted_pairs(keys, docs)
-    many = np.repeat(count > LOCAL, count)
-    head = np.zeros(len(keys), bool)
-    head[start] = True
-    settled = many & (~head if least_only else True)
-    out = [_answers(keys[settled], docs[settled], n_homes)] if settled.any() else []
-    sent = ~many | head
-    return keys[sent], docs[sent], out
+    own = [pa.array(to, pa.int32()), pa.array(blobs, pa.binary())]
+    if not whole:
+        return pa.RecordBatch.from_arrays(own, ["home", "answers"])
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *own], ["bucket", "leaves", "home", "answers"])
 
 
 class Portion:
-    """Gathers (key, document, extra) triples and sends them when there are enough."""
+    """Gathers (key, row) pairs and sends them when there are enough."""
 
-    def __init__(self, send: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], limit: int):
+    def __init__(self, send: Callable[[np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], limit: int):
         self.send, self.limit, self.parts, self.n = send, limit, [], 0
 
     def add(self, *part: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -155,43 +245,34 @@ class Portion:
         self.parts, self.n = [], 0
 
 
-def _settle(sent: DataFrame, width: int, judge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(home, answers): those given by portions and those that groups of leaves give.
-
-    ``judge`` gets a group's leaves (key, document) in the order of keys and says which of them are answered.
-    """
-    n_homes = homes(width)
+def _settled(sent: DataFrame, partitions: int, judge: Callable[[list[bytes]], pa.RecordBatch]) -> DataFrame:
+    """(home, answers): those given before and those that ``judge`` gives for each bucket's leaves, a bucket at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        bucket, held = None, []
         for batch in batches:
-            leaves = batch.column(1)
-            parts += [_unpack(x) for x in leaves.drop_null().to_pylist()]
-            own = batch.filter(leaves.is_null()).select(["home", "answers"])
-            if len(own):
-                yield own
-        if parts:
-            keys, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
-            del parts
-            order = np.argsort(keys, kind="stable")
-            keys, docs = keys[order], docs[order]
-            good = judge(keys, docs)
-            yield _answers(keys[good], docs[good], n_homes).select(["home", "answers"])
-
-    # Leaves meet by bucket; answers, which have none, are spread.
-    dealt = sent.repartitionById(width, F.pmod(F.coalesce("bucket", "home"), F.lit(width)).cast("int"))
-    return dealt.mapInArrow(run, "home int, answers binary").repartition(width, "home")
-
-
-def _answered(answers: pa.Table) -> np.ndarray:
-    """Sorted numbers of the answered pairs of one home."""
-    parts = [_unpack(x) for x in answers["answers"].to_pylist()]
-    return np.unique(np.concatenate([_pair(k, d) for k, d in parts])) if parts else np.zeros(0, U64)
-
-
-def _pair(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """One number for a key and its document; equal numbers of different pairs would be a hash collision."""
-    return keys ^ mix(docs.astype(np.int64).view(U64) + U64(0x9E3779B97F4A7C15))
+            given = batch.filter(batch.column(0).is_null()).select(["home", "answers"])
+            if len(given):
+                yield given
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if b is None:
+                    continue
+                if b != bucket and held:
+                    yield judge(held)
+                    held = []
+                bucket = b
+                held.append(blob.as_py())
+        if held:
+            yield judge(held)
+
+    # Leaves meet by bucket, in its order; answers, which have none, are spread by home and come first.
+    dealt = sent.repartitionById(partitions, F.pmod(F.coalesce("bucket", "home"), F.lit(partitions)).cast("int")).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, ANSWERS).repartition(partitions, "home")
+
+
+def _number(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """One number for a minimiser and its row; equal numbers of different pairs only let more suffixes through."""
+    return keys ^ mix(rows.astype(np.int64).view(U64) + U64(0x9E3779B97F4A7C15))
 
 
 def _member(numbers: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -201,132 +282,209 @@ def _member(numbers: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == numbers
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each run of equal sorted keys, and each key's run."""
-    first = np.append(True, keys[1:] != keys[:-1])
-    return np.flatnonzero(first), np.cumsum(first) - 1
-
-
-def repeated_anchors(docs: DataFrame, width: int, portion: int = PORTION) -> DataFrame:
-    """(doc_id, keys): the minimisers of each document that another document has too."""
-    partitions = shuffle_width(docs.sparkSession)
-    n_homes = homes(partitions)
-
-    def send(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, ids, out = _send(keys, ids, False, n_homes)
-        yield from out
-        # Each key that the portion has settled goes on once, for others to learn of it.
-        if out:
-            done = np.concatenate([_unpack(x)[0] for x in out[0].column(3).to_pylist()])
-            ids = np.where(np.isin(keys, done), SETTLED, ids)
-        yield _leaves(keys, ids, (keys % U64(partitions)).astype(np.int32))
+def repeated_anchors(dealt: DataFrame, width: int, n_homes: int, portion: int = PORTION) -> DataFrame:
+    """(home, answers): the (minimiser, row) pairs of which another row has the minimiser too; as many buckets as homes."""
+    partitions = shuffle_width(dealt.sparkSession)
+
+    def send(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((rows, keys))
+        keys, rows = keys[order], rows[order]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1]))
+        keys, rows = keys[new], rows[new]
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        count = np.diff(np.append(start, len(keys)))
+        many = np.repeat(count > LOCAL, count)
+        if many.any():
+            own_keys, own_rows = keys[many], rows[many]
+            yield _answers(own_rows, n_homes, lambda k: _pairs_packed(own_keys[k], own_rows[k]))
+        # A minimiser that the portion has settled goes on once, for others to learn of it.
+        first = np.zeros(len(keys), bool)
+        first[start] = True
+        sent = ~many | first
+        keys, rows = keys[sent], np.where(many, SETTLED, rows)[sent]
+        yield _leaves((keys % U64(n_homes)).astype(np.int32), lambda k: _pairs_packed(keys[k], rows[k]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered = Portion(send, portion)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = batch.column(0).to_numpy()
             for chunk in chunks(batch.column(1)):
-                _, least, _, at = _windows(chunk, width)
-                own = ids[chunk.first + np.searchsorted(chunk.words, at, "right") - 1]
-                new = np.ones(len(least), bool)
-                new[1:] = (least[1:] != least[:-1]) | (own[1:] != own[:-1])
+                at, least = _minimisers(chunk, chunk.hashes(), width)
+                own = rows[chunk.first + np.searchsorted(chunk.words, at, "right") - 1]
+                new = np.append(True, (least[1:] != least[:-1]) | (own[1:] != own[:-1]))[: len(least)]
                 yield from gathered.add(least[new], own[new])
         yield from gathered.flush()
 
-    def judge(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        start, of = _runs(keys)
-        several = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
-        return several[of] & (ids != SETTLED)
-
-    return _settle(docs.mapInArrow(run, SENT), partitions, judge)
-
-
-def prefix_plan(docs: DataFrame, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each bin of first words its first group and the number of groups its suffixes are split into.
-
-    All suffixes are counted by the bin of their first word: at most BINS rows a task and in the end.
+    def judge(blobs: list[bytes]) -> pa.RecordBatch:
+        keys, rows = _pairs(blobs)
+        order = np.argsort(keys, kind="stable")
+        keys, rows = keys[order], rows[order]
+        first = np.append(True, keys[1:] != keys[:-1])
+        start = np.flatnonzero(first)
+        several = np.minimum.reduceat(rows, start) != np.maximum.reduceat(rows, start)
+        good = several[np.cumsum(first) - 1] & (rows != SETTLED)
+        keys, rows = keys[good], rows[good]
+        return _answers(rows, n_homes, lambda k: _pairs_packed(keys[k], rows[k]), whole=False)
+
+    known = dealt.where("doc_id is not null").select("row", "text")
+    return _settled(known.mapInArrow(run, SENT), partitions, judge)
+
+
+# Subtrees ----------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Subtree:
+    """Suffixes in the order of their words: ``order`` of the given ones, ``common`` words with the one before."""
+
+    order: np.ndarray
+    common: np.ndarray
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """Where the intervals of suffixes that share ``depth`` words begin."""
+        return np.flatnonzero(self.common < depth)
+
+    def internal(self) -> dict[int, int]:
+        """How many internal nodes there are of each depth: intervals that neighbours within share exactly so many words of."""
+        out: dict[int, int] = {}
+        open_: list[int] = []
+        for x in self.common[1:].tolist():
+            while open_ and open_[-1] > x:
+                open_.pop()
+            if x and (not open_ or open_[-1] < x):
+                open_.append(x)
+                out[x] = out.get(x, 0) + 1
+        return out
+
+
+def subtree(words: np.ndarray, size: int) -> Subtree:
+    """The subtree of suffixes, rows of word ranks below ``size``."""
+    n, width = words.shape
+    bits = max(1, (size - 1).bit_length())
+    each = 64 // bits  # words that fit one number
+    columns = []
+    for k in range(0, width, each):
+        packed = np.zeros(n, U64)
+        for j in range(k, min(width, k + each)):
+            packed = packed << U64(bits) | words[:, j].astype(U64)
+        columns.append(packed)
+    order = np.lexsort(columns[::-1])
+    common = np.zeros(n, np.int64)
+    same = np.ones(max(0, n - 1), bool)
+    for k in range(width):
+        own = words[order, k]
+        same &= own[1:] == own[:-1]
+        common[1:] += same
+    return Subtree(order, common)
+
+
+def _least(tree: Subtree, ids: np.ndarray, width: int) -> np.ndarray:
+    """For each suffix, in the tree's order, the least document of its node of depth ``width``."""
+    start = tree.nodes(width)
+    return np.repeat(np.minimum.reduceat(ids, start), np.diff(np.append(start, len(ids)))) if len(ids) else ids
+
+
+def _suffixes_packed(suffixes: np.ndarray, words: list[bytes], ids: np.ndarray, rows: np.ndarray, at: np.ndarray) -> bytes:
+    used, place = _indexed(suffixes)
+    return _pack(b"\n".join([words[k] for k in used.tolist()]), place.reshape(suffixes.shape).T, *_indexed(ids), *_indexed(rows), at.astype(np.uint32))
+
+
+def _suffixes(blobs: list[bytes], width: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of many blobs as rows of ranks in their common words, how many those are, and documents, rows and places."""
+    parts = [_unpack(x) for x in blobs]
+    own = [p[0].tobytes().split(b"\n") for p in parts]
+    rank = {w: k for k, w in enumerate(sorted(set().union(*own)))}
+    table = [np.array([rank[w] for w in words], np.uint32)[p[1]].reshape(width, -1).T for words, p in zip(own, parts, strict=True)]
+    columns = [np.concatenate([p[k][p[k + 1]] for p in parts]) for k in (2, 4)]
+    return np.concatenate(table), len(rank), *columns, np.concatenate([p[6] for p in parts]).astype(np.int64)
+
+
+class Home:
+    """The suffixes of a home's documents that may repeat."""
+
+    def __init__(self, texts: pa.Table, among: np.ndarray, width: int, plan: Plan):
+        parts, kept = [], []
+        known = texts.filter(texts["doc_id"].is_valid())
+        ids, rows, first = known["doc_id"].to_numpy(), known["row"].to_numpy(), 0
+        for chunk in chunks(known["text"]) if len(among) else ():
+            words = chunk.hashes()
+            at, least = _minimisers(chunk, words, width)
+            row = np.searchsorted(chunk.words, at, "right") - 1
+            good = _member(_number(least, rows[chunk.first + row]), among)
+            at, row = at[good], row[good]
+            if not len(at):
+                continue
+            # Only words of these suffixes are taken along.
+            cover = np.cumsum(np.bincount(at, minlength=len(words) + 1) - np.bincount(at + width, minlength=len(words) + 1))[:-1] > 0
+            place = np.cumsum(cover) - 1 + first
+            own = np.flatnonzero(cover)
+            kept.append((words[own], chunk.data.tobytes(), chunk.starts[own], chunk.ends[own]))
+            parts.append((place[at], ids[chunk.first + row], rows[chunk.first + row], at - chunk.words[row], plan.group_of(words, at, width)))
+            first += len(own)
+        if not parts:
+            self.start = np.zeros(0, np.int64)
+            return
+        self.start, self.ids, self.rows, self.at, self.group = (np.concatenate(x) for x in zip(*parts, strict=True))
+        hashes = np.concatenate([k[0] for k in kept])
+        _, example, place = np.unique(hashes, return_index=True, return_inverse=True)
+        cuts = np.cumsum([0] + [len(k[0]) for k in kept])
+        of = np.searchsorted(cuts, example, "right") - 1
+        strings = [kept[c][1][kept[c][2][e] : kept[c][3][e]] for c, e in zip(of.tolist(), (example - cuts[of]).tolist(), strict=True)]
+        order = sorted(range(len(strings)), key=strings.__getitem__)
+        self.words = [strings[k] for k in order]
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        ranked = rank[place]
+        self.suffixes = np.stack([ranked[self.start + k] for k in range(width)], axis=1)
+
+    def sent(self, width: int, n_homes: int) -> Iterator[pa.RecordBatch]:
+        """Answers to suffixes of which a document with a lesser id is in the same home, and the others for their groups."""
+        if not len(self.start):
+            return
+        tree = subtree(self.suffixes, len(self.words))
+        o = tree.order
+        suffixes, ids, rows, at, group = self.suffixes[o], self.ids[o], self.rows[o], self.at[o], self.group[o]
+        lost = ids > _least(tree, ids, width)
+        if lost.any():
+            own_rows, own_at = rows[lost], at[lost]
+            yield _answers(own_rows, n_homes, lambda k: _cells_packed(own_rows[k], own_at[k]))
+        on = np.flatnonzero(~lost)
+        yield _leaves(group[on], lambda k: _suffixes_packed(suffixes[on[k]], self.words, ids[on[k]], rows[on[k]], at[on[k]]))
+
+
+def removable(dealt: DataFrame, plan: Plan, n_homes: int, width: int = WIDTH, portion: int = PORTION) -> DataFrame:
+    """(home, answers): rows and places of the windows that also start in a document with a smaller doc_id.
+
+    ``dealt`` is (doc_id, text, row, home), dealt by home; its shuffle is used again.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BINS, np.int64)
-        for batch in batches:
-            for chunk in chunks(batch.column(1)):
-                total += np.bincount((chunk.hashes() >> U64(52)).astype(np.int64), minlength=BINS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["bin", "n"])
-
-    count = np.zeros(BINS, np.int64)
-    for r in docs.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
-        count[r.bin] = r.n
-    size = max(1, -(-int(count.sum()) // groups))
-    first, split, group, room = np.zeros(BINS, np.int64), np.ones(BINS, np.int64), 0, size
-    for b in range(BINS):
-        if count[b] > size:  # longer prefixes
-            group, room = group + (room < size), size
-            first[b], split[b] = group, -(-count[b] // size)
-            group += split[b]
-        else:
-            if count[b] > room:
-                group, room = group + 1, size
-            first[b] = group
-            room -= count[b]
-    return first, split
-
-
-def removable(read: DataFrame, dealt: DataFrame, width: int = WIDTH, portion: int = PORTION) -> DataFrame:
-    """(doc_id, keys): the windows of each document that also start in a document with a smaller doc_id.
-
-    ``read`` is (doc_id, text) as it is read, ``dealt`` the same rows dealt by doc_id, whose shuffle can be used again.
-    """
-    partitions = shuffle_width(read.sparkSession)
-    known = read.where("doc_id is not null")
-    first, split = prefix_plan(known, partitions)
-    anchors = repeated_anchors(known, width, portion)
-    n_homes = homes(partitions)
+    spark = dealt.sparkSession
+    partitions = shuffle_width(spark)
+    shared = spark.sparkContext.broadcast(plan)  # at most five numbers for each of MOST_BINS bins
+    empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.int32(), pa.binary())], ["bucket", "leaves", "home", "answers"])
 
     def group(texts, answers):
-        among = _answered(answers)
-        parts = []
-        if len(among):
-            ids = texts["doc_id"].to_numpy()
-            for chunk in chunks(texts["text"]):
-                key, least, word, at = _windows(chunk, width)
-                own = ids[chunk.first + np.searchsorted(chunk.words, at, "right") - 1]
-                good = _member(_pair(least, own), among)
-                parts.append((key[good], own[good], word[good]))
-        out = []
-        if parts:
-            keys, ids, words = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(keys, kind="stable")
-            sorted_keys, sorted_words = keys[order], words[order]
-            keys, ids, out = _send(keys, ids, True, n_homes)
-            own = (sorted_words[np.searchsorted(sorted_keys, keys)] >> U64(52)).astype(np.int64)
-            bucket = first[own] + (keys % split[own].astype(U64)).astype(np.int64)
-            out.append(_leaves(keys, ids, bucket.astype(np.int32)))
-        empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.int32(), pa.binary())], ["bucket", "leaves", "home", "answers"])
-        return pa.Table.from_batches([*out, empty])
-
-    def judge(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        start, of = _runs(keys)
-        return ids > np.minimum.reduceat(ids, start)[of]
-
-    anchors = repeated_anchors(known, width, portion)
+        among = np.unique(_number(*_pairs(answers["answers"].to_pylist())))
+        return pa.Table.from_batches([empty, *Home(texts, among, width, shared.value).sent(width, n_homes)])
+
+    def judge(blobs: list[bytes]) -> pa.RecordBatch:
+        suffixes, size, ids, rows, at = _suffixes(blobs, width)
+        tree = subtree(suffixes, size)
+        ids = ids[tree.order]
+        lost = tree.order[ids > _least(tree, ids, width)]
+        rows, at = rows[lost], at[lost]
+        return _answers(rows, n_homes, lambda k: _cells_packed(rows[k], at[k]), whole=False)
+
+    anchors = repeated_anchors(dealt, width, n_homes, portion)
     sent = dealt.groupBy("home").cogroup(anchors.groupBy("home")).applyInArrow(group, SENT)
-    return _settle(sent, partitions, judge)
+    return _settled(sent, partitions, judge)
 
 
-def _kept(chunk: Chunk, ids: np.ndarray, among: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word whether it stays, and for each row its number of maximal repeats."""
-    if not len(among):
-        return np.ones(len(chunk.starts), bool), np.zeros(len(chunk), np.int64)
-    key, at = chunk.windows(chunk.hashes(), width)
-    row = np.searchsorted(chunk.words, at, "right") - 1
-    gone = _member(_pair(key, ids[chunk.first + row]), among)
-    where, of = at[gone], row[gone]
-    cover = np.zeros(len(chunk.starts) + 1, np.int64)
-    cover[: len(cover)] += np.bincount(where, minlength=len(cover)) - np.bincount(where + width, minlength=len(cover))
-    new = np.ones(len(where), bool)
-    new[1:] = (where[1:] > where[:-1] + width) | (of[1:] != of[:-1])
+def _kept(chunk: Chunk, row: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word whether it stays, and for each row its stretches of removed words; ``row`` and ``place`` of the lost windows."""
+    where = np.sort(chunk.words[row] + place)
+    of = np.searchsorted(chunk.words, where, "right") - 1
+    cover = np.bincount(where, minlength=len(chunk.starts) + 1) - np.bincount(where + width, minlength=len(chunk.starts) + 1)
+    new = np.append(True, (where[1:] > where[:-1] + width) | (of[1:] != of[:-1]))[: len(where)]
     return np.cumsum(cover)[:-1] == 0, np.bincount(of[new], minlength=len(chunk))
 
 
@@ -335,23 +493,28 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, with_text: bool = False) ->
 
     A word goes if a window of ``width`` words over it also starts in a document with a smaller doc_id.
     Null texts have no words (the hash of nothing); rows without a doc_id lose nothing and count for no
-    other; rows that share a doc_id don't count against each other; texts of fewer words stay.
+    other; rows that share a doc_id don't count against each other; texts of fewer words stay. n_spans
+    counts stretches of removed windows that touch.
     """
     partitions = shuffle_width(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    home = F.coalesce(F.pmod("doc_id", F.lit(homes(partitions))), F.lit(0)).cast("int")
-    dealt = read.withColumn("home", home).repartition(partitions, "home")
+    plan = prefix_plan(read.where("doc_id is not null"), width, partitions)
+    n_homes = homes(partitions, plan.n_words)
+    # Rows are numbered once, before the shuffle that all later steps read.
+    numbered = read.withColumn("row", F.monotonically_increasing_id())
+    dealt = numbered.withColumn("home", F.pmod("row", F.lit(n_homes)).cast("int")).repartition(partitions, "home")
 
     def group(texts, answers):
-        among = _answered(answers)
-        no_id = texts["doc_id"].is_null().to_numpy()
-        ids = texts["doc_id"].fill_null(0).to_numpy()
+        rows = texts["row"].to_numpy()
+        lost_rows, lost_at = _cells(answers["answers"].to_pylist())
+        order = np.argsort(rows)
+        index = order[np.searchsorted(rows, lost_rows, sorter=order)] if len(lost_rows) else lost_rows
+        order = np.argsort(index, kind="stable")
+        index, lost_at = index[order], lost_at[order]
         out = []
         for chunk in chunks(texts["text"]):
-            keep, spans = _kept(chunk, ids, among, width)
-            own = no_id[chunk.first : chunk.first + len(chunk)]
-            if own.any():
-                keep, spans = keep | np.repeat(own, np.diff(chunk.words)), np.where(own, 0, spans)
+            a, b = np.searchsorted(index, (chunk.first, chunk.first + len(chunk)))
+            keep, spans = _kept(chunk, index[a:b] - chunk.first, lost_at[a:b], width)
             raw = chunk.data.tobytes()
             starts, ends, stays = chunk.starts.tolist(), chunk.ends.tolist(), keep.tolist()
             lost = np.diff(np.concatenate([[0], np.cumsum(~keep)])[chunk.words]).tolist()
@@ -370,5 +533,5 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, with_text: bool = False) ->
         return pa.table([texts["doc_id"].combine_chunks(), *columns][: len(names)], names=names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long" + ", kept_text string" * with_text
-    answers = removable(read, dealt, width)
+    answers = removable(dealt, plan, n_homes, width)
     return dealt.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(group, schema)

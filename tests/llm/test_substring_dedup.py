@@ -1,11 +1,14 @@
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from meridion.llm.substring_dedup import deduplicate
+from meridion.llm.substring_dedup import Home, _number, _pairs, deduplicate, prefix_plan, repeated_anchors, subtree
 
-from .fixtures import SCHEMA, documents, words_of
+from .fixtures import SCHEMA, documents, prose, words_of
 
 
 def brute(rows, width):
@@ -26,19 +29,69 @@ def brute(rows, width):
     return out
 
 
+def result(df, width=13):
+    return Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in deduplicate(df, width, with_text=True).collect())
+
+
 @pytest.mark.parametrize("local", [1, 8])
 @pytest.mark.parametrize("width", [5, 13])
 def test_against_brute_force(spark, monkeypatch, local, width):
     monkeypatch.setattr("meridion.llm.substring_dedup.LOCAL", local)
     rows = documents()
     df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "home").withColumnRenamed("source", "keys")
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in deduplicate(df, width, with_text=True).collect())
-    assert got == brute(rows, width)
+    assert result(df, width) == brute(rows, width)
+
+
+def test_many_small_homes_and_groups(spark, monkeypatch):
+    """Prefixes of all lengths decide, and nodes are closed by homes and by groups."""
+    monkeypatch.setattr("meridion.llm.substring_dedup.HOME", 200)
+    monkeypatch.setattr("meridion.llm.substring_dedup.GROUP", 40)
+    rows = documents() + [(500 + k, prose(40, 60) + f" tail {k}", "en", "s", 1) for k in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    plan = prefix_plan(df.select("text"), 13, 4)
+    assert all((plan.groups[k] >= 0).any() for k in range(5)) and (plan.groups[0] < 0).any() and plan.groups.max() > 50
+    assert result(df) == brute(rows, 13)
+
+
+def test_missing_and_hot_doc_ids(spark):
+    rows = documents() + [(None, prose(k, 40), "en", "s", 1) for k in range(60)] + [(3, prose(k % 5, 40), "en", "s", 1) for k in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert result(df) == brute(rows, 13)
 
 
 def test_many_copies_and_empty(spark):
     text = documents()[0][1]
     rows = [(k, text, "en", "s", 1) for k in range(60)]
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in deduplicate(spark.createDataFrame(rows, SCHEMA), with_text=True).collect())
-    assert got == brute(rows, 13)
+    assert result(spark.createDataFrame(rows, SCHEMA)) == brute(rows, 13)
     assert deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_subtree_is_in_the_order_of_words():
+    rng = random.Random(3)
+    words = [rng.choice("abcd") for _ in range(400)]
+    suffixes = np.array([["abcd".index(c) for c in words[k : k + 13]] for k in range(388)], np.uint32)
+    for size in (4, 1 << 20, 1 << 30):
+        tree = subtree(suffixes, size)
+        rows = [tuple(suffixes[k]) for k in tree.order]
+        assert rows == sorted(map(tuple, suffixes.tolist()))
+        assert [next((i for i in range(13) if a[i] != b[i]), 13) for a, b in zip(rows, rows[1:])] == tree.common[1:].tolist()
+        for depth in (1, 3, 13):
+            assert len(tree.nodes(depth)) == len({r[:depth] for r in rows})
+        shared = Counter(r[:d] for d in range(1, 14) for r in map(tuple, suffixes.tolist()))
+        branching = Counter(len(p) for p, n in shared.items() if n > 1 and (len(p) == 13 or len({r[len(p)] for r in rows if r[: len(p)] == p}) > 1))
+        assert tree.internal() == dict(branching)
+
+
+def test_default_settings_visit_deep_nodes(spark):
+    """On sf0.01 the subtrees of the operator's own homes have inner nodes of several depths and of the full one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    plan = prefix_plan(docs, 13, 4)
+    dealt = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("home", F.pmod("row", F.lit(7)).cast("int")).persist()
+    anchors = repeated_anchors(dealt, 13, 7).toArrow()
+    found = Counter()
+    for home in range(7):
+        blobs = [b for h, b in zip(anchors["home"].to_pylist(), anchors["answers"].to_pylist()) if h == home]
+        own = Home(dealt.where(F.col("home") == home).toArrow(), np.unique(_number(*_pairs(blobs))), 13, plan)
+        found.update(subtree(own.suffixes, len(own.words)).internal())
+    dealt.unpersist()
+    assert found[13] > 0 and sum(n for d, n in found.items() if d < 13) > found[13] and len(found) > 5
