@@ -5,6 +5,11 @@ placeholders, everything else is its lower-case form without edge punctuation. W
 symbols of the benchmark are hash-joined with those of the documents. A matched window counts only if
 its slots are consistent: along one alignment of document and item, equal slot values of the item meet
 equal values in the document and different ones different values, whatever the values are.
+
+Beside its templates an item has plain windows, of lower-case words without placeholders: they find items
+whose windows are mostly placeholders (names, numbers, title case) and copies in another case. Items of
+fewer words than a window have one plain window of all their words, if those are MIN_FILLED or more.
+Templates and plain windows are counted apart. Items of equal text are one item, the one with the least id.
 """
 
 from __future__ import annotations
@@ -17,8 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import columns_of, packed, unpacked
-from .words import U64, Chunk, chunks, pieces
+from .tables import durable, packed, unpacked
+from .words import U64, Chunk, chunks, mix, pieces
 
 WINDOW = 8
 MIN_FILLED = 4  # words of a window that are no placeholders
@@ -40,18 +45,16 @@ _DIGIT[48:58] = True
 
 
 def _trimmed(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of words without up to eight edge marks on each side; one byte stays."""
-    starts, ends = chunk.starts.copy(), chunk.ends.copy()
-    if len(starts):
-        edge = _EDGE[chunk.data]
-        for _ in range(8):
-            head = edge[starts] & (ends - starts > 1)
-            starts += head
-            tail = edge[ends - 1] & (ends - starts > 1)
-            ends -= tail
-            if not (head.any() or tail.any()):
-                break
-    return starts, ends
+    """Starts and ends of words without edge marks; of a word of marks only the first byte stays."""
+    starts, ends = chunk.starts, chunk.ends
+    inner = np.flatnonzero(~_EDGE[chunk.data])
+    if not len(starts) or not len(inner):
+        return starts.copy(), starts + 1
+    after = np.searchsorted(inner, starts)
+    first = inner[np.minimum(after, len(inner) - 1)]
+    some = (after < len(inner)) & (first < ends)
+    last = inner[np.maximum(np.searchsorted(inner, ends) - 1, 0)] + 1
+    return np.where(some, first, starts), np.where(some, last, starts + 1)
 
 
 def _unit_hashes() -> np.ndarray:
@@ -110,25 +113,58 @@ _UNITS = np.zeros(0, U64)
 _UNITS = _unit_hashes()
 
 
+TEMPLATE, PLAIN = 0, 1
+
+
+def _plain_windows(t: Templates, chunk: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word of each window of lower-case words; windows of other widths have other hashes."""
+    keys, at = chunk.windows(t.core, width)
+    return mix(keys ^ U64(width)), at
+
+
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, text) for each different text: a number of it, and the least id it has."""
+    return benchmark.where("text is not null").groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id")).select(F.xxhash64("text").alias("item"), "item_id", "text")
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(key, item_id, pos, slots, n) of each template window: slots are the values at placeholders (0 elsewhere), n the item's windows."""
+    """(key, item, item_id, kind, pos, slots, n, width) of each window of each different text.
+
+    slots are the values at a template's placeholders (0 elsewhere), n is the item's number of windows of the kind.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for chunk in chunks(batch.column(1), 1 << 18):
+            items, ids = batch.column(0).to_numpy(), batch.column(1)
+            for chunk in chunks(batch.column(2), 1 << 18):
                 t = Templates(chunk)
-                keys, at = t.windows(chunk)
-                row = np.searchsorted(chunk.words, at, "right") - 1
-                values = np.where(t.slot, t.core, U64(0))
-                slots = [values[a : a + WINDOW].view(np.int64).tolist() for a in at.tolist()]
-                count = np.bincount(row, minlength=len(chunk))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array([ids[chunk.first + r] for r in row.tolist()], pa.int64()), pa.array(at - chunk.words[row], pa.int32()), pa.array(slots, pa.list_(pa.int64())), pa.array(count[row], pa.int32())],
-                    ["key", "item_id", "pos", "slots", "n"],
-                )
-
-    return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "key long, item_id long, pos int, slots array<long>, n int")
+                values = np.where(t.slot, t.core, U64(0)).view(np.int64)
+                n_words = np.diff(chunk.words)
+                found = [(TEMPLATE, WINDOW, *t.windows(chunk))]
+                for width in range(MIN_FILLED, WINDOW + 1):
+                    keys, at = _plain_windows(t, chunk, width)
+                    # Shorter windows are those of items that have no more words.
+                    whole = n_words[np.searchsorted(chunk.words, at, "right") - 1] == width
+                    found.append((PLAIN, width, *((keys, at) if width == WINDOW else (keys[whole], at[whole]))))
+                for kind, width, keys, at in found:
+                    row = np.searchsorted(chunk.words, at, "right") - 1
+                    slots = [values[a : a + WINDOW].tolist() if kind == TEMPLATE else [] for a in at.tolist()]
+                    count = np.bincount(row, minlength=len(chunk))
+                    columns = [
+                        pa.array(keys.view(np.int64)), pa.array(items[chunk.first + row]), ids.take(pa.array(chunk.first + row)), pa.array(np.full(len(at), kind, np.int32)),
+                        pa.array((at - chunk.words[row]).astype(np.int32)), pa.array(slots, pa.list_(pa.int64())), pa.array(count[row].astype(np.int32)), pa.array(np.full(len(at), width, np.int32)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "item", "item_id", "kind", "pos", "slots", "n", "width"])
+
+    return distinct_items(benchmark).mapInArrow(run, "key long, item long, item_id long, kind int, pos int, slots array<long>, n int, width int")
+
+
+def _document_windows(chunk: Chunk, widths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and first word of all windows of a chunk that an item may have, and the words' own hashes."""
+    t = Templates(chunk)
+    found = [t.windows(chunk), *(_plain_windows(t, chunk, w) for w in widths)]
+    keys, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    return keys, at, t.core
 
 
 def _consistent(pairs: dict, item: np.ndarray, doc: np.ndarray, back: dict) -> bool:
@@ -145,6 +181,11 @@ def _consistent(pairs: dict, item: np.ndarray, doc: np.ndarray, back: dict) -> b
     return True
 
 
+def _needed(n: np.ndarray) -> np.ndarray:
+    """Of n windows, how many make a document contaminated."""
+    return np.minimum(LONG, COVERED * n)
+
+
 class Index:
     """Benchmark windows by key, small enough to be broadcast."""
 
@@ -152,10 +193,17 @@ class Index:
         key = rows["key"].to_numpy().astype(np.int64).view(U64)
         order = np.argsort(key, kind="stable")
         self.key = key[order]
-        self.item = rows["item_id"].to_numpy().astype(np.int64)[order]
-        self.pos = rows["pos"].to_numpy().astype(np.int64)[order]
-        self.n = rows["n"].to_numpy().astype(np.int64)[order]
-        self.slots = np.array(rows["slots"].to_pylist(), np.int64).reshape(-1, WINDOW)[order] if len(rows) else np.zeros((0, WINDOW), np.int64)
+        item, kind, pos, n, width = (rows[c].to_numpy().astype(np.int64)[order] for c in ("item", "kind", "pos", "n", "width"))
+        # Each item's templates and plain windows are counted for themselves, under numbers of their own.
+        own, first, self.own = np.unique(np.stack([item, kind], axis=1), axis=0, return_index=True, return_inverse=True) if len(rows) else (np.zeros((0, 2), np.int64), order, order)
+        self.own, self.pos, self.kinds, self.sizes = self.own.reshape(-1), pos, own[:, 1], n[first]
+        self.ids = rows["item_id"].combine_chunks().take(pa.array(order[first])).to_pylist() if len(rows) else []
+        self.widths = sorted({int(w) for w in np.unique(width[kind == PLAIN])})
+        slots = rows["slots"].combine_chunks()
+        flat, offsets = slots.flatten().to_numpy(), slots.value_lengths().to_numpy()
+        self.slots = np.zeros((len(rows), WINDOW), np.int64)
+        self.slots[offsets == WINDOW] = flat.reshape(-1, WINDOW)
+        self.slots = self.slots[order]
         self.keys, self.first = np.unique(self.key, return_index=True)
         self.last = np.append(self.first[1:], len(self.key))
         # Most document windows miss: one bit for each value of 20 bits of the key says so at once.
@@ -171,102 +219,141 @@ class Index:
         return maybe[good], at[good]
 
 
-def _score(found: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> dict[int, set[int]]:
-    """item -> positions of its windows found consistently; found holds (item, pos, document word, item slots, document slots)."""
-    bound: dict[tuple[int, int], tuple[dict, dict]] = {}
-    out: dict[int, set[int]] = {}
-    for item, pos, word, a, b in sorted(found, key=lambda x: x[:3]):
-        pairs, back = bound.setdefault((item, word - pos), ({}, {}))
+def _score(found: list[tuple[int, int, np.ndarray, np.ndarray]]) -> int:
+    """How many windows of one item's template are found consistently; found holds (pos, document word, item slots, document values)."""
+    bound: dict[int, tuple[dict, dict]] = {}
+    out = set()
+    for pos, word, a, b in sorted(found, key=lambda x: x[:2]):
+        pairs, back = bound.setdefault(word - pos, ({}, {}))
         if _consistent(pairs, a, b, back):
-            out.setdefault(item, set()).add(pos)
-    return out
+            out.add(pos)
+    return len(out)
 
 
 MATCH = "doc_id long, item_id long, n_matched long, n_windows long"
+EXPANDED = 1 << 20  # pairs of a document's window and an item's that are held at a time, unless one row has more
 
 
-def _found(index: Index, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
-    """(row, [(item, matched windows, all its windows)]) of the rows that share a window with an item."""
-    sizes = dict(zip(index.item.tolist(), index.n.tolist(), strict=True))
+def _found(index: Index, texts: pa.Array, enough: bool) -> Iterator[tuple[int, int, int, int]]:
+    """(row, own number of item and kind, matched windows, all its windows) of rows and items that share a window.
+
+    With ``enough`` only those that make a row contaminated; what can't is dropped before its slots are looked at.
+    """
     for chunk in chunks(texts):
-        t = Templates(chunk)
-        keys, at = t.windows(chunk)
+        keys, at, core = _document_windows(chunk, index.widths)
         hit, place = index.hits(keys)
-        row = np.searchsorted(chunk.words, at[hit], "right") - 1
-        by_row: dict[int, list] = {}
-        core = t.core.view(np.int64)
-        for r, h, p in zip(row.tolist(), at[hit].tolist(), place.tolist(), strict=True):
-            for k in range(index.first[p], index.last[p]):
-                by_row.setdefault(r, []).append((int(index.item[k]), int(index.pos[k]), h, index.slots[k], core[h : h + WINDOW]))
-        for r, found in by_row.items():
-            yield chunk.first + r, [(item, len(pos), sizes[item]) for item, pos in _score(found).items()]
+        word = at[hit]
+        order = np.argsort(word, kind="stable")
+        word, place = word[order], place[order]
+        row = np.searchsorted(chunk.words, word, "right") - 1
+        size = (index.last - index.first)[place]
+        ahead = np.cumsum(size)
+        core, begin = core.view(np.int64), 0
+        while begin < len(row):
+            # Whole rows, as many as their pairs allow.
+            end = max(int(np.searchsorted(ahead, (ahead[begin - 1] if begin else 0) + EXPANDED)), begin + 1)
+            end = int(np.searchsorted(row, row[end - 1], "right"))
+            own = size[begin:end]
+            entry = np.repeat(index.first[place[begin:end]] - np.concatenate([[0], np.cumsum(own)[:-1]]), own) + np.arange(int(own.sum()))
+            r, w = np.repeat(row[begin:end], own), np.repeat(word[begin:end], own)
+            begin = end
+            number, pos = index.own[entry], index.pos[entry]
+            order = np.lexsort((pos, number, r))
+            r, w, number, pos, entry = r[order], w[order], number[order], pos[order], entry[order]
+            new = np.append(True, (r[1:] != r[:-1]) | (number[1:] != number[:-1]))
+            start = np.flatnonzero(new)
+            step = (new | np.append(True, pos[1:] != pos[:-1])).astype(np.int64)
+            different = np.add.reduceat(step, start)
+            ends = np.append(start[1:], len(r))
+            need = _needed(index.sizes[number[start]]) if enough else np.ones(len(start))
+            for k in np.flatnonzero(different >= need).tolist():
+                a, b, x = start[k], ends[k], int(number[start[k]])
+                n = int(different[k])
+                if index.kinds[x] == TEMPLATE:
+                    n = _score([(int(pos[j]), int(w[j]), index.slots[entry[j]], core[w[j] : w[j] + WINDOW]) for j in range(a, b)])
+                if n >= need[k]:
+                    yield chunk.first + int(r[a]), x, n, int(index.sizes[x])
 
 
 def _small(index: DataFrame, broadcast_bytes: int):
     """The benchmark's windows as a broadcast, or None if their counted size is too large."""
-    if index.count() * (32 + 8 * WINDOW) > broadcast_bytes:
+    if index.count() * (72 + 8 * WINDOW) > broadcast_bytes:
         return None
     return index.sparkSession.sparkContext.broadcast(Index(index.toArrow()))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_windows) of each row and item with a consistent window in common.
+def matches(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, enough: bool = False) -> DataFrame:
+    """(doc_id, item_id, n_matched, n_windows) of each row, item and kind of windows with a consistent window in common.
 
     The benchmark's windows are broadcast if their counted size allows it; else windows of both sides meet
-    in a shuffled join on their hashes. Both ways give the same rows.
+    in a shuffled join on their hashes. Both ways give the same rows; each row of docs is judged for itself.
+    With ``enough``, only matches that make a row contaminated.
     """
-    index = benchmark_windows(benchmark)
-    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    index = durable(benchmark_windows(benchmark), "windows")
+    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = _small(index, broadcast_bytes)
     if shared is None:
-        return _joined(slim, index)
+        numbered = slim.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+        return _joined(numbered, index, enough).select("doc_id", "item_id", "n_matched", "n_windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out = [(ids[r], *m) for r, own in _found(shared.value, batch.column(1)) for m in own]
+            out = [(ids[r], shared.value.ids[x], n, size) for r, x, n, size in _found(shared.value, batch.column(1), enough)]
             columns = zip(*out, strict=True) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_matched", "n_windows"])
 
     return slim.mapInArrow(run, MATCH)
 
 
-def _joined(slim: DataFrame, index: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, index: DataFrame, enough: bool) -> DataFrame:
+    """(row, doc_id, item_id, n_matched, n_windows) by a shuffled join of windows; ``rows`` is (row, doc_id, text)."""
+    widths = sorted(r.width for r in index.where(F.col("kind") == PLAIN).select("width").distinct().collect())
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for chunk in chunks(batch.column(1)):
-                t = Templates(chunk)
-                keys, at = t.windows(chunk)
-                row = np.searchsorted(chunk.words, at, "right") - 1
+            for chunk in chunks(batch.column(2)):
+                keys, at, core = _document_windows(chunk, widths)
+                core = np.append(core.view(np.int64), np.zeros(WINDOW, np.int64))
                 for k in range(0, len(at), 1 << 16):
                     some = at[k : k + (1 << 16)]
-                    own = np.concatenate([t.core[a : a + WINDOW] for a in some.tolist()]).view(np.int64)
-                    slots = pa.ListArray.from_arrays(pa.array(np.arange(0, len(own) + 1, WINDOW), pa.int32()), pa.array(own))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[chunk.first + row[k : k + (1 << 16)]], pa.int64()), pa.array(keys[k : k + (1 << 16)].view(np.int64)), pa.array(some - chunk.words[row[k : k + (1 << 16)]], pa.int32()), slots], ["doc_id", "key", "word", "values"])
+                    row = pa.array(chunk.first + np.searchsorted(chunk.words, some, "right") - 1)
+                    own = core[some[:, None] + np.arange(WINDOW)].ravel()
+                    values = pa.ListArray.from_arrays(pa.array(np.arange(0, len(own) + 1, WINDOW), pa.int32()), pa.array(own))
+                    columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(keys[k : k + (1 << 16)].view(np.int64)), pa.array(some.astype(np.int32)), values]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "key", "word", "values"])
 
     def score(key, table):  # not annotated: Spark would try to read a meaning from it
-        rows = table.to_pylist()
-        found = [(r["item_id"], r["pos"], r["word"], np.array(r["slots"]), np.array(r["values"])) for r in rows]
-        ((item, pos),) = _score(found).items() or [(rows[0]["item_id"], set())]
-        return pa.table([pa.array([x], pa.int64()) for x in (rows[0]["doc_id"], item, len(pos), rows[0]["n"])], names=["doc_id", "item_id", "n_matched", "n_windows"])
-
-    joined = slim.mapInArrow(spread, "doc_id long, key long, word int, values array<long>").join(index, "key")
-    return joined.groupBy("doc_id", "item_id").applyInArrow(score, MATCH).where("n_matched > 0")
+        rows = table.select(["kind", "pos", "word", "slots", "values", "n"]).to_pylist()
+        n = len({r["pos"] for r in rows})
+        need = float(_needed(np.array(rows[0]["n"]))) if enough else 1
+        if n >= need and rows[0]["kind"] == TEMPLATE:
+            n = _score([(r["pos"], r["word"], np.array(r["slots"]), np.array(r["values"])) for r in rows])
+        first = table.slice(0, int(n >= need))
+        return first.select(["row", "doc_id", "item_id"]).append_column("n_matched", pa.array([n] * len(first), pa.int64())).append_column("n_windows", first["n"].cast(pa.int64()))
+
+    found = rows.mapInArrow(spread, "row long, doc_id long, key long, word int, values array<long>").join(index, "key")
+    if enough:  # before slots are looked at, what has too few windows goes
+        counts = found.groupBy("row", "item", "kind").agg(F.count_distinct("pos").alias("d"), F.max("n").alias("n_all"))
+        some = counts.where(F.col("d") >= F.least(F.lit(float(LONG)), COVERED * F.col("n_all"))).select("row", "item", "kind")
+        found = found.join(some, ["row", "item", "kind"], "left_semi")
+    return found.groupBy("row", "item", "kind").applyInArrow(score, "row long, " + MATCH)
 
 
 def _contaminated() -> Column:
     return F.col("n_matched") >= F.least(F.lit(float(LONG)), COVERED * F.col("n_windows"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each (doc_id, item_id) with n_matched, n_windows, coverage, contaminated.
+def contamination(docs: DataFrame, benchmark: DataFrame, enough: bool = False) -> DataFrame:
+    """One row for each (doc_id, item_id) with n_matched, n_windows, coverage, contaminated; with ``enough`` only contaminated ones.
 
-    Rows without a doc_id are not judged. Null texts have no windows; documents and items of fewer than WINDOW words have none and never match.
-    Rows of repeated doc_ids count as one document each and the best coverage of them stays.
+    Rows without a doc_id are not judged. Null texts have no windows; items of fewer than MIN_FILLED words have none and never match.
+    Each row is judged for itself; of rows, items and kinds of windows with equal ids the best coverage stays,
+    and contaminated is true if it is for any. Items of equal text are told under the least item_id. Texts may be of any length.
     """
-    best = matches(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_windows").alias("n_windows"))
-    return best.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).withColumn("contaminated", _contaminated())
+    found = matches(docs, benchmark, enough=enough).withColumn("coverage", F.col("n_matched") / F.col("n_windows")).withColumn("contaminated", _contaminated())
+    best = F.max(F.struct("contaminated", "coverage", "n_matched", "n_windows")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_matched", "best.n_windows", "best.coverage", "best.contaminated")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -275,20 +362,21 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: in
     Each row is judged by its own text, rows without a doc_id too. With a broadcast benchmark texts are
     judged where they are read, without a shuffle.
     """
-    index = benchmark_windows(benchmark)
+    index = durable(benchmark_windows(benchmark), "windows")
     shared = _small(index, broadcast_bytes)
+    slim = packed(docs)
     if shared is None:
-        key = F.xxhash64("text")
-        texts = docs.where("text is not null").select(key.alias("doc_id"), "text").dropDuplicates(["doc_id"])
-        bad = _joined(texts, index).where(_contaminated()).select(F.col("doc_id").alias("_key")).distinct()
-        return docs.withColumn("_key", key).join(bad.hint("shuffle_hash"), "_key", "left_anti").select(columns_of(docs))
+        key = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
+        texts = docs.where("text is not null").select("text").dropDuplicates(["text"]).select(F.monotonically_increasing_id().alias("row"), F.lit(0).cast("long").alias("doc_id"), "text")
+        texts = durable(texts, "texts")  # rows are numbered once
+        bad = texts.join(_joined(texts, index, True).select("row").distinct().hint("shuffle_hash"), "row", "left_semi").select(key.alias("_key")).distinct()
+        return unpacked(slim.withColumn("_key", key).join(bad.hint("shuffle_hash"), "_key", "left_anti"), docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             keep = np.ones(len(batch), bool)
-            for r, own in _found(shared.value, batch.column(batch.schema.names.index("text"))):
-                keep[r] = not any(n >= min(LONG, COVERED * size) for _, n, size in own)
+            for r, *_ in _found(shared.value, batch.column(batch.schema.names.index("text")), True):
+                keep[r] = False
             yield batch.filter(pa.array(keep))
 
-    slim = packed(docs)
     return unpacked(slim.mapInArrow(run, slim.schema), docs)

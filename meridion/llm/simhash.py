@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .graph import components
-from .tables import durable, packed, unpacked
+from .tables import durable, packed, shuffle_width, unpacked
 from .words import pieces
 
 SEED = 42
@@ -195,9 +195,12 @@ def layouts(distinct: DataFrame, hot_node: int = HOT_NODE) -> DataFrame:
             size = -(-len(left) // (BUDGET + 1))
             blocks[path] = [sum(1 << b for b in left[k * size : (k + 1) * size]) for k in range(BUDGET + 1)]
             deeper |= {4 * path + k: mask | m for k, m in enumerate(blocks[path])}
-        # Four rows for each hot path, few as paths are.
-        masks = spark.createDataFrame([(p, 4 * p + k, _signed(m)) for p, own in blocks.items() for k, m in enumerate(own)], "path int, child int, mask long")
-        laid = rows.join(F.broadcast(masks), "path").select("fp", F.col("child").alias("path"), F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+        if len(blocks) == 1:
+            own = [F.struct(F.lit(4 * path + k).cast("int").alias("path"), F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key")) for k, m in enumerate(blocks[path])]
+            laid = rows.select("fp", F.explode(F.array(*own)).alias("x")).select("fp", "x.path", "x.key")
+        else:  # four rows for each hot path, few as paths are
+            masks = spark.createDataFrame([(p, 4 * p + k, _signed(m)) for p, own in blocks.items() for k, m in enumerate(own)], "path int, child int, mask long")
+            laid = rows.join(F.broadcast(masks), "path").select("fp", F.col("child").alias("path"), F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
         sizes = laid.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot_node)
         hot = [r.path for r in sizes.select("path").distinct().collect() if deeper[r.path] + 1 < 1 << 64]
         if not hot:
@@ -215,7 +218,8 @@ def layouts(distinct: DataFrame, hot_node: int = HOT_NODE) -> DataFrame:
 
 def links(distinct: DataFrame, hot_node: int = HOT_NODE) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints within the budget, a spanning forest for each step of a task."""
-    keyed = layouts(distinct, hot_node).repartition("path", "key").sortWithinPartitions("path", "key", F.col("fp") < 0, "fp")
+    # The walk costs more than its few bytes tell, so its partitions are not to be merged by their sizes.
+    keyed = layouts(distinct, hot_node).repartition(shuffle_width(distinct.sparkSession), "path", "key").sortWithinPartitions("path", "key", F.col("fp") < 0, "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
