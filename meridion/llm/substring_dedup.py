@@ -1,16 +1,18 @@
 """Substring dedup with prefix-partitioned suffix trees over words.
 
-The suffixes of all documents, cut at ``width`` words, are dealt to groups by prefixes of 1, 2, 4, 8 or
-``width`` words: the shortest prefix that not too many suffixes begin with, by counts of all of them. A
-group is one subtree. It is held as a suffix array: its suffixes in the order of their words, which are
-compared themselves, and the number of words that neighbours have in common. An internal node is an
-interval of it; one of depth ``width`` says that its words repeat. The least doc_id there keeps them, all
-its other documents lose them.
-
-Two things keep the subtrees small. A suffix can only repeat if its minimiser does (the least hash of the
-shorter word runs inside), so minimisers are looked up first and suffixes of others never leave their
-task. And a task sorts the suffixes of each of its documents' homes first and sends on those of the least
-doc_id of each node only, so that what repeats in a third of all documents sends one suffix a home.
+The suffixes of all documents, cut at ``width`` words, are dealt to groups. A suffix's anchor is the least
+hashed run of six words in it; its group is that of the shortest prefix of the suffix at the anchor (1, 2, 4
+or 6 words) with which not too many go together, by counts of all of them. So neighbouring suffixes of one
+anchor travel together, as one short text. Where six words are not enough, the whole suffix decides. A group
+is one subtree. It is held as a suffix array: its suffixes in the order of their words, which are compared
+themselves, and the number of words that neighbours have in common. An internal node is an interval of it;
+one of depth ``width`` says that its words repeat. The least doc_id there keeps them, all its other
+documents lose them.
+
+Two things keep the subtrees small. A suffix can only repeat if its anchor does, so anchors are looked up
+first and suffixes of others never leave their task. And a task sorts the suffixes of each of its
+documents' homes first and sends on those of the least doc_id of each node only, so that what repeats in a
+third of all documents is sent once a home.
 
 Documents are spread over homes by row, whatever their doc_ids, of which there are as many as keep a home
 at HOME words on average. Words are told apart by 64-bit hashes inside one home, by themselves across homes.
@@ -35,7 +37,7 @@ ANCHOR = 6
 PORTION = 1 << 21  # minimisers that a task gathers before it sends them
 HOME = 1 << 20  # words of a home, on average
 GROUP = 1 << 21  # suffixes of a group, at most where prefixes can be longer
-MOST_BINS = 1 << 20  # of the prefixes of one length, so that the plan has at most 20 MB
+MOST_BINS = 1 << 20  # of the prefixes of one length, so that the plan has at most 16 MB
 STEP = U64(0xC2B2AE3D27D4EB4F)
 
 
@@ -54,8 +56,8 @@ def _starts(chunk: Chunk, width: int) -> np.ndarray:
     return np.flatnonzero(np.arange(n) + width <= left[:n])
 
 
-def _minimisers(chunk: Chunk, words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each window's first word and its minimiser."""
+def _minimisers(chunk: Chunk, words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each window's first word, its minimiser, and its anchor: the word at which the minimiser's (first) run begins."""
     n, at = max(0, len(words) - width + 1), _starts(chunk, width)
     short = min(ANCHOR, width)
     grams = np.zeros(max(0, len(words) - short + 1), U64)
@@ -64,43 +66,66 @@ def _minimisers(chunk: Chunk, words: np.ndarray, width: int) -> tuple[np.ndarray
     grams ^= grams >> U64(29)
     grams *= U64(0x94D049BB133111EB)
     grams ^= grams >> U64(32)
-    least = grams[:n].copy()
+    least, anchor = grams[:n].copy(), np.arange(n)
     for k in range(1, width - short + 1):
-        np.minimum(least, grams[k : k + len(least)], out=least)
-    return at, least[at]
+        less = np.flatnonzero(grams[k : k + n] < least)
+        least[less] = grams[less + k]
+        anchor[less] = less + k
+    return at, least[at], anchor[at]
 
 
 def depths(width: int) -> list[int]:
-    return [d for d in (1, 2, 4, 8) if d < width] + [width]
+    short = min(ANCHOR, width)
+    return [d for d in (1, 2, 4) if d < short] + [short]
 
 
-def _prefixes(words: np.ndarray, at: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """For each of ``depths`` the hash of so many words from each place."""
-    out = np.zeros(len(at), U64)
-    for k in range(width):
-        out = out * STEP + words[at + k]
+def _prefixes(words: np.ndarray, anchor: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """For each of ``depths`` the hash of so many words from each anchor."""
+    out = np.zeros(len(anchor), U64)
+    for k in range(depths(width)[-1]):
+        out = out * STEP + words[anchor + k]
         if k + 1 in depths(width):
             yield mix(out)
 
 
 @dataclass
 class Plan:
-    """The group of each bin of prefix hashes, a row for each depth; -1 where a longer prefix decides."""
+    """The group of each bin of prefix hashes, a row for each depth; -1 where a longer prefix decides.
+
+    Suffixes that no prefix at their anchor decides are dealt by all their words to groups from ``rest`` on.
+    """
 
     groups: np.ndarray
+    rest: int
+    n_rest: int
     n_words: int
 
-    def group_of(self, words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-        out, bits = np.full(len(at), -1, np.int32), U64(65 - self.groups.shape[1].bit_length())
-        for own, key in zip(self.groups, _prefixes(words, at, width), strict=True):
-            out = np.where(out < 0, own[(key >> bits).astype(np.int64)], out)
+    def group_of(self, words: np.ndarray, at: np.ndarray, anchor: np.ndarray, width: int) -> np.ndarray:
+        bits, out = U64(65 - self.groups.shape[1].bit_length()), np.full(len(at), -1, np.int32)
+        run, of = _runs(anchor)
+        found = np.full(len(run), -1, np.int32)
+        for own, key in zip(self.groups, _prefixes(words, anchor[run], width), strict=True):
+            found = np.where(found < 0, own[(key >> bits).astype(np.int64)], found)
+        out = found[of]
+        left = np.flatnonzero(out < 0)
+        if len(left):
+            key = np.zeros(len(left), U64)
+            for k in range(width):
+                key = key * STEP + words[at[left] + k]
+            out[left] = self.rest + (mix(key) % U64(self.n_rest)).astype(np.int32)
         return out
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and each one's run."""
+    new = np.append(True, values[1:] != values[:-1])[: len(values)]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def prefix_plan(docs: DataFrame, width: int, groups: int) -> Plan:
-    """Deals bins of prefixes to ``groups`` groups or more, from counts of all suffixes by all depths' prefixes.
+    """Deals bins of prefixes to ``groups`` groups or more, from counts of all suffixes by all lengths of prefixes.
 
-    A bin's count is an upper bound of the suffixes it gets, as shorter prefixes take some. A prefix of all
+    A bin's count is an upper bound of the suffixes it gets, as shorter prefixes take some. A node of all
     ``width`` words can't be split; what repeats so often is sent once a home.
     """
 
@@ -112,15 +137,18 @@ def prefix_plan(docs: DataFrame, width: int, groups: int) -> Plan:
                 for chunk in chunks(batch.column(0)):
                     words = chunk.hashes()
                     n_words += len(words)
-                    for own, key in zip(total, _prefixes(words, _starts(chunk, width), width), strict=True):
-                        own += np.bincount((key >> shift).astype(np.int64), minlength=bins)
+                    _, _, anchor = _minimisers(chunk, words, width)
+                    first, _ = _runs(anchor)
+                    weight = np.diff(np.append(first, len(anchor)))
+                    for own, key in zip(total, _prefixes(words, anchor[first], width), strict=True):
+                        own += np.bincount((key >> shift).astype(np.int64), weights=weight, minlength=bins).astype(np.int64)
             depth, some = np.nonzero(total)
             rows = [np.append(depth, -1), np.append(some, 0), np.append(total[depth, some], n_words)]
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int32(), pa.int64()), strict=True)], ["depth", "bin", "n"])
 
         return run
 
-    # Bins grow with the input; its size in bytes says how many are needed without another pass over the texts.
+    # Bins grow with the input; its size in bytes says how many are needed without another pass over the words.
     rough = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / 6).first()[0]
     bins = min(MOST_BINS, 1 << max(12, int(4 * max(groups, rough / GROUP)).bit_length()))
     rows = docs.select("text").mapInArrow(counted(bins), "depth int, bin int, n long").groupBy("depth", "bin").agg(F.sum("n").alias("n")).toArrow()
@@ -130,7 +158,7 @@ def prefix_plan(docs: DataFrame, width: int, groups: int) -> Plan:
     size = max(1, min(GROUP, -(-n_words // groups)), n_words // (MOST_BINS // 4))
     plan, group, room, share = np.full(count.shape, -1, np.int32), 0, float(size), 1.0
     for k, own in enumerate(count):
-        cold = (own <= size) | (k == len(count) - 1)
+        cold = own <= size
         for b in np.flatnonzero(cold).tolist():
             if own[b] * share > room and room < size:
                 group, room = group + 1, float(size)
@@ -138,7 +166,7 @@ def prefix_plan(docs: DataFrame, width: int, groups: int) -> Plan:
             room -= own[b] * share
         # The part of all suffixes that needs a longer prefix, for the expected size of what longer prefixes get.
         share = float(own[~cold].sum()) / max(1, n_words)
-    return Plan(plan, n_words)
+    return Plan(plan, group + 1, max(1, int(share * n_words) // size + 1), n_words)
 
 
 # Minimisers --------------------------------------------------------------------------------------------------
@@ -309,7 +337,7 @@ def repeated_anchors(dealt: DataFrame, width: int, n_homes: int, portion: int =
         for batch in batches:
             rows = batch.column(0).to_numpy()
             for chunk in chunks(batch.column(1)):
-                at, least = _minimisers(chunk, chunk.hashes(), width)
+                at, least, _ = _minimisers(chunk, chunk.hashes(), width)
                 own = rows[chunk.first + np.searchsorted(chunk.words, at, "right") - 1]
                 new = np.append(True, (least[1:] != least[:-1]) | (own[1:] != own[:-1]))[: len(least)]
                 yield from gathered.add(least[new], own[new])
@@ -384,9 +412,17 @@ def _least(tree: Subtree, ids: np.ndarray, width: int) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(ids, start), np.diff(np.append(start, len(ids)))) if len(ids) else ids
 
 
-def _suffixes_packed(suffixes: np.ndarray, words: list[bytes], ids: np.ndarray, rows: np.ndarray, at: np.ndarray) -> bytes:
-    used, place = _indexed(suffixes)
-    return _pack(b"\n".join([words[k] for k in used.tolist()]), place.reshape(suffixes.shape).T, *_indexed(ids), *_indexed(rows), at.astype(np.uint32))
+def _suffixes_packed(words: np.ndarray, strings: list[bytes], start: np.ndarray, size: np.ndarray, ids: np.ndarray, rows: np.ndarray, at: np.ndarray, width: int) -> bytes:
+    """Stretches of ``size`` suffixes that follow each other, with the words they have, each word's string once."""
+    length = size + width - 1
+    used, place = _indexed(words[_spread(start, length)])
+    small = np.uint8 if size.max() < 256 else np.uint32
+    return _pack(b"\n".join([strings[k] for k in used.tolist()]), place, size.astype(small), *_indexed(ids), *_indexed(rows), np.diff(at, prepend=0).astype(np.int32))
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each stretch."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 def _suffixes(blobs: list[bytes], width: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]:
@@ -394,13 +430,17 @@ def _suffixes(blobs: list[bytes], width: int) -> tuple[np.ndarray, int, np.ndarr
     parts = [_unpack(x) for x in blobs]
     own = [p[0].tobytes().split(b"\n") for p in parts]
     rank = {w: k for k, w in enumerate(sorted(set().union(*own)))}
-    table = [np.array([rank[w] for w in words], np.uint32)[p[1]].reshape(width, -1).T for words, p in zip(own, parts, strict=True)]
-    columns = [np.concatenate([p[k][p[k + 1]] for p in parts]) for k in (2, 4)]
-    return np.concatenate(table), len(rank), *columns, np.concatenate([p[6] for p in parts]).astype(np.int64)
+    words = np.concatenate([np.array([rank[w] for w in strings], np.uint32)[p[1]] for strings, p in zip(own, parts, strict=True)])
+    size = np.concatenate([p[2] for p in parts]).astype(np.int64)
+    ids, rows = (np.repeat(np.concatenate([p[k][p[k + 1]] for p in parts]), size) for k in (3, 5))
+    at = _spread(np.concatenate([np.cumsum(p[7], dtype=np.int64) for p in parts]), size)
+    length = size + width - 1
+    first = _spread(np.cumsum(length) - length, size)
+    return np.stack([words[first + k] for k in range(width)], axis=1), len(rank), ids, rows, at
 
 
 class Home:
-    """The suffixes of a home's documents that may repeat."""
+    """The suffixes of a home's documents that may repeat: where they begin in ``ranked``, the ranks of their words among ``strings``."""
 
     def __init__(self, texts: pa.Table, among: np.ndarray, width: int, plan: Plan):
         parts, kept = [], []
@@ -408,10 +448,10 @@ class Home:
         ids, rows, first = known["doc_id"].to_numpy(), known["row"].to_numpy(), 0
         for chunk in chunks(known["text"]) if len(among) else ():
             words = chunk.hashes()
-            at, least = _minimisers(chunk, words, width)
+            at, least, anchor = _minimisers(chunk, words, width)
             row = np.searchsorted(chunk.words, at, "right") - 1
             good = _member(_number(least, rows[chunk.first + row]), among)
-            at, row = at[good], row[good]
+            at, row, anchor = at[good], row[good], anchor[good]
             if not len(at):
                 continue
             # Only words of these suffixes are taken along.
@@ -419,37 +459,50 @@ class Home:
             place = np.cumsum(cover) - 1 + first
             own = np.flatnonzero(cover)
             kept.append((words[own], chunk.data.tobytes(), chunk.starts[own], chunk.ends[own]))
-            parts.append((place[at], ids[chunk.first + row], rows[chunk.first + row], at - chunk.words[row], plan.group_of(words, at, width)))
+            parts.append((place[at], place[anchor], ids[chunk.first + row], rows[chunk.first + row], at - chunk.words[row], plan.group_of(words, at, anchor, width)))
             first += len(own)
+        self.width = width
         if not parts:
-            self.start = np.zeros(0, np.int64)
+            self.start, self.ranked, self.strings = np.zeros(0, np.int64), np.zeros(width - 1, np.uint32), []
             return
-        self.start, self.ids, self.rows, self.at, self.group = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.start, self.anchor, self.ids, self.rows, self.at, self.group = (np.concatenate(x) for x in zip(*parts, strict=True))
         hashes = np.concatenate([k[0] for k in kept])
         _, example, place = np.unique(hashes, return_index=True, return_inverse=True)
         cuts = np.cumsum([0] + [len(k[0]) for k in kept])
         of = np.searchsorted(cuts, example, "right") - 1
         strings = [kept[c][1][kept[c][2][e] : kept[c][3][e]] for c, e in zip(of.tolist(), (example - cuts[of]).tolist(), strict=True)]
         order = sorted(range(len(strings)), key=strings.__getitem__)
-        self.words = [strings[k] for k in order]
+        self.strings = [strings[k] for k in order]
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
-        ranked = rank[place]
-        self.suffixes = np.stack([ranked[self.start + k] for k in range(width)], axis=1)
+        self.ranked = rank[place]
 
-    def sent(self, width: int, n_homes: int) -> Iterator[pa.RecordBatch]:
+    def tree(self) -> Subtree:
+        suffixes = np.stack([self.ranked[self.start + k] for k in range(self.width)], axis=1)
+        return subtree(suffixes, max(1, len(self.strings)))
+
+    def sent(self, n_homes: int) -> Iterator[pa.RecordBatch]:
         """Answers to suffixes of which a document with a lesser id is in the same home, and the others for their groups."""
         if not len(self.start):
             return
-        tree = subtree(self.suffixes, len(self.words))
-        o = tree.order
-        suffixes, ids, rows, at, group = self.suffixes[o], self.ids[o], self.rows[o], self.at[o], self.group[o]
-        lost = ids > _least(tree, ids, width)
+        tree = self.tree()
+        lost = np.zeros(len(self.start), bool)
+        lost[tree.order] = self.ids[tree.order] > _least(tree, self.ids[tree.order], self.width)
         if lost.any():
-            own_rows, own_at = rows[lost], at[lost]
+            own_rows, own_at = self.rows[lost], self.at[lost]
             yield _answers(own_rows, n_homes, lambda k: _cells_packed(own_rows[k], own_at[k]))
+        if lost.all():
+            return
         on = np.flatnonzero(~lost)
-        yield _leaves(group[on], lambda k: _suffixes_packed(suffixes[on[k]], self.words, ids[on[k]], rows[on[k]], at[on[k]]))
+        start, group = self.start[on], self.group[on]
+        # Stretches of one row, anchor and group; a home's words don't run on from row to row, as anchors differ there.
+        new = np.append(True, (start[1:] != start[:-1] + 1) | (self.anchor[on[1:]] != self.anchor[on[:-1]]) | (group[1:] != group[:-1]))
+        first = np.flatnonzero(new)
+        size, on = np.diff(np.append(first, len(on))), on[first]
+        yield _leaves(
+            self.group[on],
+            lambda k: _suffixes_packed(self.ranked, self.strings, self.start[on[k]], size[k], self.ids[on[k]], self.rows[on[k]], self.at[on[k]], self.width),
+        )
 
 
 def removable(dealt: DataFrame, plan: Plan, n_homes: int, width: int = WIDTH, portion: int = PORTION) -> DataFrame:
@@ -459,12 +512,12 @@ def removable(dealt: DataFrame, plan: Plan, n_homes: int, width: int = WIDTH, po
     """
     spark = dealt.sparkSession
     partitions = shuffle_width(spark)
-    shared = spark.sparkContext.broadcast(plan)  # at most five numbers for each of MOST_BINS bins
+    shared = spark.sparkContext.broadcast(plan)  # at most four numbers for each of MOST_BINS bins
     empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.int32(), pa.binary())], ["bucket", "leaves", "home", "answers"])
 
     def group(texts, answers):
         among = np.unique(_number(*_pairs(answers["answers"].to_pylist())))
-        return pa.Table.from_batches([empty, *Home(texts, among, width, shared.value).sent(width, n_homes)])
+        return pa.Table.from_batches([empty, *Home(texts, among, width, shared.value).sent(n_homes)])
 
     def judge(blobs: list[bytes]) -> pa.RecordBatch:
         suffixes, size, ids, rows, at = _suffixes(blobs, width)

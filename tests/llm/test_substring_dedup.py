@@ -49,7 +49,7 @@ def test_many_small_homes_and_groups(spark, monkeypatch):
     rows = documents() + [(500 + k, prose(40, 60) + f" tail {k}", "en", "s", 1) for k in range(30)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(7)
     plan = prefix_plan(df.select("text"), 13, 4)
-    assert all((plan.groups[k] >= 0).any() for k in range(5)) and (plan.groups[0] < 0).any() and plan.groups.max() > 50
+    assert all((own >= 0).any() and (own < 0).any() for own in plan.groups) and plan.rest > 50 and plan.n_rest > 1
     assert result(df) == brute(rows, 13)
 
 
@@ -92,6 +92,6 @@ def test_default_settings_visit_deep_nodes(spark):
     for home in range(7):
         blobs = [b for h, b in zip(anchors["home"].to_pylist(), anchors["answers"].to_pylist()) if h == home]
         own = Home(dealt.where(F.col("home") == home).toArrow(), np.unique(_number(*_pairs(blobs))), 13, plan)
-        found.update(subtree(own.suffixes, len(own.words)).internal())
+        found.update(own.tree().internal())
     dealt.unpersist()
     assert found[13] > 0 and sum(n for d, n in found.items() if d < 13) > found[13] and len(found) > 5
