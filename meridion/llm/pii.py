@@ -5,6 +5,9 @@ IPv4 and IPv6 addresses, calendar dates), e-mail addresses and secret tokens are
 the same format. Each replacement is a keyed permutation of the format's value space, so equal values
 get equal pseudonyms in every document and different ones different pseudonyms; the key gives the
 values back. Numbers that don't validate are no personal data and stay.
+
+There is no key in the source. Queries take it from the session's setting KEY_SETTING; without the setting
+they make a random one for the application, so pseudonyms agree in one run and nobody can reverse them.
 """
 
 from __future__ import annotations
@@ -13,29 +16,40 @@ import datetime
 import hashlib
 import ipaddress
 import re
+import secrets
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
 
 from .tables import packed, unpacked
 from .words import pieces
 
-KEY = b"meridion-pseudonyms"  # a default for tests and checks; give your own
+KEY_SETTING = "spark.meridion.pseudonym.key"
 ROUNDS = 8
 CACHE = 1 << 16
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _HEX = "0123456789abcdef"
 
 
+_own_keys: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names, else a random one of this application."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else _own_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
 def _round(key: bytes, tweak: bytes, k: int, value: int, size: int) -> int:
     data = tweak + b"|%d|%d|%d" % (k, size, value)
     wide = (size.bit_length() + 7) // 8 + 8
     out, n = b"", 0
     while len(out) < wide:
-        out += hashlib.blake2b(data + b"|%d" % n, key=key[:64], digest_size=64).digest()
+        out += hashlib.blake2b(data + b"|%d" % n, key=key if len(key) <= 64 else hashlib.sha512(key).digest(), digest_size=64).digest()
         n += 1
     return int.from_bytes(out[:wide], "big") % size
 
@@ -140,11 +154,36 @@ def _ipv4(s: str, key: bytes, back: bool) -> str | None:
 
 
 def _ipv6(s: str, key: bytes, back: bool) -> str | None:
+    """Each group keeps its number of digits and zero stays zero, so that every way of writing an address has its own back."""
     try:
-        value = int(ipaddress.IPv6Address(s))
+        address = ipaddress.IPv6Address(s)
     except ValueError:
         return None
-    return ipaddress.IPv6Address(permute(value, 1 << 128, key, b"ipv6", back)).exploded if value > 1 else None
+    groups = [int(g, 16) for g in address.exploded.split(":")]
+    if int(address) <= 1:
+        return None
+    least = [1 << 4 * (len(f"{g:x}") - 1) if g else 0 for g in groups]
+    shape = b"ipv6" + bytes(len(f"{g:x}") if g else 0 for g in groups)
+    value, size = 0, 1
+    for g, low in zip(groups, least, strict=True):
+        if g:
+            value, size = value * 15 * low + g - low, size * 15 * low
+    while True:
+        value, rest, new = permute(value, size, key, shape, back), 0, [0] * 8
+        rest = value
+        for k in range(7, -1, -1):
+            if groups[k]:
+                rest, own = divmod(rest, 15 * least[k])
+                new[k] = own + least[k]
+        if any(new[:7]) or new[7] > 1:
+            break
+    upper = s.upper() == s and s.lower() != s
+    head, gap, tail = s.partition("::")
+    written = [x for x in head.split(":") if x], [x for x in tail.split(":") if x]
+    places = [range(len(written[0])), range(8 - len(written[1]), 8)]
+    texts = [":".join(f"{new[k]:x}".zfill(len(w)) for k, w in zip(p, own, strict=True)) for p, own in zip(places, written, strict=True)]
+    out = texts[0] + gap + texts[1]
+    return out.upper() if upper else out
 
 
 def _iban(s: str, key: bytes, back: bool) -> str | None:
@@ -198,10 +237,10 @@ _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 3
 
 
 def _date(s: str, key: bytes, back: bool) -> str | None:
-    """Dates from 1900 to 2099 are permuted among those that are read the same way.
+    """Dates from 1900 to 2099 are permuted among those of equally long months and days, in whatever order they are written.
 
     Year first; else month first with slashes and day first with other marks. Where that is no date but the
-    other order is, the other order holds, and its days past the twelfth are permuted among themselves.
+    other order is, the other order holds; days past the twelfth are permuted among themselves.
     """
     m = re.match(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$", s)
     if m:
@@ -214,26 +253,47 @@ def _date(s: str, key: bytes, back: bool) -> str | None:
     for order in orders:
         named = dict(zip(order, map(int, parts), strict=True))
         try:
-            day = datetime.date(named["y"], named["m"], named["d"]).toordinal()
+            then = datetime.date(named["y"], named["m"], named["d"])
         except ValueError:
             continue
+        day = then.toordinal()
         if not _FIRST <= day <= _LAST:
             return None
-        new, late = day - _FIRST, order != orders[0]
+        kind = lambda x: (x.month > 9, (x.day > 9) + (x.day > 12))
+        new, own = day - _FIRST, kind(then)
         while True:
-            new = permute(new, _LAST - _FIRST + 1, key, b"date" + order.encode(), back)
+            new = permute(new, _LAST - _FIRST + 1, key, b"date", back)
             then = datetime.date.fromordinal(_FIRST + new)
-            if not late or then.day > 12:
+            if kind(then) == own:
                 break
         values = {"y": then.year, "m": then.month, "d": then.day}
-        padded = all(len(p) >= 2 for p in parts)
-        return sep.join(f"{values[o]:04d}" if o == "y" else f"{values[o]:02d}" if padded else str(values[o]) for o in order)
+        return sep.join(str(values[o]).zfill(len(p)) for o, p in zip(order, parts, strict=True))
     return None
 
 
+_LOCAL = frozenset(LOWER + UPPER + DIGITS + "._%+-")
+_LOCAL_MOST = 64  # characters that may stand before an @
+_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
+
+
+def _emails(text: str) -> Iterator[tuple[int, str]]:
+    """Start and text of e-mail addresses, looked for around each @."""
+    at = text.find("@")
+    while at >= 0:
+        first = at
+        while first and at - first <= _LOCAL_MOST and text[first - 1] in _LOCAL:
+            first -= 1
+        while first < at and text[first] in "._%+-":
+            first += 1
+        domain = _DOMAIN.match(text, at + 1)
+        if domain and 0 < at - first <= _LOCAL_MOST and text[at - 1] != ".":
+            yield first, text[first : domain.end()]
+        at = text.find("@", at + 1)
+
+
 # Kind, pattern, replacement. A span belongs to the first kind that validates there.
 KINDS: list[tuple[str, str, Callable[[str, bytes, bool], str | None]]] = [
-    ("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}", _email),
+    ("email", "", _email),  # by _emails
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     ("date", r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d/-])(?!\.\d)", _date),
@@ -270,17 +330,18 @@ class Pseudonyms:
         if not _MAYBE.search(text):
             return taken
         for k, (name, pattern, _) in enumerate(self.patterns):
-            if (name == "email" and "@" not in text) or (name == "ipv6" and text.count(":") < 2) or (name == "ssn" and "-" not in text):
+            if (name == "ipv6" and text.count(":") < 2) or (name == "ssn" and "-" not in text):
                 continue
-            for m in pattern.finditer(text):
-                for s in _shorter(m[0]) if name in ("card", "phone") else (m[0],):
-                    if any(a < m.start() + len(s) and m.start() < b for a, b, _, _ in taken):
+            for start, found in _emails(text) if name == "email" else ((m.start(), m[0]) for m in pattern.finditer(text)):
+                for s in _shorter(found) if name in ("card", "phone") else (found,):
+                    at = bisect_left(taken, (start,))
+                    if (at < len(taken) and taken[at][0] < start + len(s)) or (at and taken[at - 1][1] > start):
                         continue
                     new = self.value(k, s)
                     if new is not None:
-                        taken.append((m.start(), m.start() + len(s), k, new))
+                        insort(taken, (start, start + len(s), k, new))
                         break
-        return sorted(taken)
+        return taken
 
     def replace(self, text: str | None) -> tuple[str | None, list[int]]:
         """The text with pseudonyms, and how many of each kind."""
@@ -317,11 +378,14 @@ def _worker(key: bytes) -> Pseudonyms:
     return _ready[key]
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, the other columns as a struct _rest, and a map _pii from kind to count.
 
-    Null texts stay null with an empty map. Rows are changed one by one, whatever their ids.
+    Null texts stay null with an empty map. Rows are changed one by one, whatever their ids; empty tables give
+    none. Texts may be of any length: what is looked for is bounded, and found in one pass for each kind.
     """
+    if not key:
+        raise ValueError("a key is needed")
     slim = packed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,13 +405,13 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return slim.mapInArrow(run, StructType(fields))
 
 
-def pseudonym_report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonym_report(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, n_replaced and kinds (a map from kind to count) of each row."""
     out = pseudonymise(docs.select(F.col("doc_id").cast("long"), "text"), key)
     total = F.aggregate(F.map_values("_pii"), F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select("doc_id", "text", total.alias("n_replaced"), F.col("_pii").alias("kinds"))
 
 
-def pseudonym_stage(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonym_stage(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with pseudonyms in their texts; same columns."""
     return unpacked(pseudonymise(docs, key), docs)

@@ -10,7 +10,7 @@ from .decontaminate import contamination
 from .html_extract import extract
 from .language_id import identify
 from .lm_scoring import score
-from .pii import pseudonym_report
+from .pii import pseudonym_report, session_key
 from .quality_rules import REPORT_SQL, quality_report
 from .simhash import near_duplicates
 from .substring_dedup import deduplicate
@@ -27,7 +27,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonym_report(read_table(spark, sf_dir, "documents"))
+    return pseudonym_report(read_table(spark, sf_dir, "documents"), session_key(spark))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

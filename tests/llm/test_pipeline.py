@@ -7,7 +7,7 @@ import tiktoken
 
 import corpus_pipeline
 from meridion.llm import quality_rules as rules
-from meridion.llm.pii import KEY, Pseudonyms
+from meridion.llm.pii import Pseudonyms, session_key
 
 from .fixtures import SCHEMA, documents, prose, words_of
 from .test_quality_rules import counts
@@ -36,7 +36,7 @@ def kept_text(text):
     return clean if 100 * sum(map(len, words_of(clean))) >= rules.KEPT_PERCENT * chars else None
 
 
-def brute(rows):
+def brute(rows, key):
     rows = [(d, kept_text(t)) for d, t, *_ in rows if t is not None]
     rows = [r for r in rows if r[1] is not None]
     parts = brute_components([brute_fingerprint(t) for _, t in rows])
@@ -47,7 +47,7 @@ def brute(rows):
     rows = {d: t for p, (d, t) in zip(parts, rows) if d is not None and d == least[p]}
     leak = [w.lower().strip(".") for w in LEAK.split()]
     grams = {tuple(leak[i : i + 8]) for i in range(len(leak) - 7)}
-    own = Pseudonyms(KEY)
+    own = Pseudonyms(key)
     out = {}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -69,7 +69,7 @@ def test_run_against_brute_force(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, LEAK), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert got == brute(rows)
+    assert got == brute(rows, session_key(spark))
     assert 2001 not in got and 2002 in got and 2003 in got and 2004 not in got
 
 
