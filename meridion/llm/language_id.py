@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from .words import pieces
 
-DICTIONARY_BYTES = 32 << 10
+DICTIONARY_BYTES = 32 << 10  # the most a language has
+ALL_BYTES = 64 << 20  # that all dictionaries have together; many languages have smaller ones
+LEAST_BYTES = 1 << 10
 SAMPLE_DOCS = 100  # a language, on average: the bound on what goes into dictionaries
 SAMPLE_CHARS = 4000  # of each sampled document
-MAX_LANGUAGES = 512
 LEVEL = 6
 NARROW = 0.02  # of the smaller frame
 SLACK = 2.0  # bytes of a frame that always count as narrow
@@ -38,22 +39,29 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame) -> list[tuple[str, int, bytes]]:
     """(language, training documents, dictionary) for each language, most documents first.
 
-    The dictionaries are made of a bounded sample: of each language's n training documents those whose
-    hash falls below SAMPLE_DOCS / n of its range (SAMPLE_DOCS of them on average, all if there are
-    fewer), their first SAMPLE_CHARS characters. All documents are counted and may be chosen.
+    The dictionaries are made of a bounded sample: of each language's n different training texts the one of
+    the least hash and those whose hash falls below SAMPLE_DOCS / n of its range (SAMPLE_DOCS of them on
+    average, all if there are fewer), their first SAMPLE_CHARS characters. All documents are counted and may
+    be chosen. More languages than have room for LEAST_BYTES each are refused.
     """
-    rows = training_rows(docs)
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    h = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    rows = training_rows(docs).select("lang", "text", h.alias("h"))
+    most = ALL_BYTES // LEAST_BYTES
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts"), F.min("h").alias("least"))
+    counts = counted.orderBy(F.desc("n"), "lang").limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages")
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_DOCS / n))])
-    h = F.xxhash64(F.col("doc_id").cast("long"), "text")
-    chosen = rows.where((F.pmod(h, F.lit(1 << 30)) / float(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    texts: dict[str, list] = {}
-    for r in chosen.select("lang", h.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect():
-        texts.setdefault(r.lang, []).append((r.h, r.text.lower()))
-    content = {lang: "\n".join(t for _, t in sorted(own)).encode()[:DICTIONARY_BYTES] for lang, own in texts.items()}
-    return [(lang, n, content[lang]) for lang, n in counts.items() if lang in content]
+    size = min(DICTIONARY_BYTES, ALL_BYTES // len(counts))
+    # At most ``most`` rows.
+    limits = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, max(r.least, int(min(1.0, SAMPLE_DOCS / r.texts) * (1 << 40)))) for r in counts], "lang string, last long"))
+    chosen = rows.join(limits, "lang").where(F.col("h") <= F.col("last")).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    # Copies of a text go first, so that a language's list is of SAMPLE_DOCS texts on average.
+    texts = chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("h", "text"))).alias("x"))
+    cut = texts.select("lang", F.substring(F.array_join(F.col("x.text"), "\n"), 1, size).alias("text"))
+    content = {r.lang: r.text.lower().encode()[:size] for r in cut.collect()}
+    return [(r.lang, r.n, content[r.lang]) for r in counts if r.lang in content]
 
 
 class Model:
@@ -103,7 +111,7 @@ def identify(docs: DataFrame) -> DataFrame:
     Null texts, texts without a letter, and all texts if there is nothing to learn from get ``und`` and
     score 0. Whole texts are compressed. Repeated rows are answered once each, other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))  # at most MAX_LANGUAGES * DICTIONARY_BYTES
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))  # at most ALL_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)

@@ -4,12 +4,12 @@ White space always separates pre-tokens of the word tokenizer, so a text's count
 words' counts. Tier one is a compact open-addressing table of the lengths of frequent words, broadcast
 (at most ``table_words`` entries of 10 bytes, fixed). Tier two encodes misses with the library and keeps
 their lengths in a bounded cache of the worker. Both tiers only hold what the library gave, so what they
-hold never changes a count.
+hold never changes a count. The table's words are chosen from all documents: every task counts all words
+it reads and reports its TASK_WORDS most frequent ones; their sums choose the table.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import chunks
+from .words import Chunk, chunks
 
 TABLE_WORDS = 1 << 16
-SAMPLE_DOCS = 4000  # the first ones found: they only choose which words the table holds
-SAMPLE_CHARS = 4000
+TASK_WORDS = 1 << 13  # that a task reports
+HELD_WORDS = 1 << 18  # that a task counts at a time; beyond, the rarer half is forgotten
 CACHE_WORDS = 1 << 19
 LIMIT = 2048
 _LONGEST = 64  # bytes of a word kept in a table or cache
@@ -43,12 +43,48 @@ def encode_lengths(path: str, words: list[bytes]) -> list[int]:
     return [len(x.ids) for x in found]
 
 
-def frequent_lengths(path: str, texts: list[str], table_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and lengths of the most frequent words of ``texts``."""
-    seen: Counter = Counter()
-    for text in texts:
-        seen.update(w for w in text.encode().split() if len(w) <= _LONGEST)
-    words = [w for w, _ in seen.most_common(table_words)]
+class Frequent:
+    """Counts of the frequent words of what it is given, by hash; words of over _LONGEST bytes are left out."""
+
+    def __init__(self):
+        self.keys, self.counts, self.words = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+
+    def add(self, chunk: Chunk) -> None:
+        short = np.flatnonzero(chunk.ends - chunk.starts <= _LONGEST)
+        keys, first, counts = np.unique(chunk.hashes()[short], return_index=True, return_counts=True)
+        if not len(keys):
+            return
+        at = np.searchsorted(self.keys, keys)
+        old = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.counts[at[old]] += counts[old]
+        raw, own = chunk.data.tobytes(), short[first[~old]]
+        words = np.empty(len(own), object)
+        words[:] = [raw[a:b] for a, b in zip(chunk.starts[own].tolist(), chunk.ends[own].tolist(), strict=True)]
+        keys, counts, words = np.append(self.keys, keys[~old]), np.append(self.counts, counts[~old]), np.append(self.words, words)
+        if len(keys) > HELD_WORDS:
+            kept = np.argpartition(counts, len(counts) - HELD_WORDS // 2)[-HELD_WORDS // 2 :]
+            keys, counts, words = keys[kept], counts[kept], words[kept]
+        order = np.argsort(keys)
+        self.keys, self.counts, self.words = keys[order], counts[order], words[order]
+
+
+def frequent_words(docs: DataFrame, table_words: int = TABLE_WORDS) -> list[bytes]:
+    """The words that tasks report most often in all documents, at most ``table_words``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Frequent()
+        for batch in batches:
+            for chunk in chunks(batch.column(0)):
+                own.add(chunk)
+        top = np.argsort(-own.counts, kind="stable")[:TASK_WORDS]
+        yield pa.RecordBatch.from_arrays([pa.array(own.words[top].tolist(), pa.binary()), pa.array(own.counts[top])], ["word", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(table_words).collect()]
+
+
+def word_lengths(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and lengths of words."""
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint16)
     line = b" ".join(words)
@@ -93,23 +129,23 @@ class LengthTable:
 
 
 def _missed(path: str, words: list[bytes]) -> list[int]:
+    """Lengths of words that the table does not hold; those of at most _LONGEST bytes are remembered."""
     new = list({w for w in words if w not in _cache})
+    found = dict(zip(new, encode_lengths(path, new), strict=True)) if new else {}
     if len(_cache) + len(new) > CACHE_WORDS:
+        found |= {w: _cache[w] for w in set(words) if w in _cache}
         _cache.clear()
-        new = list(set(words))
-    if new:
-        _cache.update(zip(new, encode_lengths(path, new), strict=True))
-    return [_cache[w] for w in words]
+    _cache.update((w, n) for w, n in found.items() if len(w) <= _LONGEST)
+    return [found[w] if w in found else _cache[w] for w in words]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, table_words: int = TABLE_WORDS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of ``docs``.
 
     Null and empty texts have 0 bytes and tokens; repeated rows are counted once each, empty tables
-    give no rows and other columns are ignored. ``path`` is the tokenizer's file on every executor.
+    give no rows and other columns are ignored; texts and words may be of any length. ``path`` is the tokenizer's file on every executor.
     """
-    sample = docs.where("text is not null").select(F.substring("text", 1, SAMPLE_CHARS)).take(SAMPLE_DOCS)
-    table = LengthTable(*frequent_lengths(path, [r[0] for r in sample], table_words))
+    table = LengthTable(*word_lengths(path, frequent_words(docs, table_words)))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,12 +5,14 @@ import time
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from meridion.llm.byte_bpe import ByteBPE, decode_ids, encode_documents
-from meridion.llm.token_counts import LengthTable, count_tokens
+from meridion.llm.token_counts import Frequent, LengthTable, count_tokens, frequent_words
+from meridion.llm.words import chunks
 
 from .fixtures import SCHEMA, documents
 
@@ -105,3 +107,32 @@ def test_length_table_probes():
         first.setdefault(k, n)
     assert found.tolist() == [first[k] for k in expected]
     assert table.find(np.array([12345 << 40], np.uint64)).tolist() == [0]
+
+
+def test_table_is_chosen_from_all_documents(spark, monkeypatch):
+    """Words of the last partition are in the table as well as those of the first, and forgetting changes no count."""
+    monkeypatch.setattr("meridion.llm.token_counts.HELD_WORDS", 64)
+    rows = [(k, f"part{k // 50} " * 30 + f"rare{k}", None, None, None) for k in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartitionByRange(8, "doc_id")
+    words = frequent_words(df, 8)
+    assert {f"part{k}".encode() for k in range(4)} <= set(words) and len(words) == 8
+    library = Tokenizer.from_file(WORDS)
+    got = {r.doc_id: r.n_tokens for r in count_tokens(df, WORDS, table_words=2).collect()}
+    assert got == {d: len(library.encode(t, add_special_tokens=False).ids) for d, t, *_ in rows}
+
+
+def test_counts_of_frequent_words():
+    own, truth = Frequent(), Counter()
+    rng = random.Random(4)
+    for _ in range(20):
+        text = " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(500)) + " " + "x" * 65
+        own.add(next(chunks(pa.array([text]))))
+        truth.update(w.encode() for w in text.split() if len(w) <= 64)
+    assert dict(zip(own.words.tolist(), own.counts.tolist())) == truth
+
+
+def test_words_of_any_length(spark):
+    text = "y" * 300_000 + " " + "z" * 70 + " " + "z" * 70
+    df = spark.createDataFrame([(1, text, "a", "b", 1)], "doc_id long, text string, n_tokens string, key string, n_bytes long")
+    (row,) = count_tokens(df, WORDS).collect()
+    assert row.n_tokens == len(Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids) and row.n_bytes == len(text)
