@@ -1,11 +1,15 @@
 """Scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-All training words are counted, without bound. The most frequent ones, an <end> and an <other> make the
-model's vocabulary; a token's probability is the model's, times, inside <other>, the smoothed share of
-its word among other words. The model predicts a target vector from two context vectors, each through a
-matrix of its own. Every task trains a copy in numpy on all its training tokens, and the copies' mean,
-weighted by tokens, is the model. For scoring, products of vocabulary-sized matrices give the sum over
-all targets for every pair of context words, so that each token's log-probability is normalised exactly.
+All training words are counted, without bound. The model's vocabulary is an <end>, the most frequent words,
+and classes for all others, by their last two bytes. A token's probability is the model's, times, inside a
+class, the smoothed share of its word in the class. The model predicts a target vector from two context
+vectors, each through a matrix of its own.
+
+Training does not depend on how the input is partitioned: documents are dealt by hash to shards of
+SHARD_TOKENS tokens on average, and lie in a shard in the order of their hashes. In each round every shard
+trains a copy of the model in numpy on all its tokens; the copies' mean, summed exactly in whole numbers, is
+the next round's start. For scoring, products of vocabulary-sized matrices give the sum over all targets for
+every pair of context words, so that each token's log-probability is normalised exactly.
 """
 
 from __future__ import annotations
@@ -17,17 +21,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import durable, shuffle_width
-from .words import U64, Chunk, chunks
+from .tables import discard, durable, durable_at, shuffle_width
+from .words import TO_LOWER, U64, Chunk, chunks
 
-VOCABULARY = 2048  # with <end> 0 and <other> 1
+VOCABULARY = 2048  # <end> 0, then the classes, then words
+CLASSES = 512
 DIM = 32
 NOISE = 10  # noise words for each token
 SHARED_NOISE = 64  # noise words drawn for a whole minibatch
-BATCH = 8192
+BATCH = 2048
+GATHERED = 1 << 17  # tokens of whole rows that are cut into minibatches together, at least
 RATE = 0.15
 TABLE_WORDS = 1 << 18  # the most words whose counts are broadcast, 12 bytes each
 SLICES = 64
+SHARD_TOKENS = 1 << 19
+ROUNDS = 3
+SCALE = 1 << 24  # of parameters as whole numbers, so that sums over all shards are exact
 SEED = 20240229
 F32 = np.float32
 
@@ -36,24 +45,39 @@ def held_out() -> Column:
     return F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 1"), F.lit(False))
 
 
+def classes(chunk: Chunk) -> np.ndarray:
+    """The class of each word, were it not frequent: of its last two bytes."""
+    data = TO_LOWER[chunk.data]
+    last = data[chunk.ends - 1].astype(np.int64)
+    before = np.where(chunk.ends - chunk.starts > 1, data[np.maximum(chunk.ends - 2, 0)], 0)
+    return 1 + ((last << 8 | before) * 40503 >> 5) % CLASSES
+
+
 class Words:
-    """Counts of frequent words by hash, and the totals of all."""
+    """Counts of frequent words by hash, and the totals of all.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n_ends: int, n_words: int, n_distinct: int):
+    ``words`` are (hash, count, class) of the frequent ones, ``totals`` (class, count, distinct words) of all.
+    """
+
+    def __init__(self, words: tuple[np.ndarray, np.ndarray, np.ndarray], n_ends: int, totals: np.ndarray):
+        keys, counts, own = words
         order = np.argsort(keys)
         self.keys, self.counts = np.append(keys[order], ~U64(0)), np.append(counts[order], 0)
-        self.n_ends, self.total = n_ends, n_words + n_ends
-        self.distinct = n_distinct + (n_ends > 0)
-        top = np.lexsort((self.keys[:-1], -self.counts[:-1]))[: VOCABULARY - 2]
-        self.ids = np.ones(len(self.keys), np.int32)
-        self.ids[top] = np.arange(2, len(top) + 2)
-        own = np.zeros(VOCABULARY, np.int64)
-        own[0], own[2 : len(top) + 2] = n_ends, self.counts[top]
-        self.other_words = n_words - int(own[2:].sum())
-        self.other_distinct = n_distinct - len(top)
-        own[1] = self.other_words
-        self.size = len(top) + 2
-        self.unigram = (own[: self.size] + 0.5) / (own.sum() + 0.5 * self.size)
+        self.n_ends, self.total = n_ends, int(totals[:, 1].sum()) + n_ends
+        self.distinct = int(totals[:, 2].sum()) + (n_ends > 0)
+        top = np.lexsort((self.keys[:-1], -self.counts[:-1]))[: VOCABULARY - 1 - CLASSES]
+        self.ids = np.append(own[order].astype(np.int32), 0)
+        self.ids[top] = np.arange(len(top)) + 1 + CLASSES
+        self.size = 1 + CLASSES + len(top)
+        inside = np.zeros((self.size, 2), np.int64)
+        np.add.at(inside, totals[:, 0], totals[:, 1:])
+        np.subtract.at(inside, own[order][top], np.stack([self.counts[top], np.ones(len(top), np.int64)], axis=1))
+        # In a class there is room for one word that was never seen.
+        self.log_class = np.log10(inside[:, 0] + 0.5 * (inside[:, 1] + 1))
+        self.log_class[[0, *range(1 + CLASSES, self.size)]] = 0
+        count = inside[:, 0]
+        count[0], count[1 + CLASSES :] = n_ends, self.counts[top]
+        self.unigram = (count + 0.5) / (count.sum() + 0.5 * self.size)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each word's place in the table, and whether it is there."""
@@ -62,41 +86,44 @@ class Words:
 
 
 def count_words(train: DataFrame) -> DataFrame:
-    """(h, c) of every word of the training rows; a task adds up what it reads before it sends anything."""
+    """(h, k, c): hash, class and count of every word of the training rows; a task adds up what it reads before it sends anything."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([k for k, _ in parts])
-            counts = np.concatenate([c for _, c in parts])
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, own, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
+            keys, own, counts = keys[order], own[order], counts[order]
             start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-            return keys[start], np.add.reduceat(counts, start) if len(start) else counts
+            return keys[start], own[start], np.add.reduceat(counts, start) if len(start) else counts
+
+        def sent() -> pa.RecordBatch:
+            keys, own, counts = parts[0]
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own, pa.int32()), pa.array(counts)], ["h", "k", "c"])
 
         held = 0
         for batch in batches:
             for chunk in chunks(batch.column(0)):
-                keys, counts = np.unique(chunk.hashes(lower=True), return_counts=True)
-                parts.append((keys, counts))
+                keys, first, counts = np.unique(chunk.hashes(lower=True), return_index=True, return_counts=True)
+                parts.append((keys, classes(chunk)[first], counts))
                 held += len(keys)
                 if held > 1 << 22:
                     parts = [merged()]
                     held = len(parts[0][0])
                     if held > 1 << 21:
-                        yield pa.RecordBatch.from_arrays([pa.array(parts[0][0].view(np.int64)), pa.array(parts[0][1])], ["h", "c"])
+                        yield sent()
                         parts, held = [], 0
         if parts:
-            keys, counts = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["h", "c"])
+            parts = [merged()]
+            yield sent()
 
-    return train.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(run, "h long, k int, c long").groupBy("h").agg(F.min("k").alias("k"), F.sum("c").alias("c"))
 
 
 def frequent_words(counts: DataFrame, n_ends: int, table_words: int = TABLE_WORDS) -> tuple[Words, int]:
     """The words counted at least as often as the returned threshold, which at most ``table_words`` are."""
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    totals = counts.groupBy("k").agg(F.sum("c"), F.count("*")).collect()  # CLASSES rows at most
     # At most 512 bins: eight for each doubling of the count.
     bins = {r.b: (r.n, r.least) for r in counts.groupBy(F.floor(F.log2("c") * 8).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()}
     threshold, held = 1 << 62, 0
@@ -106,20 +133,25 @@ def frequent_words(counts: DataFrame, n_ends: int, table_words: int = TABLE_WORD
             break
         threshold = bins[b][1]
     rows = counts.where(F.col("c") >= threshold).toArrow()
-    keys = rows["h"].to_numpy().astype(np.int64).view(U64)
-    return Words(keys, rows["c"].to_numpy().astype(np.int64), n_ends, total, distinct), threshold
+    keys, own, n = (rows[c].to_numpy().astype(np.int64) for c in ("h", "k", "c"))
+    return Words((keys.view(U64), n, own), n_ends, np.array(totals, np.int64).reshape(-1, 3)), threshold
 
 
-def token_ids(chunk: Chunk, hashes: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Model ids of all tokens, ends included, of the one before and the one before that, and each row's first token."""
+def token_ids(chunk: Chunk, hashes: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Model ids of all tokens, ends included, and each row's first token."""
     at, known = words.find(hashes)
-    own = np.where(known, words.ids[at], 1)
-    ids = np.insert(own, chunk.words[1:], 0)
-    first = chunk.words[:-1] + np.arange(len(chunk))
+    own = np.where(known, words.ids[at], classes(chunk))
+    return np.insert(own, chunk.words[1:], 0), chunk.words[:-1] + np.arange(len(chunk))
+
+
+def contexts(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids before each token and the ones before those; <end> stands before a row."""
     one, two = np.zeros_like(ids), np.zeros_like(ids)
     one[1:], two[2:] = ids[:-1], ids[:-2]
     one[first] = two[first] = 0
-    return ids, one, two, first
+    second = first[first + 1 < len(ids)] + 1
+    two[second] = 0
+    return one, two
 
 
 class LogBilinear:
@@ -132,21 +164,22 @@ class LogBilinear:
         self.c = np.stack([np.eye(DIM, dtype=F32) * 0.1 for _ in range(2)])
         self.b = np.log(unigram).astype(F32)
         self.noise = unigram
+        self.sums = [np.full(p.shape, 1e-3, F32) for p in self.parameters()]  # of squared gradients, which go on from round to round
 
     def parameters(self) -> list[np.ndarray]:
         return [self.r, self.c, self.b]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parameters()]).astype(np.float64)
+        return np.concatenate([p.ravel() for p in (*self.parameters(), *self.sums)])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for p in self.parameters():
+        for p in (*self.parameters(), *self.sums):
             p[...] = flat[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def trainer(self) -> Trainer:
-        return Trainer(self)
+    def trainer(self, *seed: int) -> Trainer:
+        return Trainer(self, seed)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Scores of targets after each first and second context word, biases, and log normalisers of all pairs."""
@@ -165,28 +198,28 @@ class LogBilinear:
 class Trainer:
     """Noise-contrastive estimation with Adagrad steps on minibatches."""
 
-    def __init__(self, model: LogBilinear):
+    def __init__(self, model: LogBilinear, seed: tuple[int, ...]):
         self.m = model
-        self.sums = [np.full(p.shape, 1e-3, F32) for p in model.parameters()]
-        self.rng = np.random.default_rng(SEED + 1)
+        self.rng = np.random.default_rng([SEED, *seed])  # other noise in each round and shard
         self.cumulative = np.cumsum(model.noise)
         self.log_noise = np.log(model.noise * NOISE).astype(F32)
         self.rest: list[np.ndarray] = []
-        self.n = self.seen = 0
-
-    def add(self, *tokens: np.ndarray) -> None:
-        self.rest.append(np.stack(tokens))
-        self.n += len(tokens[0])
-        if self.n >= BATCH:
-            whole = np.concatenate(self.rest, axis=1)
-            for k in range(0, self.n - BATCH + 1, BATCH):
-                self.step(*whole[:, k : k + BATCH])
-            left = self.n % BATCH
-            self.rest, self.n = [whole[:, whole.shape[1] - left :]], left
+        self.n = 0
+
+    def add_row(self, ids: np.ndarray) -> None:
+        """A row's ids, with its end; whole rows are gathered and cut into minibatches."""
+        self.rest.append(ids)
+        self.n += len(ids)
+        if self.n >= GATHERED:
+            self.finish()
 
     def finish(self) -> None:
         if self.n:
-            self.step(*np.concatenate(self.rest, axis=1))
+            ids = np.concatenate(self.rest)
+            one, two = contexts(ids, np.append(0, np.flatnonzero(ids[:-1] == 0) + 1))
+            for k in range(0, self.n, BATCH):
+                part = slice(k, k + BATCH)
+                self.step(ids[part], one[part], two[part])
         self.rest, self.n = [], 0
 
     def step(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
@@ -204,45 +237,79 @@ class Trainer:
         np.add.at(gr, noise, -(bad.T @ q))
         gb = np.bincount(w, weights=good, minlength=size).astype(F32)
         np.add.at(gb, noise, -bad.sum(axis=0))
-        for p, s, g in zip(m.parameters(), self.sums, (gr, gc, gb), strict=True):
+        for p, s, g in zip(m.parameters(), m.sums, (gr, gc, gb), strict=True):
             g = g / F32(len(w) ** 0.5)
             s += g * g
             p += RATE * g / np.sqrt(s)
-        self.seen += len(w)
 
 
-def train(rows: DataFrame, words) -> LogBilinear:
-    """The mean of the models that tasks train on all their training rows. ``words`` is a broadcast Words."""
+def dealt_tokens(rows: DataFrame, words, n_shards: int) -> DataFrame:
+    """(shard, key, ids) of each training row: its model ids, in two bytes each. ``words`` is a broadcast Words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = words.value
-        model = LogBilinear(own.unigram)
-        trainer = model.trainer()
         for batch in batches:
-            for chunk in chunks(batch.column(0)):
-                ids, one, two, _ = token_ids(chunk, chunk.hashes(lower=True), own)
-                trainer.add(ids, one, two)
-        trainer.finish()
-        if trainer.seen:
-            parts = np.array_split(model.flat() * trainer.seen, SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([trainer.seen] * SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "n", "sums"])
+            for chunk in chunks(batch.column(1)):
+                ids, first = token_ids(chunk, chunk.hashes(lower=True), words.value)
+                ids = ids.astype(np.uint16)
+                own = [x.tobytes() for x in np.split(ids, first[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(own, pa.binary())], ["key", "ids"])
+
+    keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, ids binary")
+    return keyed.select(F.pmod("key", F.lit(n_shards)).cast("int").alias("shard"), "key", "ids")
+
+
+def train(rows: DataFrame, words, n_tokens: int) -> LogBilinear:
+    """The model of ROUNDS rounds over all training rows; ``words`` is a broadcast Words, ``n_tokens`` counts the tokens."""
+    spark = rows.sparkSession
+    model = LogBilinear(words.value.unigram)
+    if not n_tokens:
+        return model
+    n_shards = -(-n_tokens // SHARD_TOKENS)
+    dealt, path = durable_at(dealt_tokens(rows, words, n_shards), "tokens")
+    # Equal rows have equal keys and ids, so their order says nothing.
+    ordered = dealt.repartition(max(1, min(n_shards, shuffle_width(spark))), "shard").sortWithinPartitions("shard", "key", "ids").select("shard", "ids")
+    schema = "slice int, n long, sums binary"
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
         for batch in batches:
             for k, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = total.setdefault(k, [0, np.zeros(len(blob) // 8)])
+                own = total.setdefault(k, [0, np.zeros(len(blob) // 8, np.int64)])
                 own[0] += n
-                own[1] += np.frombuffer(blob)
+                own[1] += np.frombuffer(blob, np.int64)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1].tobytes() for x in total.values()], pa.binary())], ["slice", "n", "sums"])
 
-    schema = "slice int, n long, sums binary"
-    sums = rows.select("text").mapInArrow(run, schema).repartition(min(SLICES, shuffle_width(rows.sparkSession)), "slice").mapInArrow(mean, schema)
-    found = {r.slice: np.frombuffer(r.sums) / r.n for r in sums.collect()}  # SLICES rows, one model in all
-    model = LogBilinear(words.value.unigram)
-    if found:
+    for number in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(model.flat())  # one model
+
+        def run(batches: Iterator[pa.RecordBatch], number=number, shared=shared) -> Iterator[pa.RecordBatch]:
+            # A task adds up the models of its shards before it sends them.
+            total, n, shard, trainer = None, 0, None, None
+
+            def ended(trainer: Trainer, total: np.ndarray | None) -> np.ndarray:
+                trainer.finish()
+                own = np.round(trainer.m.flat().astype(np.float64) * SCALE).astype(np.int64)
+                return own if total is None else total + own
+
+            for batch in batches:
+                for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if k != shard:
+                        if trainer is not None:
+                            total, n = ended(trainer, total), n + 1
+                        fresh = LogBilinear(words.value.unigram)
+                        fresh.load(shared.value)
+                        shard, trainer = k, fresh.trainer(number, k)
+                    trainer.add_row(np.frombuffer(blob.as_buffer(), np.uint16).astype(np.int64))
+            if trainer is not None:
+                total, n = ended(trainer, total), n + 1
+                parts = np.array_split(total, SLICES)
+                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "n", "sums"])
+
+        sums = ordered.mapInArrow(run, schema).repartition(min(SLICES, shuffle_width(spark)), "slice").mapInArrow(mean, schema)
+        found = {r.slice: np.frombuffer(r.sums, np.int64) / (r.n * SCALE) for r in sums.collect()}  # SLICES rows, one model in all
         model.load(np.concatenate([found[k] for k in range(SLICES)]))
+    discard(spark, path)
     return model
 
 
@@ -261,7 +328,7 @@ def _tables(shared) -> tuple:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
-    Null texts are empty: one token, the end. Rows without a doc_id are never held out. Each row is
+    Texts may be of any length and other columns are ignored. Null texts are empty: one token, the end. Rows without a doc_id are never held out. Each row is
     scored for itself, repeated rows too. Without training rows every count is 0 and the model is uniform.
     """
     spark = docs.sparkSession
@@ -270,7 +337,7 @@ def score(docs: DataFrame) -> DataFrame:
     counts = durable(count_words(learned), "counts")
     words, threshold = frequent_words(counts, learned.count())
     shared_words = spark.sparkContext.broadcast(words)
-    model = train(learned, shared_words)
+    model = train(learned, shared_words, words.total)
     key = f"{spark.sparkContext.applicationId} {id(model)} {model.flat().sum()}"
     shared_model = spark.sparkContext.broadcast((model, key))
     row_key = F.xxhash64("doc_id", "text").alias("key")
@@ -285,20 +352,23 @@ def score(docs: DataFrame) -> DataFrame:
             for chunk in chunks(batch.column(2)):
                 hashes = chunk.hashes(lower=True)
                 at, known = own.find(hashes)
-                ids, one, two, first = token_ids(chunk, hashes, own)
+                ids, first = token_ids(chunk, hashes, own)
+                one, two = contexts(ids, first)
                 lp = one_table[one, ids] + two_table[two, ids] + bias[ids] - norm[one, two]
                 logprob = np.add.reduceat(lp.astype(np.float64), first) / np.log(10)
 
                 def per_row(x: np.ndarray, cuts: np.ndarray = chunk.words) -> np.ndarray:
                     return np.diff(np.concatenate([[0], np.cumsum(x)])[cuts])
 
-                other = known & (own.ids[at] == 1)
+                symbol = np.delete(ids, first + np.diff(chunk.words))
+                in_class = known & (symbol <= CLASSES)
                 frequent = np.where(known, logs[at], 0.0)
-                out.append((np.diff(chunk.words), per_row(known.astype(np.int64)), per_row(frequent) + log_end, logprob + per_row(np.where(other, logs[at], 0.0)), per_row((~known | other).astype(np.int64))))
-            columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, float, float, np.int64)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *map(pa.array, columns)], ["key", "doc_id", "held_out", "n_words", "n_frequent", "logs", "model", "n_other"])
+                share = np.where(in_class, logs[at], 0.0) - own.log_class[symbol]
+                out.append((np.diff(chunk.words), per_row(known.astype(np.int64)), per_row(frequent) + log_end, logprob + per_row(share)))
+            columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, float, float)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *map(pa.array, columns)], ["key", "doc_id", "held_out", "n_words", "n_frequent", "logs", "model"])
 
-    scored = slim.select(row_key, "doc_id", "text", "held_out").mapInArrow(run, "key long, doc_id long, held_out boolean, n_words long, n_frequent long, logs double, model double, n_other long")
+    scored = slim.select(row_key, "doc_id", "text", "held_out").mapInArrow(run, "key long, doc_id long, held_out boolean, n_words long, n_frequent long, logs double, model double")
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared_words.value
@@ -325,11 +395,10 @@ def score(docs: DataFrame) -> DataFrame:
     n_tokens = F.col("n_words") + 1
     rare_logs = F.coalesce(F.col("rare_logs") * part, F.lit(0.0))
     base_norm = float(np.log10(words.total + 0.5 * (words.distinct + 1)))
-    other_norm = float(np.log10(words.other_words + 0.5 * (words.other_distinct + 1)))
     return scored.join(sums, "key", "left").select(
         "doc_id", "held_out", n_tokens.alias("n_tokens"),
         (F.col("n_frequent") + F.coalesce(F.round(F.col("rare_known") * part).cast("long"), F.lit(0)) + F.lit(int(words.n_ends > 0))).alias("n_known"),
         F.lit(int(words.total)).cast("long").alias("train_tokens"),
         (F.col("logs") + rare_logs - n_tokens * F.lit(base_norm)).alias("base_score"),
-        (F.col("model") + rare_logs - F.col("n_other") * F.lit(other_norm)).alias("score"),
+        (F.col("model") + rare_logs).alias("score"),
     )

@@ -3,9 +3,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from meridion.llm.lm_scoring import LogBilinear, Words, score
+from meridion.llm.lm_scoring import CLASSES, LogBilinear, Words, classes, contexts, count_words, frequent_words, score, train
+from meridion.llm.words import chunks
 
 from .fixtures import SCHEMA, documents, lowered, prose, words_of
 
@@ -54,6 +57,71 @@ def test_model_beats_unigrams_on_ordered_text(spark):
 
 
 def test_words_totals():
-    w = Words(np.array([5, 9], np.uint64), np.array([3, 7]), 4, 12, 3)
-    assert (w.total, w.distinct, w.other_words, w.other_distinct) == (16, 4, 2, 1)
+    w = Words((np.array([5, 9], np.uint64), np.array([3, 7]), np.array([4, 4])), 4, np.array([[4, 10, 2], [7, 2, 1]]))
+    assert (w.total, w.distinct) == (16, 4)
     assert math.isclose(w.unigram.sum(), 1)
+    assert w.size == 1 + CLASSES + 2 and math.isclose(w.log_class[7], math.log10(2 + 0.5 * 2)) and math.isclose(w.log_class[4], math.log10(0.5)) and w.log_class[0] == 0
+
+
+def test_classes_are_of_the_last_two_bytes():
+    (chunk,) = chunks(pa.array(["Walking talkinG a b A kING"]))
+    own = classes(chunk).tolist()
+    assert own[0] == own[1] == own[5] and own[2] == own[4] != own[3] and all(1 <= k <= CLASSES for k in own)
+
+
+def test_contexts_end_at_rows():
+    ids = np.array([7, 8, 9, 0, 0, 5, 0])
+    one, two = contexts(ids, np.array([0, 4, 5]))
+    assert one.tolist() == [0, 7, 8, 9, 0, 0, 5] and two.tolist() == [0, 0, 7, 8, 0, 0, 0]
+
+
+def test_score_against_brute_force(spark):
+    """The whole score by plain sums over the vocabulary, with the parameters that training gives."""
+    rows = documents()
+    df = spark.createDataFrame(rows, SCHEMA)
+    learned = df.withColumn("text", F.coalesce("text", F.lit(""))).where("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 5 != 1")
+    counts = count_words(learned)
+    words, _ = frequent_words(counts, learned.count())
+    model = train(learned, spark.sparkContext.broadcast(words), words.total)
+    c = Counter(w for r in learned.collect() for w in words_of(lowered(r.text)))
+    own_class = {}
+    for w in c:
+        (chunk,) = chunks(pa.array([w]))
+        at, known = words.find(chunk.hashes(lower=True))
+        own_class[w] = int(words.ids[at][0]) if known[0] else None
+    mass = Counter()
+    for w, n in c.items():
+        mass[own_class[w]] += n + 0.5
+    truth = Counter()
+    for d, t, *_ in [r for r in rows if len(r[1] or "") < 3000]:
+        total, before = 0.0, (0, 0)
+        for w in [*words_of(lowered(t)), None]:
+            if w is None:
+                k = 0
+            else:
+                (chunk,) = chunks(pa.array([w]))
+                k = own_class.get(w) or int(classes(chunk)[0])
+                if k <= CLASSES:
+                    total += math.log10((c[w] + 0.5) / (mass[k] + 0.5))
+            q = model.r[before[0]].astype(float) @ model.c[0] + model.r[before[1]].astype(float) @ model.c[1]
+            s = model.r.astype(float) @ q + model.b
+            total += (s[k] - np.log(np.exp(s).sum())) / math.log(10)
+            before = (k, before[0])
+        truth[d, round(total / 100, 2)] += 1
+    got = Counter((r.doc_id, round(r.score / 100, 2)) for r in score(df).join(df.select("doc_id", F.length("text").alias("n")).distinct(), "doc_id", "left").where("coalesce(n, 0) < 3000").collect() if r.doc_id is not None)
+    assert got == Counter({k: n for k, n in truth.items() if k[0] is not None})
+
+
+def test_partitions_change_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = [{r.doc_id: (r.score, r.base_score) for r in score(docs.repartition(n)).collect()} for n in (1, 4, 32)]
+    for other in found[1:]:
+        assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-6) for d in other for a, b in zip(found[0][d], other[d]))
+    held = [d for d in found[0] if zlib.crc32(str(d).encode()) % 5 == 1]
+    assert sum(found[0][d][0] for d in held) > sum(found[0][d][1] for d in held) * 0.99
+
+
+def test_very_long_text_and_clashing_names(spark):
+    long = prose(5, 200_000)
+    df = spark.createDataFrame([(0, long, 1.0, "x", 2), (1, "some words", 1.0, "y", 2)], "doc_id long, text string, score double, key string, held_out long")
+    assert {r.doc_id: r.n_tokens for r in score(df).collect()} == {0: len(words_of(long)) + 1, 1: 3}
