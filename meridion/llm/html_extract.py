@@ -3,12 +3,16 @@
 Tokens are tags with their path from the root and text runs with their path. A token's occurrence vector
 is how often each page of the host holds it; tokens with one vector form an equivalence class. Vectors
 are never built: two sums of content hashes, weighted by the counts, stand for one, so classes are
-found by partial aggregation however many pages a host has; pages of one content count once. Classes with
-enough tokens and pages make the host's template: its tags give nested containers, of which the innermost
-one that is on each page once and holds most of the free text is the main slot; its text runs are
+found by partial aggregation however many pages a host has; pages of one content count once. A class is
+valid if it has enough tokens and pages and its tokens come in the same order on every page. The valid
+classes make the host's template: their tags nest by their paths and leave slots, of which the innermost
+one that is on each page once and holds most of the free text is the main slot; their text runs are
 boilerplate. A page then gives the text of the main slot, of which <article> elements are a hint, without
 the template's text runs in blocks that name themselves there, and without the blocks whose elements name
-themselves menus, notices, adverts, forms or comments. The order of a class's tokens is not checked.
+themselves menus, notices, adverts, forms or comments. Pages of hosts without a template give their
+articles, else their main element, else everything, without such blocks.
+
+Pages are read in one pass, of whatever length and depth they are.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +34,11 @@ MIN_CLASS = 3  # tokens of a class
 MIN_PAGES = 3  # pages of a host, else it has no template
 MAIN_SHARE = 0.7  # of a host's free text, held by its main slot
 BROADCAST_BYTES = 64 << 20
+HOSTS_READY = 256  # hosts whose template a worker keeps unpacked
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+# A tag whose quoted values end; what stands in quotes only counts after an equals sign.
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=[>=])))*+)>")
+BROKEN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")  # any other ends at the next mark
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?", re.I)
 # HTML's element kinds and words by which elements name themselves.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,15 +62,21 @@ def _hash(s: str) -> int:
 
 
 class Node:
+    """An element: ``path`` is a number of the names from the root, ``free`` the text below that is neither skipped nor a link."""
+
     __slots__ = ("tag", "parent", "path", "skip", "link", "free", "depth", "words")
 
     def __init__(self, tag: str, parent: Node | None, words: str, skip: bool):
         self.tag, self.parent, self.words = tag, parent, words
-        self.path = (parent.path if parent else "") + "/" + tag + ("." + words if words else "")
+        self.path = _hash(f"{parent.path}/{tag}.{words}" if parent else "/")
         self.depth = parent.depth + 1 if parent else 0
         self.skip = skip
         self.link = tag == "a" or bool(parent and parent.link)
-        self.free = 0  # characters of text below that is neither skipped nor a link
+        self.free = 0
+
+    def run(self, words: str) -> int:
+        """The token of a text run here."""
+        return _hash(f"{self.path} {words}")
 
 
 def _named(attributes: str, chapter: bool = False) -> tuple[str, bool]:
@@ -78,97 +92,145 @@ def _named(attributes: str, chapter: bool = False) -> tuple[str, bool]:
     return " ".join(words), hidden or any(w in SKIP_WORDS and not (chapter and w == "discussion") for w in words)
 
 
+# Which open elements a tag ends, and which ones keep it from doing so.
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
+_STOPS = {"li": ("ul", "ol", "menu"), "tr": ("table", "tbody", "thead", "tfoot")}
+
+
+class Stack:
+    """Open elements, with the places of each kind and of blocks, so that no step looks through all of them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, []
+
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of a kind; 0 if there is none, as the root has no kind."""
+        own = self.places.get(tag)
+        return own[-1] if own else 0
+
+    def push(self, node: Node) -> None:
+        place = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(place)
+        if node.tag in BLOCK:
+            self.blocks.append(place)
+
+    def close(self, place: int) -> None:
+        """Ends the element at a place and all inside it."""
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag; an inline one closes no block."""
+        place = self.last(tag)
+        if place and (tag in BLOCK or not self.blocks or self.blocks[-1] < place):
+            self.close(place)
+
+    def before(self, tag: str) -> None:
+        """A paragraph ends where a block begins, a list item or cell where its next one does."""
+        if tag in CLOSES_P and self.blocks and self.top_block() == "p":
+            self.close(self.blocks[-1])
+        ends = max((self.last(t) for t in _ENDS.get(tag, ())), default=0)
+        if ends > max(self.last(t) for t in _STOPS.get(tag, ("table", "dl"))):
+            self.close(ends)
+
+    def top_block(self) -> str:
+        return self.nodes[self.blocks[-1]].tag
+
+
 class Page:
-    """Elements and text runs of a page: nodes, and runs of (node, block number, text, skipped)."""
+    """Elements and text runs of a page: nodes, and runs of (node, block number, text)."""
 
     def __init__(self, source: str):
         root = Node("", None, "", False)
         self.nodes, self.runs = [root], []
-        stack, block, at, n = [root], 0, 0, len(source)
+        stack, block, at, n = Stack(root), 0, 0, len(source)
+        last_mark, tag_form = source.rfind(">"), TAG
+        raw_ends: dict[str, bool] = {}
         while at < n:
-            m = TOKEN.search(source, at)
-            end = m.start() if m else n
-            if end > at:
-                self._text(stack[-1], block, source[at:end])
-            if not m:
+            start, begin = at, source.find("<", at)
+            # A mark that opens nothing is text.
+            while 0 <= begin < last_mark and not (source[begin + 1].isascii() and (source[begin + 1].isalpha() or source[begin + 1] in "/!?")):
+                begin = source.find("<", begin + 1)
+            if begin < 0 or (begin > last_mark and not source.startswith("<!--", begin)):
+                self._text(stack.top(), block, source[start:])
                 break
-            at = m.end()
-            if m[2] is None:
+            if source.startswith("<!--", begin):
+                self._text(stack.top(), block, source[start:begin])
+                end = source.find("-->", begin + 4)
+                at = end + 3 if end >= 0 else n
+                continue
+            if source[begin + 1] in "!?":
+                self._text(stack.top(), block, source[start:begin])
+                at = source.find(">", begin) + 1
                 continue
+            m = tag_form.match(source, begin)
+            if m is None and tag_form is TAG and (m := BROKEN_TAG.match(source, begin)) is not None:
+                tag_form = BROKEN_TAG  # quotes say nothing from here on
+            if m is None:  # an end mark without a name
+                self._text(stack.top(), block, source[start : begin + 1])
+                at = begin + 1
+                continue
+            if begin > start:
+                self._text(stack.top(), block, source[start:begin])
+            at = m.end()
             tag = m[2].lower()
             if m[1]:
                 if tag in BLOCK:
                     block += 1
-                if any(x.tag == tag for x in stack):
-                    # An inline end tag closes no block.
-                    depth = max(k for k, x in enumerate(stack) if x.tag == tag)
-                    if tag in BLOCK or not any(x.tag in BLOCK for x in stack[depth + 1 :]):
-                        del stack[depth:]
+                stack.end(tag)
                 continue
             if tag in RAW:
-                close = re.compile("</" + re.escape(tag) + r"\b[^>]*>", re.I).search(source, at)
                 if not m[3].rstrip().endswith("/"):
+                    close = None if raw_ends.get(tag) else re.compile("</" + re.escape(tag) + r"\b[^>]*>", re.I).search(source, at)
+                    raw_ends[tag] = close is None  # then there is none later either
                     at = close.end() if close else n
                 continue
             if tag in VOID:
                 if tag == "hr":
                     block += 1
-                elif tag in ("br", "img", "input", "wbr") and tag != "wbr":
-                    self._text(stack[-1], block, " ")
+                elif tag in ("br", "img", "input"):
+                    self._text(stack.top(), block, " ")
                 continue
             if tag in BLOCK:
                 block += 1
-                self._auto_close(stack, tag)
-            words, named = _named(m[3], tag == "section" and any(x.tag == "article" for x in stack)) if m[3] else ("", False)
-            parent = stack[-1]
-            skip = parent.skip or tag in SKIPPED or named or ((tag == "header" or "header" in words.split()) and not any(x.tag == "article" for x in stack))
-            if tag in ("article", "main") and not named and not any(x.tag in SKIPPED for x in stack):
+                stack.before(tag)
+            in_article = bool(stack.last("article"))
+            words, named = _named(m[3], tag == "section" and in_article) if m[3] else ("", False)
+            parent = stack.top()
+            skip = parent.skip or tag in SKIPPED or named or ((tag == "header" or "header" in words.split()) and not in_article)
+            if tag in ("article", "main") and not named and not any(stack.last(t) for t in SKIPPED):
                 skip = False  # a container that is named after its sidebar, say, still holds the article
             node = Node(tag, parent, words, skip)
             self.nodes.append(node)
             if not (m[3] and m[3].rstrip().endswith("/") and tag not in BLOCK | INLINE):
-                stack.append(node)
-                if len(stack) > 400:
-                    del stack[200:]
-
-    @staticmethod
-    def _auto_close(stack: list[Node], tag: str) -> None:
-        """A paragraph ends where a block begins, a list item or cell where its next one does."""
-        ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}.get(tag, ())
-        stop = {"li": ("ul", "ol", "menu"), "tr": ("table", "tbody", "thead", "tfoot")}.get(tag, ("table", "dl"))
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == "p" and tag in CLOSES_P:
-                del stack[k:]
-                break
-            if stack[k].tag in BLOCK:
-                break
-        for k in range(len(stack) - 1, 0, -1) if ends else ():
-            if stack[k].tag in ends:
-                del stack[k:]
-                break
-            if stack[k].tag in stop:
-                break
+                stack.push(node)
+        for node in reversed(self.nodes):  # an element comes after the one it is in
+            if node.parent is not None:
+                node.parent.free += node.free
 
     def _text(self, node: Node, block: int, raw: str) -> None:
         text = entities.unescape(raw) if "&" in raw else raw
-        self.runs.append((node, block, text))
-        if not node.skip and not node.link:
-            size = len(text.strip())
-            up: Node | None = node
-            while up is not None and size:
-                up.free += size
-                up = up.parent
+        if text:
+            self.runs.append((node, block, text))
+            if not node.skip and not node.link:
+                node.free += len(text.strip())
 
     def _outermost(self, tag: str, top: Node) -> list[Node]:
         """Unskipped elements of a kind below ``top``, without those inside another of them."""
-        found: list[Node] = []
+        found, state = [], {top: True}  # whether an element is below the top and in none of those found
         for node in self.nodes:
-            if node.tag == tag and not node.skip:
-                up = node.parent
-                while up is not None and up is not top and not (up.tag == tag and not up.skip):
-                    up = up.parent
-                if up is top:
+            if node is not top and state.get(node.parent):
+                if node.tag == tag and not node.skip:
                     found.append(node)
+                else:
+                    state[node] = True
         return found
 
     def containers(self, main: int | None) -> list[Node]:
@@ -179,12 +241,12 @@ class Page:
         """
         root = self.nodes[0]
         articles = self._outermost("article", root)
-        own = [x for x in self.nodes if _hash(x.path) == main] if main is not None else []
+        own = [x for x in self.nodes if x.path == main] if main is not None else []
         if own:
-            slot = max(own, key=lambda x: x.free)
+            slot, around = max(own, key=lambda x: x.free), set(articles)
             up: Node | None = slot
             while up is not None:
-                if up in articles:
+                if up in around:
                     return articles
                 up = up.parent
             inner = self._outermost("article", slot)
@@ -193,20 +255,14 @@ class Page:
         return articles or ([max(mains, key=lambda x: x.free)] if mains else [root])
 
     def text(self, main: int | None = None, boilerplate: frozenset[int] = frozenset()) -> str:
-        # None outside the containers, else whether a block there that names itself is around: the paragraphs of
+        # Elements in the containers, and whether a block there that names itself is around: the paragraphs of
         # a main slot itself are never the template's. Without a slot all text may be.
-        inside: dict[int, bool | None] = {id(x): x.parent is None for x in self.containers(main)}
-
-        def below(node: Node | None) -> bool | None:
-            if node is None:
-                return None
-            if id(node) not in inside:
-                up = below(node.parent)
-                inside[id(node)] = up if up is None else up or bool(node.words and node.tag in BLOCK)
-            return inside[id(node)]
-
-        own = [(node, block, text) for node, block, text in self.runs if not node.skip and below(node) is not None]
-        free = [x for x in own if not (boilerplate and below(x[0]) and x[2].strip() and _hash(x[0].path + "\0" + " ".join(x[2].split())) in boilerplate)]
+        inside = {x: x.parent is None for x in self.containers(main)}
+        for node in self.nodes:
+            if node not in inside and node.parent in inside:
+                inside[node] = inside[node.parent] or bool(node.words and node.tag in BLOCK)
+        own = [x for x in self.runs if not x[0].skip and x[0] in inside]
+        free = [x for x in own if not (boilerplate and inside[x[0]] and x[2].strip() and x[0].run(" ".join(x[2].split())) in boilerplate)]
         blocks: dict[int, list[str]] = {}
         # A page of nothing but its template's text keeps that.
         for _, block, text in free if any(x[2].strip() for x in free) else own:
@@ -220,10 +276,14 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+TOKENS = "host string, token long, is_text boolean, depth int, first int, n long, free long, a long, b long"
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, is_text, depth, n, free, a, b) for each page and token: n its count there, a and b hashes of the page's content.
+    """(host, token, is_text, depth, first, n, free, a, b) for each page and token.
 
-    The root is a token too, so that its vector counts a host's different contents.
+    n is its count there, first its first place, a and b are hashes of the page's content. The root is a token
+    too, so that its vector counts a host's different contents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,14 +294,14 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 key = _hash(page.text())
                 a, b = key & 0x7FFFFFFF, key >> 32 & 0x7FFFFFFF
                 seen: dict[int, list] = {}
-                for node in page.nodes:
-                    own = seen.setdefault(_hash(node.path), [False, node.depth, 0, 0])
-                    own[2] += 1
-                    own[3] += node.free
-                for node, _, text in page.runs:
+                for place, node in enumerate(page.nodes):
+                    own = seen.setdefault(node.path, [False, node.depth, place, 0, 0])
+                    own[3] += 1
+                    own[4] += node.free
+                for place, (node, _, text) in enumerate(page.runs):
                     words = " ".join(text.split())
                     if words:
-                        seen.setdefault(_hash(node.path + "\0" + words), [True, node.depth, 0, 0])[2] += 1
+                        seen.setdefault(node.run(words), [True, node.depth, place, 0, 0])[3] += 1
                 rows += [(host, t, *own, a, b) for t, own in seen.items()]
                 if len(rows) > 50_000:
                     yield _token_batch(rows)
@@ -249,67 +309,87 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             if rows:
                 yield _token_batch(rows)
 
-    return pages.select("url", "html").mapInArrow(run, "host string, token long, is_text boolean, depth int, n long, free long, a long, b long")
+    return pages.select("url", "html").mapInArrow(run, TOKENS)
 
 
 def _token_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["host", "token", "is_text", "depth", "n", "free", "a", "b"])
-
+    types = (pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in TOKENS.split(", ")])
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, boilerplate) of each host with enough pages of different content.
 
-    A host's template tokens are on half of its pages at least, so there are at most twice as many as
-    tokens on its mean page, and the array is bounded by a page's size.
-    """
+def valid_classes(pages: DataFrame) -> DataFrame:
+    """(host, va, vb, token, is_text, depth, support, n, free, pages, total) of the tokens of each host's valid classes."""
     # Copies of a content are one page, or their paragraphs would pass for the template's.
-    once = page_tokens(pages).groupBy("host", "token", "a", "b").agg(F.first("is_text").alias("is_text"), F.max("depth").alias("depth"), F.max("n").alias("n"), F.max("free").alias("free"))
+    once = page_tokens(pages).groupBy("host", "token", "a", "b").agg(
+        F.first("is_text").alias("is_text"), F.max("depth").alias("depth"), F.min("first").alias("first"), F.max("n").alias("n"), F.max("free").alias("free")
+    )
+    once = durable(once, "tokens")
     vectors = once.groupBy("host", "token").agg(
         F.first("is_text").alias("is_text"), F.max("depth").alias("depth"), F.count("*").alias("support"), F.sum("n").alias("n"), F.sum("free").alias("free"),
         F.sum(F.col("a") * F.col("n")).alias("va"), F.sum(F.col("b") * F.col("n")).alias("vb"),
     )
     # Most text runs are on one page only; they go before rows meet by host.
-    vectors = durable(vectors.where(F.col("support") >= MIN_PAGES), "tokens")
-    sizes = vectors.where(F.col("token") == F.lit(_hash("/"))).select("host", F.col("support").alias("pages"))
-    frequent = vectors.join(sizes, "host").where(2 * F.col("support") >= F.col("pages"))
-    classes = frequent.groupBy("host", "va", "vb").agg(F.count("*").alias("size"), F.collect_list(F.struct("token", "is_text", "depth", "support", "n", "free", "pages")).alias("x")).where(F.col("size") >= MIN_CLASS)
-    tokens = classes.select("host", F.explode("x").alias("x")).select("host", "x.*")
-    total = F.max("free").over(_by_host())
+    vectors = vectors.where(F.col("support") >= MIN_PAGES)
+    sizes = vectors.where(F.col("token") == F.lit(_hash("/"))).select("host", F.col("support").alias("pages"), F.col("free").alias("total"))
+    frequent = durable(vectors.join(sizes, "host").where(2 * F.col("support") >= F.col("pages")), "frequent")
+    large = frequent.groupBy("host", "va", "vb").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_CLASS)
+    # The order of a class's tags, and that of its text runs, on each page that has them.
+    members = frequent.join(large.select("host", "va", "vb"), ["host", "va", "vb"], "left_semi").select("host", "token", "va", "vb")
+    orders = once.join(members, ["host", "token"]).groupBy("host", "va", "vb", "is_text", "a", "b").agg(F.sort_array(F.collect_list(F.struct("first", "token"))).alias("x"))
+    seen = orders.select("host", "va", "vb", "is_text", F.xxhash64(F.transform("x", lambda t: t.token)).alias("order"))
+    mixed = seen.groupBy("host", "va", "vb", "is_text").agg(F.min("order").alias("least"), F.max("order").alias("most")).where("least != most").select("host", "va", "vb").distinct()
+    return frequent.join(large, ["host", "va", "vb"]).drop("size").join(mixed, ["host", "va", "vb"], "left_anti")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, main, boilerplate) of each host with enough pages of different content.
+
+    A host's template tokens are on half of its pages at least, so there are at most twice as many as
+    tokens on its mean page, and the array is bounded by a page's size.
+    """
     slot = ~F.col("is_text") & (F.col("support") == F.col("pages")) & (F.col("n") == F.col("pages")) & (F.col("free") >= MAIN_SHARE * F.col("total"))
-    tokens = tokens.withColumn("total", total)
-    return tokens.groupBy("host").agg(
+    return valid_classes(pages).groupBy("host").agg(
         F.max_by("token", F.when(slot, F.struct(F.col("depth"), F.col("free"), F.col("token")))).alias("main"),
-        F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("boilerplate"),
+        F.sort_array(F.collect_list(F.when(F.col("is_text"), F.col("token")))).alias("boilerplate"),
     )
 
 
-def _by_host():
-    from pyspark.sql import Window
+class Templates:
+    """Templates of all hosts, as they are broadcast: eight bytes a token; those of some hosts are unpacked at a time."""
+
+    def __init__(self, rows: list):
+        self.own = {r.host: (r.main, np.array(r.boilerplate, np.int64).tobytes()) for r in rows}
+        self.ready: dict[str, tuple] = {}
 
-    return Window.partitionBy("host")
+    def of(self, host: str) -> tuple[int | None, frozenset[int]]:
+        if host not in self.ready:
+            if len(self.ready) >= HOSTS_READY:
+                self.ready.clear()
+            main, tokens = self.own.get(host, (None, b""))
+            self.ready[host] = main, frozenset(np.frombuffer(tokens, np.int64).tolist())
+        return self.ready[host]
 
 
 def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text, n_chars of each row.
 
     Null html counts as empty and gives the empty text; a null url belongs to the host "". Each row is
-    a page of its own, repeated ids too. The templates are broadcast if their counted size allows it, else
-    pages are joined with them on the host, where the skew join splits large hosts.
+    a page of its own, repeated ids too; empty tables give no rows, and other columns are ignored. Pages may
+    be of any length. The templates are broadcast if their counted size allows it, else pages are joined with
+    them on the host, where the skew join splits large hosts; both give the same rows.
     """
-    found = templates(pages).persist()
-    size = found.agg(F.coalesce(F.sum(100 + F.length("host") + 8 * F.size("boilerplate")), F.lit(0))).first()[0]
+    found = durable(templates(pages), "templates")
+    # A row takes its tokens' bytes, and less than 400 more for its objects and its host's name.
+    size = found.agg(F.coalesce(F.sum(F.lit(400) + 4 * F.length("host") + 8 * F.size("boilerplate")), F.lit(0))).first()[0]
     slim = pages.select("page_id", "url", "html")
     schema = "page_id long, url string, text string, n_chars long"
     if size <= broadcast_bytes:
-        own = {r.host: (r.main, frozenset(r.boilerplate)) for r in found.collect()}
-        found.unpersist()
-        shared = pages.sparkSession.sparkContext.broadcast(own)
+        shared = pages.sparkSession.sparkContext.broadcast(Templates(found.collect()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches):
                 urls, sources = (batch.column(k).to_pylist() for k in (1, 2))
-                yield _extracted(batch, [Page(s or "").text(*shared.value.get(host_of(u), (None, frozenset()))) for u, s in zip(urls, sources, strict=True)])
+                yield _extracted(batch, [Page(s or "").text(*shared.value.of(host_of(u))) for u, s in zip(urls, sources, strict=True)])
 
         return slim.mapInArrow(run, schema)
 
