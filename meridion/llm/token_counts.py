@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .words import Chunk, chunks
 
 TABLE_WORDS = 1 << 16
-TASK_WORDS = 1 << 13  # that a task reports
-HELD_WORDS = 1 << 18  # that a task counts at a time; beyond, the rarer half is forgotten
+TASK_WORDS = 1 << 16  # that a task reports
+HELD_WORDS = 1 << 18  # that a task counts at a time; of more, the rarest are forgotten
 CACHE_WORDS = 1 << 19
 LIMIT = 2048
 _LONGEST = 64  # bytes of a word kept in a table or cache
@@ -47,25 +47,34 @@ class Frequent:
     """Counts of the frequent words of what it is given, by hash; words of over _LONGEST bytes are left out."""
 
     def __init__(self):
-        self.keys, self.counts, self.words = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
 
     def add(self, chunk: Chunk) -> None:
         short = np.flatnonzero(chunk.ends - chunk.starts <= _LONGEST)
         keys, first, counts = np.unique(chunk.hashes()[short], return_index=True, return_counts=True)
-        if not len(keys):
-            return
-        at = np.searchsorted(self.keys, keys)
-        old = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        self.counts[at[old]] += counts[old]
-        raw, own = chunk.data.tobytes(), short[first[~old]]
+        raw, own = chunk.data.tobytes(), short[first]
         words = np.empty(len(own), object)
         words[:] = [raw[a:b] for a, b in zip(chunk.starts[own].tolist(), chunk.ends[own].tolist(), strict=True)]
-        keys, counts, words = np.append(self.keys, keys[~old]), np.append(self.counts, counts[~old]), np.append(self.words, words)
-        if len(keys) > HELD_WORDS:
-            kept = np.argpartition(counts, len(counts) - HELD_WORDS // 2)[-HELD_WORDS // 2 :]
+        self.parts.append((keys, counts, words))
+        self.n += len(keys)
+        if self.n > 2 * HELD_WORDS:
+            self.merge(HELD_WORDS)
+
+    def merge(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The counts and words of the ``most`` frequent ones, which are held on."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, object)
+        keys, counts, words = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        start = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else order
+        counts = np.add.reduceat(counts[order], start) if len(start) else counts
+        keys, words = keys[order[start]], words[order[start]]
+        if len(keys) > most:
+            kept = np.argpartition(counts, len(counts) - most)[-most:]
             keys, counts, words = keys[kept], counts[kept], words[kept]
-        order = np.argsort(keys)
-        self.keys, self.counts, self.words = keys[order], counts[order], words[order]
+        self.parts, self.n = [(keys, counts, words)], len(keys)
+        return counts, words
 
 
 def frequent_words(docs: DataFrame, table_words: int = TABLE_WORDS) -> list[bytes]:
@@ -76,8 +85,8 @@ def frequent_words(docs: DataFrame, table_words: int = TABLE_WORDS) -> list[byte
         for batch in batches:
             for chunk in chunks(batch.column(0)):
                 own.add(chunk)
-        top = np.argsort(-own.counts, kind="stable")[:TASK_WORDS]
-        yield pa.RecordBatch.from_arrays([pa.array(own.words[top].tolist(), pa.binary()), pa.array(own.counts[top])], ["word", "n"])
+        counts, words = own.merge(TASK_WORDS)
+        yield pa.RecordBatch.from_arrays([pa.array(words.tolist(), pa.binary()), pa.array(counts)], ["word", "n"])
 
     counted = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(table_words).collect()]

@@ -128,7 +128,10 @@ def test_counts_of_frequent_words():
         text = " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(500)) + " " + "x" * 65
         own.add(next(chunks(pa.array([text]))))
         truth.update(w.encode() for w in text.split() if len(w) <= 64)
-    assert dict(zip(own.words.tolist(), own.counts.tolist())) == truth
+    counts, words = own.merge(1 << 18)
+    assert dict(zip(words.tolist(), counts.tolist())) == truth
+    counts, words = own.merge(5)
+    assert sorted(counts.tolist()) == sorted(truth.values())[-5:] and all(truth[w] == n for w, n in zip(words.tolist(), counts.tolist()))
 
 
 def test_words_of_any_length(spark):
