@@ -37,6 +37,8 @@ ANCHOR = 6
 PORTION = 1 << 21  # minimisers that a task gathers before it sends them
 HOME = 1 << 20  # words of a home, on average
 GROUP = 1 << 21  # suffixes of a group, at most where prefixes can be longer
+KEY_BITS = 48  # of a minimiser by which a bucket tells them apart, and by which a home does; clashes only let more
+HOME_BITS = 40  # suffixes through, and are few, as neither gets larger with the input
 MOST_BINS = 1 << 20  # of the prefixes of one length, so that the plan has at most 16 MB
 STEP = U64(0xC2B2AE3D27D4EB4F)
 
@@ -205,15 +207,32 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _steps_packed(sorted_numbers: np.ndarray) -> bytes:
+    """Numbers by their distances, first all low bytes, then all next ones: the high ones are mostly zero and cost nothing."""
+    return np.diff(sorted_numbers, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _steps(data: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(data.reshape(8, -1).T).view(U64).ravel(), dtype=U64)
+
+
 def _pairs_packed(keys: np.ndarray, rows: np.ndarray) -> bytes:
-    return _pack(keys, *_indexed(rows))
+    """Minimisers, in order, by KEY_BITS of each, and their rows."""
+    return _pack(_steps_packed(keys >> U64(64 - KEY_BITS)), *_indexed(rows))
 
 
 def _pairs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     parts = [_unpack(x) for x in blobs]
-    if not parts:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1][p[2]] for p in parts])
+    return np.concatenate([_steps(p[0]) for p in parts]), np.concatenate([p[1][p[2]] for p in parts])
+
+
+def _keys_packed(keys: np.ndarray) -> bytes:
+    """The different ones of some minimisers, given by HOME_BITS of each."""
+    return _pack(_steps_packed(np.unique(keys)))
+
+
+def _keys(blobs: list[bytes]) -> np.ndarray:
+    return np.unique(np.concatenate([_steps(_unpack(x)[0]) for x in blobs])) if blobs else np.zeros(0, U64)
 
 
 def _cells_packed(rows: np.ndarray, at: np.ndarray) -> bytes:
@@ -298,11 +317,6 @@ def _settled(sent: DataFrame, partitions: int, judge: Callable[[list[bytes]], pa
     return dealt.mapInArrow(run, ANSWERS).repartition(partitions, "home")
 
 
-def _number(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """One number for a minimiser and its row; equal numbers of different pairs only let more suffixes through."""
-    return keys ^ mix(rows.astype(np.int64).view(U64) + U64(0x9E3779B97F4A7C15))
-
-
 def _member(numbers: np.ndarray, among: np.ndarray) -> np.ndarray:
     if not len(among):
         return np.zeros(len(numbers), bool)
@@ -311,7 +325,7 @@ def _member(numbers: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 def repeated_anchors(dealt: DataFrame, width: int, n_homes: int, portion: int = PORTION) -> DataFrame:
-    """(home, answers): the (minimiser, row) pairs of which another row has the minimiser too; as many buckets as homes."""
+    """(home, answers): the minimisers of each home's rows that another row has too. There are as many buckets as homes."""
     partitions = shuffle_width(dealt.sparkSession)
 
     def send(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -324,7 +338,7 @@ def repeated_anchors(dealt: DataFrame, width: int, n_homes: int, portion: int =
         many = np.repeat(count > LOCAL, count)
         if many.any():
             own_keys, own_rows = keys[many], rows[many]
-            yield _answers(own_rows, n_homes, lambda k: _pairs_packed(own_keys[k], own_rows[k]))
+            yield _answers(own_rows, n_homes, lambda k: _keys_packed(own_keys[k] >> U64(64 - HOME_BITS)))
         # A minimiser that the portion has settled goes on once, for others to learn of it.
         first = np.zeros(len(keys), bool)
         first[start] = True
@@ -352,7 +366,7 @@ def repeated_anchors(dealt: DataFrame, width: int, n_homes: int, portion: int =
         several = np.minimum.reduceat(rows, start) != np.maximum.reduceat(rows, start)
         good = several[np.cumsum(first) - 1] & (rows != SETTLED)
         keys, rows = keys[good], rows[good]
-        return _answers(rows, n_homes, lambda k: _pairs_packed(keys[k], rows[k]), whole=False)
+        return _answers(rows, n_homes, lambda k: _keys_packed(keys[k] >> U64(KEY_BITS - HOME_BITS)), whole=False)
 
     known = dealt.where("doc_id is not null").select("row", "text")
     return _settled(known.mapInArrow(run, SENT), partitions, judge)
@@ -450,7 +464,7 @@ class Home:
             words = chunk.hashes()
             at, least, anchor = _minimisers(chunk, words, width)
             row = np.searchsorted(chunk.words, at, "right") - 1
-            good = _member(_number(least, rows[chunk.first + row]), among)
+            good = _member(least >> U64(64 - HOME_BITS), among)
             at, row, anchor = at[good], row[good], anchor[good]
             if not len(at):
                 continue
@@ -516,7 +530,7 @@ def removable(dealt: DataFrame, plan: Plan, n_homes: int, width: int = WIDTH, po
     empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.int32(), pa.binary())], ["bucket", "leaves", "home", "answers"])
 
     def group(texts, answers):
-        among = np.unique(_number(*_pairs(answers["answers"].to_pylist())))
+        among = _keys(answers["answers"].to_pylist())
         return pa.Table.from_batches([empty, *Home(texts, among, width, shared.value).sent(n_homes)])
 
     def judge(blobs: list[bytes]) -> pa.RecordBatch:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meridion.llm.substring_dedup import Home, _number, _pairs, deduplicate, prefix_plan, repeated_anchors, subtree
+from meridion.llm.substring_dedup import Home, _keys, deduplicate, prefix_plan, repeated_anchors, subtree
 
 from .fixtures import SCHEMA, documents, prose, words_of
 
@@ -91,7 +91,7 @@ def test_default_settings_visit_deep_nodes(spark):
     found = Counter()
     for home in range(7):
         blobs = [b for h, b in zip(anchors["home"].to_pylist(), anchors["answers"].to_pylist()) if h == home]
-        own = Home(dealt.where(F.col("home") == home).toArrow(), np.unique(_number(*_pairs(blobs))), 13, plan)
+        own = Home(dealt.where(F.col("home") == home).toArrow(), _keys(blobs), 13, plan)
         found.update(own.tree().internal())
     dealt.unpersist()
     assert found[13] > 0 and sum(n for d, n in found.items() if d < 13) > found[13] and len(found) > 5
