@@ -29,7 +29,7 @@ CLASSES = 512
 DIM = 32
 NOISE = 10  # noise words for each token
 SHARED_NOISE = 64  # noise words drawn for a whole minibatch
-BATCH = 2048
+BATCH = 4096
 GATHERED = 1 << 17  # tokens of whole rows that are cut into minibatches together, at least
 RATE = 0.15
 TABLE_WORDS = 1 << 18  # the most words whose counts are broadcast, 12 bytes each
@@ -223,24 +223,31 @@ class Trainer:
         self.rest, self.n = [], 0
 
     def step(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        m, size = self.m, len(self.m.b)
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(SHARED_NOISE)), size - 1)
+        m = self.m
+        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(SHARED_NOISE)), len(m.b) - 1)
         r1, r2, rw, rn = m.r[one], m.r[two], m.r[w], m.r[noise]
         q = r1 @ m.c[0] + r2 @ m.c[1]
         good = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, rw) + m.b[w] - self.log_noise[w]))  # 1 - sigmoid
         bad = (NOISE / SHARED_NOISE) / (1 + np.exp(self.log_noise[noise] - q @ rn.T - m.b[noise]))
         dq = good[:, None] * rw - bad @ rn
         gc = np.stack([r1.T @ dq, r2.T @ dq])
-        index = np.concatenate([w, one, two])
-        value = np.concatenate([good[:, None] * q, dq @ m.c[0].T, dq @ m.c[1].T])
-        gr = np.stack([np.bincount(index, weights=value[:, k], minlength=size) for k in range(DIM)], axis=1).astype(F32)
-        np.add.at(gr, noise, -(bad.T @ q))
-        gb = np.bincount(w, weights=good, minlength=size).astype(F32)
-        np.add.at(gb, noise, -bad.sum(axis=0))
-        for p, s, g in zip(m.parameters(), m.sums, (gr, gc, gb), strict=True):
-            g = g / F32(len(w) ** 0.5)
-            s += g * g
-            p += RATE * g / np.sqrt(s)
+        index = np.concatenate([w, one, two, noise]).astype(np.uint16)
+        value = np.empty((len(index), DIM + 1), F32)
+        n = len(w)
+        value[:n, :DIM], value[:n, DIM] = good[:, None] * q, good
+        value[n : 2 * n, :DIM], value[2 * n : 3 * n, :DIM], value[n : 3 * n, DIM] = dq @ m.c[0].T, dq @ m.c[1].T, 0
+        value[3 * n :, :DIM], value[3 * n :, DIM] = -(bad.T @ q), -bad.sum(axis=0)
+        # Sums of the rows of each word; words without any keep their parameters and sums.
+        order = np.argsort(index, kind="stable")
+        index = index[order]
+        start = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
+        own, g = index[start], np.add.reduceat(value[order], start, axis=0) / F32(n**0.5)
+        for p, s, part in ((m.r, m.sums[0], g[:, :DIM]), (m.b, m.sums[2], g[:, DIM])):
+            s[own] = total = s[own] + part * part
+            p[own] += RATE * part / np.sqrt(total)
+        gc /= F32(n**0.5)
+        m.sums[1] += gc * gc
+        m.c += RATE * gc / np.sqrt(m.sums[1])
 
 
 def dealt_tokens(rows: DataFrame, words, n_shards: int) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import durable
 from .words import Chunk, chunks
 
 TABLE_WORDS = 1 << 16
@@ -78,7 +79,7 @@ class Frequent:
 
 
 def frequent_words(docs: DataFrame, table_words: int = TABLE_WORDS) -> list[bytes]:
-    """The words that tasks report most often in all documents, at most ``table_words``."""
+    """The words that tasks report most often in all documents, at most ``table_words``; equally frequent ones are all in or all out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Frequent()
@@ -88,8 +89,16 @@ def frequent_words(docs: DataFrame, table_words: int = TABLE_WORDS) -> list[byte
         counts, words = own.merge(TASK_WORDS)
         yield pa.RecordBatch.from_arrays([pa.array(words.tolist(), pa.binary()), pa.array(counts)], ["word", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(table_words).collect()]
+    counted = durable(docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # At most 512 bins, eight for each doubling of a count, say from which count on there are not too many words.
+    bins = {r.b: (r.words, r.least) for r in counted.groupBy(F.floor(F.log2("n") * 8).alias("b")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()}
+    least, held = None, 0
+    for b in sorted(bins, reverse=True):
+        held += bins[b][0]
+        if held > table_words:
+            break
+        least = bins[b][1]
+    return [] if least is None else [bytes(r.word) for r in counted.where(F.col("n") >= least).collect()]
 
 
 def word_lengths(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
