@@ -325,7 +325,10 @@ def _member(numbers: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 def repeated_anchors(dealt: DataFrame, width: int, n_homes: int, portion: int = PORTION) -> DataFrame:
-    """(home, answers): the minimisers of each home's rows that another row has too. There are as many buckets as homes."""
+    """(home, answers): the minimisers of each home's rows that another row has too. There are as many buckets as homes.
+
+    ``dealt`` is (doc_id, text, row, home); rows without a doc_id are left out.
+    """
     partitions = shuffle_width(dealt.sparkSession)
 
     def send(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -349,7 +352,8 @@ def repeated_anchors(dealt: DataFrame, width: int, n_homes: int, portion: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered = Portion(send, portion)
         for batch in batches:
-            rows = batch.column(0).to_numpy()
+            batch = batch.filter(batch.column(0).is_valid())
+            rows = batch.column(2).to_numpy()
             for chunk in chunks(batch.column(1)):
                 at, least, _ = _minimisers(chunk, chunk.hashes(), width)
                 own = rows[chunk.first + np.searchsorted(chunk.words, at, "right") - 1]
@@ -368,8 +372,8 @@ def repeated_anchors(dealt: DataFrame, width: int, n_homes: int, portion: int =
         keys, rows = keys[good], rows[good]
         return _answers(rows, n_homes, lambda k: _keys_packed(keys[k] >> U64(KEY_BITS - HOME_BITS)), whole=False)
 
-    known = dealt.where("doc_id is not null").select("row", "text")
-    return _settled(known.mapInArrow(run, SENT), partitions, judge)
+    # All columns and rows, so that the shuffle is the same one as later steps read.
+    return _settled(dealt.mapInArrow(run, SENT), partitions, judge)
 
 
 # Subtrees ----------------------------------------------------------------------------------------------------

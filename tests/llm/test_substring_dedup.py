@@ -86,7 +86,7 @@ def test_default_settings_visit_deep_nodes(spark):
     """On sf0.01 the subtrees of the operator's own homes have inner nodes of several depths and of the full one."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     plan = prefix_plan(docs, 13, 4)
-    dealt = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("home", F.pmod("row", F.lit(7)).cast("int")).persist()
+    dealt = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).withColumn("home", F.pmod("row", F.lit(7)).cast("int")).persist()
     anchors = repeated_anchors(dealt, 13, 7).toArrow()
     found = Counter()
     for home in range(7):
