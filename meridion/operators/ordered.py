@@ -109,19 +109,26 @@ def reorder(df: DataFrame, key: str, wanted: list) -> DataFrame:
     return out.select(*[c for c in df.columns if c != "ordinal"], F.when(F.col("_bad"), F.col("ordinal")).otherwise(F.col("new_ordinal")).alias("ordinal"), F.when(F.col("_bad"), "not_a_permutation").otherwise("none").alias("error"))
 
 
-def ancestry(df: DataFrame, node: str, parent: str, depth: int = 64) -> DataFrame:
-    """(node, ancestors, root, error) of a forest: a recursive query with a bound; a node seen again is a cycle."""
-    spark = df.sparkSession
-    name = f"_forest_{abs(hash((node, parent, id(df))))}"
-    df.select(F.col(node).alias("node"), F.col(parent).alias("parent")).createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, at, steps) AS (
-            SELECT node, parent, 0 FROM {name}
-            UNION ALL
-            SELECT w.node, f.parent, w.steps + 1 FROM walk w JOIN {name} f ON w.at = f.node WHERE w.at <> w.node AND w.steps < {depth})
-        SELECT node, max(steps) AS ancestors, max_by(CASE WHEN at IS NULL THEN steps END, steps) IS NOT NULL AS rooted,
-               CASE WHEN bool_or(at = node) THEN 'cycle' WHEN max(steps) >= {depth} THEN 'too_deep' ELSE 'none' END AS error
-        FROM walk GROUP BY node""")
+def ancestry(df: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, ancestors, rooted, error) of a forest of any depth: how many ancestors there are, and whether the last one has no parent.
+
+    Pointers double each round, so rounds are logarithmic in the longest chain. A parent that is no node ends a
+    chain that is not rooted. What still has a way to go after as many rounds as nodes allow hangs on a cycle:
+    its error is cycle and it has no count.
+    """
+    own = df.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
+    known = own.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
+    state = own.join(known, "parent", "left").select(
+        "node", F.when(F.col("known"), F.col("parent")).alias("at"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("n"), F.when(F.col("known"), True).otherwise(F.col("parent").isNull()).alias("rooted")
+    )
+    state = checkpointed(state)
+    nodes, covered = state.count(), 1
+    while covered <= nodes and state.where(F.col("at").isNotNull()).limit(1).count():
+        other = state.select(F.col("node").alias("at"), F.col("at").alias("far"), F.col("n").alias("more"), F.col("rooted").alias("last"))
+        state = checkpointed(state.join(other, "at", "left").select("node", F.col("far").alias("at"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("rooted") & F.coalesce("last", F.lit(True))).alias("rooted")))
+        covered *= 2
+    loop = F.col("at").isNotNull()
+    return state.select("node", F.when(~loop, F.col("n").cast("int")).alias("ancestors"), (F.col("rooted") & ~loop).alias("rooted"), F.when(loop, "cycle").otherwise("none").alias("error"))
 
 
 def cycle_roots(df: DataFrame, node: str, follow: str) -> DataFrame:

@@ -15,13 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .kernels.globe import CurveOptions, PolygonOptions, VerifiedOptions, verified_polygon, visible_curve, visible_polygon
-from .kernels.projection import Projected, RingOptions, project_piecewise, project_ring
+from .kernels.projection import Projected, RingOptions, project_many
 from .kernels.rings import Ring, canonicalise, ring_area
 from .kernels.seam import split_at_seam
-from .kernels.sphere import camera
+from .kernels.sphere import camera, project
 
 PIECES = "pieces array<array<struct<x: double, y: double>>>"
 PROJECTED = (
@@ -43,8 +43,8 @@ def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     return df.repartition(n, F.xxhash64(key))
 
 
-def map_rings(df: DataFrame, work: Callable[[Ring | None, str], dict], schema: str, rows: int = 256) -> DataFrame:
-    """Adds the columns of ``schema``, made by ``work`` from each row's canonical ring (None and the reason if there is none)."""
+def map_rings(df: DataFrame, work: Callable[[list[tuple[Ring | None, str]]], list[dict]], schema: str, rows: int = 256) -> DataFrame:
+    """Adds the columns of ``schema``, made by ``work`` from the canonical rings of some rows at a time (None and the reason if there is none)."""
     added = df.sparkSession.createDataFrame([], schema).schema
     names = added.names
 
@@ -52,11 +52,8 @@ def map_rings(df: DataFrame, work: Callable[[Ring | None, str], dict], schema: s
         for whole in batches:
             for at in range(0, len(whole), rows):
                 batch = whole.slice(at, rows)
-                points, sides = (batch.column(batch.schema.names.index(n)).to_pylist() for n in ("points", "side"))
-                out = []
-                for own, side in zip(points, sides, strict=True):
-                    ring, error = canonicalise([p["lon"] for p in own], [p["lat"] for p in own], side or "unspecified") if own and None not in own else (None, "too_few_vertices")
-                    out.append(work(ring, error))
+                points, sides = (batch.column(batch.schema.names.index(n)) for n in ("points", "side"))
+                out = work(_rings(points, sides.to_pylist()))
                 columns = [_nested([r.get(n) for r in out], t) if _is_nested(t) else pa.array([r.get(n) for r in out], t) for n, t in zip(names, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
@@ -66,6 +63,28 @@ def map_rings(df: DataFrame, work: Callable[[Ring | None, str], dict], schema: s
     return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
 
 
+def _rings(points: pa.ListArray, sides: list[str | None]) -> list[tuple[Ring | None, str]]:
+    """Canonical rings of a column of point lists; a null list or a null point is no ring."""
+    flat = points.flatten()
+    lon, lat = (flat.field(k).to_numpy(zero_copy_only=False).astype(float) if len(flat) else np.zeros(0) for k in (0, 1))
+    gone = flat.is_null().to_numpy(zero_copy_only=False).astype(bool) if flat.null_count else np.zeros(len(flat), bool)
+    sizes = points.value_lengths().fill_null(0).to_numpy()
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    out = []
+    for k, side in enumerate(sides):
+        part = slice(int(cuts[k]), int(cuts[k + 1]))
+        if sizes[k] == 0 or gone[part].any():
+            out.append((None, "too_few_vertices"))
+        else:
+            out.append(canonicalise(lon[part], lat[part], side or "unspecified"))
+    return out
+
+
+def each(work: Callable[[Ring | None, str], dict]) -> Callable[[list[tuple[Ring | None, str]]], list[dict]]:
+    """Work on one ring after another."""
+    return lambda rings: [work(ring, error) for ring, error in rings]
+
+
 def _is_nested(t: pa.DataType) -> bool:
     return pa.types.is_list(t) and pa.types.is_list(t.value_type) and pa.types.is_struct(t.value_type.value_type)
 
@@ -93,10 +112,10 @@ def _projected(found: Projected) -> dict:
 
 def project_rings(df: DataFrame, options: RingOptions = RingOptions(), piecewise: bool = True) -> DataFrame:
     """Projects each ring until its plane area is within its budget; cut at the seam first if ``piecewise``."""
-    project = project_piecewise if piecewise else project_ring
 
-    def work(ring: Ring | None, error: str) -> dict:
-        return _projected(project(ring, options) if ring else Projected([], error="ring_invalid", detail=error))
+    def work(rings: list[tuple[Ring | None, str]]) -> list[dict]:
+        found = iter(project_many([r for r, _ in rings if r is not None], options, piecewise))
+        return [_projected(next(found) if r is not None else Projected([], error="ring_invalid", detail=error)) for r, error in rings]
 
     return map_rings(df, work, PROJECTED)
 
@@ -120,7 +139,7 @@ def ring_areas(df: DataFrame, tolerance: float = 1e-14, depth: int = 24) -> Data
         area, bound, error = ring_area(ring, tolerance, depth)
         return {"winding": ring.winding, "area": area, "bound": bound, "error": error} if error == "none" else {"winding": ring.winding, "error": error}
 
-    return map_rings(df, work, AREA)
+    return map_rings(df, each(work), AREA)
 
 
 def split_rings(df: DataFrame, meridian: float = 0.0, max_pieces: int = 4096) -> DataFrame:
@@ -133,7 +152,7 @@ def split_rings(df: DataFrame, meridian: float = 0.0, max_pieces: int = 4096) ->
         pieces = [np.stack([p.lon, p.lat], axis=-1) for p in s.pieces]
         return {"pieces": pieces, "areas": s.areas, "crossings": s.crossings, "partition_error": s.partition_error, "error": s.error}
 
-    return map_rings(df, work, SPLIT)
+    return map_rings(df, each(work), SPLIT)
 
 
 def globe_curves(df: DataFrame, view: tuple[float, float], options: CurveOptions = CurveOptions()) -> DataFrame:
@@ -146,7 +165,7 @@ def globe_curves(df: DataFrame, view: tuple[float, float], options: CurveOptions
         c = visible_curve(ring, matrix, options)
         return {"parts": c.parts, "crossings": c.crossings, "closed": c.closed, "n_vertices": c.vertices, "error": c.error}
 
-    return map_rings(df, work, CURVE)
+    return map_rings(df, each(work), CURVE)
 
 
 def globe_fill(df: DataFrame, view: tuple[float, float], options: VerifiedOptions | PolygonOptions = VerifiedOptions()) -> DataFrame:
@@ -168,7 +187,35 @@ def globe_fill(df: DataFrame, view: tuple[float, float], options: VerifiedOption
             "error": error, "detail": detail, **extra,
         }
 
-    return map_rings(df, work, FILL)
+    return map_rings(df, each(work), FILL)
+
+
+def outline_areas(df: DataFrame, vertices: str, out: str, segments: int = 16, primitive: str = "sinusoidal") -> DataFrame:
+    """Adds the plane area of each ring's projected outline, with ``segments`` pieces an edge, for all rings of a batch together.
+
+    ``vertices`` are unwrapped points in radians whose last one is joined to the first; null rings have a null area.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = np.arange(segments) / segments
+        for batch in batches:
+            column = batch.column(batch.schema.names.index(vertices))
+            flat, sizes = column.flatten(), column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            lon, lat = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            first = np.cumsum(sizes) - sizes
+            follow = np.arange(1, len(lon) + 1)
+            follow[(first + sizes - 1)[sizes > 0]] = first[sizes > 0]
+            x, y = project(primitive, (lon[:, None] + t * (lon[follow] - lon)[:, None]).ravel(), (lat[:, None] + t * (lat[follow] - lat)[:, None]).ravel())
+            # A fan about each ring's first point keeps the terms small.
+            start, size = first * segments, sizes * segments
+            x, y = x - np.repeat(x[start[size > 0]], size[size > 0]), y - np.repeat(y[start[size > 0]], size[size > 0])
+            cross = np.append(x[:-1] * y[1:] - x[1:] * y[:-1], 0.0) if len(x) else x
+            cross[(start + size - 1)[size > 0]] = 0.0  # to the first point, which is the origin
+            area = np.zeros(len(sizes))
+            area[size > 0] = np.add.reduceat(cross, start[size > 0]) / 2 if (size > 0).any() else 0.0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(area, mask=column.is_null().to_numpy(zero_copy_only=False))], [*batch.schema.names, out])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
 
 def world_summary(projected: DataFrame, *keys: str, role: Column | None = None) -> DataFrame:

@@ -51,15 +51,36 @@ def without_repeated_end(points: Column) -> Column:
     return F.when(same, F.slice(points, F.lit(1), F.size(points) - 1)).otherwise(points)
 
 
+LONG = 64  # points from which longitudes are summed by blocks
+
+
 def unwrapped(points: Column) -> Column:
-    """The points with longitudes that never jump: each is the one before plus the nearest way, taken between raw longitudes."""
-    start = F.struct(F.array(point(principal(points[0]["lon"]), points[0]["lat"])).alias("path"), points[0]["lon"].alias("raw"))
+    """The points with longitudes that never jump: each is the one before plus the nearest way, taken between raw longitudes.
+
+    The sums of short rings are folded; those of long ones by blocks of a square root of their points, so that
+    no array is built point by point.
+    """
+
+    def fold(steps: Column) -> Column:
+        return F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.slice(steps, 1, 1), lambda path, d: F.concat(path, F.array(F.element_at(path, -1) + d)))
+
+    def blocks(steps: Column) -> Column:
+        def summed(size: Column) -> Column:
+            total = lambda first, n: F.aggregate(F.slice(steps, first + 1, n), lit(0), lambda s, d: s + d)
+            sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / size).cast("int")), lambda k: total(k * size, size))
+            starts = F.aggregate(sums, F.array(lit(0)), lambda path, d: F.concat(path, F.array(F.element_at(path, -1) + d)))
+            # A block's sum and the sum up to its last point are the same steps in the same order, so they are equal to the bit.
+            place = lambda i, starts: F.get(starts, F.floor(i / size).cast("int")) + total(F.floor(i / size).cast("int") * size, i - F.floor(i / size).cast("int") * size + 1)
+            return let(starts, lambda starts: F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda i: place(i, starts)))
+
+        return let(F.ceil(F.sqrt(F.size(steps))).cast("int"), summed)
 
-    def step(state: Column, p: Column) -> Column:
-        lon = F.element_at(state["path"], -1)["lon"] + principal(p["lon"] - state["raw"])
-        return F.struct(F.concat(state["path"], F.array(point(lon, p["lat"]))).alias("path"), p["lon"].alias("raw"))
+    def path(p: Column) -> Column:
+        steps = F.concat(F.array(principal(p[0]["lon"])), F.zip_with(F.slice(p, F.lit(2), F.size(p) - 1), F.slice(p, F.lit(1), F.size(p) - 1), lambda b, a: principal(b["lon"] - a["lon"])))
+        lons = let(steps, lambda s: F.when(F.size(s) < LONG, fold(s)).otherwise(blocks(s)))
+        return F.zip_with(lons, p, lambda lon, q: point(lon, q["lat"]))
 
-    return F.aggregate(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), start, step, lambda s: s["path"])
+    return let(points, path)
 
 
 def canonical_ring(points: Column, side: Column | str = "unspecified") -> Column:

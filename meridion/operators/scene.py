@@ -113,29 +113,43 @@ def palette(key: str) -> Column:
     return (F.aggregate(codes, F.lit(FNV_BASIS).cast(wide), step) % F.lit(PALETTE).cast(wide)).cast("int")
 
 
-def label_candidates(scene: DataFrame, limit: int = LABELS, char_width: float = 7.0, height: float = 14.0, scale: float = 1e-5) -> DataFrame:
-    """The ``limit`` labels of largest shape on the map, at the centroid of their largest ring."""
-    largest = F.element_at(F.array_sort(F.transform("fills", lambda r: F.struct(F.abs(planar_area(r)).alias("a"), r.alias("r")))), -1)["r"]
-    own = scene.where(F.col("label").isNotNull() & (F.size("fills") > 0)).select("stable_id", "label", largest.alias("ring"))
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    size = (F.array_max(xs) - F.array_min(xs)) * (F.array_max(ys) - F.array_min(ys))
-    own = own.select("stable_id", "label", size.alias("size"), centroid(F.col("ring")).alias("c"))
-    top = own.orderBy(F.desc("size"), "stable_id").limit(limit)
-    w = F.length("label") * lit(char_width)
-    return top.select("stable_id", "label", "size", (F.col("c.x") * lit(scale)).alias("x"), (F.col("c.y") * lit(scale)).alias("y"), w.alias("width"), lit(height).alias("height"))
-
-
-def place_labels(candidates: DataFrame) -> DataFrame:
-    """Greedy placement of the (at most LABELS) candidates: larger ones first, none over another."""
-    rows = candidates.orderBy(F.desc("size"), "stable_id").collect()
+def label_candidates(
+    scene: DataFrame, bounds: dict, width: float = 960.0, height: float = 540.0, char_width: float = 7.0, line_height: float = 14.0, margin: float = 52.0,
+) -> DataFrame:
+    """Labels that may be drawn in a viewport, at the centroid of their largest ring: (stable_id, label, size, x, y, left, top, width, height).
+
+    Only political scenes have any. A ring must be 42 x 18 pixels at least, its centroid 8 pixels inside the
+    viewport. The box is the text's, with 4 pixels beside and 2 above and below; size is the ring's box on screen.
+    """
+    largest = F.element_at(F.array_sort(F.transform("fills", lambda r, i: F.struct(F.abs(planar_area(r)).alias("a"), (-i).alias("i"), r.alias("r")))), -1)
+    own = scene.where(F.col("political") & (F.length("label") > 0) & (F.size("fills") > 0)).select("stable_id", "label", largest.alias("l")).where(F.col("l.a") > 0)
+    own = own.withColumn("ring", to_screen(F.array("l.r"), bounds, width, height, margin)[0])
+    own = own.withColumn("plane", F.transform("ring", lambda p: F.struct(p["sx"].alias("x"), p["sy"].alias("y"))))
+    xs, ys = F.transform("plane", lambda p: p["x"]), F.transform("plane", lambda p: p["y"])
+    own = own.select("stable_id", "label", (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"), centroid(F.col("plane")).alias("c")).where((F.col("w") >= 42) & (F.col("h") >= 18))
+    x, y = F.col("c.x"), F.col("c.y")
+    box_width, box_height = F.length("label") * lit(char_width) + lit(8), lit(line_height + 4)
+    own = own.where(x.between(8, width - 8) & y.between(8, height - 8))
+    out = own.select("stable_id", "label", (F.col("w") * F.col("h")).alias("size"), x.alias("x"), y.alias("y"), (x - box_width / lit(2)).alias("left"), (y - box_height / lit(2)).alias("top"), box_width.alias("width"), box_height.alias("height"))
+    return out.where((F.col("left") < width) & (F.col("left") + F.col("width") > 0) & (F.col("top") < height) & (F.col("top") + F.col("height") > 0))
+
+
+def place_labels(candidates: DataFrame, most: int = LABELS) -> DataFrame:
+    """Greedy placement, larger shapes first, then by id, until ``most`` labels are drawn: (stable_id, label, x, y, rank).
+
+    A label may not come within 3 pixels beside or 2 above and below a drawn one's box. Candidates come to the
+    driver in order, a partition at a time, and only as many as it takes.
+    """
     taken: list[tuple] = []
     placed = []
-    for r in rows:
-        box = (r.x - r.width / 2, r.x + r.width / 2, r.y - r.height / 2, r.y + r.height / 2)
-        if not any(box[0] < b[1] and b[0] < box[1] and box[2] < b[3] and b[2] < box[3] for b in taken):
+    for r in candidates.orderBy(F.desc("size"), "stable_id").toLocalIterator():
+        if len(placed) >= most:
+            break
+        box = (r.left, r.left + r.width, r.top, r.top + r.height)
+        if not any(box[0] < b[1] + 3 and b[0] - 3 < box[1] and box[2] < b[3] + 2 and b[2] - 2 < box[3] for b in taken):
             taken.append(box)
-            placed.append((r.stable_id, r.label, r.x, r.y))
-    return candidates.sparkSession.createDataFrame(placed, "stable_id string, label string, x double, y double")
+            placed.append((r.stable_id, r.label, r.x, r.y, len(placed) + 1))
+    return candidates.sparkSession.createDataFrame(placed, "stable_id string, label string, x double, y double, rank int")
 
 
 def graticule(spark: SparkSession) -> DataFrame:

@@ -18,8 +18,8 @@ from meridion.operators import ordered
 from meridion.operators.kernels.globe import PolygonOptions, VerifiedOptions
 from meridion.operators.kernels.projection import RingOptions
 from meridion.operators.kernels.sphere import camera
-from meridion.operators.projection import globe_curves, globe_fill, project_rings, ring_areas, split_rings, spread, world_summary
-from meridion.operators.rings import branch_shift, canonical_ring, edges, planar_area, rectangle, ring_area, ring_edges, strips
+from meridion.operators.projection import globe_curves, globe_fill, outline_areas, project_rings, ring_areas, split_rings, spread, world_summary
+from meridion.operators.rings import branch_shift, canonical_ring, planar_area, rectangle, ring_area, ring_edges, strips
 from meridion.operators.scene import graticule, unfold_frames, unfold_guides
 from meridion.sources.snapshots import content_identities
 from meridion.streaming.generations import latest_requests
@@ -283,19 +283,13 @@ def ring_edge_table(spark, sf_dir):
     return t.select("c_custkey", "e", *[rounded(F.col(f"s.{p}.{n}"), 6).alias(f"{n}_{p}") for p in "ab" for n in ("lon", "lat")])
 
 
-def _outline(points: Column, segments: int) -> Column:
-    """Sinusoidal outline of a ring with ``segments`` pieces an edge."""
-    steps = F.sequence(F.lit(0), F.lit(segments - 1))
-    return F.flatten(F.transform(edges(points), lambda e: F.transform(steps, lambda k: g.project_point(
-        g.mix(e["a"]["lon"], e["b"]["lon"], k.cast("double") / g.lit(segments)), g.mix(e["a"]["lat"], e["b"]["lat"], k.cast("double") / g.lit(segments))))))
-
-
 @query(f"""SELECT n_name, count(*) AS cells, {r_sql('sum(area) / 1e6', 1)} AS area_km2, true AS conserved FROM (SELECT n_name, {d(SEMI_MAJOR**2 / 2)} * {d(2 * RADIANS)} * ({q_sql(_N)} - {q_sql(_S)}) AS area
 FROM {CUSTOMER} JOIN nation ON c_nationkey = n_nationkey) GROUP BY 1""")
 def rect_area_by_nation(spark, sf_dir):
     """The flagship: cells to canonical rings, exact areas, projected outlines, areas held against each other by nation."""
-    t = cells(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").withColumn("r", canonical_ring(F.col("points")))
-    t = t.withColumn("area", ring_area(F.col("r.value"))["value"]["area"]).withColumn("plane", planar_area(_outline(F.col("r.value.vertices"), 16)))
+    t = cells(spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey"), "c_custkey").withColumn("r", canonical_ring(F.col("points"))["value"])
+    t = t.select("c_nationkey", ring_area(F.col("r"))["value"]["area"].alias("area"), F.col("r.vertices").alias("vertices"))
+    t = outline_areas(t, "vertices", "plane")
     by = t.groupBy("c_nationkey").agg(F.count("*").alias("cells"), F.sum("area").alias("area"), F.max(F.abs(F.col("plane") - F.col("area")) / F.col("area")).alias("off"))
     names = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return by.join(names, by.c_nationkey == names.n_nationkey).select("n_name", "cells", rounded(F.col("area") / g.lit(1e6), 1).alias("area_km2"), (F.col("off") < 1e-3).alias("conserved"))
