@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import SparkSession
 
-from meridion.operators.kernels.projection import RingOptions, project_piecewise
+from meridion.operators.kernels.globe import CurveOptions, VerifiedOptions, verified_polygon, visible_curve
+from meridion.operators.kernels.projection import RingOptions, project_piecewise, project_ring
 from meridion.operators.kernels.rings import canonicalise, ring_area
 from meridion.operators.kernels.seam import split_at_seam
+from meridion.operators.kernels.sphere import camera
 
 
 def _ring(points, side: str):
@@ -51,6 +53,56 @@ class RingArea:
         yield (float(area), float(bound), "none") if word == "none" else (None, None, word)
 
 
+class CanonicalRing:
+    """canonical_ring(points, side): one row with unwrapped vertices, closing longitude, winding and error."""
+
+    def eval(self, points, side: str) -> Iterator[tuple]:
+        ring, error = _ring(points, side)
+        if ring is None:
+            yield None, None, None, error
+        else:
+            yield list(zip(ring.lon.tolist(), ring.lat.tolist(), strict=True)), ring.closing_lon, ring.winding, "none"
+
+
+class SubdividedRing:
+    """subdivided_ring(points, side, primitive, distance, area): the plane points of an outline within the tolerances, not cut."""
+
+    def eval(self, points, side: str, primitive: str, distance: float, area: float) -> Iterator[tuple]:
+        ring, error = _ring(points, side)
+        # One round with a budget that any outline meets: the tolerances alone decide.
+        found = project_ring(ring, RingOptions(primitive, absolute_error=1e300, geometric_tolerance=distance, area_tolerance=area)) if ring else None
+        if found is None or found.error != "none":
+            yield None, error if found is None else found.error
+        else:
+            yield [tuple(p) for p in found.pieces[0].tolist()], "none"
+
+
+class GlobeCurveParts:
+    """globe_curve_parts(points, side, lon, lat): a row for each visible part of a ring from a camera, or one with the reason."""
+
+    def eval(self, points, side: str, lon: float, lat: float) -> Iterator[tuple]:
+        ring, error = _ring(points, side)
+        found = visible_curve(ring, camera(lon, lat), CurveOptions()) if ring else None
+        if found is None or found.error != "none":
+            yield None, None, error if found is None else found.error
+            return
+        for k, part in enumerate(found.parts):
+            yield k, [tuple(p[:2]) for p in np.asarray(part).tolist()], "none"
+
+
+class GlobeFillRings:
+    """globe_fill_rings(points, side, lon, lat): the verified visible interior, a row for each plane ring, or one with the reason."""
+
+    def eval(self, points, side: str, lon: float, lat: float) -> Iterator[tuple]:
+        ring, error = _ring(points, side)
+        found = verified_polygon(ring, camera(lon, lat), VerifiedOptions()) if ring else None
+        if found is None or found.error != "none":
+            yield None, None, None, error if found is None else found.error
+            return
+        for k, (own, area) in enumerate(zip(found.polygon.rings, found.polygon.areas, strict=True)):
+            yield k, [tuple(p[:2]) for p in np.asarray(own).tolist()], float(area), "none"
+
+
 def register(spark: SparkSession) -> None:
     from pyspark.sql.functions import udtf
 
@@ -59,5 +111,9 @@ def register(spark: SparkSession) -> None:
         ("seam_pieces", SeamPieces, f"piece int, points {lonlat}, area double, error string"),
         ("projected_pieces", ProjectedPieces, f"piece int, points {xy}, area_error double, error string"),
         ("wgs84_ring_area", RingArea, "area double, bound double, error string"),
+        ("canonical_ring", CanonicalRing, f"vertices {lonlat}, closing_lon double, winding int, error string"),
+        ("subdivided_ring", SubdividedRing, f"points {xy}, error string"),
+        ("globe_curve_parts", GlobeCurveParts, f"part int, points {xy}, error string"),
+        ("globe_fill_rings", GlobeFillRings, f"ring int, points {xy}, area double, error string"),
     ):
         spark.udtf.register(name, udtf(f, returnType=schema))

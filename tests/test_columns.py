@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from meridion.functions import geodesy as g
@@ -66,7 +67,7 @@ def test_ordered(spark):
     for wrong in (["y"], ["y", "x", "z"], ["y", "y"]):
         assert {(r.id, r.ordinal, r.error) for r in ordered.reorder(layers, "id", wrong).collect()} == {("x", 0, "not_a_permutation"), ("y", 1, "not_a_permutation")}
     forest = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("p", "q"), ("q", "p")], "n string, p string")
-    assert {r.node: (r.ancestors if r.error == "none" else r.error) for r in ordered.ancestry(forest, "n", "p", 8).collect()} == {"a": 0, "b": 1, "c": 2, "p": "cycle", "q": "cycle"}
+    assert {r.node: (r.ancestors if r.error == "none" else r.error) for r in ordered.ancestry(forest, "n", "p").collect()} == {"a": 0, "b": 1, "c": 2, "p": "cycle", "q": "cycle"}
     assert [r.o for r in ordered.not_increasing(segments, "key", "s", "o").collect()] == []
 
 
@@ -83,3 +84,75 @@ def test_sql_names(spark):
     assert areas[0].error == "none" and areas[0].area > 0 and areas[3].error == "ambiguous_half_turn"
     flat = spark.sql("SELECT p.piece, p.error FROM shapes, LATERAL projected_pieces(points, 'left', 'sinusoidal', 0D) p WHERE id = 1").collect()
     assert [(r.piece, r.error) for r in flat] == [(0, "none"), (1, "none")]
+
+
+def test_long_rings_unwrap_as_the_kernel_does(spark):
+    import random
+    import time
+
+    from meridion.operators.kernels.rings import unwrap_all
+    from meridion.operators.rings import LONG, unwrapped
+
+    rng = random.Random(2)
+    for n in (1, 2, LONG - 1, LONG, LONG + 1, 1000, 16_000):
+        lon, here = [], 0.0
+        for k in range(n):
+            here += rng.uniform(-1, 1) if k % 7 else 0.0
+            lon.append((here + 3.141592653589793) % 6.283185307179586 - 3.141592653589793)
+        df = spark.createDataFrame([([(x, k / n) for k, x in enumerate(lon)],)], "points array<struct<lon: double, lat: double>>")
+        began = time.time()
+        got = df.select(unwrapped(F.col("points")).alias("p")).first().p
+        assert time.time() - began < 20
+        assert [p.lat for p in got] == [k / n for k in range(n)] and max(abs(a.lon - b) for a, b in zip(got, unwrap_all(lon))) < 1e-9
+        assert all((a.lon == b.lon) == (x == y) for a, b, x, y in zip(got, got[1:], lon, lon[1:]))
+
+
+@pytest.mark.parametrize("n", [10_000, 200_000])
+def test_ancestry_of_deep_chains(spark, n):
+    from meridion.operators.ordered import ancestry
+
+    chain = spark.range(n).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    more = spark.createDataFrame([(n + 1, n + 2), (n + 2, n + 3), (n + 3, n + 2), (n + 4, -5), (n + 5, n + 4), (n + 6, n + 6)], "node long, parent long")
+    got = ancestry(chain.union(more), "node", "parent")
+    assert got.where(F.col("node") < n).agg(F.count_if((F.col("ancestors") == F.col("node")) & F.col("rooted") & (F.col("error") == "none"))).first()[0] == n
+    assert {tuple(r) for r in got.where(F.col("node") >= n).collect()} == {
+        (n + 1, None, False, "cycle"), (n + 2, None, False, "cycle"), (n + 3, None, False, "cycle"), (n + 4, 0, False, "none"), (n + 5, 1, False, "none"), (n + 6, None, False, "cycle")
+    }
+
+
+def test_superseded_work_is_cancelled(spark):
+    import time
+    from concurrent.futures import CancelledError
+
+    from meridion.streaming.generations import Generations
+
+    def slow(wanted):
+        return spark.range(0, 64, 1, 64).mapInPandas(lambda parts: ((time.sleep(2), p)[1] for p in parts), "id long").count()
+
+    requests = Generations(spark, "view")
+    first = requests.request(slow)
+    time.sleep(1)
+    second = requests.request(lambda wanted: (spark.range(5).count(), wanted()))
+    assert second.result(30) == (5, True)
+    began = time.time()
+    with pytest.raises(CancelledError):
+        first.result(30)
+    assert time.time() - began < 15
+    third = requests.request(lambda wanted: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        third.result(30)
+
+
+def test_sql_names(spark):
+    from meridion.functions import sql
+
+    sql.register(spark)
+    spark.sql("select array(named_struct('lon', -0.1D, 'lat', -0.1D), named_struct('lon', 0.1D, 'lat', -0.1D), named_struct('lon', 0.1D, 'lat', 0.1D), named_struct('lon', -0.1D, 'lat', 0.1D)) as points, 'left' as side").createOrReplaceTempView("rings")
+    one = lambda call: spark.sql(f"select t.* from rings, lateral {call} t").collect()
+    assert [(r.winding, len(r.vertices), r.error) for r in one("canonical_ring(points, side)")] == [(0, 4, "none")]
+    (r,) = one("subdivided_ring(points, side, 'sinusoidal', 100D, 1e6D)")
+    assert r.error == "none" and len(r.points) > 8
+    assert [(r.part, r.error) for r in one("globe_curve_parts(points, side, 0D, 0D)")] == [(0, "none")]
+    (fill,), (area,) = one("globe_fill_rings(points, side, 0D, 0D)"), one("wgs84_ring_area(points, side)")
+    assert fill.error == "none" and 0.98 * area.area < fill.area < area.area
+    assert one("globe_curve_parts(points, side, 3.14159D, 0D)") == [] and one("canonical_ring(slice(points, 1, 2), side)")[0].error == "too_few_vertices"
