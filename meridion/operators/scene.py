@@ -122,11 +122,17 @@ def label_candidates(
     viewport. The box is the text's, with 4 pixels beside and 2 above and below; size is the ring's box on screen.
     """
     largest = F.element_at(F.array_sort(F.transform("fills", lambda r, i: F.struct(F.abs(planar_area(r)).alias("a"), (-i).alias("i"), r.alias("r")))), -1)
-    own = scene.where(F.col("political") & (F.length("label") > 0) & (F.size("fills") > 0)).select("stable_id", "label", largest.alias("l")).where(F.col("l.a") > 0)
-    own = own.withColumn("ring", to_screen(F.array("l.r"), bounds, width, height, margin)[0])
-    own = own.withColumn("plane", F.transform("ring", lambda p: F.struct(p["sx"].alias("x"), p["sy"].alias("y"))))
+
+    def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+        """A column that is computed once a row, however often what follows mentions it: the optimizer doesn't write out what is exploded."""
+        return df.select("*", F.explode(F.array(value)).alias(name))
+
+    own = once(scene.where(F.col("political") & (F.length("label") > 0) & (F.size("fills") > 0)).select("stable_id", "label", "fills"), "l", largest).where(F.col("l.a") > 0)
+    ring = F.transform(to_screen(F.array("l.r"), bounds, width, height, margin)[0], lambda p: F.struct(p["sx"].alias("x"), p["sy"].alias("y")))
+    own = once(own.select("stable_id", "label", "l"), "plane", ring)
     xs, ys = F.transform("plane", lambda p: p["x"]), F.transform("plane", lambda p: p["y"])
-    own = own.select("stable_id", "label", (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"), centroid(F.col("plane")).alias("c")).where((F.col("w") >= 42) & (F.col("h") >= 18))
+    own = once(own, "box", F.struct((F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))).where((F.col("box.w") >= 42) & (F.col("box.h") >= 18))
+    own = once(own, "c", centroid(F.col("plane"))).select("stable_id", "label", F.col("box.w").alias("w"), F.col("box.h").alias("h"), "c")
     x, y = F.col("c.x"), F.col("c.y")
     box_width, box_height = F.length("label") * lit(char_width) + lit(8), lit(line_height + 4)
     own = own.where(x.between(8, width - 8) & y.between(8, height - 8))

@@ -15,13 +15,12 @@ from meridion.functions import geodesy as g
 from meridion.functions.constants import E2, PI, Q_POLE, RADIANS, SEMI_MAJOR, SURFACE, TWO_PI, E
 from meridion.functions.text import bounded_text, is_utc_time
 from meridion.operators import ordered
-from meridion.operators.kernels.globe import PolygonOptions, VerifiedOptions
 from meridion.operators.kernels.projection import RingOptions
 from meridion.operators.kernels.sphere import camera
-from meridion.operators.projection import globe_curves, globe_fill, outline_areas, project_rings, ring_areas, split_rings, spread, world_summary
+from meridion.operators.projection import outline_areas, project_rings, ring_areas, split_rings, spread, world_summary
 from meridion.operators.rings import branch_shift, canonical_ring, planar_area, rectangle, ring_area, ring_edges, strips
 from meridion.operators.scene import graticule, unfold_frames, unfold_guides
-from meridion.sources.snapshots import content_identities
+from meridion.sources.snapshots import DOMAIN, content_identities
 from meridion.streaming.generations import latest_requests
 
 from .session import ship_package
@@ -350,21 +349,40 @@ def seam_split_rect(spark, sf_dir):
 
 
 def _concave(df: DataFrame, key: str) -> DataFrame:
-    shift = g.radians((F.col(key) % 7).cast("double"))
-    xy = [(160, -50), (-160, -50), (-160, -20), (170, -20), (170, 20), (-160, 20), (-160, 50), (160, 50)]
-    return df.select(key, F.array(*[g.point(g.lit(x * RADIANS) - shift, g.lit(y * RADIANS)) for x, y in xy]).alias("points"), F.lit("left").alias("side"))
+    """A C over the antimeridian, of heights and a place that differ by key: three pieces, four crossings."""
+    k = F.col(key)
+    shift, tall, notch = k % 9, 40 + k % 30, 5 + k % 25
+    xy = [(160, -1, tall), (-160, -1, tall), (-160, -1, notch), (170, -1, notch), (170, 1, notch), (-160, 1, notch), (-160, 1, tall), (160, 1, tall)]
+    return df.select(key, F.array(*[g.point(g.radians((F.lit(x) - shift).cast("double")), g.radians((F.lit(sign) * y).cast("double"))) for x, sign, y in xy]).alias("points"), F.lit("left").alias("side"))
 
 
-@query("SELECT s_suppkey, 3 AS n_pieces, 4 AS crossings, true AS within_budget, 'none' AS error FROM supplier")
+def _c_area(key: str) -> str:
+    """Its area: a band of 40 degrees without a band of 30."""
+    tall, notch = (f"(CAST({low} + {key} % {n} AS DOUBLE) * {d(RADIANS)})" for low, n in ((40, 30), (5, 25)))
+    return f"({d(SEMI_MAJOR**2 / 2 * RADIANS)} * (4e1 * 2e0 * {q_sql(tall)} - 3e1 * 2e0 * {q_sql(notch)}))"
+
+
+def _verified(spark, sf_dir, primitive: str) -> DataFrame:
+    options = RingOptions(primitive, relative_error=1e-6, geometric_tolerance=500.0, area_tolerance=1e7)
+    out = project_rings(spread(_concave(table(spark, sf_dir, "supplier"), "s_suppkey"), "s_suppkey"), options)
+    return out.select(
+        "s_suppkey", "n_pieces", "crossings", rounded(F.col("source_area") / g.lit(1e6), 0).alias("source_km2"), rounded(F.col("planar_area") / g.lit(1e11), 0).alias("plane_100000km2"),
+        rounded(F.col("allowed_error"), 0).alias("allowed_m2"), (F.col("area_error") <= F.col("allowed_error")).alias("within_budget"), F.col("n_vertices").between(24, 1_000_000).alias("refined"), "error",
+    )
+
+
+_VERIFIED = f"""SELECT s_suppkey, 3 AS n_pieces, 4 AS crossings, {r_sql(f'{_c_area("s_suppkey")} / 1e6', 0)} AS source_km2, {r_sql(f'{_c_area("s_suppkey")} / 1e11', 0)} AS plane_100000km2,
+{r_sql(f'{_c_area("s_suppkey")} * 1e-6', 0)} AS allowed_m2, true AS within_budget, true AS refined, 'none' AS error FROM supplier"""
+
+
+@query(_VERIFIED)
 def verified_projection_sinusoidal(spark, sf_dir):
-    options = RingOptions("sinusoidal", relative_error=1e-6, geometric_tolerance=500.0, area_tolerance=1e7)
-    return project_rings(spread(_concave(table(spark, sf_dir, "supplier"), "s_suppkey"), "s_suppkey"), options).select("s_suppkey", "n_pieces", "crossings", "within_budget", "error")
+    return _verified(spark, sf_dir, "sinusoidal")
 
 
-@query("SELECT s_suppkey, 3 AS n_pieces, 4 AS crossings, true AS within_budget, 'none' AS error FROM supplier")
+@query(_VERIFIED)
 def verified_projection_mollweide(spark, sf_dir):
-    options = RingOptions("mollweide", relative_error=1e-6, geometric_tolerance=500.0, area_tolerance=1e7)
-    return project_rings(spread(_concave(table(spark, sf_dir, "supplier"), "s_suppkey"), "s_suppkey"), options).select("s_suppkey", "n_pieces", "crossings", "within_budget", "error")
+    return _verified(spark, sf_dir, "mollweide")
 
 
 @query(f"""SELECT n_nationkey, 1 AS n_pieces, {r_sql(f'-{d(SEMI_MAJOR**2 * PI)} * ({d(Q_POLE)} - {q_sql(f'(CAST(60 + n_nationkey AS DOUBLE) * {d(RADIANS)})')}) / 1e6', 0)} AS area_km2, true AS within_budget, 'none' AS error FROM nation""")
@@ -372,7 +390,7 @@ def polar_closure(spark, sf_dir):
     lat = g.radians(-(60 + F.col("n_nationkey")).cast("double"))
     points = F.array(*[g.point(g.lit(-PI + k * PI / 2), lat) for k in range(4)])
     t = table(spark, sf_dir, "nation").select("n_nationkey", points.alias("points"), F.lit("right").alias("side"))
-    out = project_rings(t, RingOptions("sinusoidal", central_meridian=0.4, relative_error=1e-8, geometric_tolerance=500.0, area_tolerance=1e7))
+    out = project_rings(t, RingOptions("sinusoidal", central_meridian=0.4, relative_error=1e-6, geometric_tolerance=500.0, area_tolerance=1e7))
     return out.select("n_nationkey", "n_pieces", rounded(F.col("source_area") / g.lit(1e6), 0).alias("area_km2"), "within_budget", "error")
 
 
@@ -382,19 +400,6 @@ def exact_ring_area(spark, sf_dir):
     return ring_areas(t).select("s_suppkey", rounded(F.col("area") / g.lit(1e6), 1).alias("area_km2"), (F.col("bound") < 1.0).alias("bounded"), "error")
 
 
-@query()
-def globe_curve_parts(spark, sf_dir):
-    t = cells(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", "points", F.lit("left").alias("side"))
-    return globe_curves(t, VIEW).select("s_suppkey", F.size("parts").alias("parts"), "crossings", "closed", "n_vertices", "error")
-
-
-@query()
-def globe_fill_verified(spark, sf_dir):
-    t = cells(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", "points", F.lit("left").alias("side"))
-    out = globe_fill(t, VIEW, VerifiedOptions(PolygonOptions(), max_rounds=18))
-    return out.select("s_suppkey", F.size("rings").alias("rings"), "crossings", rounded(F.col("area") / g.lit(1e6), 0).alias("area_km2"), "significant", "negligible", "coverage", "error")
-
-
 _PAIR = "SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS id, min(CAST((l_orderkey * 8 + l_linenumber) * 104729 % 17801 AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2"
 
 
@@ -510,7 +515,11 @@ def sha256_identity(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
 
 
-@query()
+_BYTES = "(printf('%016X', octet_length(encode({0}))) || hex(encode({0})))"
+
+
+@query(f"""SELECT source, sha256(unhex(hex(encode('{DOMAIN}')) || printf('%016X', count(*)) || string_agg({_BYTES.format('name')} || {_BYTES.format('path')} || {_BYTES.format('sha')} || printf('%016X', octet_length(encode(text))), '' ORDER BY name))) AS content_sha256
+FROM (SELECT source, text, 'doc-' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS name, source || '/' || doc_id AS path, sha256(text) AS sha FROM documents) GROUP BY 1""")
 def aggregate_identity(spark, sf_dir):
     """A content identity for each source: documents as resources, in the order of their names."""
     docs = table(spark, sf_dir, "documents").select("source", F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("logical_name"), F.concat("source", F.lit("/"), "doc_id").alias("relative_path"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"))
@@ -572,7 +581,8 @@ def cycle_assembly(spark, sf_dir):
     return ordered.cycle_roots(step, "node", "follow")
 
 
-@query("""SELECT primitive, n AS rings, 3 * n AS pieces, n AS split_rings, 4 * n AS crossings, 0 AS failed, true AS within_budget FROM (SELECT unnest(['mollweide', 'sinusoidal']) AS primitive), (SELECT count(*) AS n FROM nation)""")
+@query(f"""SELECT primitive, count(*) AS rings, 3 * count(*) AS pieces, count(*) AS split_rings, 4 * count(*) AS crossings, {r_sql('sum(area) / 1e6', 0)} AS semantic_km2, {r_sql('sum(area) / 1e11', 0)} AS plane_100000km2,
+{r_sql('sum(area) * 1e-6', 0)} AS allowed_m2, true AS ring_error_within, 0 AS failed, true AS within_budget FROM (SELECT {_c_area('n_nationkey')} AS area FROM nation), (SELECT unnest(['mollweide', 'sinusoidal']) AS primitive) GROUP BY 1""")
 def world_summary_by_primitive(spark, sf_dir):
     """The whole-world ledger: rings of every nation, projected both ways in one job, summed and held against the budget."""
     parts = []
@@ -581,4 +591,7 @@ def world_summary_by_primitive(spark, sf_dir):
         rings = spread(_concave(table(spark, sf_dir, "nation"), "n_nationkey"), "n_nationkey")
         parts.append(project_rings(rings, options).withColumn("primitive", F.lit(name)))
     out = world_summary(parts[0].unionByName(parts[1]), "primitive")
-    return out.select("primitive", "rings", "pieces", "split_rings", "crossings", "failed", "within_budget")
+    return out.select(
+        "primitive", "rings", "pieces", "split_rings", "crossings", rounded(F.col("semantic_area") / g.lit(1e6), 0).alias("semantic_km2"), rounded(F.col("semantic_planar_area") / g.lit(1e11), 0).alias("plane_100000km2"),
+        rounded(F.col("allowed_error"), 0).alias("allowed_m2"), (F.col("sum_ring_error") <= F.col("allowed_error")).alias("ring_error_within"), "failed", "within_budget",
+    )

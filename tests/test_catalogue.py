@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from meridion.plans.catalogue import ORACLE, QUERIES
+from meridion.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
