@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import kernel_queries  # noqa: F401  registers its queries
+from . import kernel_queries, source_queries  # noqa: F401  they register their queries
 from .catalogue import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -102,10 +102,15 @@ def parse_polygons(data: bytes) -> Iterator[tuple[int, list[dict], int]]:
 
 
 def read_polygon_shapefiles(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record_number, rings, normalised, error) of all shapes; a file that breaks its format gives one error row."""
+    """The shapes of all files of a path, on any store that Spark can list."""
+    return parse_polygon_files(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def parse_polygon_files(files: DataFrame) -> DataFrame:
+    """(path, record_number, rings, normalised, error) of all shapes of a table of (path, content); a file that breaks its format gives one error row."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(spark.createDataFrame([], SHAPES).schema)
+    arrow = to_arrow_schema(files.sparkSession.createDataFrame([], SHAPES).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +122,22 @@ def read_polygon_shapefiles(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SHAPES)
+    return files.select("path", "content").mapInArrow(run, SHAPES)
+
+
+def open_bytes(path: str):
+    """A file for reading, with seek: a local path, or a URI of any file system that Arrow knows."""
+    if "://" not in str(path):
+        return open(path, "rb")
+    from pyarrow.fs import FileSystem
+
+    system, name = FileSystem.from_uri(str(path))
+    return system.open_input_file(name)
+
+
+def size_of(path: str) -> int:
+    with open_bytes(path) as f:
+        return f.seek(0, 2)
 
 
 @dataclass(frozen=True)
@@ -206,7 +226,7 @@ class _DbfReader(DataSourceReader):
         return [_Range(k, min(self.rows, self.header.records - k)) for k in range(0, self.header.records, self.rows)] or [_Range(0, 0)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
+        with open_bytes(self.path) as f:
             f.seek(self.header.start + partition.first * self.header.width)
             yield from parse_dbf_rows(f.read(partition.n * self.header.width), self.header, partition.first)
 
@@ -219,9 +239,9 @@ class DbfSource(DataSource):
         return "dbase"
 
     def _header(self) -> DbfHeader:
-        path = Path(self.options["path"])
-        with path.open("rb") as f:
-            return parse_dbf_header(f.read(32 * (MAX_FIELDS + 1) + 1), path.stat().st_size)
+        path = self.options["path"]
+        with open_bytes(path) as f:
+            return parse_dbf_header(f.read(32 * (MAX_FIELDS + 1) + 1), size_of(path))
 
     def schema(self) -> str:
         return ", ".join(["record_number int", "deleted boolean", *(f"`{f.name}` binary" for f in self._header().fields)])
@@ -235,7 +255,9 @@ class _ShapeReader(DataSourceReader):
         self.path = path
 
     def read(self, partition) -> Iterator[tuple]:
-        for number, rings, snapped in parse_polygons(Path(self.path).read_bytes()):
+        with open_bytes(self.path) as f:
+            data = f.read()
+        for number, rings, snapped in parse_polygons(data):
             yield number, [(r["role"], r["side"], [(p["lon"], p["lat"]) for p in r["points"]], r["closing_lon"], r["winding"]) for r in rings], snapped
 
 

@@ -429,6 +429,14 @@ class Project:
 
         return self.mutate(change)
 
+    def resource_bindings(self) -> DataFrame:
+        """(layer_id, slot_id, resource_id, mode, required): each binding of a layer, left joined with its resource."""
+        state = self.state()
+        bindings = [(x["layer_id"], s["slot_id"], s["resource_id"]) for x in state["layers"] for s in x["resources"]]
+        resources = [(k, r["mode"], r["required"]) for k, r in state["resources"].items()]
+        own = self.spark.createDataFrame(bindings, "layer_id string, slot_id string, resource_id string")
+        return own.join(self.spark.createDataFrame(resources, "resource_id string, mode string, required boolean"), "resource_id", "left").select("layer_id", "slot_id", "resource_id", "mode", "required")
+
     def layers(self) -> DataFrame:
         """(ordinal, layer_id, role_id, name, visible, slot_id, source_id, bound): bindings with whether their source exists."""
         state = self.state()
