@@ -6,25 +6,25 @@ differ in at most three bits agree in one block at least, so every link lies bel
 some layout, and that node is the partitioning key. Below it the trie, with its one-child chains cut
 short, is joined with itself: pairs of nodes are walked together, the differing bits of their common
 depth add up, and a pair is dropped once they exceed the budget. The walk takes all nodes of a task at
-once, a block of pairs a step, and goes on with the last block first, so that few pairs are held. A node
+once, a block of pairs a step, and goes on with the deepest pairs first, so that few are held. A node
 with very many fingerprints is laid out again below its block, as its links still have only three bits
 to differ in. Links are reduced to a spanning forest before they leave the task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .graph import components
 from .tables import durable, packed, shuffle_width, unpacked
-from .words import pieces
+from .words import mix, pieces
 
 SEED = 42
 WORDS = 3
@@ -59,16 +59,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, fp) of each row, fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp) of each row, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    slim = docs.select(F.col("doc_id").cast("long") if key == "doc_id" else F.col(key), "text")
-    return slim.mapInArrow(run, StructType([slim.schema[0], StructField("fp", LongType())]))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 class Forest:
@@ -106,64 +105,93 @@ class Walk:
 
 
 def _common(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """How many leading bits the sorted values first..last-1 share: the depth at which the node splits, 64 for one value."""
+    """How many leading bits the sorted values first..last-1 share, the depth at which the node splits: 64 for equal ones, 65 for one."""
     x = values[first] ^ values[last - 1]
     for k in (1, 2, 4, 8, 16, 32):
         x = x | (x >> np.uint64(k))
-    return 64 - np.bitwise_count(x).astype(np.int64)
+    return np.where(last - first == 1, 65, 64 - np.bitwise_count(x).astype(np.int64))
 
 
 def _halves(values: np.ndarray, first: np.ndarray, last: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    """Where the nodes' second children begin: the least value whose bit at the node's depth is set."""
-    shift = (63 - depth).astype(np.uint64)
+    """Where the nodes' second children begin: the least value whose bit at the node's depth is set, or the middle of equal ones."""
+    shift = np.maximum(63 - depth, 0).astype(np.uint64)
     border = (values[last - 1] >> shift) << shift
     lo, hi = first.copy(), last.copy()
     while (open_ := lo < hi).any():
         middle = (lo + hi) // 2
         less = open_ & (values[np.minimum(middle, len(values) - 1)] < border)
         lo, hi = np.where(less, middle + 1, lo), np.where(open_ & ~less, middle, hi)
-    return lo
+    return np.where(depth == 64, (first + last) // 2, lo)
 
 
-def trie_join(values: np.ndarray, starts: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, Walk]:
+class Pairs:
+    """Pairs of nodes that wait for the walk, by the depth at which they came up; the deepest are next."""
+
+    def __init__(self):
+        self.waiting: dict[int, list[np.ndarray]] = {}
+
+    def add(self, pairs: np.ndarray, depth: np.ndarray) -> None:
+        order = np.argsort(depth, kind="stable")
+        cuts = np.flatnonzero(np.append(True, depth[order][1:] != depth[order][:-1])) if len(order) else order
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True) if len(order) else ():
+            self.waiting.setdefault(int(depth[order[i]]), []).append(pairs[:, order[i:j]])
+
+    def take(self) -> np.ndarray:
+        depth = max(self.waiting)
+        block = np.concatenate(self.waiting.pop(depth), axis=1)
+        if block.shape[1] > PAIRS:
+            self.waiting[depth] = [block[:, PAIRS:]]
+        return block[:, :PAIRS]
+
+
+def trie_join(values: np.ndarray, starts: np.ndarray, budget: int = BUDGET, accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, Walk]:
     """Component labels of values linked at ``budget`` or fewer differing bits below the same root, and what the walk met.
 
-    ``values`` are 64-bit numbers, distinct and in order below each root; root k holds those from starts[k] to the next start.
+    ``values`` are 64-bit numbers in order below each root; root k holds those from starts[k] to the next start.
+    ``accept`` has the last word on links, given the places of both sides. Deep pairs of nodes are walked
+    first, and pairs whose values are connected already are not walked, so that a close group costs about as
+    much as a tree over it.
     """
-    walk, forest = Walk(), Forest(len(values))
+    walk, forest, waiting = Walk(), Forest(len(values)), Pairs()
     ends = np.append(starts[1:], len(values))
-    big = ends - starts > 1
-    # A pair of nodes is two intervals of values; one interval twice stands for a node met with itself.
-    stack = [np.stack([starts[big], ends[big]] * 2)] if big.any() else []
-    while stack:
-        block = stack.pop()
-        if block.shape[1] > PAIRS:
-            stack.append(block[:, PAIRS:])
-            block = block[:, :PAIRS]
-        a, b, c, d = block
-        same = a == c
+    # Each node's two children are a pair; a pair of nodes is two intervals of values.
+    a, b = starts[ends - starts > 1], ends[ends - starts > 1]
+    while len(a):
+        depth = _common(values, a, b)
+        m = _halves(values, a, b, depth)
+        waiting.add(np.stack([a, m, m, b]), depth)
+        a, b = np.concatenate([a, m]), np.concatenate([m, b])
+        a, b = a[b - a > 1], b[b - a > 1]
+    changes = np.arange(len(values))  # how often the component changes up to a place: equal at both ends of an interval, it is one
+    while waiting.waiting:
+        a, b, c, d = waiting.take()
         left, right = _common(values, a, b), _common(values, c, d)
         depth = np.minimum(left, right)
         # The bits above the common depth are fixed on both sides; those that differ are spent.
-        differing = (values[a] ^ values[c]) & ~np.where(depth == 64, np.uint64(0), ~np.uint64(0) >> np.minimum(depth, 63).astype(np.uint64))
+        differing = (values[a] ^ values[c]) & ~np.where(depth >= 64, np.uint64(0), ~np.uint64(0) >> np.minimum(depth, 63).astype(np.uint64))
         going = np.bitwise_count(differing) <= budget
-        walk.pairs += int((~same).sum())
+        walk.pairs += len(a)
         walk.dropped += int((~going).sum())
-        link = going & (depth == 64) & ~same
-        if link.any():
-            walk.links += int(link.sum())
+        going &= (changes[a] != changes[b - 1]) | (changes[c] != changes[d - 1]) | (forest.label[a] != forest.label[c])
+        link = np.flatnonzero(going & (depth == 65))
+        if accept is not None and len(link):
+            link = link[accept(a[link], c[link])]
+        if len(link):
+            walk.links += len(link)
             forest.join(a[link], c[link])
-        going &= depth < 64
+            changes = np.cumsum(np.append(0, forest.label[1:] != forest.label[:-1]))
+        going &= depth < 65
         if not going.any():
             continue
-        a, b, c, d, same, left, right, depth = (x[going] for x in (a, b, c, d, same, left, right, depth))
+        a, b, c, d, left, right, depth = (x[going] for x in (a, b, c, d, left, right, depth))
         walk.deepest = max(walk.deepest, int(depth.max()))
         m, n = b.copy(), d.copy()  # a side that splits deeper is left whole
         x, y = left == depth, right == depth
         m[x] = _halves(values, a[x], b[x], depth[x])
         n[y] = _halves(values, c[y], d[y], depth[y])
-        children = [(a, m, c, n, ~same | (m - a > 1)), (m, b, n, d, x & y & (~same | (b - m > 1))), (a, m, n, d, y), (m, b, c, n, x & ~same)]
-        stack += [np.stack([p[ok], q[ok], r[ok], s[ok]]) for p, q, r, s, ok in children if ok.any()]
+        both = x & y
+        children = [(a, m, c, n, slice(None)), (a, m, n, d, y), (m, b, c, n, x), (m, b, n, d, both)]
+        waiting.add(np.concatenate([np.stack([p[ok], q[ok], r[ok], s[ok]]) for p, q, r, s, ok in children], axis=1), np.concatenate([depth[ok] for *_, ok in children]))
     return forest.label, walk
 
 
@@ -260,20 +288,96 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+STAGE_WORDS = 5
+WIDE = 8  # 64-bit words of a wide fingerprint
+BAND_BYTES = 2
+# Shingle sets of similarity J have vectors at an angle of acos(2 J / (1 + J)), of which each bit differs with a
+# probability of angle / pi: 15.2 % at 0.8, which is 78 of 512 bits, with a deviation of 8.
+WIDE_BUDGET = 85
+WORD_BUDGET = 20  # of the 64 bits that a band's trie is made of: 3.6 deviations above the mean of such pairs
+
+
+def wide_fingerprint(text: str | None, words: int = STAGE_WORDS) -> bytes:
+    """512 majority bits of eight hashes a shingle, made of its XXH64 value; equal shingles count once, a text of fewer words is one shingle."""
+    import xxhash
+
+    own = (text or "").encode().lower().split()
+    if not own:
+        return bytes(8 * WIDE)
+    digest = xxhash.xxh64_intdigest
+    shingles = {b" ".join(own[k : k + words]) for k in range(max(1, len(own) - words + 1))}
+    h = np.array([digest(x, SEED) for x in shingles], np.uint64)
+    many = mix(h[:, None] + np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    total = np.zeros(64 * WIDE, np.int64)
+    for k in range(0, len(h), 255):  # so that sums fit one byte
+        total += np.unpackbits(many[k : k + 255].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(h), bitorder="little").tobytes()
+
+
+def wide_links(distinct: DataFrame) -> DataFrame:
+    """Links (u, v) of ids whose wide fingerprints differ in at most WIDE_BUDGET bits, a spanning forest for each step of a task.
+
+    ``distinct`` is (id, fp). The bits are cut into bands of 16, and fingerprints that share a band are below
+    one node: of pairs at 15 % of differing bits 9 in 10 share one of the 32, of closer ones more. Below it
+    the next word's trie is joined with itself, and all bits are counted at its leaves.
+    """
+    bands = 8 * WIDE // BAND_BYTES
+    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.substring("fp", 1 + BAND_BYTES * k, BAND_BYTES).alias("key")) for k in range(bands)])
+    rows = distinct.select("id", "fp", F.explode(keys).alias("x")).select("x.band", F.conv(F.hex("x.key"), 16, 10).cast("int").alias("key"), "id", "fp")
+    # The walk costs more than its bytes tell, so its partitions are not to be merged by their sizes.
+    keyed = rows.repartition(shuffle_width(distinct.sparkSession), "band", "key").sortWithinPartitions("band", "key")
+
+    def joined(band: np.ndarray, key: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        word = fp[np.arange(len(fp)), (band * BAND_BYTES // 8 + 1) % WIDE]
+        order = np.lexsort((word, key, band))
+        band, key, ids, fp, word = band[order], key[order], ids[order], fp[order], word[order]
+        starts = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])))
+        label, _ = trie_join(word, starts, WORD_BUDGET, lambda i, j: np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) <= WIDE_BUDGET)
+        far = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[label[far]]), pa.array(ids[far])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
+            own = [*(batch.column(n).to_numpy() for n in ("band", "key", "id")), raw]
+            rest = own if rest is None else [np.concatenate(x) for x in zip(rest, own, strict=True)]
+            if len(rest[0]) < ROOTS // 4:
+                continue
+            # The last node may go on in the next batch.
+            other = np.flatnonzero((rest[0] != rest[0][-1]) | (rest[1] != rest[1][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield joined(*(x[:cut] for x in rest))
+                rest = [x[cut:] for x in rest]
+        if rest is not None and len(rest[0]):
+            yield joined(*rest)
+
+    return keyed.mapInArrow(run, "u long, v long").distinct()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one with the least doc_id (rows without one come last) and of those any one.
+    """One row of each group of near copies, the one with the least doc_id (rows without one come last) and of those any one.
 
-    Rows are told apart by doc_id and two hashes of the text, together 96 bits, so rows that share a doc_id but not
-    their text are judged one by one; rows equal in both are copies of each other, of which one stays.
+    Two rows are near copies if their sets of five-word shingles are alike to 0.8 or more, as 512 bits tell it;
+    groups are what links connect. Rows without words are copies of each other. Rows are told apart by doc_id
+    and two hashes of the text, together 96 bits, so rows that share a doc_id but not their text are judged one
+    by one; rows equal in both are copies, of which one stays.
     """
     # "_row" can't clash: the other columns are packed into one.
     own = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
     slim = packed(docs)
-    named = slim.select("doc_id", "text", own.alias("_row"))
-    fps = durable(fingerprints(named, "_row"), "fingerprints")
-    distinct = durable(fps.groupBy("fp").agg(F.min("_row").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp")))
-    least = distinct.join(roots, distinct.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("_row"))
+    named = slim.select(own.alias("_row"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t) for t in batch.column(1).to_pylist()], pa.binary())], ["_row", "fp"])
+
+    fps = durable(named.mapInArrow(run, StructType([named.schema["_row"], StructField("fp", BinaryType())])), "fingerprints")
+    # Numbered as it is written, once.
+    distinct = durable(fps.groupBy("fp").agg(F.min("_row").alias("least")).withColumn("id", F.monotonically_increasing_id()), "distinct")
+    roots = components(wide_links(distinct.select("id", "fp")))
+    least = distinct.join(roots, distinct.id == roots.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("_row"))
     # What is kept grows with the input; the hints keep it from being broadcast at any size.
     keep = durable(least.select("_row").join(fps.groupBy("_row").agg(F.count("*").alias("n")).hint("shuffle_hash"), "_row"), "kept")
 

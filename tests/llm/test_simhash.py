@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import numpy as np
@@ -5,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from meridion.llm.graph import components
-from meridion.llm.simhash import BUDGET, fingerprint, fingerprints, keep_one, layouts, links, near_duplicates, trie_join
+from meridion.llm.simhash import BUDGET, WIDE_BUDGET, fingerprint, fingerprints, keep_one, layouts, links, near_duplicates, trie_join, wide_fingerprint
 
 from .fixtures import SCHEMA, documents, lowered, words_of
 
@@ -19,7 +20,7 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(values):
+def brute_components(values, budget=BUDGET):
     parent = list(range(len(values)))
 
     def find(x):
@@ -29,7 +30,7 @@ def brute_components(values):
 
     for i, a in enumerate(values):
         for j in range(i):
-            if bin(a ^ values[j]).count("1") <= BUDGET:
+            if (a ^ values[j]).bit_count() <= budget:
                 parent[find(i)] = find(j)
     return [find(i) for i in range(len(values))]
 
@@ -103,15 +104,57 @@ def test_near_duplicates(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def brute_wide(text):
+    """The wide fingerprint as one number, bit by bit."""
+    words = words_of(lowered(text))
+    if not words:
+        return 0
+    out = 0
+    mask = (1 << 64) - 1
+    shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    votes = [0] * 512
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s.encode(), 42)
+        for k in range(8):
+            x = (h + (k + 1) * 0x9E3779B97F4A7C15) & mask
+            x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+            x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+            x ^= x >> 31
+            for b in range(64):
+                votes[64 * k + b] += x >> b & 1
+    for b, n in enumerate(votes):
+        out |= (2 * n > len(shingles)) << b
+    return out
+
+
 def kept_by_brute_force(rows):
-    """Indices of rows that may stay: in each component those with the least (no doc_id, doc_id), of which one does."""
-    parts = brute_components([brute_fingerprint(t) for _, t, *_ in rows])
+    """Indices of rows that may stay: in each group of near copies those with the least (no doc_id, doc_id), of which one does."""
+    values = {t: brute_wide(t) for t in {r[1] for r in rows}}
+    parts = brute_components([values[r[1]] for r in rows], WIDE_BUDGET)
     least = {}
     for k, (p, (d, *_)) in enumerate(zip(parts, rows)):
         least.setdefault(p, []).append(((d is None, d or 0), k))
     return [[k for rank, k in own if rank == min(own)[0]] for own in least.values()]
 
 
+def test_wide_fingerprint():
+    for _, t, *_ in documents()[:12] + [(0, None), (0, "one two"), (0, "a b c d e f a b c d e f")]:
+        assert int.from_bytes(wide_fingerprint(t), "little") == brute_wide(t)
+
+
+def test_close_groups_cost_no_square(spark):
+    """Of values that are all linked, pairs are skipped once they are connected; links of equal values go through ``accept``."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 1, dtype=np.uint64)[0]
+    values = np.sort(np.array([base ^ np.uint64(1 << int(k) | 1 << int(j)) for k, j in rng.integers(0, 30, (20_000, 2))], np.uint64))
+    began = time.time()
+    label, walk = trie_join(values, np.array([0]), 20)
+    assert len(set(label.tolist())) == 1 and walk.pairs < 4_000_000 and time.time() - began < 20
+    odd = np.arange(len(values)) % 2
+    label, _ = trie_join(values[:400], np.array([0]), 20, lambda i, j: odd[i] == odd[j])
+    assert {tuple(sorted({int(odd[k]) for k in np.flatnonzero(label == x)})) for x in set(label.tolist())} == {(0,), (1,)}
+
+
 def test_keep_one(spark):
     rows = documents() + [(7, "an unlike text " + str(k), None, None, None) for k in range(3)] + [(None, f"text {k} of no number", "en", "s", 1) for k in range(2)]
     rows += [(5, rows[3][1], "x", "copy of another row under an id that is used", 0)]
