@@ -81,6 +81,21 @@ def property_value(properties: Column, key: str, kind: str) -> Column:
     return found[field]
 
 
+# What views and maps are called.
+MODE_NAMES = {"globe": "Globe", "sinusoidal": "Sinusoidal", "mollweide": "Mollweide"}
+CONTENT_NAMES = {"political": "Political", "physical": "Physical"}
+
+
+def mode_name(mode: Column) -> Column:
+    """The name of a view's mode."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in MODE_NAMES.items() for x in pair]), mode), F.lit("Unknown"))
+
+
+def content_name(content: Column) -> Column:
+    """The name of a map's content: what is not political is physical."""
+    return F.when(content == "political", CONTENT_NAMES["political"]).otherwise(CONTENT_NAMES["physical"])
+
+
 # Twins for code that holds single values.
 
 

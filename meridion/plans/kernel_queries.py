@@ -17,13 +17,15 @@ from meridion.functions import geodesy as g
 from meridion.functions.constants import PI, RADIANS, TWO_PI
 from meridion.operators import ordered
 from meridion.operators.kernels.curves import subdivide
-from meridion.operators.kernels.globe import CurveOptions, PolygonOptions, VerifiedOptions, arc_segments, limb_arc
+from meridion.operators.kernels.globe import CurveOptions, PolygonOptions, VerifiedOptions, arc_segments, limb_arc, visible_curve
 from meridion.operators.kernels.projection import RingOptions
+from meridion.operators.kernels.rings import canonicalise
+from meridion.operators.kernels.sphere import camera, is_rotation
 from meridion.operators.projection import globe_curves, globe_fill, project_rings, round_ladder, split_rings, spread
 from meridion.operators.rings import canonical_ring, centroid, rectangle, stored_ring_error, unwrapped, without_repeated_end
-from meridion.operators.scene import build_scene, label_candidates, path_data, place_labels, scene_bounds, to_screen, with_presentation
+from meridion.operators.scene import build_scene, graticule, label_candidates, path_data, place_labels, scene_bounds, to_screen, unfold_frames, unfold_guides, with_presentation
 
-from .catalogue import R, _c_area, _concave, beta_sql, d, query, r_sql, rounded, table
+from .catalogue import _GRAT, R, _c_area, _concave, beta_sql, d, query, r_sql, rounded, table
 
 POLE = (0.0, PI / 2)
 
@@ -299,3 +301,39 @@ def scene_presentation(spark, sf_dir):
     features = t.select(k.cast("string").alias("stable_id"), F.when(k % 5 == 1, F.array(name)).otherwise(F.array(name, code)).alias("properties"))
     scene = t.select(k.cast("string").alias("stable_id"))
     return with_presentation(scene, features).select("stable_id", "label", "style_key", "palette", "political")
+
+
+@query("""SELECT p_partkey, p_partkey % 4 = 0 AS valid FROM part""")
+def rotation_checks(spark, sf_dir):
+    """Cameras of all directions are rotations; scaled, mirrored and skewed ones are not, which an operator tells as an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = batch.column(0).to_pylist(), []
+            for key in keys:
+                m = camera(key % 628 / 100 - 3.14, key % 314 / 100 - 1.57).copy()
+                if key % 4 == 1:
+                    m *= 1 + 1e-6
+                elif key % 4 == 2:
+                    m[0] = -m[0]
+                elif key % 4 == 3:
+                    m[1] = m[1] + 1e-5 * m[2]
+                ring, _ = canonicalise([0.0, 0.1, 0.1], [0.0, 0.0, 0.1], "left")
+                out.append(is_rotation(m) and visible_curve(ring, m).error != "invalid_rotation")
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.bool_())], ["p_partkey", "valid"])
+
+    return table(spark, sf_dir, "part").select("p_partkey").mapInArrow(run, "p_partkey long, valid boolean")
+
+
+_DEG = f"* {d(RADIANS)}"
+_GLOBE = f"({d(R)} * cos({beta_sql('lat')}) * sin(lon))", f"({d(R)} * sin({beta_sql('lat')}))", f"({d(R)} * cos({beta_sql('lat')}) * cos(lon))"
+
+
+@query(f"""SELECT progress, line_id, idx, {r_sql(f'({_GLOBE[0]} + ({d(R)} * lon * cos({beta_sql("lat")}) - {_GLOBE[0]}) * s) / 1e3', 2)} AS x_km, {r_sql(f'({_GLOBE[1]} + ({d(R)} * {beta_sql("lat")} - {_GLOBE[1]}) * s) / 1e3', 2)} AS y_km,
+{r_sql(f'sin({d(PI)} * s) * CASE WHEN {_GLOBE[2]} >= 0 THEN 1e0 ELSE s END', 6)} AS guide_opacity FROM (SELECT *, progress * progress * progress * (progress * (progress * 6e0 - 15e0) + 10e0) AS s FROM (SELECT unnest([0.125e0, 0.5e0, 0.875e0]) AS progress), (
+SELECT line_id, idx, CAST(lon_deg AS DOUBLE) {_DEG} AS lon, CAST(lat_deg AS DOUBLE) {_DEG} AS lat FROM ({_GRAT}) WHERE abs(lon_deg) <> 90 AND lat_deg NOT IN (-90, 90)))""")
+def unfold_positions(spark, sf_dir):
+    """Where the guides are on the way from the globe to the map; points on the limb itself are left out, as a rounding decides on which side they are."""
+    guides = unfold_guides(spark).join(graticule(spark).select("line_id", "idx", F.rint(F.degrees("lon")).alias("lon_deg"), F.rint(F.degrees("lat")).alias("lat_deg")), ["line_id", "idx"])
+    frames = unfold_frames(guides.where("abs(lon_deg) <> 90 and abs(lat_deg) <> 90"), [0.125, 0.5, 0.875])
+    return frames.select("progress", "line_id", "idx", rounded(F.col("x") / g.lit(1000), 2).alias("x_km"), rounded(F.col("y") / g.lit(1000), 2).alias("y_km"), rounded(F.col("guide_opacity"), 6).alias("guide_opacity"))

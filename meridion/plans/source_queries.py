@@ -495,3 +495,11 @@ def camera_drags(spark, sf_dir):
     """Cameras after a drag and turns of the wheel: longitudes wrap, latitudes and zooms stop."""
     out = [(r.n_nationkey, *(round(x, 9) + 0.0 for x in drag((10.0, 0.0), r.n_nationkey * 40, r.n_nationkey * 17, 1.0)), round(zoomed(1.0, r.n_nationkey - 12), 9)) for r in _nations(spark, sf_dir)]
     return spark.createDataFrame(out, "n_nationkey int, lon double, lat double, zoom double")
+
+
+@query("""SELECT CASE k WHEN 0 THEN 'Globe' WHEN 1 THEN 'Sinusoidal' WHEN 2 THEN 'Mollweide' ELSE 'Unknown' END AS mode, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Political' ELSE 'Physical' END AS content, count(*) AS views FROM (SELECT *, c_custkey % 4 AS k FROM customer) GROUP BY 1, 2""")
+def view_names(spark, sf_dir):
+    k = F.col("c_custkey") % 4
+    mode = F.when(k == 0, "globe").when(k == 1, "sinusoidal").when(k == 2, "mollweide")
+    t = table(spark, sf_dir, "customer").select(text.mode_name(mode).alias("mode"), text.content_name(F.when(F.col("c_mktsegment") == "BUILDING", "political").otherwise("other")).alias("content"))
+    return t.groupBy("mode", "content").agg(F.count("*").alias("views"))
