@@ -26,6 +26,7 @@ NAV_WORDS = 12  # a line with more is prose, whatever separators it has
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEPT_PERCENT = 50
+HASH_MASK = -1  # bits of the windows' hashes: all; words are compared, so fewer only cost time
 
 
 def _blank(line: Column) -> Column:
@@ -59,11 +60,15 @@ def judge(docs: DataFrame) -> DataFrame:
     t = t.withColumn("_n", F.size("_words").cast("long")).withColumn("_packed", F.array_join("_words", ""))
     # A key is a 3-word window's hash with the low bits replaced by its position, so equal windows are neighbours once sorted.
     t = t.withColumn("_low", F.expr("cast(shiftleft(1L, cast(ceil(log2(_n + 2)) as int)) as bigint)"))
-    keys = "transform(slice(_words, 1, cast(greatest(_n - 2, 0) as int)), (w, i) -> (xxhash64(w, get(_words, i + 1), get(_words, i + 2)) & -_low) | i)"
+    keys = f"transform(slice(_words, 1, cast(greatest(_n - 2, 0) as int)), (w, i) -> (xxhash64(w, get(_words, i + 1), get(_words, i + 2)) & {HASH_MASK}L & -_low) | i)"
     t = t.withColumn("_keys", F.sort_array(F.expr(keys)))
     same = "(x & -_low) = (get(_keys, {k}) & -_low)"
     equal = " and ".join(f"get(_words, cast(x & (_low - 1) as int) + {d}) = get(_words, cast(get(_keys, {{k}}) & (_low - 1) as int) + {d})" for d in range(3))
     twice = " or ".join(f"coalesce({same.format(k=k)} and {equal.format(k=k)}, false)" for k in ("j - 1", "j + 1"))
+    # Where a neighbour has the hash but not the words, all windows of that hash are compared.
+    clash = " or ".join(f"coalesce({same.format(k=k)}, false)" for k in ("j - 1", "j + 1"))
+    any_equal = " and ".join(f"get(_words, cast(x & (_low - 1) as int) + {d}) = get(_words, cast(y & (_low - 1) as int) + {d})" for d in range(3))
+    twice = f"{twice} or (({clash}) and exists(_keys, y -> y <> x and (y & -_low) = (x & -_low) and {any_equal}))"
     t = t.withColumn("_twice", F.expr(f"filter(_keys, (x, j) -> {twice})"))
     spread = F.expr("size(array_distinct(flatten(transform(_twice, x -> array(x & (_low - 1), (x & (_low - 1)) + 1, (x & (_low - 1)) + 2)))))")
     t = t.withColumn("_all", F.split("_t", "\n"))

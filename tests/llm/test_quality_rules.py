@@ -26,6 +26,21 @@ def test_counts_against_brute_force(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("mask", [0, 3 << 40])
+def test_clashing_hashes_hide_no_repeat(spark, monkeypatch, mask):
+    monkeypatch.setattr("meridion.llm.quality_rules.HASH_MASK", mask)
+    rows = [r for r in documents() if len(r[1] or "") < 2000]
+    got = Counter((r.doc_id, r.n_repeat_words) for r in quality_report(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == Counter((d, counts(t)[4]) for d, t, *_ in rows) and max(n for _, n in got) > 0
+
+
+def test_very_long_text_and_clashing_names(spark):
+    text = prose(3, 60_000)
+    df = spark.createDataFrame([(1, text, 1, 2, 3)], "doc_id long, text string, _keys int, `_low` int, n_words int")
+    (r,) = quality_report(df).collect()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(text)
+
+
 def test_oracle_agrees(spark):
     rows = [r for r in documents() if r[0] is not None]
     rows = list({r[0]: r for r in rows}.values())
