@@ -55,9 +55,6 @@ class Chunk:
     def __len__(self) -> int:
         return len(self.rows) - 1
 
-    def word_row(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self)), np.diff(self.words))
-
     def hashes(self, lower: bool = False) -> np.ndarray:
         """One 64-bit hash a word."""
         data = TO_LOWER[self.data] if lower else self.data
