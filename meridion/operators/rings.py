@@ -26,10 +26,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def make_point(lon, lat) -> Column:
-    return point(lon if isinstance(lon, Column) else lit(lon), lat if isinstance(lat, Column) else lit(lat))
-
-
 def rectangle(west: Column, south: Column, east: Column, north: Column) -> Column:
     """Four corners, counter-clockwise."""
     return F.array(point(west, south), point(east, south), point(east, north), point(west, north))

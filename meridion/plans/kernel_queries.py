@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridion.functions import geodesy as g
-from meridion.functions.constants import PI, RADIANS, TWO_PI
+from meridion.functions.constants import PI, RADIANS, SEMI_MAJOR, TWO_PI
 from meridion.operators import ordered
-from meridion.operators.kernels.curves import subdivide
+from meridion.operators.kernels.curves import chord_distance, subdivide
 from meridion.operators.kernels.globe import CurveOptions, PolygonOptions, VerifiedOptions, arc_segments, limb_arc, visible_curve
 from meridion.operators.kernels.projection import RingOptions
 from meridion.operators.kernels.rings import canonicalise
@@ -25,7 +25,7 @@ from meridion.operators.projection import globe_curves, globe_fill, project_ring
 from meridion.operators.rings import canonical_ring, centroid, rectangle, stored_ring_error, unwrapped, without_repeated_end
 from meridion.operators.scene import build_scene, graticule, label_candidates, path_data, place_labels, scene_bounds, to_screen, unfold_frames, unfold_guides, with_presentation
 
-from .catalogue import _GRAT, R, _c_area, _concave, beta_sql, d, query, r_sql, rounded, table
+from .catalogue import _GRAT, R, _c_area, _concave, beta_sql, d, q_sql, query, r_sql, rounded, table
 
 POLE = (0.0, PI / 2)
 
@@ -110,8 +110,6 @@ def subdivided_arcs(spark, sf_dir):
 
 
 def _sagitta(five: np.ndarray) -> np.ndarray:
-    from meridion.operators.kernels.curves import chord_distance
-
     return chord_distance(five[:, 1:4], five[:, :1], five[:, 4:]).max(axis=1)
 
 
@@ -230,9 +228,6 @@ def increasing_keys(spark, sf_dir):
     return ordered.not_increasing(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderkey", "o_totalprice")
 
 
-_SEG = "px - ax - t * (bx - ax)"
-
-
 @query(f"""SELECT c_custkey, {r_sql('sqrt(pow(px - ax - t * (bx - ax), 2e0) + pow(py - ay - t * (by_ - ay), 2e0))', 6)} AS distance, {r_sql('5e-1 * (abs(x1 * y2 - x2 * y1) + abs(x2 * y3 - x3 * y2) + abs(x3 * y4 - x4 * y3))', 4)} AS envelope,
 {r_sql('48e1 + (px - 5e2) * s', 6)} AS screen_x, {r_sql('27e1 - (py - 5e2) * s', 6)} AS screen_y FROM (SELECT *, CASE WHEN l > 0 THEN greatest(0e0, least(1e0, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / l)) ELSE 0e0 END AS t, least(856e0 / 1e3, 436e0 / 1e3) AS s,
 ax - px AS x1, ay - py AS y1, bx - px AS x2, by_ - py AS y2, ax + bx - px AS x3, ay - by_ - py AS y3, bx - ax - px AS x4, by_ + ay - py AS y4 FROM (SELECT *, pow(bx - ax, 2e0) + pow(by_ - ay, 2e0) AS l FROM (
@@ -337,3 +332,14 @@ def unfold_positions(spark, sf_dir):
     guides = unfold_guides(spark).join(graticule(spark).select("line_id", "idx", F.rint(F.degrees("lon")).alias("lon_deg"), F.rint(F.degrees("lat")).alias("lat_deg")), ["line_id", "idx"])
     frames = unfold_frames(guides.where("abs(lon_deg) <> 90 and abs(lat_deg) <> 90"), [0.125, 0.5, 0.875])
     return frames.select("progress", "line_id", "idx", rounded(F.col("x") / g.lit(1000), 2).alias("x_km"), rounded(F.col("y") / g.lit(1000), 2).alias("y_km"), rounded(F.col("guide_opacity"), 6).alias("guide_opacity"))
+
+
+@query(f"""SELECT c_custkey, {r_sql(f'{d(SEMI_MAJOR**2 / 2)} * w * (' + q_sql('n') + ' - ' + q_sql('s') + ') / 1e6', 2)} AS area_km2, {r_sql('(CAST(c_custkey * 37 % 2000 AS DOUBLE) - 1e3 + 18e1) - 36e1 * floor((CAST(c_custkey * 37 % 2000 AS DOUBLE) - 1e3 + 18e1) / 36e1) - 18e1', 6)} AS view_lon
+FROM (SELECT c_custkey, CAST(1 + c_custkey % 90 AS DOUBLE) {_DEG} AS w, CAST(c_custkey % 150 - 80 AS DOUBLE) {_DEG} AS s, CAST(c_custkey % 150 - 80 + 1 + c_custkey % 15 AS DOUBLE) {_DEG} AS n FROM customer)""")
+def cell_areas(spark, sf_dir):
+    """Areas between parallels in closed form, and a viewer's longitudes in [-180, 180)."""
+    k = F.col("c_custkey")
+    south = k % 150 - 80
+    w, s, n = (g.radians(x.cast("double")) for x in (1 + k % 90, south, south + 1 + k % 15))
+    lon = g.view_longitude_degrees((k * 37 % 2000).cast("double") - g.lit(1000))
+    return table(spark, sf_dir, "customer").select("c_custkey", rounded(g.cell_area(w, s, n) / g.lit(1e6), 2).alias("area_km2"), rounded(lon, 6).alias("view_lon"))
