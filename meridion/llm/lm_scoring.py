@@ -35,7 +35,7 @@ RATE = 0.15
 TABLE_WORDS = 1 << 18  # the most words whose counts are broadcast, 12 bytes each
 SLICES = 64
 SHARD_TOKENS = 1 << 19
-ROUNDS = 3
+ROUNDS = 2
 SCALE = 1 << 24  # of parameters as whole numbers, so that sums over all shards are exact
 SEED = 20240229
 F32 = np.float32
@@ -231,23 +231,24 @@ class Trainer:
         bad = (NOISE / SHARED_NOISE) / (1 + np.exp(self.log_noise[noise] - q @ rn.T - m.b[noise]))
         dq = good[:, None] * rw - bad @ rn
         gc = np.stack([r1.T @ dq, r2.T @ dq])
-        index = np.concatenate([w, one, two, noise]).astype(np.uint16)
-        value = np.empty((len(index), DIM + 1), F32)
         n = len(w)
-        value[:n, :DIM], value[:n, DIM] = good[:, None] * q, good
-        value[n : 2 * n, :DIM], value[2 * n : 3 * n, :DIM], value[n : 3 * n, DIM] = dq @ m.c[0].T, dq @ m.c[1].T, 0
-        value[3 * n :, :DIM], value[3 * n :, DIM] = -(bad.T @ q), -bad.sum(axis=0)
+        index = np.concatenate([w, one, two, noise]).astype(np.uint16)
+        value = np.empty((len(index), DIM), F32)
+        np.multiply(good[:, None], q, out=value[:n])
+        np.matmul(dq, m.c[0].T, out=value[n : 2 * n])
+        np.matmul(dq, m.c[1].T, out=value[2 * n : 3 * n])
+        np.matmul(bad.T, -q, out=value[3 * n :])
         # Sums of the rows of each word; words without any keep their parameters and sums.
         order = np.argsort(index, kind="stable")
         index = index[order]
         start = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
-        own, g = index[start], np.add.reduceat(value[order], start, axis=0) / F32(n**0.5)
-        for p, s, part in ((m.r, m.sums[0], g[:, :DIM]), (m.b, m.sums[2], g[:, DIM])):
-            s[own] = total = s[own] + part * part
-            p[own] += RATE * part / np.sqrt(total)
-        gc /= F32(n**0.5)
-        m.sums[1] += gc * gc
-        m.c += RATE * gc / np.sqrt(m.sums[1])
+        gb = np.bincount(w, weights=good, minlength=len(m.b)) - np.bincount(noise, weights=bad.sum(axis=0), minlength=len(m.b))
+        for k, own, g in ((0, index[start], np.add.reduceat(value[order], start, axis=0)), (1, slice(None), gc), (2, slice(None), gb.astype(F32))):
+            p, s = m.parameters()[k], m.sums[k]
+            g /= F32(n**0.5)
+            total = s[own] + g * g
+            s[own] = total
+            p[own] += RATE * g / np.sqrt(total)
 
 
 def dealt_tokens(rows: DataFrame, words, n_shards: int) -> DataFrame:
@@ -332,6 +333,17 @@ def _tables(shared) -> tuple:
     return _ready[key]
 
 
+def _lists(chunk: Chunk, hashes: np.ndarray, of: np.ndarray) -> list[pa.Array]:
+    """For each row the different words among some, and how often each comes."""
+    some = np.flatnonzero(of)
+    row, h = np.searchsorted(chunk.words, some, "right") - 1, hashes[some]
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    start = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))[: len(h)])
+    cuts = pa.array(np.searchsorted(row[start], np.arange(len(chunk) + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (h[start].view(np.int64), np.diff(np.append(start, len(h))))]
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
@@ -355,7 +367,7 @@ def score(docs: DataFrame) -> DataFrame:
         logs = np.log10(own.counts + 0.5)
         log_end = np.log10(own.n_ends + 0.5)
         for batch in batches:
-            out = []
+            out, rare = [], []
             for chunk in chunks(batch.column(2)):
                 hashes = chunk.hashes(lower=True)
                 at, known = own.find(hashes)
@@ -372,29 +384,19 @@ def score(docs: DataFrame) -> DataFrame:
                 frequent = np.where(known, logs[at], 0.0)
                 share = np.where(in_class, logs[at], 0.0) - own.log_class[symbol]
                 out.append((np.diff(chunk.words), per_row(known.astype(np.int64)), per_row(frequent) + log_end, logprob + per_row(share)))
+                rare.append(_lists(chunk, hashes, ~known))
             columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, float, float)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *map(pa.array, columns)], ["key", "doc_id", "held_out", "n_words", "n_frequent", "logs", "model"])
-
-    scored = slim.select(row_key, "doc_id", "text", "held_out").mapInArrow(run, "key long, doc_id long, held_out boolean, n_words long, n_frequent long, logs double, model double")
+            lists = [pa.concat_arrays(x) for x in zip(*rare, strict=True)] if rare else [pa.array([], pa.list_(pa.int64()))] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *map(pa.array, columns), *lists], ["key", "doc_id", "held_out", "n_words", "n_frequent", "logs", "model", "h", "tf"])
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared_words.value
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for chunk in chunks(batch.column(1)):
-                hashes = chunk.hashes(lower=True)
-                miss = np.flatnonzero(~own.find(hashes)[1])
-                row, h = np.searchsorted(chunk.words, miss, "right") - 1, hashes[miss]
-                order = np.lexsort((h, row))
-                row, h = row[order], h[order]
-                new = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-                start = np.flatnonzero(new)
-                tf = np.diff(np.append(start, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[chunk.first + row[start]]), pa.array(h[start].view(np.int64)), pa.array(tf, pa.int64())], ["key", "h", "tf"])
+    # Written out, as the rows and their rare words are both read from it.
+    schema = "key long, doc_id long, held_out boolean, n_words long, n_frequent long, logs double, model double, h array<long>, tf array<long>"
+    scored = durable(slim.select(row_key, "doc_id", "text", "held_out").mapInArrow(run, schema), "scored")
 
     # Words outside the table are looked up in all counts by a shuffled join: a word of the training rows
     # is rare there, and one that only held-out rows hold comes once a row, so that the skew join splits it.
-    looked_up = slim.select(row_key, "text").mapInArrow(rare, "key long, h long, tf long").join(counts.where(F.col("c") < threshold), "h", "left")
+    rare_words = scored.select("key", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("key", "x.h", "x.tf")
+    looked_up = rare_words.join(counts.where(F.col("c") < threshold), "h", "left")
     c = F.coalesce("c", F.lit(0))
     sums = looked_up.groupBy("key").agg(F.sum(F.col("tf") * F.log10(c + F.lit(0.5))).alias("rare_logs"), F.sum("tf").alias("rare"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
     # Equal rows share a key and add up; each gets its own part back, as they hold equally many rare words.
@@ -402,7 +404,7 @@ def score(docs: DataFrame) -> DataFrame:
     n_tokens = F.col("n_words") + 1
     rare_logs = F.coalesce(F.col("rare_logs") * part, F.lit(0.0))
     base_norm = float(np.log10(words.total + 0.5 * (words.distinct + 1)))
-    return scored.join(sums, "key", "left").select(
+    return scored.drop("h", "tf").join(sums, "key", "left").select(
         "doc_id", "held_out", n_tokens.alias("n_tokens"),
         (F.col("n_frequent") + F.coalesce(F.round(F.col("rare_known") * part).cast("long"), F.lit(0)) + F.lit(int(words.n_ends > 0))).alias("n_known"),
         F.lit(int(words.total)).cast("long").alias("train_tokens"),
