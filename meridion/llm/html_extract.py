@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import durable
+from .tables import discard, durable, durable_at
 from .words import pieces
 
 MIN_CLASS = 3  # tokens of a class
@@ -317,13 +317,18 @@ def _token_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in TOKENS.split(", ")])
 
 
-def valid_classes(pages: DataFrame) -> DataFrame:
-    """(host, va, vb, token, is_text, depth, support, n, free, pages, total) of the tokens of each host's valid classes."""
+def valid_classes(pages: DataFrame, written: list[str] | None = None) -> DataFrame:
+    """(host, va, vb, token, is_text, depth, support, n, free, pages, total) of the tokens of each host's valid classes.
+
+    ``written`` gets the tables that the result is read from, for who wants to remove them.
+    """
+    written = [] if written is None else written
     # Copies of a content are one page, or their paragraphs would pass for the template's.
     once = page_tokens(pages).groupBy("host", "token", "a", "b").agg(
         F.first("is_text").alias("is_text"), F.max("depth").alias("depth"), F.min("first").alias("first"), F.max("n").alias("n"), F.max("free").alias("free")
     )
-    once = durable(once, "tokens")
+    once, path = durable_at(once, "tokens")
+    written.append(path)
     vectors = once.groupBy("host", "token").agg(
         F.first("is_text").alias("is_text"), F.max("depth").alias("depth"), F.count("*").alias("support"), F.sum("n").alias("n"), F.sum("free").alias("free"),
         F.sum(F.col("a") * F.col("n")).alias("va"), F.sum(F.col("b") * F.col("n")).alias("vb"),
@@ -331,7 +336,8 @@ def valid_classes(pages: DataFrame) -> DataFrame:
     # Most text runs are on one page only; they go before rows meet by host.
     vectors = vectors.where(F.col("support") >= MIN_PAGES)
     sizes = vectors.where(F.col("token") == F.lit(_hash("/"))).select("host", F.col("support").alias("pages"), F.col("free").alias("total"))
-    frequent = durable(vectors.join(sizes, "host").where(2 * F.col("support") >= F.col("pages")), "frequent")
+    frequent, path = durable_at(vectors.join(sizes, "host").where(2 * F.col("support") >= F.col("pages")), "frequent")
+    written.append(path)
     large = frequent.groupBy("host", "va", "vb").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_CLASS)
     # The order of a class's tags, and that of its text runs, on each page that has them.
     members = frequent.join(large.select("host", "va", "vb"), ["host", "va", "vb"], "left_semi").select("host", "token", "va", "vb")
@@ -347,11 +353,16 @@ def templates(pages: DataFrame) -> DataFrame:
     A host's template tokens are on half of its pages at least, so there are at most twice as many as
     tokens on its mean page, and the array is bounded by a page's size.
     """
+    written: list[str] = []
     slot = ~F.col("is_text") & (F.col("support") == F.col("pages")) & (F.col("n") == F.col("pages")) & (F.col("free") >= MAIN_SHARE * F.col("total"))
-    return valid_classes(pages).groupBy("host").agg(
+    found = valid_classes(pages, written).groupBy("host").agg(
         F.max_by("token", F.when(slot, F.struct(F.col("depth"), F.col("free"), F.col("token")))).alias("main"),
         F.sort_array(F.collect_list(F.when(F.col("is_text"), F.col("token")))).alias("boilerplate"),
     )
+    found = durable(found, "templates")
+    for path in written:
+        discard(pages.sparkSession, path)
+    return found
 
 
 class Templates:
@@ -378,7 +389,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
     be of any length. The templates are broadcast if their counted size allows it, else pages are joined with
     them on the host, where the skew join splits large hosts; both give the same rows.
     """
-    found = durable(templates(pages), "templates")
+    found = templates(pages)
     # A row takes its tokens' bytes, and less than 400 more for its objects and its host's name.
     size = found.agg(F.coalesce(F.sum(F.lit(400) + 4 * F.length("host") + 8 * F.size("boilerplate")), F.lit(0))).first()[0]
     slim = pages.select("page_id", "url", "html")

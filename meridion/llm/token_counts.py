@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import durable
+from .tables import discard, durable_at
 from .words import Chunk, chunks
 
 TABLE_WORDS = 1 << 16
@@ -89,7 +89,7 @@ def frequent_words(docs: DataFrame, table_words: int = TABLE_WORDS) -> list[byte
         counts, words = own.merge(TASK_WORDS)
         yield pa.RecordBatch.from_arrays([pa.array(words.tolist(), pa.binary()), pa.array(counts)], ["word", "n"])
 
-    counted = durable(docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counted, path = durable_at(docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # At most 512 bins, eight for each doubling of a count, say from which count on there are not too many words.
     bins = {r.b: (r.words, r.least) for r in counted.groupBy(F.floor(F.log2("n") * 8).alias("b")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()}
     least, held = None, 0
@@ -98,7 +98,9 @@ def frequent_words(docs: DataFrame, table_words: int = TABLE_WORDS) -> list[byte
         if held > table_words:
             break
         least = bins[b][1]
-    return [] if least is None else [bytes(r.word) for r in counted.where(F.col("n") >= least).collect()]
+    found = [] if least is None else [bytes(r.word) for r in counted.where(F.col("n") >= least).collect()]
+    discard(docs.sparkSession, path)
+    return found
 
 
 def word_lengths(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
