@@ -36,6 +36,7 @@ TABLE_WORDS = 1 << 18  # the most words whose counts are broadcast, 12 bytes eac
 SLICES = 64
 SHARD_TOKENS = 1 << 19
 ROUNDS = 2
+MANY = 4096  # equal rows that are spread over shards by their number
 SCALE = 1 << 24  # of parameters as whole numbers, so that sums over all shards are exact
 SEED = 20240229
 F32 = np.float32
@@ -251,8 +252,8 @@ class Trainer:
             p[own] += RATE * g / np.sqrt(total)
 
 
-def dealt_tokens(rows: DataFrame, words, n_shards: int) -> DataFrame:
-    """(shard, key, ids) of each training row: its model ids, in two bytes each. ``words`` is a broadcast Words."""
+def row_tokens(rows: DataFrame, words) -> DataFrame:
+    """(key, ids) of each training row: a hash of it, and its model ids in two bytes each. ``words`` is a broadcast Words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,8 +263,25 @@ def dealt_tokens(rows: DataFrame, words, n_shards: int) -> DataFrame:
                 own = [x.tobytes() for x in np.split(ids, first[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(own, pa.binary())], ["key", "ids"])
 
-    keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, ids binary")
-    return keyed.select(F.pmod("key", F.lit(n_shards)).cast("int").alias("shard"), "key", "ids")
+    return rows.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, ids binary")
+
+
+def dealt_tokens(tokens: DataFrame, n_shards: int, many: int = MANY) -> DataFrame:
+    """(shard, key, ids, n) of a table of (key, ids): each row once, or in place of very many equal rows their number in each shard.
+
+    Equal rows have equal keys, so a key says the shard; those of keys with more than ``many`` rows are spread over all shards evenly.
+    """
+    cold = tokens.select(F.pmod("key", F.lit(n_shards)).cast("int").alias("shard"), "key", "ids", F.lit(1).cast("long").alias("n"))
+    hot = tokens.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > many)
+    if not hot.limit(1).count():
+        return cold
+    # The hints keep what grows with the input from being broadcast at any size.
+    cold = cold.join(hot.select("key").hint("shuffle_hash"), "key", "left_anti").select("shard", "key", "ids", "n")
+    once = tokens.join(hot.hint("shuffle_hash"), "key").groupBy("key").agg(F.min("ids").alias("ids"), F.max("rows").alias("rows"))
+    each = once.select("key", "ids", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("rows"), F.lit(n_shards)) - 1)).alias("i"))
+    share = F.floor(F.col("rows") / n_shards) + F.when(F.col("i") < F.col("rows") % n_shards, 1).otherwise(0)
+    spread = each.select(F.pmod(F.pmod("key", F.lit(n_shards)) + F.col("i"), F.lit(n_shards)).cast("int").alias("shard"), "key", "ids", share.cast("long").alias("n"))
+    return cold.union(spread)
 
 
 def train(rows: DataFrame, words, n_tokens: int) -> LogBilinear:
@@ -273,9 +291,9 @@ def train(rows: DataFrame, words, n_tokens: int) -> LogBilinear:
     if not n_tokens:
         return model
     n_shards = -(-n_tokens // SHARD_TOKENS)
-    dealt, path = durable_at(dealt_tokens(rows, words, n_shards), "tokens")
+    tokens, path = durable_at(row_tokens(rows, words), "tokens")
     # Equal rows have equal keys and ids, so their order says nothing.
-    ordered = dealt.repartition(max(1, min(n_shards, shuffle_width(spark))), "shard").sortWithinPartitions("shard", "key", "ids").select("shard", "ids")
+    ordered = dealt_tokens(tokens, n_shards).repartition(max(1, min(n_shards, shuffle_width(spark))), "shard").sortWithinPartitions("shard", "key", "ids").select("shard", "ids", "n")
     schema = "slice int, n long, sums binary"
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +311,7 @@ def train(rows: DataFrame, words, n_tokens: int) -> LogBilinear:
 
         def run(batches: Iterator[pa.RecordBatch], number=number, shared=shared) -> Iterator[pa.RecordBatch]:
             # A task adds up the models of its shards before it sends them.
-            total, n, shard, trainer = None, 0, None, None
+            total, done, shard, trainer = None, 0, None, None
 
             def ended(trainer: Trainer, total: np.ndarray | None) -> np.ndarray:
                 trainer.finish()
@@ -301,18 +319,20 @@ def train(rows: DataFrame, words, n_tokens: int) -> LogBilinear:
                 return own if total is None else total + own
 
             for batch in batches:
-                for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for k, blob, copies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                     if k != shard:
                         if trainer is not None:
-                            total, n = ended(trainer, total), n + 1
+                            total, done = ended(trainer, total), done + 1
                         fresh = LogBilinear(words.value.unigram)
                         fresh.load(shared.value)
                         shard, trainer = k, fresh.trainer(number, k)
-                    trainer.add_row(np.frombuffer(blob.as_buffer(), np.uint16).astype(np.int64))
+                    own = np.frombuffer(blob.as_buffer(), np.uint16).astype(np.int64)
+                    for _ in range(copies):
+                        trainer.add_row(own)
             if trainer is not None:
-                total, n = ended(trainer, total), n + 1
+                total, done = ended(trainer, total), done + 1
                 parts = np.array_split(total, SLICES)
-                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "n", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([done] * SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "n", "sums"])
 
         sums = ordered.mapInArrow(run, schema).repartition(min(SLICES, shuffle_width(spark)), "slice").mapInArrow(mean, schema)
         found = {r.slice: np.frombuffer(r.sums, np.int64) / (r.n * SCALE) for r in sums.collect()}  # SLICES rows, one model in all

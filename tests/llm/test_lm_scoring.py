@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meridion.llm.lm_scoring import CLASSES, LogBilinear, Words, classes, contexts, count_words, frequent_words, score, train
+from meridion.llm.lm_scoring import CLASSES, LogBilinear, Words, classes, contexts, count_words, dealt_tokens, frequent_words, score, train
 from meridion.llm.words import chunks
 
 from .fixtures import SCHEMA, documents, lowered, prose, words_of
@@ -121,6 +121,23 @@ def test_partitions_change_nothing(spark):
     assert sum(found[0][d][0] for d in held) > sum(found[0][d][1] for d in held) * 0.99
 
 
+def test_very_many_equal_rows_are_spread(spark, monkeypatch):
+    rows = [(k % 9, bytes([k % 9, 0, 0, 0])) for k in range(900)] + [(100, b"\1\0\0\0")] * 1000 + [(101, b"\2\0\0\0")] * 201
+    tokens = spark.createDataFrame(rows, "key long, ids binary")
+    for n_shards in (1, 7, 300):
+        got = dealt_tokens(tokens.repartition(5), n_shards, 150).collect()
+        assert Counter((r.key, bytes(r.ids)) for r in got for _ in range(r.n)) == Counter(rows)
+        per = Counter()
+        for r in got:
+            per[r.shard] += r.n if r.key >= 100 else 0
+        assert max(per.values()) - (min(per.values()) if len(per) == n_shards else 0) <= 2 and len(got) <= 900 + 2 * n_shards
+        assert sorted(map(str, got)) == sorted(map(str, dealt_tokens(tokens.repartition(3), n_shards, 150).collect()))
+    monkeypatch.setattr("meridion.llm.lm_scoring.dealt_tokens.__defaults__", (150,))
+    docs = [(7, prose(1, 30), "en", "s", 1)] * 400 + [(k, prose(k, 40), "en", "s", 1) for k in range(40)]
+    a, b = (sorted((r.doc_id, round(r.score, 6)) for r in score(spark.createDataFrame(docs, SCHEMA).repartition(n)).collect()) for n in (1, 9))
+    assert len(a) == 440 and all(x[0] == y[0] and math.isclose(x[1], y[1], rel_tol=1e-6) for x, y in zip(a, b))
+
+
 def test_very_long_text_and_clashing_names(spark):
     long = prose(5, 200_000)
     df = spark.createDataFrame([(0, long, 1.0, "x", 2), (1, "some words", 1.0, "y", 2)], "doc_id long, text string, score double, key string, held_out long")
