@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -457,12 +458,26 @@ def _suffixes(blobs: list[bytes], width: int) -> tuple[np.ndarray, int, np.ndarr
     return np.stack([words[first + k] for k in range(width)], axis=1), len(rank), ids, rows, at
 
 
+def first_alike(texts: pa.Table) -> np.ndarray:
+    """For each row of a home the place of the row of least number with its doc_id and text: equal rows go through the steps once."""
+    if not len(texts):
+        return np.zeros(0, np.int64)
+    number = lambda name: pc.fill_null(texts[name].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(texts["row"].to_numpy(), kind="stable")
+    pair = np.stack([number("doc_id"), number("text")], axis=1)[order]
+    _, first, of = np.unique(pair, axis=0, return_index=True, return_inverse=True)
+    out = np.empty(len(order), np.int64)
+    out[order] = order[first[of.reshape(-1)]]
+    return out
+
+
 class Home:
     """The suffixes of a home's documents that may repeat: where they begin in ``ranked``, the ranks of their words among ``strings``."""
 
     def __init__(self, texts: pa.Table, among: np.ndarray, width: int, plan: Plan):
         parts, kept = [], []
-        known = texts.filter(texts["doc_id"].is_valid())
+        known = texts.take(np.unique(first_alike(texts)))
+        known = known.filter(known["doc_id"].is_valid())
         ids, rows, first = known["doc_id"].to_numpy(), known["row"].to_numpy(), 0
         for chunk in chunks(known["text"]) if len(among) else ():
             words = chunk.hashes()
@@ -582,6 +597,11 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, with_text: bool = False) ->
         index = order[np.searchsorted(rows, lost_rows, sorter=order)] if len(lost_rows) else lost_rows
         order = np.argsort(index, kind="stable")
         index, lost_at = index[order], lost_at[order]
+        # Equal rows have the answers of the first of them.
+        alike = first_alike(texts)
+        start = np.searchsorted(index, alike)
+        size = np.searchsorted(index, alike, "right") - start
+        index, lost_at = np.repeat(np.arange(len(alike)), size), lost_at[_spread(start, size)]
         out = []
         for chunk in chunks(texts["text"]):
             a, b = np.searchsorted(index, (chunk.first, chunk.first + len(chunk)))

@@ -3,10 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meridion.llm.substring_dedup import Home, _keys, deduplicate, prefix_plan, repeated_anchors, subtree
+from meridion.llm.substring_dedup import Home, _keys, deduplicate, first_alike, prefix_plan, repeated_anchors, subtree
 
 from .fixtures import SCHEMA, documents, prose, words_of
 
@@ -59,6 +60,13 @@ def test_missing_and_hot_doc_ids(spark):
     assert result(df) == brute(rows, 13)
 
 
+def test_equal_rows_go_through_once(spark):
+    table = pa.table({"doc_id": [3, None, 3, 3, None, 4], "text": ["a", "a", None, "a", "a", "a"], "row": [9, 8, 7, 2, 1, 0]})
+    assert first_alike(table).tolist() == [3, 4, 2, 3, 4, 5]
+    rows = [(7, prose(1, 40), "en", "s", 1)] * 200 + [(3, prose(1, 60), "en", "s", 1)] * 3 + [(7, prose(2, 40) + " " + prose(1, 40), "en", "s", 1)] * 50 + [(None, prose(1, 40), "en", "s", 1)] * 20
+    assert result(spark.createDataFrame(rows, SCHEMA).repartition(6)) == brute(rows, 13)
+
+
 def test_many_copies_and_empty(spark):
     text = documents()[0][1]
     rows = [(k, text, "en", "s", 1) for k in range(60)]
