@@ -314,24 +314,43 @@ def wide_fingerprint(text: str | None, words: int = STAGE_WORDS) -> bytes:
     return np.packbits(2 * total > len(h), bitorder="little").tobytes()
 
 
-def wide_links(distinct: DataFrame) -> DataFrame:
+def wide_nodes(distinct: DataFrame, hot_node: int) -> DataFrame:
+    """(id, fp, path, key): the nodes below which wide fingerprints are joined, of a table of (id, fp).
+
+    A path is the numbers of the bands that agree, in six bits each, key is what is in them. Fingerprints of a
+    node with more than ``hot_node`` of them must agree in another band too, up to three: close ones do in many.
+    """
+    bands = F.array(*[
+        F.struct(F.lit(k + 1).alias("band"), F.conv(F.hex(F.substring("fp", 1 + BAND_BYTES * k, BAND_BYTES)), 16, 10).cast("long").alias("bits")) for k in range(8 * WIDE // BAND_BYTES)
+    ])
+    rows, found = distinct.select("id", "fp", F.lit(0).alias("path"), F.lit(0).cast("long").alias("key")), None
+    for level in range(3):
+        other = F.filter(bands, lambda x: (x["band"] != F.col("path") % 64) & (x["band"] != F.floor(F.col("path") / 64) % 64))
+        laid = rows.select("id", "fp", "path", "key", F.explode(other).alias("x")).select("id", "fp", (F.col("path") * 64 + F.col("x.band")).alias("path"), (F.col("key") * 65536 + F.col("x.bits")).alias("key"))
+        sizes = laid.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot_node).select("path", "key").hint("shuffle_hash")
+        last = level == 2 or not sizes.limit(1).count()
+        cold = laid if last else laid.join(sizes, ["path", "key"], "left_anti")
+        found = cold if found is None else found.unionByName(cold)
+        if last:
+            return found
+        rows = laid.join(sizes, ["path", "key"], "left_semi")
+
+
+def wide_links(distinct: DataFrame, hot_node: int = HOT_NODE) -> DataFrame:
     """Links (u, v) of ids whose wide fingerprints differ in at most WIDE_BUDGET bits, a spanning forest for each step of a task.
 
     ``distinct`` is (id, fp). The bits are cut into bands of 16, and fingerprints that share a band are below
     one node: of pairs at 15 % of differing bits 9 in 10 share one of the 32, of closer ones more. Below it
     the next word's trie is joined with itself, and all bits are counted at its leaves.
     """
-    bands = 8 * WIDE // BAND_BYTES
-    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.substring("fp", 1 + BAND_BYTES * k, BAND_BYTES).alias("key")) for k in range(bands)])
-    rows = distinct.select("id", "fp", F.explode(keys).alias("x")).select("x.band", F.conv(F.hex("x.key"), 16, 10).cast("int").alias("key"), "id", "fp")
     # The walk costs more than its bytes tell, so its partitions are not to be merged by their sizes.
-    keyed = rows.repartition(shuffle_width(distinct.sparkSession), "band", "key").sortWithinPartitions("band", "key")
+    keyed = wide_nodes(distinct, hot_node).repartition(shuffle_width(distinct.sparkSession), "path", "key").sortWithinPartitions("path", "key")
 
-    def joined(band: np.ndarray, key: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        word = fp[np.arange(len(fp)), (band * BAND_BYTES // 8 + 1) % WIDE]
-        order = np.lexsort((word, key, band))
-        band, key, ids, fp, word = band[order], key[order], ids[order], fp[order], word[order]
-        starts = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])))
+    def joined(path: np.ndarray, key: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        word = fp[np.arange(len(fp)), ((path % 64 - 1) * BAND_BYTES // 8 + 1) % WIDE]
+        order = np.lexsort((word, key, path))
+        path, key, ids, fp, word = path[order], key[order], ids[order], fp[order], word[order]
+        starts = np.flatnonzero(np.append(True, (path[1:] != path[:-1]) | (key[1:] != key[:-1])))
         label, _ = trie_join(word, starts, WORD_BUDGET, lambda i, j: np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) <= WIDE_BUDGET)
         far = np.flatnonzero(label != np.arange(len(ids)))
         return pa.RecordBatch.from_arrays([pa.array(ids[label[far]]), pa.array(ids[far])], ["u", "v"])
@@ -340,7 +359,7 @@ def wide_links(distinct: DataFrame) -> DataFrame:
         rest: list[np.ndarray] | None = None
         for batch in batches:
             raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
-            own = [*(batch.column(n).to_numpy() for n in ("band", "key", "id")), raw]
+            own = [*(batch.column(n).to_numpy() for n in ("path", "key", "id")), raw]
             rest = own if rest is None else [np.concatenate(x) for x in zip(rest, own, strict=True)]
             if len(rest[0]) < ROOTS // 4:
                 continue

@@ -2,11 +2,12 @@ import time
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from meridion.llm.graph import components
-from meridion.llm.simhash import BUDGET, WIDE_BUDGET, fingerprint, fingerprints, keep_one, layouts, links, near_duplicates, trie_join, wide_fingerprint
+from meridion.llm.simhash import BUDGET, WIDE_BUDGET, fingerprint, fingerprints, keep_one, layouts, links, near_duplicates, trie_join, wide_fingerprint, wide_links
 
 from .fixtures import SCHEMA, documents, lowered, words_of
 
@@ -142,6 +143,25 @@ def test_wide_fingerprint():
         assert int.from_bytes(wide_fingerprint(t), "little") == brute_wide(t)
 
 
+@pytest.mark.parametrize("hot", [1, 4, 1 << 16])
+def test_wide_links_connect_near_copies(spark, hot):
+    """Nodes with more fingerprints than allowed ask for further bands; near copies are connected all the same, others are not."""
+    rng = np.random.default_rng(3)
+    values = []
+    for _ in range(5):
+        base = rng.integers(0, 256, 64, dtype=np.uint8)
+        for _ in range(12):
+            bits = np.unpackbits(base)
+            bits[rng.choice(512, rng.integers(0, 14), replace=False)] ^= 1
+            values.append(np.packbits(bits).tobytes())
+    values = sorted(set(values))
+    df = spark.createDataFrame(list(enumerate(values)), "id long, fp binary")
+    root = {r.node: r.root for r in components(wide_links(df, hot)).collect()}
+    truth = brute_components([int.from_bytes(v, "little") for v in values], WIDE_BUDGET)
+    got = [root.get(k, k) for k in range(len(values))]
+    assert len(set(truth)) == 5 and len({*zip(got, truth)}) == len(set(got)) == 5
+
+
 def test_close_groups_cost_no_square(spark):
     """Of values that are all linked, pairs are skipped once they are connected; links of equal values go through ``accept``."""
     rng = np.random.default_rng(7)
