@@ -54,7 +54,7 @@ _AREA = f"({d(R * R / 2 * RADIANS)} * width * greatest(0e0, {_cos2('greatest(sou
 
 @query(f"""SELECT s_suppkey, CASE WHEN north > 0 THEN 1 ELSE 0 END AS parts, CASE WHEN south < 0 AND north > 0 THEN 2 ELSE 0 END AS crossings, south > 0 AS closed, 'none' AS error FROM {_sector_sql('s_suppkey', 'supplier')}""")
 def globe_curve_parts(spark, sf_dir):
-    out = globe_curves(_sectors(table(spark, sf_dir, "supplier"), "s_suppkey"), POLE)
+    out = globe_curves(spread(_sectors(table(spark, sf_dir, "supplier"), "s_suppkey"), "s_suppkey"), POLE)
     return out.select("s_suppkey", F.size("parts").alias("parts"), "crossings", "closed", "error")
 
 

@@ -141,3 +141,29 @@ def test_negligible_component():
     v = globe.verified_polygon(own, IDENTITY, globe.VerifiedOptions(globe.PolygonOptions(globe.CurveOptions(1e-3), 1e-4), max_rounds=6))
     assert (v.error, v.significant, v.negligible) == ("none", 0, 1)
     assert globe.visible_polygon(rings.canonicalise(lon, lat)[0], IDENTITY).error == "missing_interior_side"
+
+
+@pytest.mark.parametrize("west", [-14.5, 20.0, 65.5, 125.5, -154.5])
+def test_edges_on_the_horizon(west):
+    """From above the pole an edge on the equator touches the horizon, whatever roundoff says of its depth."""
+    pole = sphere.camera(0.0, HALF_PI)
+    cell = lambda south, north: ring([(west, south), (west + 30, south), (west + 30, north), (west, north)], "left")[0]
+    seen = [globe.visible_curve(cell(*x), pole) for x in ((0, 10), (-10, 0), (-10, 10), (5, 10))]
+    assert [(len(c.parts), c.crossings, c.closed, c.whole) for c in seen] == [(1, 0, False, True), (0, 0, False, False), (1, 2, False, False), (1, 0, True, True)]
+    above, below = (globe.verified_polygon(cell(*x), pole) for x in ((0, 10), (-10, 0)))
+    sector = AUTHALIC_RADIUS**2 / 2 * np.radians(30) * np.sin(sphere.authalic_latitude(np.radians(10))) ** 2
+    assert (above.error, len(above.polygon.rings), above.polygon.coverage) == ("none", 1, "minor") and math.isclose(above.polygon.area, sector, rel_tol=1e-2)
+    assert (below.error, below.polygon.rings, below.polygon.area) == ("none", [], 0.0)
+
+
+def test_an_edge_on_the_horizon_between_both_sides():
+    """A step of the ring along the horizon is one crossing, and a touch in front is part of the filled outline."""
+    pole = sphere.camera(0.0, HALF_PI)
+    step, _ = ring([(0, -10), (30, -10), (30, 0), (50, 0), (50, 20), (0, 20)], "left")
+    c = globe.visible_curve(step, pole)
+    assert (len(c.parts), c.crossings, c.closed) == (1, 2, False)
+    v = globe.verified_polygon(step, pole)
+    assert v.error == "none" and math.isclose(v.polygon.area, AUTHALIC_RADIUS**2 / 2 * np.radians(50) * np.sin(sphere.authalic_latitude(np.radians(20))) ** 2, rel_tol=1e-2)
+    touch, _ = ring([(0, -10), (20, -10), (20, 10), (30, 10), (30, 0), (50, 0), (50, 20), (0, 20)], "left")
+    c = globe.visible_curve(touch, pole)
+    assert (len(c.parts), len(c.outline), c.crossings) == (2, 1, 2) and globe.verified_polygon(touch, pole).error == "none"
