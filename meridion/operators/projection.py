@@ -32,7 +32,7 @@ AREA = "winding int, area double, bound double, error string"
 SPLIT = "pieces array<array<struct<lon: double, lat: double>>>, areas array<double>, crossings int, partition_error double, error string"
 CURVE = "parts array<array<struct<x: double, y: double>>>, crossings int, closed boolean, n_vertices int, error string"
 FILL = (
-    "rings array<array<struct<x: double, y: double>>>, areas array<double>, area double, crossings int, n_vertices int, arc_segments int, coverage string, rounds int, significant int, "
+    "rings array<array<struct<x: double, y: double>>>, areas array<double>, area double, crossings int, n_vertices int, arc_segments int, coverage string, region_area double, rounds int, significant int, "
     "negligible int, change double, tolerance double, arc_tolerance double, error string, detail string"
 )
 
@@ -169,7 +169,10 @@ def globe_curves(df: DataFrame, view: tuple[float, float], options: CurveOptions
 
 
 def globe_fill(df: DataFrame, view: tuple[float, float], options: VerifiedOptions | PolygonOptions = VerifiedOptions()) -> DataFrame:
-    """Filled visible interior of each ring; with VerifiedOptions refined until two rounds agree."""
+    """Filled visible interior of each ring; with VerifiedOptions refined until two rounds agree.
+
+    ``areas`` and ``area`` are of the rings as they are, ``region_area`` of what their chords stand for.
+    """
     matrix = camera(*view)
 
     def work(ring: Ring | None, error: str) -> dict:
@@ -184,7 +187,7 @@ def globe_fill(df: DataFrame, view: tuple[float, float], options: VerifiedOption
             extra = {"rounds": v.rounds, "significant": v.significant, "negligible": v.negligible, "change": None if v.change != v.change else v.change, "tolerance": v.tolerance, "arc_tolerance": v.arc_tolerance}
         return {
             "rings": p.rings, "areas": p.areas, "area": p.area, "crossings": p.crossings, "n_vertices": p.vertices, "arc_segments": p.arc_segments, "coverage": p.coverage,
-            "error": error, "detail": detail, **extra,
+            "region_area": p.region_area, "error": error, "detail": detail, **extra,
         }
 
     return map_rings(df, each(work), FILL)

@@ -64,7 +64,7 @@ def globe_fill_verified(spark, sf_dir):
     options = VerifiedOptions(PolygonOptions(CurveOptions(tolerance=200.0), arc_tolerance=200.0), relative_change=1e-6, max_rounds=18)
     out = globe_fill(spread(_sectors(table(spark, sf_dir, "supplier"), "s_suppkey"), "s_suppkey"), POLE, options)
     return out.select(
-        "s_suppkey", F.size("rings").alias("rings"), "crossings", rounded(F.col("area") / g.lit(1e9), 0).alias("area_1000km2"), "significant", "negligible", "coverage", (F.col("arc_segments") > 0).alias("limb_arcs"),
+        "s_suppkey", F.size("rings").alias("rings"), "crossings", rounded(F.col("region_area") / g.lit(1e9), 0).alias("area_1000km2"), "significant", "negligible", "coverage", (F.col("arc_segments") > 0).alias("limb_arcs"),
         F.col("rounds").between(2, 18).alias("settled"), "error",
     )
 

@@ -167,3 +167,15 @@ def test_an_edge_on_the_horizon_between_both_sides():
     touch, _ = ring([(0, -10), (20, -10), (20, 10), (30, 10), (30, 0), (50, 0), (50, 20), (0, 20)], "left")
     c = globe.visible_curve(touch, pole)
     assert (len(c.parts), len(c.outline), c.crossings) == (2, 1, 2) and globe.verified_polygon(touch, pole).error == "none"
+
+
+@pytest.mark.parametrize("south, north", [(-5.0, 0.01), (-9.0, 0.3), (10.0, 20.0), (-20.0, 60.0)])
+def test_region_areas_are_exact(south, north):
+    """Areas with what the chords leave out, and slivers whose chords don't settle in the rounds that are allowed."""
+    options = globe.VerifiedOptions(globe.PolygonOptions(globe.CurveOptions(200.0), 200.0), relative_change=1e-6, max_rounds=18)
+    v = globe.verified_polygon(ring([(12, south), (40, south), (40, north), (12, north)], "left")[0], sphere.camera(0.0, HALF_PI), options)
+    low, high = (np.cos(sphere.authalic_latitude(np.radians(x))) ** 2 for x in (max(south, 0), north))
+    exact = AUTHALIC_RADIUS**2 / 2 * np.radians(28) * (low - high)
+    assert v.error == "none" and abs(v.polygon.region_area - exact) <= max(60, 1e-11 * exact)
+    full = globe.verified_polygon(ring([(12, 10), (40, 10), (40, 20), (12, 20)], "right")[0], sphere.camera(0.0, HALF_PI), options).polygon
+    assert math.isclose(full.regions[0], -math.pi * AUTHALIC_RADIUS**2, rel_tol=1e-13) and len(full.regions) == 2
