@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from meridion.functions import geodesy as g
 from meridion.functions.constants import PI, RADIANS, SEMI_MAJOR, TWO_PI
 from meridion.operators import ordered
-from meridion.operators.kernels.curves import chord_distance, subdivide
+from meridion.operators.kernels.curves import chord_distance, subdivide_groups
 from meridion.operators.kernels.globe import CurveOptions, PolygonOptions, VerifiedOptions, arc_segments, limb_arc, visible_curve
 from meridion.operators.kernels.projection import RingOptions
 from meridion.operators.kernels.rings import canonicalise
@@ -97,16 +97,29 @@ def subdivided_arcs(spark, sf_dir):
     """Arcs of circles: halves are equal, so the sagitta says how deep the subdivision goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, r, theta, tol in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                curves = subdivide(lambda e, t, r=r, theta=theta: np.stack([r * np.cos(theta * t), r * np.sin(theta * t)], axis=-1), 1, lambda five, tol=tol: _sagitta(five) <= tol, 32, 1 << 20)
-                rows.append((key, int(round(-np.log2(np.diff(curves.t).min()))), len(curves.t)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], ["p_partkey", "depth", "points"])
+        for whole in batches:
+            for at in range(0, len(whole), 1024):  # arcs that are subdivided together
+                batch = whole.slice(at, 1024)
+                depth, points = arc_depths(*(batch.column(n).to_numpy() for n in ("r", "theta", "tol")))
+                yield pa.RecordBatch.from_arrays([batch.column("p_partkey"), pa.array(depth), pa.array(points)], ["p_partkey", "depth", "points"])
 
     k = F.col("p_partkey")
     t = table(spark, sf_dir, "part").select(k, (1000 + k % 9000).cast("double").alias("r"), g.radians((10 + k % 150).cast("double")).alias("theta"), ((1 + k % 37).cast("double") / g.lit(10)).alias("tol"))
-    return t.mapInArrow(run, "p_partkey long, depth long, points long")
+    return spread(t, "p_partkey").mapInArrow(run, "p_partkey long, depth long, points long")
+
+
+def arc_depths(r: np.ndarray, theta: np.ndarray, tol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How deep the arcs of circles are subdivided, all together, and their points."""
+
+    def sample(e: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return np.stack([r[e] * np.cos(theta[e] * t), r[e] * np.sin(theta[e] * t)], axis=-1)
+
+    curves, _ = subdivide_groups(sample, np.arange(len(r)), lambda e, five: _sagitta(five) <= tol[e], 32, 1 << 20)
+    first = np.flatnonzero(np.append(True, curves.edge[1:] != curves.edge[:-1]))
+    # The step to the next arc's start is negative.
+    step = np.append(np.diff(curves.t), -1.0)
+    least = np.minimum.reduceat(np.where(step > 0, step, 1.0), first)
+    return np.rint(-np.log2(least)).astype(np.int64), np.diff(np.append(first, len(step)))
 
 
 def _sagitta(five: np.ndarray) -> np.ndarray:

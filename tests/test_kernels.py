@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -179,3 +180,17 @@ def test_region_areas_are_exact(south, north):
     assert v.error == "none" and abs(v.polygon.region_area - exact) <= max(60, 1e-11 * exact)
     full = globe.verified_polygon(ring([(12, 10), (40, 10), (40, 20), (12, 20)], "right")[0], sphere.camera(0.0, HALF_PI), options).polygon
     assert math.isclose(full.regions[0], -math.pi * AUTHALIC_RADIUS**2, rel_tol=1e-13) and len(full.regions) == 2
+
+
+def test_arcs_are_subdivided_together():
+    """Twenty thousand arcs of circles as deep as their sagitta says, in seconds."""
+    from meridion.plans.kernel_queries import arc_depths
+
+    k = np.arange(20_000)
+    r, theta, tol = (1000 + k % 9000).astype(float), np.radians(10.0 + k % 150), (1 + k % 37) / 10
+    began = time.process_time()
+    found = [arc_depths(*(x[i : i + 1024] for x in (r, theta, tol))) for i in range(0, len(k), 1024)]
+    assert time.process_time() - began < 8
+    depth, points = (np.concatenate(x) for x in zip(*found))
+    want = (r[:, None] * (1 - np.cos(theta[:, None] / 2.0 ** np.arange(1, 25))) <= tol[:, None]).argmax(axis=1)
+    assert (depth == want).all() and (points == 2**want + 1).all()
