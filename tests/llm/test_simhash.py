@@ -7,9 +7,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from meridion.llm.graph import components
-from meridion.llm.simhash import BUDGET, WIDE_BUDGET, fingerprint, fingerprints, keep_one, layouts, links, near_duplicates, trie_join, wide_fingerprint, wide_links
+from meridion.llm.simhash import BUDGET, WIDE_BUDGET, alike_links, described, fingerprint, fingerprints, keep_one, layouts, links, near_duplicates, parity, shingle_set, trie_join, wide_fingerprint, wide_links
 
-from .fixtures import SCHEMA, documents, lowered, words_of
+from .fixtures import SCHEMA, documents, lowered, prose, words_of
 
 
 def brute_fingerprint(text):
@@ -192,3 +192,63 @@ def test_components_of_long_chains(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 200), (200, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 200: 100, 300: 100}
+
+
+def shingles_of(text):
+    w = words_of(lowered(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    x, y = shingles_of(a), shingles_of(b)
+    return len(x & y) / len(x | y) if x else 0
+
+
+def changed(text, seed, words):
+    """The text with some of its words replaced."""
+    rng = np.random.default_rng(seed)
+    own = text.split(" ")
+    for k in rng.choice(len(own), words, replace=False):
+        own[k] = f"new{seed}word{k}"
+    return " ".join(own)
+
+
+def borderline():
+    """Texts with copies on both sides of 0.8, families with many of them, a passage in most texts, lengths of all kinds."""
+    common = prose(900, 30)
+    texts = []
+    for k in range(40):
+        base = (common + " " if k % 3 else "") + prose(1000 + k, 60 + 25 * (k % 12), 5000)
+        n = len(base.split(" "))
+        texts += [base, *(changed(base, 100 * k + c, max(1, round(n * share))) for c, share in enumerate((0.018, 0.022, 0.026)))]
+    family = prose(2000, 200, 5000)
+    return [*texts, *(changed(family, 9000 + k, 1 + k % 4) for k in range(50)), "one", "two words", "one", "", *(" ".join("abcdefg"[:k]) for k in range(3, 8))]
+
+
+@pytest.mark.parametrize("hot_token, hot_pairs", [(64, 1 << 12), (4, 8), (1, 0)])
+def test_alike_links_are_all_pairs(spark, hot_token, hot_pairs):
+    """With every text a group of its own, links are the pairs at 0.8 or more by brute force, whatever is frequent."""
+    texts = list(dict.fromkeys(borderline()))
+    rows = spark.createDataFrame([((k, ), t) for k, t in enumerate(texts)], "_row struct<k: long>, text string")
+    fps = described(rows)
+    # The sets' own numbers stand for fingerprints, so that none are merged.
+    fps = fps.withColumn("fp", F.col("_row.k").cast("string").cast("binary"))
+    groups = spark.createDataFrame([(str(k).encode(), k, k) for k in range(len(texts))], "fp binary, id long, root long")
+    got = {tuple(sorted((r.u, r.v))) for r in alike_links(fps, rows, groups, hot_token, hot_pairs).collect()}
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if jaccard(texts[i], texts[j]) >= 0.8}
+    assert got == want and len(want) > 150
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    texts = borderline()[:60]
+    for a, b in zip(texts, texts[1:]):
+        x, y = shingle_set(a), shingle_set(b)
+        bits = (np.frombuffer(parity(x), np.uint64) ^ np.frombuffer(parity(y), np.uint64))
+        assert int(np.bitwise_count(bits).sum()) <= len(np.setxor1d(x, y))
+
+
+def test_keep_one_leaves_no_pair_that_is_alike(spark):
+    """Fingerprints tell pairs near 0.8 apart by more than WIDE_BUDGET bits, or share no band: they are found all the same."""
+    texts = borderline()
+    left = [r.text for r in keep_one(spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)).collect()]
+    assert len(left) == len(set(left)) and not [(a, b) for k, a in enumerate(left) for b in left[:k] if jaccard(a, b) >= 0.8]
