@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from .graph import components
-from .tables import durable, packed, shuffle_width, unpacked
+from .tables import discard, durable, durable_at, packed, shuffle_width, unpacked
 from .words import mix, pieces
 
 SEED = 42
@@ -496,8 +496,15 @@ def alike_links(fps: DataFrame, texts: DataFrame, groups: DataFrame, hot_token:
     """
     spark = fps.sparkSession
     width = shuffle_width(spark)
+    made: list[str] = []
+
+    def held(df: DataFrame, label: str) -> DataFrame:
+        df, path = durable_at(df, label)
+        made.append(path)
+        return df
+
     first = fps.where("n > 0").groupBy("fp", "shape").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    sets = durable(first.join(groups.hint("shuffle_hash"), "fp").select("_row", "n", "sketch", "prefix", "id", "root").withColumn("at", F.monotonically_increasing_id()), "sets")
+    sets = held(first.join(groups.hint("shuffle_hash"), "fp").select("_row", "n", "sketch", "prefix", "id", "root").withColumn("at", F.monotonically_increasing_id()), "sets")
     schema = "token long, root long, at long, n int, place int"
 
     def rows_of(own: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
@@ -541,7 +548,7 @@ def alike_links(fps: DataFrame, texts: DataFrame, groups: DataFrame, hot_token:
                     own.append((_ordered_prefix(h, late), r, a, len(h)))
                 yield rows_of(own)
 
-        late_rows = durable(sets.select("_row", "root", "at", "prefix").mapInArrow(hit, StructType([sets.schema["_row"], sets.schema["root"], sets.schema["at"]])), "late")
+        late_rows = held(sets.select("_row", "root", "at", "prefix").mapInArrow(hit, StructType([sets.schema["_row"], sets.schema["root"], sets.schema["at"]])), "late")
         keyed = keyed.unionByName(with_texts(late_rows).select("text", "root", "at").mapInArrow(again, schema))
 
     def meet(own: list) -> Iterator[pa.RecordBatch]:
@@ -559,7 +566,7 @@ def alike_links(fps: DataFrame, texts: DataFrame, groups: DataFrame, hot_token:
         yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (at, place, token)], ["u", "v", "token"])
 
     dealt = keyed.repartition(width, "token").sortWithinPartitions("token")
-    met = durable(dealt.mapInArrow(_by_token(["token", "root", "at", "n", "place"], meet), "u long, v long, token long"), "met")
+    met = held(dealt.mapInArrow(_by_token(["token", "root", "at", "n", "place"], meet), "u long, v long, token long"), "met")
     sketches = sets.select("at", "root", "n", "sketch")
     hot = met.where("token is not null").select("token", F.col("u").alias("at"), F.col("v").alias("place")).join(sketches.hint("shuffle_hash"), "at")
 
@@ -586,8 +593,10 @@ def alike_links(fps: DataFrame, texts: DataFrame, groups: DataFrame, hot_token:
             yield batch.filter(pa.array(near, pa.bool_())).select(["u", "v"])
 
     cold = sides(met.where("token is null").select("u", "v").distinct(), sketches, ["n", "sketch"]).mapInArrow(not_far, "u long, v long")
-    pairs = durable(cold.union(hot_pairs_).distinct(), "pairs")
+    pairs = held(cold.union(hot_pairs_).distinct(), "pairs")
     if not pairs.limit(1).count():
+        for path in made[:-1]:
+            discard(spark, path)
         return pairs
     named = pairs.select(F.col("u").alias("at")).union(pairs.select(F.col("v").alias("at"))).distinct()
 
@@ -597,7 +606,7 @@ def alike_links(fps: DataFrame, texts: DataFrame, groups: DataFrame, hot_token:
             yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("id"), own], ["at", "id", "own"])
 
     of = sets.select("at", "id", "_row").join(named.hint("shuffle_hash"), "at")
-    of = durable(with_texts(durable(of, "named")).select("at", "id", "text").mapInArrow(whole, "at long, id long, own binary"), "shingles")
+    of = held(with_texts(held(of, "named")).select("at", "id", "text").mapInArrow(whole, "at long, id long, own binary"), "shingles")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -606,7 +615,10 @@ def alike_links(fps: DataFrame, texts: DataFrame, groups: DataFrame, hot_token:
             out = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([out.column("u_id"), out.column("v_id")], ["u", "v"])
 
-    return durable(sides(pairs, of, ["id", "own"]).select("u_id", "v_id", "u_own", "v_own").mapInArrow(compared, "u long, v long"), "alike")
+    out = durable(sides(pairs, of, ["id", "own"]).select("u_id", "v_id", "u_own", "v_own").mapInArrow(compared, "u long, v long"), "alike")
+    for path in made:
+        discard(spark, path)
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
