@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import pieces
+from .worker import cache
 
 NONE = np.int64(1 << 30)  # above every rank
 PLACE = 32  # bits of a position in a tree node; the rank is above them
@@ -27,7 +28,7 @@ CACHE_PIECES = 1 << 18  # once full it stays as it is; other pieces are encoded
 CACHE_BYTES = 64  # longer pieces are encoded each time
 MATRIX_CELLS = 1 << 19
 LONG_PIECE = 2048  # bytes from which a pre-token has a tree of its own
-_codecs: dict = {}
+_codecs: dict = cache()
 
 
 class ByteBPE:

@@ -25,6 +25,7 @@ from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 from .graph import components
 from .tables import discard, durable, durable_at, packed, shuffle_width, unpacked
 from .words import mix, pieces
+from .worker import lean
 
 SEED = 42
 WORDS = 3
@@ -378,7 +379,7 @@ def wide_links(distinct: DataFrame, hot_node: int = HOT_NODE) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield joined(*rest)
 
-    return keyed.mapInArrow(run, "u long, v long").distinct()
+    return keyed.mapInArrow(lean(run), "u long, v long").distinct()
 
 
 HOT_TOKEN = 64  # shingles in more sets' prefixes come last in the order of all
@@ -418,7 +419,7 @@ def _ordered_prefix(h: np.ndarray, late: np.ndarray) -> np.ndarray:
     return np.concatenate([h[~is_late], h[is_late]])[: prefix_size(len(h))]
 
 
-def _cross(token: np.ndarray, at: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _cross(token: np.ndarray, at: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows below a token (all in the order of token, root) with other roots that can be alike by their sizes and the token's places in them."""
     total = np.arange(len(token))
     own = np.append(np.flatnonzero((token[1:] != token[:-1]) | (root[1:] != root[:-1])) + 1, len(token))
@@ -463,11 +464,22 @@ def _by_token(names: list[str], work: Callable[[list], Iterator[pa.RecordBatch]]
     return run
 
 
-def _pairs(at: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Each pair once, the lesser first."""
-    i, j = (at[np.concatenate([x[k] for x in found])] if found else np.zeros(0, np.int64) for k in range(2))
-    pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+def _pairs(at: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each pair once of about ``most`` at a time, the lesser first; a pair that is found again later comes again."""
+    held, total = [], 0
+
+    def once() -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.unique(np.concatenate(held, axis=1).T, axis=0)
+        return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+    for i, j in found:
+        held.append(np.sort(np.stack([at[i], at[j]]), axis=0))
+        total += len(i)
+        if total >= most:
+            yield once()
+            held, total = [], 0
+    if total:
+        yield once()
 
 
 def described(texts: DataFrame) -> DataFrame:
@@ -483,7 +495,7 @@ def described(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), fp, pa.array([len(h) for h in own], pa.int32()), shape, sketch, prefix], ["_row", "fp", "n", "shape", "sketch", "prefix"])
 
     schema = StructType([texts.schema["_row"], StructField("fp", BinaryType()), StructField("n", IntegerType()), *[StructField(c, BinaryType()) for c in ("shape", "sketch", "prefix")]])
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(lean(run), schema)
 
 
 def alike_links(fps: DataFrame, texts: DataFrame, groups: DataFrame, hot_token: int = HOT_TOKEN, hot_pairs: int = HOT_PAIRS) -> DataFrame:
@@ -523,9 +535,9 @@ def alike_links(fps: DataFrame, texts: DataFrame, groups: DataFrame, hot_token:
         return run
 
     slim = sets.select("prefix", "root", "at", "n")
-    often = slim.mapInArrow(entries(np.zeros(0, np.uint64)), schema).groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > hot_token)
+    often = slim.mapInArrow(lean(entries(np.zeros(0, np.uint64))), schema).groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > hot_token)
     late = np.sort(often.orderBy(F.desc("k"), "token").limit(FREQUENT).select("token").toArrow().column(0).combine_chunks().to_numpy().view(np.uint64))
-    keyed = slim.mapInArrow(entries(late), schema)
+    keyed = slim.mapInArrow(lean(entries(late)), schema)
 
     def with_texts(rows: DataFrame) -> DataFrame:
         """Rows with the text of their _row; most other texts are left out before they are dealt, by a table of SLOTS at most."""
@@ -548,8 +560,8 @@ def alike_links(fps: DataFrame, texts: DataFrame, groups: DataFrame, hot_token:
                     own.append((_ordered_prefix(h, late), r, a, len(h)))
                 yield rows_of(own)
 
-        late_rows = held(sets.select("_row", "root", "at", "prefix").mapInArrow(hit, StructType([sets.schema["_row"], sets.schema["root"], sets.schema["at"]])), "late")
-        keyed = keyed.unionByName(with_texts(late_rows).select("text", "root", "at").mapInArrow(again, schema))
+        late_rows = held(sets.select("_row", "root", "at", "prefix").mapInArrow(lean(hit), StructType([sets.schema["_row"], sets.schema["root"], sets.schema["at"]])), "late")
+        keyed = keyed.unionByName(with_texts(late_rows).select("text", "root", "at").mapInArrow(lean(again), schema))
 
     def meet(own: list) -> Iterator[pa.RecordBatch]:
         """Pairs (u, v) below tokens with few of them, and (u, place, token) for the others."""
@@ -560,26 +572,27 @@ def alike_links(fps: DataFrame, texts: DataFrame, groups: DataFrame, hot_token:
         same = np.add.reduceat(part * part, np.searchsorted(parts, cuts[:-1]))
         crossing = np.repeat((size * size - same) // 2, size)
         few, many = (crossing > 0) & (crossing <= hot_pairs), crossing > hot_pairs
-        u, v = _pairs(at[few], [*_cross(*(x[few] for x in (token, at, root, n, place)))])
-        none = pa.nulls(len(u), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), none], ["u", "v", "token"])
+        for u, v in _pairs(at[few], _cross(*(x[few] for x in (token, at, root, n, place)))):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], ["u", "v", "token"])
         yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (at, place, token)], ["u", "v", "token"])
 
     dealt = keyed.repartition(width, "token").sortWithinPartitions("token")
-    met = held(dealt.mapInArrow(_by_token(["token", "root", "at", "n", "place"], meet), "u long, v long, token long"), "met")
+    met = held(dealt.mapInArrow(lean(_by_token(["token", "root", "at", "n", "place"], meet)), "u long, v long, token long"), "met")
     sketches = sets.select("at", "root", "n", "sketch")
     hot = met.where("token is not null").select("token", F.col("u").alias("at"), F.col("v").alias("place")).join(sketches.hint("shuffle_hash"), "at")
 
     def meet_hot(own: list) -> Iterator[pa.RecordBatch]:
         token, root, at, n, place, sketch = own
-        found = []
-        for i, j in _cross(token, at, root, n, place, 1 << 17):
-            near = ~_far(sketch[i], sketch[j], n[i], n[j])
-            found.append((i[near], j[near]))
-        u, v = _pairs(at, found)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    hot_pairs_ = hot.repartition(width, "token").sortWithinPartitions("token").mapInArrow(_by_token(["token", "root", "at", "n", "place", "sketch"], meet_hot), "u long, v long")
+        def close() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i, j in _cross(token, at, root, n, place, 1 << 15):
+                near = ~_far(sketch[i], sketch[j], n[i], n[j])
+                yield i[near], j[near]
+
+        for u, v in _pairs(at, close()):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    hot_pairs_ = hot.repartition(width, "token").sortWithinPartitions("token").mapInArrow(lean(_by_token(["token", "root", "at", "n", "place", "sketch"], meet_hot)), "u long, v long")
 
     def sides(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
         for side in ("u", "v"):
@@ -592,7 +605,7 @@ def alike_links(fps: DataFrame, texts: DataFrame, groups: DataFrame, hot_token:
             near = ~_far(_sketches(batch.column("u_sketch")), _sketches(batch.column("v_sketch")), n, m) if len(batch) else np.zeros(0, bool)
             yield batch.filter(pa.array(near, pa.bool_())).select(["u", "v"])
 
-    cold = sides(met.where("token is null").select("u", "v").distinct(), sketches, ["n", "sketch"]).mapInArrow(not_far, "u long, v long")
+    cold = sides(met.where("token is null").select("u", "v").distinct(), sketches, ["n", "sketch"]).mapInArrow(lean(not_far), "u long, v long")
     pairs = held(cold.union(hot_pairs_).distinct(), "pairs")
     if not pairs.limit(1).count():
         for path in made[:-1]:
@@ -606,7 +619,7 @@ def alike_links(fps: DataFrame, texts: DataFrame, groups: DataFrame, hot_token:
             yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("id"), own], ["at", "id", "own"])
 
     of = sets.select("at", "id", "_row").join(named.hint("shuffle_hash"), "at")
-    of = held(with_texts(held(of, "named")).select("at", "id", "text").mapInArrow(whole, "at long, id long, own binary"), "shingles")
+    of = held(with_texts(held(of, "named")).select("at", "id", "text").mapInArrow(lean(whole), "at long, id long, own binary"), "shingles")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -615,7 +628,7 @@ def alike_links(fps: DataFrame, texts: DataFrame, groups: DataFrame, hot_token:
             out = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([out.column("u_id"), out.column("v_id")], ["u", "v"])
 
-    out = durable(sides(pairs, of, ["id", "own"]).select("u_id", "v_id", "u_own", "v_own").mapInArrow(compared, "u long, v long"), "alike")
+    out = durable(sides(pairs, of, ["id", "own"]).select("u_id", "v_id", "u_own", "v_own").mapInArrow(lean(compared), "u long, v long"), "alike")
     for path in made:
         discard(spark, path)
     return out
